@@ -6,31 +6,56 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import bpe, language, licenses, secrets
+from cairn.llm import bpe, chat, decontaminate, language, licenses, neighbours, quality, secrets, simhash, warc
 from cairn.llm.shared import table
 
 
+def op1_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)))
     model = language.fitted(docs.where("not held_out"))
     return language.identified(docs, model, keep=("doc_id", "held_out"))
 
 
+def op3_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotated(table(spark, sf_dir, "conversations"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scanned(table(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.grouped(table(spark, sf_dir, "documents"))
+
+
+def op7_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, digest=True)
 
 
+def op9_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scanned(table(spark, sf_dir, "documents")).drop("redacted")
 
 
 def queries():
-    return {"op2_language_id": op2_language_id, "op4_license_scan": op4_license_scan, "op8_byte_bpe": op8_byte_bpe, "op10_secret_scan": op10_secret_scan}
+    found = (op1_quality_resampling, op2_language_id, op3_chat_perspectives, op4_license_scan, op5_decontamination, op6_simhash_groups, op7_cross_polytope, op8_byte_bpe, op9_warc_archives, op10_secret_scan)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql():
-    return {}
+    return {"op3_chat_perspectives": chat.ROTATED_SQL, "op9_warc_archives": warc.ROUND_TRIP_SQL}

@@ -143,18 +143,19 @@ def redacted(text: str | None, found: list[tuple[int, int, int]], mark: str = "[
     return "".join([*parts, text[at:]])
 
 
-def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: the id, ``n_assign``, ``n_access``, ``n_hex``, ``n_entropy``, ``base_sha256``, ``spans``
+def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of docs: the id, the kept columns, ``n_assign``, ``n_access``, ``n_hex``, ``n_entropy``, ``base_sha256``, ``spans``
     (kind:start:end in code points, end exclusive), ``redacted`` (the text with each span replaced; null stays null).
 
     A null or empty text has no spans and the digest of an empty string. Repeated rows are each scanned; other columns are
     not read. There is no shuffle.
     """
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *(T.StructField(n, T.LongType()) for n in ("n_assign", "n_access", "n_hex", "n_entropy")), *(T.StructField(n, T.StringType()) for n in ("base_sha256", "spans", "redacted"))])
+    rest = [id_col, *keep]
+    schema = T.StructType([*(docs.schema[c] for c in rest), *(T.StructField(n, T.LongType()) for n in ("n_assign", "n_access", "n_hex", "n_entropy")), *(T.StructField(n, T.StringType()) for n in ("base_sha256", "spans", "redacted"))])
 
     def run(batches):
         for batch in batches:
-            texts = batch.column("text")
+            texts = batch.column(len(rest))
             for part in slices((len(x.as_buffer()) if x.is_valid else 0 for x in texts), 4 << 20):
                 rows = []
                 for text in texts[part.start : part.stop].to_pylist():
@@ -162,6 +163,6 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                     base = [x for x in found if x[2] < 3]
                     rows.append((*(sum(x[2] == k for x in found) for k in range(4)), hashlib.sha256(joined(base).encode()).hexdigest(), joined(found), redacted(text, found)))
                 columns = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([batch.column("id")[part.start : part.stop], *(pa.array(c, pa.int64()) for c in columns[:4]), *(pa.array(c, pa.string()) for c in columns[4:])], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*(batch.column(i)[part.start : part.stop] for i in range(len(rest))), *(pa.array(c, pa.int64()) for c in columns[:4]), *(pa.array(c, pa.string()) for c in columns[4:])], names=schema.names)
 
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, schema)
+    return docs.select(*(docs[c] for c in rest), docs[text_col].alias("__text")).mapInArrow(run, schema)
