@@ -17,6 +17,7 @@ from __future__ import annotations
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +29,8 @@ from cairn.llm.shared import saved, slices
 #: Hash buckets of 1- and of 2-grams each (a power of two), n-grams added to both counts of a ratio, standard errors that are
 #: taken off a log ratio, and n-grams of a window.
 BUCKETS, SMOOTHING, ERRORS, WINDOW = 1 << 19, 2.0, 2.0, 8
+#: Buckets whose ratios travel together.
+BLOCK = 1 << 16
 #: The last buckets are runs of 2, of 3 and of more equal tokens.
 RUNS = 3
 #: What a good row that is dropped weighs against a bad row that is kept, when the cut is chosen.
@@ -84,22 +87,30 @@ def counted(docs: DataFrame, target, text_col: str = "text", buckets: int = BUCK
 
 
 def log_ratios(counts: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING, errors: float = ERRORS) -> np.ndarray:
-    """Two rows of log ratios: for documents outside the target and for those in it, each without the document's own count.
-    One number pair a bucket is what reaches the driver; all is zero without a target."""
-    found = counts.toPandas()
-    raw, good = np.zeros(2 * buckets), np.zeros(2 * buckets)
-    raw[found["bucket"]], good[found["bucket"]] = found["raw"], found["target"]
-    out = np.zeros((2, 2 * buckets), np.float32)
-    if not good.sum():
+    """Two rows of log ratios: for documents outside the target and for those in it, each without the document's own count. All
+    is zero without a target. They are made where the counts are, in blocks of BLOCK buckets; two small numbers a bucket reach
+    the driver, whatever the size of the corpus."""
+    counts = saved(counts, "counts")
+    runs = F.col("bucket") >= 2 * buckets - RUNS
+    raw_sum, good_sum, any_good = counts.agg(F.sum(F.when(~runs, F.col("raw"))), F.sum(F.when(~runs, F.col("target"))), F.sum("target")).first()
+    out = np.zeros((2, 2 * buckets), np.float16)
+    if not any_good:
         return out
-    share = good[:-RUNS].sum() / max(1.0, raw[:-RUNS].sum())
-    for own in (0, 1):
-        expected, seen = raw.copy(), good.copy()
-        expected[:-RUNS] = np.maximum(raw[:-RUNS] - 1, 0)
-        seen[:-RUNS] = np.maximum(good[:-RUNS] - own, 0)
-        expected *= share
-        ratio = np.log((seen + smoothing) / (expected + smoothing))
-        out[own] = np.sign(ratio) * np.maximum(0, np.abs(ratio) - errors / np.sqrt(expected + smoothing))
+    share = (good_sum or 0) / max(1.0, raw_sum or 0)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        at = pdf["bucket"].to_numpy()
+        raw, good, leave = pdf["raw"].to_numpy(float), pdf["target"].to_numpy(float), (at < 2 * buckets - RUNS).astype(float)
+        block = np.zeros((2, BLOCK), np.float16)
+        for own in (0, 1):
+            expected, seen = np.maximum(raw - leave, 0) * share, np.maximum(good - own * leave, 0)
+            ratio = np.log((seen + smoothing) / (expected + smoothing))
+            block[own, at % BLOCK] = np.sign(ratio) * np.maximum(0, np.abs(ratio) - errors / np.sqrt(expected + smoothing))
+        return pd.DataFrame({"block": [int(at[0]) // BLOCK], "ratios": [block.tobytes()]})
+
+    for row in counts.groupBy(F.floor(F.col("bucket") / BLOCK)).applyInPandas(run, "block long, ratios binary").toLocalIterator():
+        width = min(BLOCK, 2 * buckets)
+        out[:, row["block"] * BLOCK : row["block"] * BLOCK + width] = np.frombuffer(row["ratios"], np.float16).reshape(2, BLOCK)[:, :width]
     return out
 
 
