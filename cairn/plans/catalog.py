@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from cairn.plans import measures, points, records, scenes
+from cairn.plans.registry import QUERIES, SQL
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+__all__ = ["flagship", "measures", "oracle_sql", "points", "queries", "records", "scenes"]
+
+flagship = scenes.flagship
 
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(SQL)
