@@ -205,7 +205,7 @@ def matrices(spark: SparkSession, path: str, rows: int = 4) -> DataFrame:
     """file, m (array of numbers, row by row) of text files of one matrix each; those with other than finite numbers, or of
     another size, go."""
     text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split(F.trim("value"), r"\s+").alias("w"))
-    number = F.transform("w", lambda v: v.try_cast("double"))
+    number = F.transform("w", lambda v: F.when(F.lower(v).rlike("^[+-]?[0-9.]+(e[+-]?[0-9]+)?$"), v.try_cast("double")))
     good = (F.size("w") == rows * rows) & F.forall("m", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     return text.withColumn("m", number).where(good).select("file", "m")
 
