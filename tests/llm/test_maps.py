@@ -1,0 +1,158 @@
+"""Operators that decide row by row: BPE (8), secrets (10), licences (4), languages (2)."""
+
+import collections
+import hashlib
+import math
+import random
+import re
+
+import numpy as np
+import public_tokenizers as P
+import pytest
+import tiktoken
+
+from cairn.llm import bpe, language, licenses, secrets
+from tests.llm.conftest import ODD
+
+RANKS = P.path("byte_bpe_multi_50k.tiktoken")
+PIECES = "a b\n\t  '12é 　\x1c\x85​漢𝟘Ⅷ'sll!?\r Zz"
+
+
+@pytest.fixture(scope="module")
+def plain():
+    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
+
+
+@pytest.mark.parametrize("chunk,overlap", [(1 << 16, 1 << 10), (64, 12), (16, 2), (7, 1)])
+def test_bpe_is_the_library_encoding(plain, chunk, overlap):
+    codec = bpe.Codec(RANKS, P.PATTERN, chunk, overlap)
+    rng = random.Random(chunk)
+    for _ in range(400):
+        text = "".join(rng.choice(PIECES) for _ in range(rng.randint(0, 300)))
+        ids = np.frombuffer(codec.encode(text), "<u4").tolist()
+        assert ids == plain.encode_ordinary(text)
+        assert codec.decode(codec.encode(text)) == text.encode()
+
+
+def test_bpe_of_long_runs(plain):
+    codec = bpe.Codec(RANKS, P.PATTERN, 64, 8)
+    for text in ("a" * 1000, " " * 1000, "\n" * 999 + "x", "é" * 500 + " " + "b" * 500, "ab " * 700, "<|endoftext|> x"):
+        assert np.frombuffer(codec.encode(text), "<u4").tolist() == plain.encode_ordinary(text)
+
+
+def test_bpe_table(spark, odd, none, plain):
+    got = bpe.encoded(odd, RANKS, P.PATTERN).collect()
+    assert len(got) == len(ODD)
+    for r, (i, text, *_) in zip(got, ODD, strict=True):
+        assert r.doc_id == i and list(r.ids) == plain.encode_ordinary(text or "") and bytes(r.decoded) == (text or "").encode() and r.n_tokens == len(r.ids)
+    digest = bpe.encoded(odd, RANKS, P.PATTERN, digest=True).collect()
+    assert digest[0].ids_sha256 == hashlib.sha256(np.array(got[0].ids, "<u4").tobytes()).hexdigest()
+    assert bpe.encoded(none, RANKS, P.PATTERN, digest=True).count() == 0
+
+
+def brute_secrets(text):
+    assign = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    out = [(m.start(), m.end(), 0) for m in assign.finditer(text) if len(m[2]) >= 8]
+    out += [(m.start(), m.end(), 1) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    out += [(m.start(), m.end(), 2) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    return sorted(out, key=lambda x: (x[0], x[2]))
+
+
+def test_secrets_base():
+    rng = random.Random(5)
+    parts = ["password", "PASSWD", "Secret", "token", "api_key", "apikey", "ſecret", " ", ":", "=", '"', "'", "abc", "0123456789abcdef", "f" * 40, "AKIA", "IOSFODNN7EXAMPLE", "é", ".", "-", "Z9", "\n"]
+    for _ in range(2000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 25)))
+        assert [s for s in secrets.spans(text) if s[2] < 3] == brute_secrets(text)
+
+
+def test_window_entropy():
+    def entropy(s):
+        return -sum(c / len(s) * math.log2(c / len(s)) for c in collections.Counter(s).values())
+
+    rng = random.Random(2)
+    for _ in range(300):
+        s = "".join(rng.choice("abcdefgh"[: rng.randint(1, 8)]) for _ in range(rng.randint(1, 60)))
+        n = min(20, len(s))
+        assert abs(secrets.window_entropy(s) - max(entropy(s[i : i + n]) for i in range(len(s) - n + 1))) < 1e-9
+
+
+def test_entropy_spans_and_allow_list():
+    key = "Zx8Qp2Lk9Vt4Rw7Ym3Nc"
+    assert secrets.joined(secrets.spans(f"see {key}+5Gh ok")) == "entropy:4:28"
+    for harmless in ("z" * 60, "antidisestablishmentarianism_again", "123e4567-e89b-42d3-a456-426614174000", "2024-01-01-2024-01-02-2024", "EXAMPLE" + key, "version_of_the_document_1234"):
+        assert secrets.spans(harmless) == [], harmless
+    assert secrets.redacted(f"a {key} b", secrets.spans(f"a {key} b")) == "a [REDACTED] b"
+    assert secrets.spans("漢字 token=abcdefgh12") == [(3, 19, 0)]
+
+
+def test_secrets_table(spark, odd, none):
+    got = secrets.scanned(odd).collect()
+    assert [r.doc_id for r in got] == [x[0] for x in ODD]
+    assert all(r.spans == "" and r.base_sha256 == hashlib.sha256(b"").hexdigest() for r in got) and got[2].redacted is None and got[3].redacted == ""
+    assert secrets.scanned(none).count() == 0
+
+
+def brute_licence(text):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
+    places, labels = [], set()
+    for phrase, label in licenses.BASE:
+        want = phrase.split()
+        for i in range(len(words) - len(want) + 1):
+            if words[i : i + len(want)] == want:
+                places.append(i)
+                labels.add(label)
+    return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels))
+
+
+def test_licences_base():
+    rng = random.Random(9)
+    parts = ["CC", "by", "BY-NC", "General", "Public", "License", "all", "Rights", "reserved", "é", "İ", "x1", "4.0", " ", " ", " ", "-", "\n"]
+    for _ in range(1500):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 40)))
+        assert licenses.scan(text)[:5] == brute_licence(text)
+
+
+def test_licence_rules():
+    assert 200 < len(licenses.rules()) < 1000
+    labels = lambda t: licenses.scan(t)[5].split(",")
+    assert labels("Licensed under the Apache License, Version 2.0") == ["apache-2.0"]
+    assert labels("GNU General Public License, version 3 or any later version.") == ["gpl", "gpl-3.0-or-later"]
+    assert labels("CC BY-NC-SA 4.0") == ["cc-by", "cc-by-nc-sa-4.0"]
+    assert labels("Released under the MIT License.") == ["mit"]
+    assert labels("mit der Lizenz und mehr") == [""]
+    # the rule that says more suppresses those inside it, and what doesn't lie inside stays
+    assert licenses.scan("the GNU Lesser General Public License version 2.1 and the BSD license")[7] == "lgpl-2.1:0:9,bsd:11:2"
+    assert 0 <= licenses.scan("all rights reserved")[6] <= 1
+
+
+def test_licence_table(spark, odd, none):
+    got = licenses.scanned(odd).collect()
+    assert [(r.n_words, r.n_base, r.first_word, r.base_labels, r.labels, r.score) for r in got][2] == (0, 0, None, "", "", 0.0)
+    assert [r.n_words for r in got] == [brute_licence(t or "")[0] for _, t, *_ in ODD]
+    assert licenses.scanned(none).count() == 0
+
+
+WORDS = {"en": "the and of to in is was for that with", "de": "der die und das ist nicht mit für auf ein", "fr": "le la les des est une pour dans que pas", "es": "el los las una que por con para del está"}
+
+
+def test_languages(spark):
+    rng = random.Random(1)
+    rows = [(i, " ".join(rng.choice(WORDS[lang].split()) for _ in range(30)), lang) for i in range(400) for lang in [list(WORDS)[i % 4]]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fitted(df.where("doc_id % 3 > 0"), sample=60)
+    assert set(model.families) == {"germanic", "romance"} and {f: len(p) for f, p in model.pairs.items()} == {"germanic": 1, "romance": 1}
+    got = language.identified(df, model, keep=("doc_id", "lang")).collect()
+    assert sum(r.lang == r.lang_pred for r in got) >= 396 and all(0 <= r.score <= 1 for r in got)
+    again = language.fitted(df.where("doc_id % 3 > 0").repartition(5), sample=60)
+    assert np.array_equal(model.family_w, again.family_w)
+
+
+def test_language_cases(spark, odd, none):
+    model = language.fitted(odd)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.identified(odd, model).collect()}
+    assert got[2] == got[3] == got[4] == ("und", 0.0) and got[5][0] in ("en", "de") and got[7][0] in ("en", "de", "fr")
+    nothing = language.fitted(none)
+    assert nothing is None and {r.lang_pred for r in language.identified(odd, nothing).collect()} == {"und"}
+    one = language.fitted(odd.where("lang = 'de'"))
+    assert {r.lang_pred for r in language.identified(odd.where("doc_id = 5"), one).collect()} == {"de"}
