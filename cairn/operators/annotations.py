@@ -70,3 +70,44 @@ def remapped(rows: DataFrame, mapping: DataFrame, column: str, source: str = "fr
     out = rows.join(mapping.select(F.col(source).alias("__from"), F.col(target).alias("__to")), F.col(column) == F.col("__from"), "left")
     value = F.col("__to") if default is None else F.coalesce("__to", F.lit(default))
     return out.withColumn(column, value).drop("__from", "__to")
+
+
+def any_uncrowded(rows: DataFrame, name: str = "annotations", flag: str = "iscrowd") -> DataFrame:
+    """Records with at least one annotation that isn't a crowd."""
+    return rows.where(F.exists(name, lambda a: F.coalesce(a[flag], F.lit(0)) == 0))
+
+
+def by_conditions(rows: DataFrame, videos: Sequence | None = None, categories: Sequence | None = None, area: tuple[float, float] | None = None, crowd: int | None = None) -> DataFrame:
+    """Annotations that meet all conditions given; the area's bounds are strict."""
+    for column, values in (("video_id", videos), ("category_id", categories)):
+        if values:
+            rows = rows.where(F.col(column).isin(*values))
+    if area is not None:
+        rows = rows.where((F.col("avg_area") > area[0]) & (F.col("avg_area") < area[1]))
+    return rows if crowd is None else rows.where(F.col("iscrowd") == crowd)
+
+
+def emptied_ids(rows: DataFrame, identity: str, width: str, height: str, area: str, least: float = 1e-5) -> DataFrame:
+    """The id of an instance with an empty box or mask becomes -1."""
+    empty = (F.col(width) <= least) | (F.col(height) <= least) | (F.col(area) <= 0)
+    return rows.withColumn(identity, F.when(empty, F.lit(-1)).otherwise(F.col(identity)))
+
+
+def run_area(runs: Column) -> Column:
+    """Pixels of a mask of runs (array of structs start, len)."""
+    return F.aggregate(runs, F.lit(0).cast("long"), lambda s, r: s + r["len"])
+
+
+def run_iou(left: DataFrame, right: DataFrame, by: Sequence[str], cell: int = 1024) -> DataFrame:
+    """Intersection over union of every left and right mask of the same ``by`` that meet. Both sides: by, id, runs (array of
+    start, len). Runs are dealt to the cells of the image that they cover, so masks meet by equi-join."""
+    def dealt(side: DataFrame, name: str) -> DataFrame:
+        one = side.select(*by, F.col("id").alias(name), F.explode("runs").alias("r")).select(*by, name, F.col("r.start").alias(f"{name}_s"), (F.col("r.start") + F.col("r.len")).alias(f"{name}_e"))
+        return one.where(F.col(f"{name}_e") > F.col(f"{name}_s")).withColumn("cell", F.explode(F.sequence(F.floor(F.col(f"{name}_s") / cell), F.floor((F.col(f"{name}_e") - 1) / cell))))
+
+    lo, hi = F.greatest("l_s", "g_s", F.col("cell") * cell), F.least("l_e", "g_e", (F.col("cell") + 1) * cell)
+    both = dealt(left, "l").join(dealt(right, "g"), [*by, "cell"]).withColumn("n", F.greatest(hi - lo, F.lit(0)))
+    inter = both.groupBy(*by, F.col("l").alias("left"), F.col("g").alias("right")).agg(F.sum("n").alias("inter")).where("inter > 0")
+    for name, side in (("left", left), ("right", right)):
+        inter = inter.join(side.select(*by, F.col("id").alias(name), run_area(F.col("runs")).alias(f"{name}_area")), [*by, name])
+    return inter.select(*by, "left", "right", (F.col("inter") / (F.col("left_area") + F.col("right_area") - F.col("inter"))).alias("iou"))

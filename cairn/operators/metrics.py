@@ -129,3 +129,39 @@ def latency(rows: DataFrame, by: str, value: str) -> DataFrame:
     placed = counts.withColumn("until", F.sum("k").over(up.rowsBetween(W.unboundedPreceding, 0))).withColumn("n", F.sum("k").over(W.partitionBy(by)))
     at = lambda rank: F.min(F.when(F.col("until") > rank, F.col(value)))
     return placed.groupBy(by).agg(F.max("n").alias("n"), (F.sum(F.col(value) * F.col("k")) / F.max("n")).alias("mean"), at(F.floor(F.col("n") / 2)).alias("p50"), at(F.rint((F.col("n") - 1) * 0.95)).alias("p95"))
+
+
+def image_miou(pairs: DataFrame, image: str = "image", truth: str = "gt", predicted: str = "pred", ignore: int = 0) -> DataFrame:
+    """Mean IoU of each image over the classes with a union, the ignored class left out; 0 where there is none."""
+    n = pairs.groupBy(image, F.col(truth).alias("g"), F.col(predicted).alias("p")).agg(F.count("*").alias("n"))
+    one = n.select(image, "n", "g", "p", F.explode(F.array_distinct(F.array("g", "p"))).alias("c")).where(F.col("c") != ignore)
+    iou = one.groupBy(image, "c").agg((F.sum(F.when((F.col("g") == F.col("c")) & (F.col("p") == F.col("c")), F.col("n")).otherwise(0)) / F.sum("n")).alias("iou"))
+    return pairs.select(image).distinct().join(iou.groupBy(image).agg(F.avg("iou").alias("miou")), image, "left").select(image, F.coalesce("miou", F.lit(0.0)).alias("miou"))
+
+
+def tries(results: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """Mean and sample deviation of each measure over several tries."""
+    return results.agg(*(F.avg(n).alias(f"{n}_mean") for n in names), *(F.stddev_samp(n).alias(f"{n}_std") for n in names))
+
+
+def best_of(results: DataFrame, by: str, value: str, name: str, larger: bool = True) -> DataFrame:
+    """For each ``by`` the name with the best value, ties to the first name."""
+    return results.where(F.col(value).isNotNull()).groupBy(by).agg(F.min_by(F.struct(name, value), F.struct(-F.col(value) if larger else F.col(value), F.col(name))).alias("b")).select(by, f"b.{name}", f"b.{value}")
+
+
+def dice_loss(pairs: DataFrame, by: tuple[str, ...], logit: str = "logit", target: str = "target") -> DataFrame:
+    """1 - (2 sum p t + 1) / (sum p + sum t + 1) of each group, with p the logistic of the logit."""
+    p = 1 / (1 + F.exp(-F.col(logit)))
+    return pairs.groupBy(*by).agg((1 - (2 * F.sum(p * F.col(target)) + 1) / (F.sum(p) + F.sum(target) + 1)).alias("dice_loss"))
+
+
+def logistic_loss(pairs: DataFrame, by: tuple[str, ...], logit: str = "logit", target: str = "target") -> DataFrame:
+    """Mean cross entropy of logits against targets of each group, in the form that doesn't overflow."""
+    x = F.col(logit)
+    return pairs.groupBy(*by).agg(F.avg(F.greatest(x, F.lit(0.0)) - x * F.col(target) + F.log1p(F.exp(-F.abs(x)))).alias("bce"))
+
+
+def macro_recall(counts: DataFrame) -> DataFrame:
+    """One row from a confusion table: micro and macro accuracy."""
+    per = counts.groupBy("gt").agg((F.sum(F.when(F.col("gt") == F.col("pred"), F.col("n")).otherwise(0)) / F.sum("n")).alias("r"), F.sum("n").alias("n"))
+    return per.agg((F.sum(F.col("r") * F.col("n")) / F.sum("n")).alias("micro"), F.avg("r").alias("macro"))

@@ -63,3 +63,30 @@ def batches(rows: DataFrame, key: str, seed: int, size: int, drop_last: bool = T
         n = out.agg(F.count("*").alias("all"))
         out = out.join(F.broadcast(n)).where(F.col("batch") < F.floor(F.col("all") / size)).drop("all")
     return out.drop("place")
+
+
+def clip_frames(frames: DataFrame, reach: int, n: int, seed: int, video: str = "video_id", frame: str = "frame") -> DataFrame:
+    """For each video a reference frame and n frames within ``reach`` of it (with replacement), in order: video, slot, frame. Which
+    ones is decided by hashes of the video and the slot; a video's length is all that is read of it."""
+    length = frames.groupBy(video).agg(F.max(frame).alias("__last"))
+    draw = lambda what, size: (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(video).cast("string"), F.lit(":"), what)), 1, 8), 16, 10).cast("long") % size)
+    ref = draw(F.lit("ref"), F.col("__last") + 1)
+    one = length.withColumn("__ref", ref).withColumn("__lo", F.greatest(F.lit(0), F.col("__ref") - reach)).withColumn("__hi", F.least(F.col("__last"), F.col("__ref") + reach))
+    slots = one.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    picked = slots.withColumn(frame, F.when(F.col("__s") == 0, F.col("__ref")).otherwise(F.col("__lo") + draw(F.col("__s").cast("string"), F.col("__hi") - F.col("__lo") + 1)))
+    order = W.partitionBy(video).orderBy(frame, "__s")
+    return picked.select(video, (F.row_number().over(order) - 1).alias("slot"), frame)
+
+
+def mixed(sources: list[tuple[DataFrame, float]], key: str, seed: int) -> DataFrame:
+    """Rows of several sources in one order, drawn by their weights until one source is used up: source, place.
+
+    Row i of a source comes at i / weight (plus a hash below one step), so up to any place the sources stand in proportion to
+    their weights; what comes after the first source's end is dropped."""
+    out, ends = None, []
+    for i, (rows, weight) in enumerate(sources):
+        own = placed(rows.select(key), key, seed + i)
+        part = own.select(F.lit(i).alias("source"), key, ((F.col("place") + F.conv(F.substring(shuffle_key(seed + i, key), 1, 8), 16, 10).cast("double") / 4294967296) / weight).alias("at"))
+        ends.append(part.agg(F.max("at")).first()[0] or 0.0)
+        out = part if out is None else out.unionByName(part)
+    return out.where(F.col("at") <= min(ends))

@@ -162,3 +162,38 @@ def m15_koleo(spark, d):
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     unit = e.withColumn("embedding", F.transform("embedding", lambda x: x.cast("double") / norm))
     return _rounded(knn.nearest_entropy(knn.top_k(unit, unit, 1)), 6, "koleo")
+
+
+@query(ctes(p="SELECT o_orderkey % 50 AS image, CAST(substring(o_orderpriority, 1, 1) AS INT) - 1 AS gt, CAST(o_custkey % 5 AS INT) AS pred FROM orders", n="SELECT image, gt, pred, count(*) AS n FROM p GROUP BY 1, 2, 3", c="SELECT * FROM (VALUES (1), (2), (3), (4)) t(c)", i="SELECT image, c, sum(CASE WHEN gt = c AND pred = c THEN n ELSE 0 END) / sum(n) AS iou FROM n JOIN c ON gt = c OR pred = c GROUP BY 1, 2") + " SELECT image, round(avg(iou), 8) AS miou FROM i GROUP BY 1")
+def m03_image_miou(spark, d):
+    return _rounded(metrics.image_miou(view(spark, d, PAIR)), 8, "miou")
+
+
+@query(ctes(p=PAIR, c="SELECT gt, count(*) AS n, sum(CASE WHEN gt = pred THEN 1 ELSE 0 END) AS t FROM p GROUP BY 1") + " SELECT round(sum(t) / sum(n), 8) AS micro, round(avg(t / n), 8) AS macro FROM c")
+def m06_micro_macro(spark, d):
+    return _rounded(metrics.macro_recall(metrics.confusion(view(spark, d, PAIR))), 8, "micro", "macro")
+
+
+_LOGIT = "SELECT l_suppkey AS g, l_discount * 40 - 2 AS logit, CASE WHEN l_quantity > 25 THEN 1.0D ELSE 0.0D END AS target FROM lineitem"
+_LOGIT_SQL = _LOGIT.replace("1.0D", "CAST(1 AS DOUBLE)").replace("0.0D", "CAST(0 AS DOUBLE)")
+
+
+@query(ctes(l=_LOGIT_SQL) + " SELECT g, round(1 - (2 * sum(target / (1 + exp(-logit))) + 1) / (sum(1 / (1 + exp(-logit))) + sum(target) + 1), 8) AS dice_loss FROM l GROUP BY 1")
+def x24_dice_loss(spark, d):
+    return _rounded(metrics.dice_loss(view(spark, d, _LOGIT), ("g",)), 8, "dice_loss")
+
+
+@query(ctes(l=_LOGIT_SQL) + " SELECT g, round(avg(greatest(logit, 0) - logit * target + ln(1 + exp(-abs(logit)))), 8) AS bce FROM l GROUP BY 1")
+def x29_logistic_loss(spark, d):
+    return _rounded(metrics.logistic_loss(view(spark, d, _LOGIT), ("g",)), 8, "bce")
+
+
+@query("SELECT event_type, arg_min(user_id, (-m, user_id)) AS user_id, max(m) AS value FROM (SELECT event_type, user_id, max(value) AS m FROM events GROUP BY 1, 2) GROUP BY 1")
+def m18_best(spark, d):
+    best = table(spark, d, "events").groupBy("event_type", "user_id").agg(F.max("value").alias("value"))
+    return metrics.best_of(best, "event_type", "value", "user_id").select("event_type", "user_id", "value")
+
+
+@query("SELECT round(avg(value), 6) AS value_mean, round(stddev_samp(value), 6) AS value_std FROM events")
+def a19_tries(spark, d):
+    return _rounded(metrics.tries(table(spark, d, "events"), ("value",)), 6, "value_mean", "value_std")
