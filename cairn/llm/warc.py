@@ -1,14 +1,18 @@
 """WARC archives as a Spark data source, written with payload deduplication and read with pushed-down header predicates (operator 9).
 
 Writing: each task writes files of bounded size, one record a row; a record that repeats a payload is a revisit without one.
-Reading plans one partition for each file. Predicates on record type, target address, record id, date and payload digest are
-pushed down and tested on the parsed headers; the payload of a record that fails, or whose payload isn't asked for, is
-stepped over without being read.
+A record is two gzip members, its headers and its payload, each with its compressed and plain length in an extra field of the
+member's header; any reader of .warc.gz reads them as one stream.
+Reading plans one partition for each file (.warc.gz or .warc). Predicates on record type, target address, record id, date and
+payload digest are pushed down and tested on the parsed headers; the payload of a record that fails, or whose payload isn't
+asked for, is stepped over without being read or decoded, by the lengths (without them, members are decoded to find their end).
 """
 
 from __future__ import annotations
 
+import struct
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -77,7 +81,7 @@ class WarcReader(DataSourceReader):
         fs, root = _place(self.path)
         if fs.get_file_info(root).type == pafs.FileType.NotFound:
             return []
-        files = [f for f in fs.get_file_info(pafs.FileSelector(root, recursive=True)) if f.is_file and f.path.endswith(".warc")]
+        files = [f for f in fs.get_file_info(pafs.FileSelector(root, recursive=True)) if f.is_file and f.path.endswith((".warc", ".warc.gz"))]
         return [Piece(f.path, f.size) for f in sorted(files, key=lambda f: f.path)]
 
     def _wanted(self, row: dict) -> bool:
@@ -96,7 +100,8 @@ class WarcReader(DataSourceReader):
         schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in SCHEMA.split(", ")])
         rows, held = [], 0
         with fs.open_input_file(partition.path) as f:
-            for row, size in records(f, partition.size, self._wanted, self.payload):
+            parse = members if partition.path.endswith(".gz") else records
+            for row, size in parse(f, partition.size, self._wanted, self.payload):
                 rows.append(row)
                 held += size
                 if held >= READ_BYTES or len(rows) >= 4096:
@@ -124,10 +129,13 @@ class _Window:
         return self.data[start - self.at : found + len(mark)]
 
     def exactly(self, start: int, n: int) -> bytes:
-        if self.at <= start and start + n <= self.at + len(self.data):
-            return self.data[start - self.at : start - self.at + n]
-        self.f.seek(start)
-        return self.f.read(n)
+        """n bytes from start, fewer at the end of the file."""
+        if not (self.at <= start and start + n <= self.at + len(self.data)):
+            self.f.seek(start)
+            if n > self.block:
+                return self.f.read(n)
+            self.at, self.data = start, self.f.read(min(self.block, self.size - start))
+        return self.data[start - self.at : start - self.at + n]
 
     def seek(self, start: int) -> None:
         if not self.at <= start < self.at + len(self.data):
@@ -136,43 +144,117 @@ class _Window:
             self.data, self.at = self.data[start - self.at :], start
 
 
+def _fields(head: bytes) -> dict[str, str]:
+    out = {}
+    for line in head.split(b"\r\n")[1:]:
+        name, _, value = line.partition(b":")
+        out[name.strip().lower().decode("ascii", "replace")] = value.strip().decode("utf-8", "replace")
+    return out
+
+
+def _row(fields: dict[str, str]) -> dict:
+    return {column: fields.get(name) for column, name in _HEADERS.items()} | {"content_length": int(fields["content-length"]), "http_length": None, "payload": None}
+
+
+def _http_length(http: bytes) -> int | None:
+    return next((int(line[15:]) for line in http.split(b"\r\n") if line[:15].lower() == b"content-length:"), None)
+
+
 def records(f, size: int, wanted, payload: bool):
-    """(row, bytes held) of the records that ``wanted`` keeps, headers first."""
+    """(row, bytes held) of the records that ``wanted`` keeps, headers first; f is a plain WARC file."""
     window, at = _Window(f, size), 0
     while at < size:
         head = window.until(b"\r\n\r\n", at)
-        fields = {}
-        for line in head[:-4].split(b"\r\n")[1:]:
-            name, _, value = line.partition(b":")
-            fields[name.strip().lower().decode("ascii", "replace")] = value.strip().decode("utf-8", "replace")
-        length = int(fields["content-length"])
-        body = at + len(head)
+        fields = _fields(head[:-4])
+        row = _row(fields)
+        body, length = at + len(head), row["content_length"]
         at = body + length + 4
-        row = {column: fields.get(name) for column, name in _HEADERS.items()} | {"content_length": length, "http_length": None, "payload": None}
         if not wanted(row):
             continue
         http = window.until(b"\r\n\r\n", body) if fields.get("content-type", "").startswith("application/http") else b""
-        for line in http.split(b"\r\n"):
-            if line[:15].lower() == b"content-length:":
-                row["http_length"] = int(line[15:])
+        row["http_length"] = _http_length(http)
         if payload and row["record_type"] != "revisit":
             row["payload"] = window.exactly(body + len(http), length - len(http))
         yield row, len(row["payload"] or b"") + 400
 
 
+_GZIP = struct.Struct("<4sIBBHccHII")
+
+
+def gzip_member(data: bytes, level: int = 3) -> bytes:
+    """One gzip member with its compressed and plain lengths in the extra field SL."""
+    packer = zlib.compressobj(level, zlib.DEFLATED, -15)
+    body = packer.compress(data) + packer.flush()
+    total = _GZIP.size + len(body) + 8
+    return _GZIP.pack(b"\x1f\x8b\x08\x04", 0, 0, 255, 12, b"S", b"L", 8, total, len(data)) + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
+
+
+def _lengths(window: _Window, at: int) -> tuple[int, int] | None:
+    """(compressed, plain) lengths that the member at this place says of itself."""
+    head = window.exactly(at, _GZIP.size)
+    if len(head) == _GZIP.size and head[:4] == b"\x1f\x8b\x08\x04" and head[10:16] == b"\x0c\x00SL\x08\x00":
+        return struct.unpack("<II", head[16:24])
+    return None
+
+
+def _member(window: _Window, at: int) -> tuple[bytes, int]:
+    """The plain bytes of the member at this place, and the next member's place."""
+    known = _lengths(window, at)
+    if known:
+        return zlib.decompress(window.exactly(at, known[0]), 31), at + known[0]
+    out, unpacker = [], zlib.decompressobj(31)
+    while not unpacker.eof:
+        some = window.exactly(at, window.block)
+        if not some:
+            raise ValueError("a gzip member has no end")
+        out.append(unpacker.decompress(some))
+        at += len(some) - len(unpacker.unused_data)
+    return b"".join(out), at
+
+
+def members(f, size: int, wanted, payload: bool):
+    """As records, of a WARC file of gzip members: a record begins with a member and may go on in more."""
+    window, at = _Window(f, size), 0
+    while at < size:
+        data, at = _member(window, at)
+        end = data.index(b"\r\n\r\n") + 4
+        fields = _fields(data[: end - 4])
+        row = _row(fields)
+        rest, parts = row["content_length"] + 4 - (len(data) - end), []
+        while rest > 0 and at < size:
+            known = _lengths(window, at)
+            if known:
+                parts.append(at)
+                rest, at = rest - known[1], at + known[0]
+            else:
+                plain, at = _member(window, at)
+                parts.append(plain)
+                rest -= len(plain)
+        if not wanted(row):
+            continue
+        take = payload and row["record_type"] != "revisit"
+        block = data[end:] + b"".join(p if isinstance(p, bytes) else _member(window, p)[0] for p in (parts if take else ()))
+        http = block.index(b"\r\n\r\n") + 4 if fields.get("content-type", "").startswith("application/http") else 0
+        row["http_length"] = _http_length(block[:http])
+        if take:
+            row["payload"] = block[http : row["content_length"]]
+        yield row, len(row["payload"] or b"") + 400
+
+
 def record(row: dict) -> bytes:
-    """A record of WARC 1.1 with an HTTP response as its block; a revisit has the response's header alone."""
+    """A record of WARC 1.1, packed, with an HTTP response as its block; a revisit has the response's header alone."""
     revisit = row["record_type"] == "revisit"
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % row["http_length"]
-    block = http if revisit else http + (row["payload"] or b"")
+    payload = b"" if revisit else row["payload"] or b""
     clean = lambda v: str(v).replace("\r", "%0D").replace("\n", "%0A")
     head = [
         "WARC/1.1", f"WARC-Type: {row['record_type']}", f"WARC-Record-ID: {row['record_id']}", f"WARC-Date: {row['date']}", f"WARC-Payload-Digest: {row['payload_digest']}",
         *([f"WARC-Target-URI: {clean(row['target_uri'])}"] if row["target_uri"] is not None else []),
         *([f"WARC-Refers-To: {row['refers_to']}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"] if revisit else []),
-        "Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}",
+        "Content-Type: application/http;msgtype=response", f"Content-Length: {len(http) + len(payload)}",
     ]
-    return "\r\n".join(head).encode("utf-8", "replace") + b"\r\n\r\n" + block + b"\r\n\r\n"
+    first = "\r\n".join(head).encode("utf-8", "replace") + b"\r\n\r\n" + http
+    return gzip_member(first) + gzip_member(payload + b"\r\n\r\n") if payload else gzip_member(first + b"\r\n\r\n")
 
 
 class Written(WriterCommitMessage):
@@ -196,7 +278,7 @@ class WarcWriter(DataSourceArrowWriter):
                     if out is None or out.tell() >= FILE_BYTES:
                         if out is not None:
                             out.close()
-                        files.append(f"{root}/.part-{uuid.uuid4().hex}.warc.tmp")
+                        files.append(f"{root}/.part-{uuid.uuid4().hex}.warc.gz.tmp")
                         out = fs.open_output_stream(files[-1])
                     out.write(record(row))
         finally:
