@@ -22,6 +22,8 @@ from cairn.llm.shared import blocked, saved
 SAMPLE, LEAF, DEEPEST = 1 << 15, 4096, 12
 #: Rows of a task at most, at home and as guests.
 HOME_ROWS, GUEST_ROWS = 1 << 15, 1 << 18
+#: Rows that first join what is close to them, and guests of one group in one cell that are compared with other groups only.
+PIVOTS, CROWD = 16, 64
 
 
 class Tree(NamedTuple):
@@ -99,8 +101,9 @@ def unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def linked(home: np.ndarray, guest: np.ndarray, radius: int, cells: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
     """Links (a, b) that join the same groups as all pairs of a home and a guest within the radius: a spanning forest.
 
-    Both sides are uint64 arrays of shape (n, words), without repeats. Two vantage points taken from the home rows prune: only
-    cells of (first, second distance) within the radius of a guest's are compared.
+    Both sides are uint64 arrays of shape (n, words), without repeats. A few pivots first join what is close to them, so a crowd
+    of near copies is one group after one pass. Then two vantage points taken from the home rows prune: only cells of (first,
+    second distance) within the radius of a guest's are compared, and no guest with what its group has already.
     """
     both = np.concatenate((home, guest))
     nodes, inverse = np.unique(both, axis=0, return_inverse=True)
@@ -109,13 +112,16 @@ def linked(home: np.ndarray, guest: np.ndarray, radius: int, cells: int = 1 << 2
     if not len(home) or not len(guest):
         return nodes[:0], nodes[:0]
 
-    def far(v):
-        return np.bitwise_count(home ^ v).sum(axis=1, dtype=np.int64)
+    def apart(rows: np.ndarray, v: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(rows ^ v).sum(axis=1, dtype=np.int64)
 
+    for p in range(0, len(home), max(1, len(home) // PIVOTS)):
+        near = np.flatnonzero(apart(guest, home[p]) <= radius)
+        parent = unite(parent, np.full(len(near), at_home[p]), at_guest[near])
     first = home[0]
-    second = home[np.argmin(np.abs(far(first) - 32 * home.shape[1]))]
-    h1, h2 = far(first), far(second)
-    g1, g2 = (np.bitwise_count(guest ^ v).sum(axis=1, dtype=np.int64) for v in (first, second))
+    h1 = apart(home, first)
+    second = home[np.argmin(np.abs(h1 - 32 * home.shape[1]))]
+    h2, g1, g2 = apart(home, second), apart(guest, first), apart(guest, second)
     width = 64 * home.shape[1] + 1
     order = np.lexsort((h2, h1))
     key = (h1 * width + h2)[order]
@@ -132,18 +138,24 @@ def linked(home: np.ndarray, guest: np.ndarray, radius: int, cells: int = 1 << 2
         if not found:
             continue
         near = np.concatenate(found)
-        step = max(1, cells // len(near))
-        for k in range(0, len(guests), step):
-            some = guests[k : k + step]
-            d = np.bitwise_count(guest[some, 0][:, None] ^ home[near, 0][None, :])
-            for w in range(1, home.shape[1]):
-                d = d + np.bitwise_count(guest[some, w][:, None] ^ home[near, w][None, :])
-            i, j = np.nonzero(d <= radius)
-            a, b = at_guest[some[i]], at_home[near[j]]
-            apart = parent[a] != parent[b]
-            if apart.any():
-                parent = unite(parent, a[apart], b[apart])
-    parent = roots(parent)
+        own = parent[at_guest[guests]]
+        crowds, sizes = np.unique(own, return_counts=True)
+        crowds = crowds[sizes >= CROWD]
+        parts = [(guests[own == c], near[parent[at_home[near]] != c]) for c in crowds]
+        for some, others in [*parts, (guests[~np.isin(own, crowds)], near)]:
+            if not len(others):
+                continue
+            step = max(1, cells // len(others))
+            for k in range(0, len(some), step):
+                part = some[k : k + step]
+                d = np.bitwise_count(guest[part, 0][:, None] ^ home[others, 0][None, :])
+                for w in range(1, home.shape[1]):
+                    d = d + np.bitwise_count(guest[part, w][:, None] ^ home[others, w][None, :])
+                i, j = np.nonzero(d <= radius)
+                a, b = at_guest[part[i]], at_home[others[j]]
+                fresh = parent[a] != parent[b]
+                if fresh.any():
+                    parent = unite(parent, a[fresh], b[fresh])
     moved = np.flatnonzero(parent != np.arange(len(parent)))
     return nodes[moved], nodes[parent[moved]]
 

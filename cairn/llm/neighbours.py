@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from cairn.llm.shared import blocked, saved
 
 #: Tables, and axes that a query probes in each.
-TABLES, PROBES = 16, 8
+TABLES, PROBES = 8, 10
 #: Candidates and queries of a task at most.
 CANDIDATES, QUERIES = 1 << 14, 1 << 12
 
@@ -68,7 +68,7 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _coded(rows: DataFrame, tables: int, probes: int) -> DataFrame:
     """id, v, dim and a row for each table and probed axis: bucket (table * 2**24 + axis)."""
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("v", T.ArrayType(T.DoubleType())), T.StructField("dim", T.IntegerType()), T.StructField("buckets", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([T.StructField("id", T.LongType()), rows.schema["v"], T.StructField("dim", T.IntegerType()), T.StructField("buckets", T.ArrayType(T.IntegerType()))])
 
     def run(batches):
         for batch in batches:
@@ -87,8 +87,11 @@ def _coded(rows: DataFrame, tables: int, probes: int) -> DataFrame:
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """id, v (array<double>), dim of the rows that can be compared; of several rows of one id, that with the least vector."""
-    rows = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[vector_col].cast(T.ArrayType(T.DoubleType())).alias("v"))
+    """id, v (array<float> as it is, others as array<double>), dim of the rows that can be compared; of several rows of one id,
+    that with the least vector."""
+    kind = vectors.schema[vector_col].dataType
+    kind = kind if isinstance(kind.elementType, T.FloatType) else T.ArrayType(T.DoubleType())
+    rows = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[vector_col].cast(kind).alias("v"))
     rows = rows.where("id is not null and v is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x <> 0)")
     return rows.groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
 

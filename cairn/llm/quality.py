@@ -247,6 +247,9 @@ def resampled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
 def filtered(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs that ``resampled`` keeps, with all their columns; decided where they are read, without a shuffle."""
     sampler, _ = fitted(docs, labels, id_col, text_col, **options)
-    rows = _flagged(docs.withColumn("__of", F.col(id_col)), sampler.sample, "__of")
-    weighed = weighted(rows, sampler.ratios, [*docs.columns, "__of"], text_col)
-    return _decided(weighed, sampler.temperature, sampler.least, "__of").where("kept").select(*docs.columns)
+    # names of our own for all columns, so that none can clash
+    names = [f"__c{i}" for i in range(len(docs.columns))]
+    own_id, own_text = (names[docs.columns.index(c)] for c in (id_col, text_col))
+    rows = _flagged(docs.toDF(*names), sampler.sample, own_id)
+    weighed = weighted(rows, sampler.ratios, names, own_text)
+    return _decided(weighed, sampler.temperature, sampler.least, own_id).where("kept").select(*names).toDF(*docs.columns)

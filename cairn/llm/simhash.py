@@ -102,7 +102,7 @@ def sketched(docs: DataFrame, words: int, shards: int, text_col: str = "text") -
 
 
 #: Rows of a shard that are compared in bulk with those of many other shards, and rows of such a bulk.
-FEW, BULK = 64, 1 << 16
+FEW, BULK = 64, 1 << 13
 
 
 def shard_links(dealt: DataFrame, radius: int) -> DataFrame:

@@ -96,3 +96,44 @@ def optimal(costs: DataFrame, group: str, row: str = "row", column: str = "colum
         return pd.DataFrame({group: [pdf[group].iloc[0]] * len(pairs), row: [table.index[r] for r, _ in pairs], column: [table.columns[c] for _, c in pairs], cost: [float(table.iat[r, c]) for r, c in pairs]})
 
     return costs.groupBy(group).applyInPandas(run, schema)
+
+
+def detections_matched(pairs: DataFrame, detections: DataFrame, truths: DataFrame, by: tuple[str, ...], thresholds: tuple[float, ...] = (0.5,), most: int = 100) -> DataFrame:
+    """For each threshold, every detection (by, id, score) with the truth it takes, or null, and whether it is ignored.
+
+    Detections go by falling score (ties to the smaller id, ``most`` a group); each takes the free truth of the largest IoU at or
+    over the threshold. Truths with ignore = 1 come last, may be taken more than once, and make their detection ignored.
+    pairs: by, id, truth, iou; truths: by, truth, ignore. A group is one video's or image's detections of a category."""
+    kind = detections.schema
+    keys = ", ".join(f"{c} {kind[c].dataType.simpleString()}" for c in by)
+    schema = f"{keys}, threshold double, id {kind['id'].dataType.simpleString()}, score double, truth {truths.schema['truth'].dataType.simpleString()}, ignored boolean"
+    order = W.partitionBy(*by).orderBy(F.col("score").desc(), "id")
+    some = detections.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+    known = pairs.join(truths.select(*by, "truth", "ignore"), [*by, "truth"])
+    rows = some.select(*by, "id", "score", "place").join(known, [*by, "id"], "left")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, out = pdf.sort_values(["place", "truth"]), []
+        group = [pdf[c].iloc[0] for c in by]
+        for t in thresholds:
+            taken: set = set()
+            for (_, i, score), own in pdf.groupby(["place", "id", "score"], sort=True):
+                free = own[own["truth"].notna() & (own["iou"] >= t) & ((own["ignore"] == 1) | ~own["truth"].isin(taken))]
+                free = free.sort_values(["ignore", "iou", "truth"], ascending=[True, False, True])
+                hit = free.iloc[0] if len(free) else None
+                if hit is not None:
+                    taken.add(hit["truth"])
+                out.append([*group, t, i, score, None if hit is None else hit["truth"], hit is not None and hit["ignore"] == 1])
+        return pd.DataFrame(out, columns=[*by, "threshold", "id", "score", "truth", "ignored"])
+
+    return rows.groupBy(*by).applyInPandas(run, schema)
+
+
+def paired_by_name(left: DataFrame, right: DataFrame, suffix_left: str = "", suffix_right: str = "", path: str = "path") -> DataFrame:
+    """Files of both sides with the same stem once their suffixes are taken off: stem, left, right."""
+    def stems(df: DataFrame, suffix: str, name: str) -> DataFrame:
+        stem = F.regexp_extract(path, r"([^/]+?)(\.[^./]*)?$", 1)
+        kept = df.withColumn("stem", stem).where(F.col("stem").endswith(suffix)) if suffix else df.withColumn("stem", stem)
+        return kept.select(F.expr(f"left(stem, length(stem) - {len(suffix)})").alias("stem"), F.col(path).alias(name))
+
+    return stems(left, suffix_left, "left").join(stems(right, suffix_right, "right"), "stem")

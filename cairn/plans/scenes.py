@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cairn.functions.labels import normalised_label, safe_name
-from cairn.operators import matching, scene, spatial, votes
+from cairn.operators import fusion, matching, scene, spatial, votes
 from cairn.operators.components import connected
 from cairn.plans.registry import query
-from cairn.plans.views import BOX, EVENT, NODE_OF_POINT, OBS, POINT, ctes, table, view
+from cairn.plans.views import BOX, EVENT, NODE_OF_POINT, OBS, PALETTE, POINT, RGB, ctes, table, view
 
 _SUPPORTS = ("Brand#1", "Brand#2", "Brand#11", "Brand#12", "Brand#21", "Brand#22", "Brand#31", "Brand#32")
 _FLOORS = ("Brand#11", "Brand#12")
@@ -162,3 +162,39 @@ def a11_near_threshold(spark, d):
 @query(ctes(p=POINT) + " SELECT label, count(*) >= 4 AS enough, count(*) AS n FROM p GROUP BY 1")
 def a12_label_counts(spark, d):
     return spatial.planarity(view(spark, d, POINT)).select("label", (F.col("n") >= 4).alias("enough"), "n")
+
+
+_GOBS = "SELECT l_suppkey AS gid, l_partkey AS pid, CAST(l_partkey % 13 AS DOUBLE) AS x, CAST(l_suppkey % 11 AS DOUBLE) AS y, CAST(l_suppkey % 7 AS DOUBLE) AS z FROM lineitem WHERE l_quantity >= 48"
+_GCTE = ctes(o=_GOBS, c="SELECT gid, count(*) AS points, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz FROM (SELECT DISTINCT gid, pid, x, y, z FROM o) GROUP BY 1", e="SELECT DISTINCT p.gid AS a, q.gid AS b FROM o p JOIN o q ON p.pid = q.pid AND p.gid <> q.gid JOIN c s ON s.gid = p.gid JOIN c t ON t.gid = q.gid WHERE (s.cx-t.cx)**2 + (s.cy-t.cy)**2 + (s.cz-t.cz)**2 < 9").replace("WITH ", "WITH RECURSIVE ", 1) + ", r AS (SELECT DISTINCT gid AS node, gid AS root FROM o UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node), g AS (SELECT node AS gid, min(root) AS object FROM r GROUP BY 1)"
+
+
+@query(ctes(o=_GOBS) + " SELECT gid, count(*) AS points, round(avg(x), 8) AS cx, round(avg(y), 8) AS cy, round(avg(z), 8) AS cz FROM (SELECT DISTINCT gid, pid, x, y, z FROM o) GROUP BY 1")
+def a14_centroids(spark, d):
+    return fusion.centroids(view(spark, d, _GOBS)).select("gid", "points", *(F.round(f"c{a}", 8).alias(f"c{a}") for a in "xyz"))
+
+
+@query(_GCTE + " SELECT gid, object FROM g")
+def j12_association(spark, d):
+    return fusion.associated(view(spark, d, _GOBS))
+
+
+@query(_GCTE + ", n AS (SELECT pid, object, count(*) AS n FROM o JOIN g ON o.gid = g.gid GROUP BY 1, 2) SELECT pid, object FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY n DESC, object) AS k FROM n) WHERE k = 1")
+def entry_b_fusion(spark, d):
+    """Entry B: observations of instances, their components, and the object of each point."""
+    obs = view(spark, d, _GOBS)
+    return fusion.point_owner(obs, fusion.associated(obs))
+
+
+@query(ctes(c=RGB, p=PALETTE) + ", m AS (SELECT pid % 20 AS g, p.class_id, p.name, count(*) AS n FROM c JOIN p ON greatest(abs(c.r - p.r), abs(c.g - p.g), abs(c.b - p.b)) <= 40 WHERE p.name <> p.name || '' OR p.class_id <> 3 GROUP BY 1, 2, 3) SELECT g, name, n FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY n DESC, class_id) AS k FROM m) WHERE k = 1")
+def a05_majority_category(spark, d):
+    palette = view(spark, d, PALETTE)
+    excluded = tuple(r.name for r in palette.where("class_id = 3").collect())
+    points = view(spark, d, RGB)
+    return fusion.majority_category(points.select((F.col("pid") % 20).alias("grp"), "r", "g", "b"), palette, 40, "grp", excluded).withColumnRenamed("grp", "g")
+
+
+@query("SELECT n_nationkey, count(s_suppkey) > 0 AS present FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > 9000 GROUP BY 1")
+def a27_presence(spark, d):
+    known = table(spark, d, "nation").select("n_nationkey")
+    rows = table(spark, d, "supplier").where("s_acctbal > 9000").select(F.col("s_nationkey").alias("n_nationkey"))
+    return fusion.presence(rows, "n_nationkey", known)
