@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from cairn.llm import tokens
 from cairn.operators.components import connected
 from cairn.llm.hamming import close_links, dealt_links, node, roots, unite
+from cairn.llm.jaccard import packed, verified_links
 from cairn.llm.shared import saved, slices
 
 # Fixed value: the seed of a shingle's hash.
@@ -142,18 +143,49 @@ def shard_links(dealt: DataFrame, radius: int) -> DataFrame:
     return bulk.select(node(["a0", "a1"]).alias("a"), node(["b0", "b1"]).alias("b")).union(dealt_links(many, many, ["shard"], ["fp0", "fp1"], radius))
 
 
+def shingle_sets(rows: DataFrame, words: int, text_col: str) -> DataFrame:
+    """The rows with their text replaced by grams, the set of its shingles; no shuffle."""
+    rest = [c for c in rows.columns if c != text_col]
+    schema = T.StructType([*(rows.schema[c] for c in rest), T.StructField("grams", T.BinaryType())])
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(len(rest))
+            for part in slices((len(t.as_buffer()) if t.is_valid else 0 for t in texts), 1 << 20):
+                h, bounds = tokens.shingled(*tokens.hashed(texts[part.start : part.stop].to_pylist()), words)
+                sets = [packed(h[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i)[part.start : part.stop] for i in range(len(rest))), pa.array(sets, pa.binary())], names=schema.names)
+
+    return rows.select(*rest, text_col).mapInArrow(run, schema)
+
+
 def deduplicated(docs: DataFrame, similarity: float = 0.8, words: int = 5, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, one of each group of near duplicates: that with the smallest id (then the smallest hash of its text).
 
-    Texts link if their 128-bit fingerprints over distinct shingles differ in as few bits as texts of the similarity do. At
-    so wide a radius no triangle bound prunes, so fingerprints are first dealt to shards by minima of hashed shingles (a
-    pair of similarity s shares one of k shards with chance 1 - (1 - s)**k), and vantage points work within shards.
-    Texts without words are one group. Of repeated rows, and of rows with null ids in a group, one stays.
+    Texts link if their sets of shingles have the similarity (shared over all). Candidates come from 128-bit fingerprints over
+    distinct shingles, at a radius three standard deviations beyond what the similarity makes on average. At so wide a radius
+    no triangle bound prunes, so fingerprints are first dealt to shards by minima of hashed shingles (a pair of similarity s
+    shares one of k shards with chance 1 - (1 - s)**k), and vantage points work within shards. The groups that candidates
+    make are then verified on whole sets. Texts without words are one group. Of repeated rows, and of rows with null ids in
+    a group, one stays.
     """
-    key = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("\0")), F.coalesce(F.md5(text_col), F.lit("\0")))
-    sketch = saved(sketched(docs.select(docs[id_col].alias("id"), key.alias("row_key"), docs[text_col].alias("text")), words, shards), "sketch")
+    # names of our own for all columns, so that none can clash
+    names = [f"__c{i}" for i in range(len(docs.columns))]
+    own_id, own_text = (names[docs.columns.index(c)] for c in (id_col, text_col))
+    key = F.xxhash64(F.coalesce(F.col(own_id).cast("string"), F.lit("\0")), F.coalesce(F.md5(own_text), F.lit("\0")))
+    keyed = docs.toDF(*names).withColumn("key", key)
+    radius = bits_apart(similarity, slack=3.0)
+    sketch = saved(sketched(keyed.select(F.col(own_id).alias("id"), F.col("key").alias("row_key"), F.col(own_text).alias("text")), words, shards), "sketch")
     nodes = saved(sketch.groupBy("fp0", "fp1").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row_key")).alias("least"), F.max("keys").alias("keys")), "nodes")
-    found = connected(shard_links(nodes.select(F.explode("keys").alias("shard"), "fp0", "fp1"), bits_apart(similarity)))
-    labelled = nodes.select(node(["fp0", "fp1"]).alias("node"), "least").join(found, "node", "left").select(F.coalesce("root", "node").alias("root"), "least")
-    stays = labelled.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row_key").alias("__row_key"))
-    return docs.withColumn("__row_key", key).join(stays, "__row_key", "left_semi").dropDuplicates(["__row_key"]).select(*docs.columns)
+    found = connected(shard_links(nodes.select(F.explode("keys").alias("shard"), "fp0", "fp1"), radius))
+    ends = found.select("node", "root").union(found.select(F.col("root").alias("node"), "root")).distinct()
+    grouped_nodes = nodes.withColumn("node", node(["fp0", "fp1"])).join(ends, "node", "left").select(F.col("least.row_key").alias("key"), "least", "fp0", "fp1", "root")
+    # one row of each fingerprint, with its group of candidates; null where it is alone
+    distinct = saved(keyed.join(grouped_nodes, "key").dropDuplicates(["key"]), "distinct")
+    several = distinct.where("root is not null")
+    members = saved(shingle_sets(several.select("root", "key", "least", "fp0", "fp1", own_text), words, own_text), "members")
+    labels = connected(verified_links(members.drop("least"), similarity, radius)).withColumnRenamed("root", "label")
+    labelled = members.select("key", "least").join(labels, F.col("key") == F.col("node"), "left").select(F.coalesce("label", "key").alias("label"), "least")
+    stays = labelled.groupBy("label").agg(F.min("least").alias("least")).select(F.col("least.row_key").alias("key"))
+    out = distinct.where("root is null").select(*names).union(several.join(stays, "key", "left_semi").select(*names))
+    return out.toDF(*docs.columns)

@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from cairn.llm import chat, decontaminate, hamming, neighbours, quality, simhash, tokens, warc
+from cairn.llm import chat, decontaminate, hamming, jaccard, neighbours, quality, simhash, tokens, warc
 from cairn.operators.components import connected
 from tests.llm.conftest import ODD, SCHEMA
 
@@ -137,6 +137,63 @@ def test_deduplicated(spark, odd, none):
     assert simhash.deduplicated(none).count() == 0
 
 
+def varied(seed=5, families=12):
+    """Families of texts whose members are alike to any degree around 0.8, some in chains."""
+    rng = random.Random(seed)
+    docs = []
+    for _ in range(families):
+        base = words(rng, rng.choice((6, 40, 150, 400)))
+        for _ in range(rng.randint(2, 12)):
+            own = list(base)
+            for at in rng.sample(range(len(own)), min(len(own), rng.randint(0, max(1, len(own) // 25)))):
+                own[at] = f"x{rng.randint(0, 10**6)}"
+            docs.append(" ".join(own))
+            if rng.random() < 0.4:
+                base = own
+    rng.shuffle(docs)
+    return list(enumerate(docs))
+
+
+def sets_of(docs, k=5):
+    out = []
+    for _, text in docs:
+        w = text.split()
+        out.append({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))})
+    return out
+
+
+def brute_groups(docs, similarity=0.8):
+    sets, parent = sets_of(docs), np.arange(len(docs))
+    pairs = [(i, j) for i in range(len(docs)) for j in range(i) if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]) - 1e-9]
+    if pairs:
+        parent = hamming.unite(parent, *map(np.array, zip(*pairs, strict=True)))
+    return hamming.roots(parent)
+
+
+def test_deduplicated_at_the_similarity(spark):
+    docs = varied()
+    want = sorted(set(brute_groups(docs).tolist()))
+    assert 20 < len(want) < len(docs) - 10
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in docs], SCHEMA).repartition(3)
+    assert sorted(r.doc_id for r in simhash.deduplicated(df).collect()) == want
+
+
+@pytest.mark.parametrize("block", [1 << 20, 9000])
+def test_verified_links(spark, tmp_path, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "ACROSS", 16)
+    docs = varied(9)
+    rows = [(i % 2, i, 0, 0, jaccard.packed(np.array([xxhash.xxh64_intdigest(" ".join(s)) for s in own], np.uint64))) for (i, _), own in zip(docs, sets_of(docs), strict=True)]
+    spark.createDataFrame(rows, "root long, key long, fp0 long, fp1 long, grams binary").write.parquet(str(tmp_path / "m"))
+    links = jaccard.verified_links(spark.read.parquet(str(tmp_path / "m")), 0.8, 31).collect()
+    for half in (0, 1):
+        own = [d for d in docs if d[0] % 2 == half]
+        place = {d[0]: k for k, d in enumerate(own)}
+        some = [(place[r.a], place[r.b]) for r in links if r.a % 2 == half]
+        found = hamming.unite(np.arange(len(own)), *map(np.array, zip(*some, strict=True)))
+        assert hamming.roots(found).tolist() == brute_groups(own).tolist()
+
+
 def test_large_group_of_near_copies(spark):
     rng = random.Random(3)
     base = words(rng, 300)
