@@ -156,14 +156,23 @@ def m11_knn(spark, d):
     return knn.vote(knn.top_k(e.where("vec_id % 5 = 0"), e.where("vec_id % 5 <> 0"), 20, extra=("label",)), (5, 10, 20))
 
 
-@query("WITH e AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) AS v FROM embeddings WHERE vec_id < 400), s AS (SELECT q.vec_id, max(round(list_dot_product(q.v, b.v), 9)) AS score FROM e q, e b WHERE q.vec_id <> b.vec_id GROUP BY 1) SELECT round(-avg(ln(sqrt(greatest(2 - 2 * score, 0)) + 1e-8)), 6) AS koleo FROM s")
-def m15_koleo(spark, d):
-    e = table(spark, d, "embeddings").where("vec_id < 400")
+def _koleo(e):
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     unit = e.withColumn("embedding", F.transform("embedding", lambda x: x.cast("double") / norm))
     return _rounded(knn.nearest_entropy(knn.top_k(unit, unit, 1)), 6, "koleo")
 
 
+@query("WITH e AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) AS v FROM embeddings WHERE vec_id < 400), s AS (SELECT q.vec_id, max(round(list_dot_product(q.v, b.v), 9)) AS score FROM e q, e b WHERE q.vec_id <> b.vec_id GROUP BY 1) SELECT round(-avg(ln(sqrt(greatest(2 - 2 * score, 0)) + 1e-8)), 6) AS koleo FROM s")
+def m15_koleo(spark, d):
+    """Over the id prefix of its SQL; ``m15_koleo_whole`` is over all rows."""
+    return _koleo(table(spark, d, "embeddings").where("vec_id < 400"))
+
+
+@query()
+def m15_koleo_whole(spark, d):
+    return _koleo(table(spark, d, "embeddings"))
+
+
 @query(ctes(p="SELECT o_orderkey % 50 AS image, CAST(substring(o_orderpriority, 1, 1) AS INT) - 1 AS gt, CAST(o_custkey % 5 AS INT) AS pred FROM orders", n="SELECT image, gt, pred, count(*) AS n FROM p GROUP BY 1, 2, 3", c="SELECT * FROM (VALUES (1), (2), (3), (4)) t(c)", i="SELECT image, c, sum(CASE WHEN gt = c AND pred = c THEN n ELSE 0 END) / sum(n) AS iou FROM n JOIN c ON gt = c OR pred = c GROUP BY 1, 2") + " SELECT image, round(avg(iou), 8) AS miou FROM i GROUP BY 1")
 def m03_image_miou(spark, d):
     return _rounded(metrics.image_miou(view(spark, d, PAIR)), 8, "miou")
