@@ -22,18 +22,30 @@ def centroids(obs: DataFrame, group: str = "gid", key: str = "pid") -> DataFrame
     return obs.select(group, key, "x", "y", "z").dropDuplicates([group, key]).groupBy(group).agg(F.count("*").alias("points"), *(F.avg(a).alias(f"c{a}") for a in "xyz"))
 
 
+def neighbouring(groups: DataFrame, width: int, group: str = "gid", key: str = "pid") -> DataFrame:
+    """Links (a, b) that join the same instances as all pairs of a point with ids less than ``width`` apart, at most two a row:
+    ids of a bucket as wide link to its smallest, and its smallest to the largest of the bucket before, if near enough."""
+    own = groups.select(F.col(group), F.col(key), F.floor(F.col(group) / width).alias("__b")).distinct()
+    ends = own.groupBy(key, "__b").agg(F.min(group).alias("least"), F.max(group).alias("most"))
+    inner = own.join(ends, [key, "__b"]).where(F.col(group) > F.col("least")).select(F.col("least").alias("a"), F.col(group).alias("b"))
+    after = ends.select(F.col(key), (F.col("__b") - 1).alias("__b"), F.col("least").alias("b"))
+    across = ends.join(after, [key, "__b"]).where(F.col("b") - F.col("most") < width).select(F.col("most").alias("a"), "b")
+    return inner.union(across)
+
+
 def co_observed(obs: DataFrame, reach: float, group: str = "gid", key: str = "pid") -> DataFrame:
     """Links (a, b) of instances that share a point and whose centroids are closer than ``reach``; each pair once.
 
-    Every two instances of a point are looked at, since the distance decides; a point is in as many instances as frames see it."""
-    own = obs.select(group, key).distinct()
-    other = own.select(F.col(group).alias("b"), key)
-    pairs = own.withColumnRenamed(group, "a").join(other, key).where("a < b").select("a", "b").distinct()
+    Of a point's instances only those in the same or touching cells of centroids, as wide as the reach, are put together."""
     c = centroids(obs, group, key)
-    for side in "ab":
-        pairs = pairs.join(c.select(F.col(group).alias(side), *(F.col(f"c{v}").alias(f"{side}{v}") for v in "xyz")), side)
+    own = obs.select(group, key).distinct().join(c, group)
+    left = own.select(F.col(group).alias("a"), key, *(F.col(f"c{v}").alias(f"a{v}") for v in "xyz"), *(F.floor(F.col(f"c{v}") / reach).alias(f"__{v}") for v in "xyz"))
+    right = own.select(F.col(group).alias("b"), key, *(F.col(f"c{v}").alias(f"b{v}") for v in "xyz"))
+    for v in "xyz":
+        cell = F.floor(F.col(f"b{v}") / reach)
+        right = right.withColumn(f"__{v}", F.explode(F.array(cell - 1, cell, cell + 1)))
     squared = sum(((F.col(f"a{v}") - F.col(f"b{v}")) * (F.col(f"a{v}") - F.col(f"b{v}")) for v in "xyz"), F.lit(0.0))
-    return pairs.where(squared < reach * reach).select("a", "b")
+    return left.join(right, [key, "__x", "__y", "__z"]).where("a < b").where(squared < reach * reach).select("a", "b").distinct()
 
 
 def associated(obs: DataFrame, reach: float = 3.0, group: str = "gid", key: str = "pid") -> DataFrame:

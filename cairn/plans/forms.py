@@ -73,5 +73,5 @@ def c02_density_clusters(spark, d):
 
 @query()
 def c09_mesh_components(spark, d):
-    faces = table(spark, d, "lineitem").where("l_quantity = 50").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("fid"), F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 1_000_000_000).alias("b"), F.col("l_orderkey").alias("c"))
+    faces = table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("fid"), F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 1_000_000_000).alias("b"), F.col("l_orderkey").alias("c"))
     return shapes.mesh_components(faces)

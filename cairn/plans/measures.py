@@ -147,6 +147,12 @@ def j15_topk_similarity(spark, d):
     return knn.top_k(e.where("vec_id % 5 = 0"), e.where("vec_id % 5 <> 0"), 20)
 
 
+@query()
+def j15_topk_similarity_whole(spark, d):
+    e = table(spark, d, "embeddings")
+    return knn.top_k(e, e, 20)
+
+
 @query(
     _TOP.format(where="q.vec_id % 5 = 0 AND b.vec_id % 5 <> 0")
     + ", t AS (SELECT *, exp((score - max(score) OVER (PARTITION BY query_id)) / 0.07) AS x FROM k WHERE rank <= 20), w AS (SELECT *, x / sum(x) OVER (PARTITION BY query_id) AS w FROM t), g AS (SELECT query_id, c.k, label, round(sum(w), 9) AS w FROM w, (VALUES (5), (10), (20)) c(k) WHERE rank <= c.k GROUP BY 1, 2, 3) SELECT query_id, CAST(k AS INT) AS k, label AS predicted FROM (SELECT *, row_number() OVER (PARTITION BY query_id, k ORDER BY w DESC, label) AS p FROM g) WHERE p = 1"

@@ -138,15 +138,25 @@ def j08_range_join(spark, d):
     return spatial.within(p, p, 0.5).where("pid < r_pid").select("pid", "r_pid", F.round("distance", 6).alias("distance"))
 
 
+def _box_join(p, centres):
+    b = centres.selectExpr("pid AS box_id", *(f"{a} - {w} AS {a}0" for a, w in (("x", 0.4), ("y", 0.4), ("z", 1.0))), *(f"{a} + {w} AS {a}1" for a, w in (("x", 0.4), ("y", 0.4), ("z", 1.0))))
+    b = b.select("box_id", *(F.col(f"{a}{k}").cast("double").alias(f"{a}{k}") for a in "xyz" for k in "01"))
+    return spatial.in_boxes(p, b, 0.1, cell=1.0)
+
+
 @query(
     ctes(p=POINT, b="SELECT pid AS box_id, x - 0.4 AS x0, x + 0.4 AS x1, y - 0.4 AS y0, y + 0.4 AS y1, z - 1.0 AS z0, z + 1.0 AS z1 FROM p WHERE pid % 10 = 0")
     + " SELECT pid, box_id FROM p, b WHERE x > x0 - 0.1 AND x < x1 + 0.1 AND y > y0 - 0.1 AND y < y1 + 0.1 AND z > z0 - 0.1 AND z < z1 + 0.1"
 )
 def j09_box_join(spark, d):
     p = view(spark, d, POINT)
-    b = p.where("pid % 10 = 0").selectExpr("pid AS box_id", *(f"{a} - {w} AS {a}0" for a, w in (("x", 0.4), ("y", 0.4), ("z", 1.0))), *(f"{a} + {w} AS {a}1" for a, w in (("x", 0.4), ("y", 0.4), ("z", 1.0))))
-    b = b.select("box_id", *(F.col(f"{a}{k}").cast("double").alias(f"{a}{k}") for a in "xyz" for k in "01"))
-    return spatial.in_boxes(p, b, 0.1, cell=1.0)
+    return _box_join(p, p.where("pid % 10 = 0"))
+
+
+@query()
+def j09_box_join_whole(spark, d):
+    p = view(spark, d, POINT)
+    return _box_join(p, p)
 
 
 @query(

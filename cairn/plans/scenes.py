@@ -115,18 +115,25 @@ def p08_keyword_filter(spark, d):
     return table(spark, d, "part").where(F.exists(F.array(*map(F.lit, _KEYWORDS)), lambda k: F.contains(stem, k))).select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
 
 
+def _components(lineitem):
+    """Groups seen at the same point are linked, if near enough."""
+    g = lineitem.select(F.col("l_suppkey").alias("gid"), F.col("l_partkey").alias("pid")).distinct()
+    roots = connected(fusion.neighbouring(g, 40))
+    return g.select("gid").distinct().join(roots, F.col("gid") == F.col("node"), "left").select("gid", F.coalesce("root", "gid").alias("component"))
+
+
 @query(
     ctes(g="SELECT DISTINCT l_suppkey AS gid, l_partkey AS pid FROM lineitem WHERE l_quantity >= 49", e="SELECT DISTINCT x.gid AS a, y.gid AS b FROM g x JOIN g y ON x.pid = y.pid AND x.gid <> y.gid WHERE abs(x.gid - y.gid) < 40").replace("WITH ", "WITH RECURSIVE ", 1)
     + ", r AS (SELECT DISTINCT gid AS node, gid AS root FROM g UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node) SELECT node AS gid, min(root) AS component FROM r GROUP BY 1"
 )
 def c03_components(spark, d):
-    """Groups seen at the same point are linked, if near enough; each point links its groups to its smallest neighbours in
-    order, which keeps the number of links in proportion to the rows."""
-    g = table(spark, d, "lineitem").where("l_quantity >= 49").select(F.col("l_suppkey").alias("gid"), F.col("l_partkey").alias("pid")).distinct()
-    other = g.select(F.col("gid").alias("r_gid"), "pid")
-    links = g.join(other, "pid").where("gid < r_gid and r_gid - gid < 40").select(F.col("gid").alias("a"), F.col("r_gid").alias("b"))
-    roots = connected(links)
-    return g.select("gid").distinct().join(roots, F.col("gid") == F.col("node"), "left").select("gid", F.coalesce("root", "gid").alias("component"))
+    """Over the rows of its SQL; ``c03_components_whole`` is over all."""
+    return _components(table(spark, d, "lineitem").where("l_quantity >= 49"))
+
+
+@query()
+def c03_components_whole(spark, d):
+    return _components(table(spark, d, "lineitem"))
 
 
 @query(
@@ -165,6 +172,8 @@ def a12_label_counts(spark, d):
 
 
 _GOBS = "SELECT l_suppkey AS gid, l_partkey AS pid, CAST(l_partkey % 13 AS DOUBLE) AS x, CAST(l_suppkey % 11 AS DOUBLE) AS y, CAST(l_suppkey % 7 AS DOUBLE) AS z FROM lineitem WHERE l_quantity >= 48"
+#: All observations; the SQL is given for those of _GOBS.
+_GOBS_WHOLE = _GOBS.replace(" WHERE l_quantity >= 48", "")
 _GCTE = ctes(o=_GOBS, c="SELECT gid, count(*) AS points, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz FROM (SELECT DISTINCT gid, pid, x, y, z FROM o) GROUP BY 1", e="SELECT DISTINCT p.gid AS a, q.gid AS b FROM o p JOIN o q ON p.pid = q.pid AND p.gid <> q.gid JOIN c s ON s.gid = p.gid JOIN c t ON t.gid = q.gid WHERE (s.cx-t.cx)**2 + (s.cy-t.cy)**2 + (s.cz-t.cz)**2 < 9").replace("WITH ", "WITH RECURSIVE ", 1) + ", r AS (SELECT DISTINCT gid AS node, gid AS root FROM o UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node), g AS (SELECT node AS gid, min(root) AS object FROM r GROUP BY 1)"
 
 
@@ -173,11 +182,21 @@ def a14_centroids(spark, d):
     return fusion.centroids(view(spark, d, _GOBS)).select("gid", "points", *(F.round(f"c{a}", 8).alias(f"c{a}") for a in "xyz"))
 
 
+@query()
+def a14_centroids_whole(spark, d):
+    return fusion.centroids(view(spark, d, _GOBS_WHOLE)).select("gid", "points", *(F.round(f"c{a}", 8).alias(f"c{a}") for a in "xyz"))
+
+
 @query(_GCTE + " SELECT gid, object FROM g")
 def j12_association(spark, d):
     return fusion.associated(view(spark, d, _GOBS))
 
 
+@query()
+def j12_association_whole(spark, d):
+    return fusion.associated(view(spark, d, _GOBS_WHOLE))
+
+
 @query(_GCTE + ", n AS (SELECT pid, object, count(*) AS n FROM o JOIN g ON o.gid = g.gid GROUP BY 1, 2) SELECT pid, object FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY n DESC, object) AS k FROM n) WHERE k = 1")
 def entry_b_fusion(spark, d):
     """Entry B: observations of instances, their components, and the object of each point."""
@@ -185,6 +204,12 @@ def entry_b_fusion(spark, d):
     return fusion.point_owner(obs, fusion.associated(obs))
 
 
+@query()
+def entry_b_fusion_whole(spark, d):
+    obs = view(spark, d, _GOBS_WHOLE)
+    return fusion.point_owner(obs, fusion.associated(obs))
+
+
 @query(ctes(c=RGB, p=PALETTE) + ", m AS (SELECT pid % 20 AS g, p.class_id, p.name, count(*) AS n FROM c JOIN p ON greatest(abs(c.r - p.r), abs(c.g - p.g), abs(c.b - p.b)) <= 40 WHERE p.name <> p.name || '' OR p.class_id <> 3 GROUP BY 1, 2, 3) SELECT g, name, n FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY n DESC, class_id) AS k FROM m) WHERE k = 1")
 def a05_majority_category(spark, d):
     palette = view(spark, d, PALETTE)
