@@ -105,26 +105,40 @@ def ground_plane(points: DataFrame, distance: float, tries: int = 200, level: fl
     return points.withColumn("ground", F.lit(False))
 
 
-def stable_clusters(distances: np.ndarray, least: int, samples: int) -> np.ndarray:
-    """Clusters of a density hierarchy (-1: noise) from a matrix of distances: mutual reachability, a minimum spanning tree, and
-    the clusters of greatest excess of mass; numbered by their smallest member."""
-    n = len(distances)
+#: Distances that are held at once.
+_HELD = 1 << 20
+
+
+def _distances(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    return np.sqrt(((p[:, None] - q[None]) ** 2).sum(-1))
+
+
+def stable_clusters(p: np.ndarray, least: int, samples: int) -> np.ndarray:
+    """Clusters of a density hierarchy (-1: noise) of points: mutual reachability, a minimum spanning tree, and the clusters of
+    greatest excess of mass; numbered by their smallest member. Distances are made anew where they are needed, never kept as a
+    matrix: memory grows with the points, time with their square."""
+    n = len(p)
     out = np.full(n, -1)
     if n < max(2, least):
         return out
-    core = np.sort(distances, axis=1)[:, min(samples, n) - 1]
-    reach = np.maximum(distances, np.maximum(core[:, None], core[None, :]))
+    k, step = min(samples, n) - 1, max(1, _HELD // n)
+    core = np.concatenate([np.partition(_distances(p[i : i + step], p), k, axis=1)[:, k] for i in range(0, n, step)])
+
+    def reach(i: int) -> np.ndarray:
+        return np.maximum(_distances(p[i : i + 1], p)[0], np.maximum(core[i], core))
+
     # minimum spanning tree from row 0
-    best, source, inside, edges = reach[0].copy(), np.zeros(n, int), np.zeros(n, bool), []
+    best, source, inside, edges = reach(0), np.zeros(n, int), np.zeros(n, bool), []
     inside[0] = True
     for _ in range(n - 1):
         at = int(np.argmin(np.where(inside, np.inf, best)))
         edges.append((best[at], int(source[at]), at))
         inside[at] = True
-        closer = reach[at] < best
-        best[closer], source[closer] = reach[at][closer], at
+        row = reach(at)
+        closer = row < best
+        best[closer], source[closer] = row[closer], at
     # merge tree: node n + i joins two nodes at a distance
-    parent, members, children, height = list(range(n)), {i: [i] for i in range(n)}, {}, {}
+    parent, size, low, children, height = list(range(n)), [1] * n, list(range(n)), {}, {}
 
     def find(x: int) -> int:
         while parent[x] != x:
@@ -136,47 +150,60 @@ def stable_clusters(distances: np.ndarray, least: int, samples: int) -> np.ndarr
         a, b, new = find(a), find(b), n + i
         parent.append(new)
         parent[a] = parent[b] = new
-        members[new], children[new], height[new] = members[a] + members[b], (a, b), d
+        size.append(size[a] + size[b])
+        low.append(min(low[a], low[b]))
+        children[new], height[new] = (a, b), d
     # condense: a split into two large parts makes clusters; small parts fall out of theirs
-    def mass(node: int, born: float) -> tuple[float, list[int]]:
-        total, here = 0.0, node
+    born, nodes, total, parts = [0.0], [n + len(edges) - 1], [], []
+    for c, here in enumerate(nodes):
+        total.append(0.0)
+        parts.append([])
         while here >= n:
             density = 1 / height[here] if height[here] > 0 else 1e12
-            sides = children[here]
-            large = [s for s in sides if len(members[s]) >= least]
+            large = [s for s in children[here] if size[s] >= least]
+            total[c] += size[here] * (density - born[c]) if len(large) != 1 else 0.0
             if len(large) == 2:
-                total += len(members[here]) * (density - born)
-                parts = [mass(s, density) for s in sides]
-                if sum(p[0] for p in parts) > total:
-                    return sum(p[0] for p in parts), [c for p in parts for c in p[1]]
-                return total, [node]
-            if not large:
-                return total + len(members[here]) * (density - born), [node]
-            small = next(s for s in sides if s != large[0])
-            total += len(members[small]) * (density - born)
+                parts[c] = [len(nodes), len(nodes) + 1]
+                nodes += large
+                born += [density, density]
+            if len(large) != 1:
+                break
+            small = next(s for s in children[here] if s != large[0])
+            total[c] += size[small] * (density - born[c])
             here = large[0]
-        return total, [node]
-
-    root = n + len(edges) - 1
-    _, chosen = mass(root, 0.0)
-    for k, c in enumerate(sorted(chosen, key=lambda c: min(members[c]))):
-        out[members[c]] = k
+    split = [False] * len(nodes)
+    for c in reversed(range(len(nodes))):
+        below = sum(total[x] for x in parts[c])
+        if below > total[c]:
+            total[c], split[c] = below, True
+    chosen, todo = [], [0]
+    while todo:
+        c = todo.pop()
+        if split[c]:
+            todo += parts[c]
+        else:
+            chosen.append(nodes[c])
+    for number, node in enumerate(sorted(chosen, key=low.__getitem__)):
+        todo = [node]
+        while todo:
+            x = todo.pop()
+            if x < n:
+                out[x] = number
+            else:
+                todo += children[x]
     return out
 
 
-def density_clusters(points: DataFrame, by: str, least: int, samples: int | None = None, key: str = "pid", most: int = 4000) -> DataFrame:
-    """by, key and cluster (null: noise) from the density hierarchy of each group. A group is one category's points of one scene after
-    downsampling; its matrix must fit a task, so a group of more than ``most`` points raises an error: thin it by voxels, or use
-    ``spatial.dbscan``, which has no such bound."""
+def density_clusters(points: DataFrame, by: str, least: int, samples: int | None = None, key: str = "pid", most: int | None = None) -> DataFrame:
+    """by, key and cluster (null: noise) from the density hierarchy of each group. A group is one task, whose memory grows with
+    the group's points and whose time with their square; with ``most``, a larger group raises an error instead."""
     kind = points.schema
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > most:
+        if most is not None and len(pdf) > most:
             raise ValueError(f"a group of {len(pdf)} points is over the bound of {most}")
         pdf = pdf.sort_values(key, ignore_index=True)
-        p = pdf[list(AXES)].to_numpy(float)
-        d = np.sqrt(((p[:, None] - p[None]) ** 2).sum(-1))
-        return pd.DataFrame({by: pdf[by], key: pdf[key], "cluster": stable_clusters(d, least, samples or least)})
+        return pd.DataFrame({by: pdf[by], key: pdf[key], "cluster": stable_clusters(pdf[list(AXES)].to_numpy(float), least, samples or least)})
 
     out = points.select(by, key, *AXES).groupBy(by).applyInPandas(run, f"{by} {kind[by].dataType.simpleString()}, {key} {kind[key].dataType.simpleString()}, cluster int")
     return out.withColumn("cluster", F.when(F.col("cluster") >= 0, F.col("cluster")))
