@@ -3,13 +3,14 @@
 Two generative models over hashed 1- and 2-grams are counted: one of a target (labelled rows that are good and not toxic),
 one of all raw text. An n-gram counts once a document, else one page that repeats a word decides on all words of its bucket;
 immediate repetitions are features of their own, by the length of the run, and count each time. The log ratio of an n-gram
-says how much more often the target has it than its share of the raw text; of each ratio as much as chance explains is taken
-off. A document is scored by counts that leave the document itself out, so labelled and other documents compare.
-
-A document's log weight is the least sum of log ratios over any window of its n-grams (over all of them if it is shorter), so
-that one bad passage isn't outweighed by a long good rest. Gumbel noise, fixed by the document, is added to the weight over a
-temperature, and the documents with the k largest keys are kept: a sample without replacement by importance. k is the number
-of documents whose weight reaches the cut that separates good from bad labelled rows best.
+says how much more often the target has it than its share of the raw text; of each ratio as much as chance explains (ERRORS
+standard errors of the expected count) is taken off, so that the very many rare n-grams of a long text don't add up to a
+verdict. A document is scored by counts that leave the document itself out, so labelled and other documents compare.
+
+A document's log weight is the log ratio of the two models for its whole text: the sum over all its n-grams. Standard Gumbel
+noise, fixed by the document, is added, and the documents with the k largest keys are kept: a sample without replacement by
+importance. k may be given as a share; else it is the number of documents whose weight reaches the cut that separates good
+from bad labelled rows best.
 """
 
 from __future__ import annotations
@@ -26,17 +27,17 @@ from pyspark.sql import types as T
 from cairn.llm import tokens
 from cairn.llm.shared import saved, slices
 
-#: Hash buckets of 1- and of 2-grams each (a power of two), n-grams added to both counts of a ratio, standard errors that are
-#: taken off a log ratio, and n-grams of a window.
-BUCKETS, SMOOTHING, ERRORS, WINDOW = 1 << 19, 2.0, 2.0, 8
+#: Hash buckets of 1- and of 2-grams each (a power of two), n-grams added to both counts of a ratio, and standard errors that
+#: are taken off a log ratio.
+BUCKETS, SMOOTHING, ERRORS = 1 << 19, 0.5, 11.0
 #: Buckets whose ratios travel together.
 BLOCK = 1 << 16
 #: The last buckets are runs of 2, of 3 and of more equal tokens.
 RUNS = 3
 #: What a good row that is dropped weighs against a bad row that is kept, when the cut is chosen.
 GOOD_WEIGHT = 3.0
-#: Labelled rows that the target and the cut are taken from at most, and the temperature of the sampling.
-LABELLED, TEMPERATURE = 20_000, 0.02
+#: Labelled rows that the target and the cut are taken from at most, and the temperature of the sampling (1: standard noise).
+LABELLED, TEMPERATURE = 20_000, 1.0
 #: Keys that the driver sorts to end the search for the k-th largest.
 LAST_KEYS = 10_000
 
@@ -105,7 +106,7 @@ def log_ratios(counts: DataFrame, buckets: int = BUCKETS, smoothing: float = SMO
         for own in (0, 1):
             expected, seen = np.maximum(raw - leave, 0) * share, np.maximum(good - own * leave, 0)
             ratio = np.log((seen + smoothing) / (expected + smoothing))
-            block[own, at % BLOCK] = np.sign(ratio) * np.maximum(0, np.abs(ratio) - errors / np.sqrt(expected + smoothing))
+            block[own, at % BLOCK] = np.sign(ratio) * np.maximum(0, np.abs(ratio) - errors / np.sqrt(expected + 2))
         return pd.DataFrame({"block": [int(at[0]) // BLOCK], "ratios": [block.tobytes()]})
 
     for row in counts.groupBy(F.floor(F.col("bucket") / BLOCK)).applyInPandas(run, "block long, ratios binary").toLocalIterator():
@@ -114,25 +115,17 @@ def log_ratios(counts: DataFrame, buckets: int = BUCKETS, smoothing: float = SMO
     return out
 
 
-def weights(texts: list[str | None], in_target: np.ndarray, ratios: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """Log weights; -inf for texts without tokens."""
+def weights(texts: list[str | None], in_target: np.ndarray, ratios: np.ndarray) -> np.ndarray:
+    """Log weights: of each text the sum of the log ratios of all its n-grams; -inf for texts without tokens."""
     one, two, bounds = ngrams(texts, ratios.shape[1] // 2)
-    counts = np.diff(bounds)
-    own = np.repeat(in_target.astype(np.int64), counts)
+    own = np.repeat(in_target.astype(np.int64), np.diff(bounds))
     each = ratios[own, one].astype(np.float64) + np.where(two >= 0, ratios[own, two], 0.0)
     total = np.concatenate(([0.0], np.cumsum(each)))
-    out = np.full(len(texts), -np.inf)
-    short = np.flatnonzero((counts > 0) & (counts <= window))
-    out[short] = total[bounds[short + 1]] - total[bounds[short]]
-    long = np.flatnonzero(counts > window)
-    if len(long):
-        sums = np.append(total[window:] - total[:-window], np.inf)
-        edges = np.stack((bounds[long], bounds[long + 1] - window + 1), axis=1).ravel()
-        out[long] = np.minimum.reduceat(sums, edges)[::2]
-    return np.round(out, 9)  # sums in another order of rows differ by less
-
-
-def weighted(docs: DataFrame, ratios: np.ndarray, keep: list[str], text_col: str = "text", target: str = "__good", window: int = WINDOW) -> DataFrame:
+    out = np.where(np.diff(bounds) > 0, total[bounds[1:]] - total[bounds[:-1]], -np.inf)
+    return np.round(out, 6)  # sums in another order of rows differ by less
+
+
+def weighted(docs: DataFrame, ratios: np.ndarray, keep: list[str], text_col: str = "text", target: str = "__good") -> DataFrame:
     """The kept columns and log_weight of each row; the column ``target`` says (true) which rows the target counts. No shuffle."""
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("log_weight", T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
@@ -142,7 +135,7 @@ def weighted(docs: DataFrame, ratios: np.ndarray, keep: list[str], text_col: str
             texts, flags = batch.column(len(keep)), batch.column(len(keep) + 1).to_numpy(zero_copy_only=False)
             for part in slices((len(t.as_buffer()) if t.is_valid else 0 for t in texts), 2 << 20):
                 rows = slice(part.start, part.stop)
-                yield pa.RecordBatch.from_arrays([*(batch.column(i)[rows] for i in range(len(keep))), pa.array(weights(texts[rows].to_pylist(), flags[rows], shared.value, window))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*(batch.column(i)[rows] for i in range(len(keep))), pa.array(weights(texts[rows].to_pylist(), flags[rows], shared.value))], names=schema.names)
 
     return docs.select(*(docs[c] for c in keep), docs[text_col].alias("__text"), F.coalesce(docs[target], F.lit(False)).alias("__flag")).mapInArrow(run, schema)
 
@@ -214,7 +207,7 @@ def _decided(weighed: DataFrame, temperature: float, least: float, id_col: str)
     return keyed.withColumn("log_weight", F.when(finite, F.col("log_weight"))).withColumn("kept", F.coalesce(F.col("gumbel_key") >= F.lit(least), F.lit(False)))
 
 
-def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", labelled: int = LABELLED, temperature: float = TEMPERATURE) -> tuple[Sampler, DataFrame]:
+def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", labelled: int = LABELLED, temperature: float = TEMPERATURE, share: float | None = None) -> tuple[Sampler, DataFrame]:
     """The sampler, and a written table of the id and log_weight of each row of docs; see ``resampled``."""
     flags = labels.where("quality is not null").select(labels[id_col].alias("__id"), ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("__good")).where("__id is not null")
     flags = flags.groupBy("__id").agg(F.min("__good").alias("__good"))
@@ -222,30 +215,39 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = _flagged(docs.select(docs[id_col].alias("__doc"), docs[text_col].alias("text")), sample, "__doc")
     ratios = log_ratios(counted(known, F.col("__good")))
     own = saved(weighted(known, ratios, ["__doc", "__good"]), "weights")
-    # of an id that many rows have, each weight counts once
-    judged = own.where("__good is not null").groupBy("__doc", "log_weight").agg(F.min("__good").alias("good")).orderBy("log_weight", "good").limit(4 * labelled).toPandas()
-    cut = best_cut(judged["log_weight"].to_numpy(float), judged["good"].to_numpy(bool))
-    k = own.where((F.col("log_weight") > F.lit(float("-inf"))) & (F.col("log_weight") >= F.lit(cut))).count()
+    finite = F.col("log_weight") > F.lit(float("-inf"))
+    if share is None:
+        # an id counts once, with its least weight: at most ``labelled`` rows
+        judged = own.where("__good is not null").groupBy("__doc").agg(F.min("log_weight").alias("w"), F.min("__good").alias("good")).select("w", "good").toPandas()
+        cut = best_cut(judged["w"].to_numpy(float), judged["good"].to_numpy(bool))
+        k = own.where(finite & (F.col("log_weight") >= F.lit(cut))).count()
+    else:
+        k = round(share * own.where(finite).count())
     keyed = _decided(own, temperature, float("inf"), "__doc").where("gumbel_key is not null")
     least = kth_largest(keyed, "gumbel_key", k) if k else float("inf")
     return Sampler(ratios, sample, temperature, least), own.select(F.col("__doc").alias(id_col), "log_weight")
 
 
-def resampled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", labelled: int = LABELLED, temperature: float = TEMPERATURE) -> DataFrame:
+def resampled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", labelled: int = LABELLED, temperature: float = TEMPERATURE, share: float | None = None) -> DataFrame:
     """One row per row of docs: the id, ``log_weight``, ``gumbel_key`` and ``kept``.
 
     labels: the same id, quality (1 good) and toxic (1 bad). Up to ``labelled`` of its rows are used, the first by a hash of
     the id; a row with a null id or quality is no label, a null toxic counts as not toxic, and an id with several rows is good
-    only if all are. Both models count every row of docs. Texts that are null or without any token have no weight (null) and
-    aren't kept; repeated rows have the same key and go or stay together; ties at the last place stay together. Without
-    labels of both kinds, all documents with a token stay. Other columns are not read.
+    only if all are. Both models count every row of docs. ``share``: of the documents with a token, how many are kept. Texts
+    that are null or without any token have no weight (null) and aren't kept; rows of the same id and text have the same key
+    and go or stay together; ties at the last place stay together. Without labels of both kinds and without a share, all
+    documents with a token stay. Other columns are not read.
     """
-    sampler, own = fitted(docs, labels, id_col, text_col, labelled, temperature)
+    sampler, own = fitted(docs, labels, id_col, text_col, labelled, temperature, share)
     return _decided(own, temperature, sampler.least, id_col)
 
 
 def filtered(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs that ``resampled`` keeps, with all their columns; decided where they are read, without a shuffle."""
+    """The rows of docs that ``resampled`` keeps, with all their columns; decided where they are read, without a shuffle.
+
+    Rows with null or empty texts go; repeated rows stay or go together; an empty table gives an empty one; columns of any
+    name are carried along. Without labels of both kinds all rows with a token stay.
+    """
     sampler, _ = fitted(docs, labels, id_col, text_col, **options)
     # names of our own for all columns, so that none can clash
     names = [f"__c{i}" for i in range(len(docs.columns))]

@@ -1,7 +1,10 @@
 """Operators over many rows: quality (1), chat (3), decontamination (5), SimHash (6), neighbours (7), WARC (9), pipeline."""
 
+import collections
 import gzip
+import math
 import random
+import re
 
 import duckdb
 import numpy as np
@@ -294,6 +297,80 @@ def test_quality(spark, odd, none):
     assert {r.doc_id: r.kept for r in quality.resampled(df.repartition(7), lab).collect()} == got
 
 
+def brute_weights(rows, good):
+    """Log ratios of two n-gram models, from words themselves instead of hash buckets."""
+    def grams(text):
+        w = re.findall(r"[0-9a-z\x80-\U0010ffff]+|[^0-9a-z\x80-\U0010ffff\s]+", text.lower())
+        once, runs, length = set(w), [], 0
+        for a, b in zip(w, w[1:]):
+            length = length + 1 if a == b else 0
+            if length:
+                runs.append(("run", min(length, 3)))
+            else:
+                once.add((a, b))
+        return w, once, runs
+
+    raw, own = collections.Counter(), collections.Counter()
+    for i, text in rows:
+        _, once, runs = grams(text)
+        for g in [*once, *runs]:
+            raw[g] += 1
+            own[g] += good.get(i, False)
+    single = [g for g in raw if g[0] != "run" or len(g) != 2 or not isinstance(g[1], int)]
+    share = sum(own[g] for g in single) / sum(raw[g] for g in single)
+    out = {}
+    for i, text in rows:
+        w, _, _ = grams(text)
+        total, length = 0.0, 0
+        for k, a in enumerate(w):
+            gs = [a]
+            if k + 1 < len(w):
+                length = length + 1 if a == w[k + 1] else 0
+                gs.append(("run", min(length, 3)) if length else (a, w[k + 1]))
+            for g in gs:
+                leave = 0 if g[0] == "run" and len(g) == 2 and isinstance(g[1], int) else 1
+                e, s = (raw[g] - leave) * share, own[g] - leave * good.get(i, False)
+                r = math.log((s + quality.SMOOTHING) / (e + quality.SMOOTHING))
+                total += math.copysign(max(0, abs(r) - quality.ERRORS / math.sqrt(e + 2)), r)
+        out[i] = total
+    return out
+
+
+def test_quality_by_brute_force(spark):
+    rng = random.Random(11)
+    rows, labels = [], []
+    for i in range(900):
+        text = [rng.choice(["river", "stone", "cloud", "tree", "green"]) + str(rng.randint(0, 40)) for _ in range(rng.randint(3, 60))]
+        if i % 3 == 0:
+            text[1:1] = ["awful"] * rng.randint(1, 5)
+        rows.append((i, " ".join(text) + "!" * (i % 2)))
+        if i % 2:
+            labels.append((i, int(i % 3 > 0), int(i % 30 == 1)))
+    df, lab = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality.resampled(df, lab).collect()}
+    good = {i: bool(q and not t) for i, q, t in labels}
+    want = brute_weights(rows, good)
+    assert max(abs(got[i].log_weight - w) for i, w in want.items()) < 0.05 + 0.002 * max(abs(w) for w in want.values())  # ratios are kept as half-precision numbers
+    # k is read off the labelled rows; the sample is the k largest keys, which isn't the k largest weights
+    cut = quality.best_cut(np.array([got[i].log_weight for i in good]), np.array(list(good.values())))
+    k = sum(r.log_weight >= cut for r in got.values())
+    order = sorted(got.values(), key=lambda r: -r.gumbel_key)
+    assert {r.doc_id for r in order[:k]} == {i for i, r in got.items() if r.kept}
+    noise = np.array([r.gumbel_key - r.log_weight for r in got.values()])
+    assert abs(noise.mean() - 0.5772) < 0.15 and abs(noise.std() - 1.2825) < 0.15
+    half = quality.resampled(df, lab, share=0.5).where("kept").collect()
+    assert len(half) == 450 and {r.doc_id for r in half} == {r.doc_id for r in order[:450]}
+    assert {r.doc_id for r in half} != {r.doc_id for r in sorted(got.values(), key=lambda r: -r.log_weight)[:450]}
+
+
+def test_quality_of_an_id_with_many_rows(spark):
+    """A labelled id with very many different rows counts once; no row is dropped from the sample by a limit."""
+    rows = [(1, f"good text number {i}") for i in range(300)] + [(i, "plain words here") for i in range(2, 40)]
+    df, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    got = quality.resampled(df, lab, labelled=2).collect()
+    assert len(got) == len(rows) and all(r.gumbel_key is not None for r in got)
+
+
 def test_quality_cases(spark, odd, none):
     lab = spark.createDataFrame([(1, 1, None), (6, 0, 0), (None, 1, 0), (7, None, 1)], "doc_id long, quality int, toxic int")
     got = quality.resampled(odd, lab).collect()
