@@ -438,16 +438,44 @@ def test_neighbour_cases(spark):
     for r in neighbours.nearest(df, F.col("id").isin(0, 3, 26, 25)).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, round(r.score, 6)))
     assert got[0] == [(k, k, 1.0) for k in range(1, 6)] and got[3] == [(1, 0, 1.0), (2, 1, 1.0), (3, 2, 1.0), (4, 4, 1.0), (5, 5, 1.0)]
-    assert [x[1] for x in got[25]] == [0, 1, 2, 3, 4] and 26 not in got
-    few = df.where("vec_id in (0, 25, 28)")
+    # two rows of an id: both are queries, and each is the other's nearest
+    assert sorted(got[25]) == sorted([(1, 25, 1.0), *((k + 2, k, round(2 / 5**0.5, 6)) for k in range(4))] * 2) and 26 not in got
+    few = df.where("vec_id in (0, 25, 28)").dropDuplicates(["vec_id"])
     assert [(r["rank"], r.vec_id) for r in neighbours.nearest(few, F.col("id") == 0).orderBy("rank").collect()] == [(1, 25), (2, 28)]
     assert neighbours.nearest(df.where("vec_id > 99"), F.col("id") == 0).count() == 0
 
 
+def test_neighbours_of_extreme_and_close_vectors(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=12)
+    v = [base + rng.normal(size=12) * 1e-7 for _ in range(60)] + list(rng.normal(size=(140, 12)))
+    v[61], v[62] = v[60] * 1e-200, v[60] * 1e200
+    df = spark.createDataFrame([(i, [float(t) for t in x]) for i, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for r in neighbours.nearest(df, F.col("id").isin(0, 60, 61, 62)).orderBy("query_id", "rank").collect():
+        assert np.isfinite(r.score)
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    # closer together than sketches can tell: by the exact cosines of all rows
+    x = np.array(v[:60])
+    want = neighbours.cosines(np.repeat(x[:1], 60, 0), x)
+    assert got[0] == sorted(range(1, 60), key=lambda i: (-want[i], i))[:5]
+    assert set(got[60][:2]) == {61, 62} and set(got[61][:2]) == {60, 62} and set(got[62][:2]) == {60, 61}
+
+
+def test_buckets_are_concatenated_hashes():
+    x = neighbours.unit(np.random.default_rng(2).normal(size=(50, 16)).tolist())
+    assert neighbours.plan(100, 16)[0] == 1 and neighbours.plan(1000, 16)[0] == 2 and neighbours.plan(30_000, 16)[0] == 3
+    for hashes in (1, 2, 3):
+        own, tried = neighbours.codes(x, hashes, 4), neighbours.probed(x, hashes, 4, 40)
+        assert tried.shape == (50, 40) and all(len(set(t)) == 40 for t in tried.tolist())
+        # what a vector is in, it probes first
+        assert np.mean([len(set(o) & set(t)) for o, t in zip(own.tolist(), tried.tolist(), strict=True)]) > 3.5
+
+
 def test_hadamard_keeps_lengths():
     x = np.random.default_rng(1).normal(size=(5, 64))
     assert np.allclose(np.linalg.norm(neighbours.rotated(x, 3), axis=1), np.linalg.norm(x, axis=1))
-    assert np.array_equal(neighbours.axes(x, 2, 4)[:, :1], neighbours.axes(x, 2, 1))
+    assert np.array_equal(neighbours.codes(x, 1, 3)[:, 2] // 3, neighbours.signed_axes(x.astype(np.float32), 2).argmax(axis=1))
 
 
 PAGES = [(1, "http://a/\r\nx", "big " * 400), (2, None, "big " * 400), (9, "http://b/", "big " * 400), (3, "u", "small"), (4, "u", "small"), (5, "u", None), (6, "u", ""), (7, "é", "<p>ü\r\n\r\nWARC/1.1\r\n" * 90), (8, "u", "x" * 700_000)]
