@@ -126,6 +126,54 @@ def test_licence_rules():
     assert 0 <= licenses.scan("all rights reserved")[6] <= 1
 
 
+def brute_kept(found):
+    r = licenses.rules()
+
+    def within(f, g):
+        if not (g.start <= f.start and f.end <= g.end) or f == g:
+            return False
+        a, b = r[f.rule].priority, r[g.rule].priority
+        return b > a or (b == a and (g.end - g.start, -g.rule) > (f.end - f.start, -f.rule))
+
+    return sorted(f for f in set(found) if not any(within(f, g) for g in found))
+
+
+def test_licence_suppression_by_brute_force():
+    rng = random.Random(12)
+    for _ in range(500):
+        found = []
+        for _ in range(rng.randint(0, 25)):
+            a = rng.randint(0, 30)
+            found.append(licenses.Found(a, a + rng.randint(1, 12), rng.randrange(len(licenses.rules()))))
+        found = list(set(found))
+        assert licenses.kept_of(found) == brute_kept(found)
+
+
+def test_licence_detections_by_brute_force():
+    """All rules tried on every text, without keyword gates: the gates lose nothing."""
+    rng = random.Random(13)
+    parts = ["gnu general public license", "version 2", "or later", "any later version", "cc by", "sa 4 0", "creative commons attribution", "share alike", "mit license", "apache", "license version 2 0", "gpl", "bsd", "3 clause", "in the public domain", "all rights reserved", "licensed under the", "lorem", "ipsum dolor", "mozilla public license 2 0"]
+    for _ in range(150):
+        joined = f" {' '.join(rng.choice(parts) for _ in range(rng.randint(1, 14)))} "
+        every = [licenses.Found(m.start(), m.end(), i) for i, r in enumerate(licenses.rules()) for m in r.pattern.finditer(joined)]
+        assert licenses.detections(joined, set(joined.split())) == brute_kept(every)
+
+
+def test_licence_rules_are_distinct():
+    rules = licenses.rules()
+    assert len({r.pattern.pattern for r in rules}) == len(rules)
+    for label, pattern, keywords, _ in licenses.HAND:
+        assert all(any(w in pattern or w.replace("licen", "licen[cs]e")[:5] in pattern for w in k.split("|")) for k in keywords.split()), (label, keywords)
+
+
+def test_licence_scan_of_repetitive_text_is_linear():
+    import time
+
+    began = time.time()
+    got = licenses.scan("gpl foo all rights reserved " * 100_000)
+    assert got[0] == 500_000 and got[1] == 100_000 and got[7].count(",") == 199_999 and time.time() - began < 30
+
+
 def test_licence_table(spark, odd, none):
     got = licenses.scanned(odd).collect()
     assert [(r.n_words, r.n_base, r.first_word, r.base_labels, r.labels, r.score) for r in got][2] == (0, 0, None, "", "", 0.0)
