@@ -39,14 +39,26 @@ ALLOWED = tuple(
             r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",  # UUID
             r"[0-9+/_=-]+",  # numbers, dates, rules
             r"[A-Za-z+/_=-]+",  # words and paths without any digit
-            r"(?i).*(example|sample|dummy|placeholder|changeme|your[_-]?(key|token|secret)|xxxx|0000|1234567|abcdefg).*",
-            r"(sha(1|224|256|384|512)|md5)[-_=].*",  # integrity sums
+            r"(?i)(sha(1|224|256|384|512)|md5)[-_].*",  # integrity sums
             r"[A-Za-z]+([_/-]+[A-Za-z]+)*[_/-]*[0-9]{1,4}",  # names with a number behind
         ),
     )
 )
 
 
+#: Words and runs that stand in for a secret; a candidate is allowed if at least half of it is made of them, or if one of the
+#: words of _GLUED is grown together with its beginning or its end.
+PLACEHOLDER = re.compile(r"(?i)(?:(?:example|sample|dummy|placeholder|changeme|change[_-]me|insert|redacted|your|my|test|fake|here|key|token|secret|password|access|api)[/_+-]*|(.)\1{3,}|0123456789|123456789?|abcdefgh?i?j?)+")
+
+
+_GLUED = re.compile(r"(?i)(?:example|sample|dummy|placeholder|changeme)(?:key|token|secret)?(?![/_=-])")
+_GLUED_END = re.compile(r"(?i)[^/_=-](?:example|sample|dummy|placeholder|changeme)(?:key|token|secret)?$")
+
+
+def placeholder(candidate: str) -> bool:
+    return bool(_GLUED.match(candidate) or _GLUED_END.search(candidate)) or 2 * sum(m.end() - m.start() for m in PLACEHOLDER.finditer(candidate)) >= len(candidate)
+
+
 def window_entropy(text: str, window: int = WINDOW) -> float:
     """The largest Shannon entropy (bits a character) of any window of the text; of the whole text if it is shorter.
 
@@ -76,10 +88,11 @@ def window_entropy(text: str, window: int = WINDOW) -> float:
 def suspicious(candidate: str) -> bool:
     for _, members, least in CLASSES:
         if members.issuperset(candidate):
-            return window_entropy(candidate) >= least and not any(a.fullmatch(candidate) for a in ALLOWED)
+            return window_entropy(candidate) >= least and not placeholder(candidate) and not any(a.fullmatch(candidate) for a in ALLOWED)
     return False
 
 
+_PIECE = re.compile(r"[^=]+")
 _KEYLIKE = np.zeros(128, bool)
 _KEYLIKE[[ord(c) for c in CLASSES[-1][1]]] = True
 
@@ -107,7 +120,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def spans(text: str | None) -> list[tuple[int, int, int]]:
-    """All (start, end, kind), by start, then kind as listed. Entropy spans lie within no span of a fixed kind."""
+    """All (start, end, kind), by start, then kind as listed. An entropy span that lies within a span of a fixed kind is left out;
+    one that reaches beyond it stays, and the two overlap."""
     if not text:
         return []
     out = base_spans(text)
@@ -116,13 +130,13 @@ def spans(text: str | None) -> list[tuple[int, int, int]]:
     for start, end in _runs(codes):
         run = text[start:end]
         out += [(start + m.start(), start + m.end(), 2) for m in HEX.finditer(run)]
-        # a name before the last sign of equality isn't part of the value
-        lead = run.rstrip("=").rfind("=") + 1
-        core = run[lead:].strip("-_/=+") if lead else run.strip("-_/=+")
-        at = start + lead + run[lead:].find(core) if core else start
-        if len(core) >= WINDOW and suspicious(core):
-            found.append((at, at + len(core), 3))
-    out += [x for x in found if not any(a < x[1] and x[0] < b for a, b, _ in out)]
+        # names and values stand on both sides of a sign of equality: each piece is a candidate of its own
+        for m in _PIECE.finditer(run):
+            core = m[0].strip("-_/+")
+            at = start + m.start() + m[0].find(core) if core else start
+            if len(core) >= WINDOW and suspicious(core):
+                found.append((at, at + len(core), 3))
+    out += [x for x in found if not any(a <= x[0] and x[1] <= b for a, b, _ in out)]
     return sorted(out, key=lambda x: (x[0], x[2], x[1]))
 
 
