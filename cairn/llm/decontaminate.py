@@ -7,6 +7,9 @@ so the tables of all such block values miss none. Each candidate window is then
 weighted shingle sets (a shingle weighs as often as it occurs): the sum of smaller weights over that of larger ones.
 
 Only windows that hold a shingle of some item need a fingerprint: without a common shingle the similarity is zero.
+
+An item of fewer than five words is one shingle of all its words: it is like a window of a document only if the window has the
+same words, so all runs of that many words are looked up.
 """
 
 from __future__ import annotations
@@ -22,18 +25,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cairn.llm import tokens
-from cairn.llm.shared import slices
+from cairn.llm.shared import saved, slices
 
 #: Words of a shingle and least similarity.
 WORDS, SIMILARITY = 5, 0.8
 #: Differing bits of candidates (windows of a similarity of 0.8 differ in 10 on average, in more than 19 in one of 2,000 cases) and blocks.
-RADIUS, BLOCKS = 19, 4
+RADIUS, BLOCKS = 19, 5
 #: Shingles of an item's window at most; a longer item is looked for by each of its parts of that size.
 LARGEST = 250
-#: Bytes of tables that a worker keeps.
-KEPT = 192_000_000
-#: Characters of benchmark text that are broadcast at once; a larger benchmark is taken in as many passes as it needs.
-PASS_CHARS = 4_000_000
+#: Characters and items of a benchmark that are broadcast at once; a larger benchmark is taken in as many passes as it needs. The
+#: tables of a pass take 5 kB for each item and 41 kB for each size of windows, so 95 MB at most.
+PASS_CHARS, PASS_ITEMS = 4_000_000, 1 << 14
+#: Passes of one stage; the finds of these are written before the next ones.
+STAGE_PASSES = 4
+#: Bytes that the look-up of windows in the tables takes at once.
+LOOKED_UP = 1 << 24
 
 
 class Part(NamedTuple):
@@ -46,18 +52,16 @@ class Part(NamedTuple):
 
 
 class Index:
-    """Items by the size of their windows. Tables are made by the workers, when first needed, and kept up to KEPT bytes."""
+    """Items by the size of their windows. A size's tables are made by the workers, when first needed, and kept."""
 
-    def __init__(self, ids: list, words: int, known: np.ndarray, by_size: dict[int, list[Part]], radius: int, blocks: int):
-        self.ids, self.words, self.known, self.radius, self.blocks = ids, words, known, radius, blocks
+    def __init__(self, ids: list, words: int, known: np.ndarray, by_size: dict[int, list[Part]], short: dict[int, tuple[np.ndarray, np.ndarray]], radius: int, blocks: int):
+        self.ids, self.words, self.known, self.short, self.radius, self.blocks = ids, words, known, short, radius, blocks
         self.by_size = {n: (found, np.array([p.print for p in found], np.uint64)) for n, found in sorted(by_size.items())}
         self.tables: dict[int, list[np.ndarray]] = {}
 
     def of(self, size: int) -> tuple[list[Part], np.ndarray, list[np.ndarray]]:
         parts, prints = self.by_size[size]
         if size not in self.tables:
-            if sum(t.nbytes for x in self.tables.values() for t in x) > KEPT:
-                self.tables.clear()
             self.tables[size] = multi_index(prints, self.radius, self.blocks)
         return parts, prints, self.tables[size]
 
@@ -69,45 +73,60 @@ def _near(value: int, bits: int, radius: int):
             yield value ^ sum(1 << f for f in flips)
 
 
+def _cut(blocks: int) -> list[tuple[int, int]]:
+    """First bit and number of bits of each block."""
+    widths = [64 // blocks + (k < 64 % blocks) for k in range(blocks)]
+    return [(sum(widths[:k]), w) for k, w in enumerate(widths)]
+
+
 def multi_index(prints: np.ndarray, radius: int, blocks: int) -> list[np.ndarray]:
-    """For each block a table (2**bits rows) of bit sets: which fingerprints have a value within radius // blocks of the row's."""
-    bits, limbs = 64 // blocks, (len(prints) + 63) // 64
-    masks = np.array(sorted(_near(0, bits, radius // blocks)), np.int64)
+    """For each block a table (a row for each value) of bit sets: which fingerprints have a value within radius // blocks of it."""
     out = []
-    for k in range(blocks):
-        table = np.zeros((1 << bits, limbs), np.uint64)
+    for first, bits in _cut(blocks):
+        masks = np.array(sorted(_near(0, bits, radius // blocks)), np.int64)
+        table = np.zeros((1 << bits, (len(prints) + 7) // 8), np.uint8)
         for i, fp in enumerate(prints):
-            value = (int(fp) >> (bits * k)) & ((1 << bits) - 1)
-            table[masks ^ value, i // 64] |= np.uint64(1 << (i % 64))
+            table[masks ^ ((int(fp) >> first) & ((1 << bits) - 1)), i // 8] |= np.uint8(1 << (i % 8))
         out.append(table)
     return out
 
 
 def candidates(windows: np.ndarray, prints: np.ndarray, tables: list[np.ndarray], radius: int) -> tuple[np.ndarray, np.ndarray]:
     """(window, item) of all pairs within the radius."""
-    blocks = len(tables)
-    bits = 64 // blocks
-    mask = np.uint64((1 << bits) - 1)
-    hits = tables[0][(windows & mask).astype(np.int64)]
-    for k in range(1, blocks):
-        hits = hits | tables[k][((windows >> np.uint64(bits * k)) & mask).astype(np.int64)]
-    some = np.flatnonzero(hits.any(axis=1))
-    w, i = np.nonzero(np.unpackbits(np.ascontiguousarray(hits[some]).view(np.uint8), axis=1, bitorder="little")[:, : len(prints)])
-    close = np.bitwise_count(windows[some[w]] ^ prints[i]) <= radius
-    return some[w[close]], i[close]
+    out = []
+    step = max(1, LOOKED_UP // max(1, len(prints)))
+    for start in range(0, len(windows), step):
+        part = windows[start : start + step]
+        hits = np.zeros((len(part), tables[0].shape[1]), np.uint8)
+        for (first, bits), table in zip(_cut(len(tables)), tables, strict=True):
+            hits |= table[((part >> np.uint64(first)) & np.uint64((1 << bits) - 1)).astype(np.int64)]
+        some = np.flatnonzero(hits.any(axis=1))
+        w, i = np.nonzero(np.unpackbits(hits[some], axis=1, bitorder="little")[:, : len(prints)])
+        close = np.bitwise_count(part[some[w]] ^ prints[i]) <= radius
+        out.append((start + some[w[close]], i[close]))
+    w, i = zip(*out, strict=True) if out else ((np.zeros(0, np.int64),),) * 2
+    return np.concatenate(w), np.concatenate(i)
 
 
 def build_index(ids: list, texts: list[str | None], words: int = WORDS, radius: int = RADIUS, blocks: int = BLOCKS) -> Index:
     """Items without words can't be found and are left out."""
-    h, bounds = tokens.shingled(*tokens.hashed(texts), words)
+    tokens_, token_bounds = tokens.hashed(texts)
+    counts = np.diff(token_bounds)
+    h, bounds = tokens.shingled(tokens_, token_bounds, words)
     parts: dict[int, list[Part]] = {}
+    short: dict[int, list[tuple[int, int]]] = {}
     for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
         n = b - a
+        if 0 < counts[i] < words:
+            short.setdefault(int(counts[i]), []).append((int(h[a]), i))
+            continue
         for at in [0] if n <= LARGEST else [*range(0, n - LARGEST, LARGEST), n - LARGEST]:
             own = h[a + at : a + min(n, at + LARGEST)]
             if len(own):
                 parts.setdefault(len(own), []).append(Part(i, len(own), np.sort(own), tokens.simhash(own)))
-    return Index(list(ids), words, np.unique(h), parts, radius, blocks)
+    looked = {n: (np.array([x for x, _ in sorted(found)], np.uint64), np.array([i for _, i in sorted(found)])) for n, found in short.items()}
+    known = np.unique(np.concatenate([h[bounds[i] : bounds[i + 1]] for i in np.flatnonzero(counts >= words)])) if (counts >= words).any() else h[:0]
+    return Index(list(ids), words, known, parts, looked, radius, blocks)
 
 
 def weighted_similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -121,6 +140,12 @@ def matches(index: Index, texts: list[str | None], similarity: float, radius: in
     """For each text, the items found in it with their largest similarity."""
     out: list[dict[int, float]] = [{} for _ in texts]
     h, bounds = tokens.hashed(texts)
+    for n, (known, items) in index.short.items():
+        runs, place = tokens.runs(h, bounds, n)
+        lo, hi = (np.searchsorted(known, runs, side) for side in ("left", "right"))
+        hit = np.flatnonzero(hi > lo)
+        for d, x, y in set(zip((np.searchsorted(bounds, place[hit], side="right") - 1).tolist(), lo[hit].tolist(), hi[hit].tolist(), strict=True)):
+            out[d].update(dict.fromkeys(items[x:y].tolist(), 1.0))
     own, own_bounds = tokens.shingled(h, bounds, index.words)
     if not len(own) or not len(index.known):
         return out
@@ -168,23 +193,32 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     ``n_items`` and ``similarity`` (the largest, 0 without a find).
 
     Null and empty texts, and an empty benchmark, give no finds; items that are null or without words are never found; items
-    with the same text are all found. Items of fewer than five words are one shingle of all their words and are looked for
-    only in documents that also have so few. Rows are scanned where they are read; the benchmark is broadcast in passes of
-    up to ``pass_chars`` characters, and the finds of several passes are joined row by row without a shuffle.
+    with the same text, and several items of an id, are all looked for. An item of one to four words is found wherever these
+    words follow one another. Repeated rows are each scanned. Columns of ``keep`` may have any name other than those that the
+    result has itself; no other columns are read. Rows are scanned where they are read, without a shuffle; the benchmark is
+    broadcast in passes of up to about ``pass_chars`` characters and PASS_ITEMS items, and the finds are written after every
+    STAGE_PASSES of them, so that neither the plan nor a worker grows with the benchmark.
     """
     spark = docs.sparkSession
+    rest = [id_col, *(c for c in keep if c != id_col)]
+    if clash := {"items", "n_items", "similarity"} & set(rest):
+        raise ValueError(f"columns {sorted(clash)} are those of the result")
     items = benchmark.select(benchmark[item_col].alias("id"), benchmark[item_text_col].alias("text")).where("id is not null and text is not null")
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    passes = max(1, -(-chars // pass_chars))
+    chars, count = items.agg(F.sum(F.length("text")), F.count("*")).first()
+    passes = max(1, -(-(chars or 0) // pass_chars), -(-count // PASS_ITEMS))
     slot = F.pmod(F.xxhash64("id", "text"), F.lit(passes))
-    rest = [id_col, *(c for c in keep if c != id_col)]
     item_type = benchmark.schema[item_col].dataType
-    out = docs.select(*(docs[c] for c in rest), docs[text_col].alias("__text"), F.array().cast(T.ArrayType(item_type)).alias("items"), F.lit(0.0).alias("similarity"))
+    # names of our own while passing, so that none can clash
+    names = [f"__c{i}" for i in range(len(rest))]
+    out = docs.select(*(docs[c].alias(n) for c, n in zip(rest, names, strict=True)), docs[text_col].alias("__text"), F.array().cast(T.ArrayType(item_type)).alias("items"), F.lit(0.0).alias("similarity"))
     for k in range(passes):
         some = sorted(items.where(slot == k).collect(), key=lambda r: (str(r["id"]), r["text"]))
         index = spark.sparkContext.broadcast(build_index([r["id"] for r in some], [r["text"] for r in some], words, radius))
-        out = out.mapInArrow(_pass(index, rest, similarity, radius, out.schema), out.schema)
-    return out.select(*rest, F.array_sort(F.array_distinct("items")).alias("items"), F.size(F.array_distinct("items")).cast("long").alias("n_items"), "similarity")
+        out = out.mapInArrow(_pass(index, names, similarity, radius, out.schema), out.schema)
+        if k % STAGE_PASSES == STAGE_PASSES - 1 and k + 1 < passes:
+            out = saved(out, "passes")
+    found = F.array_sort(F.array_distinct("items"))
+    return out.select(*(F.col(n).alias(c) for c, n in zip(rest, names, strict=True)), found.alias("items"), F.size(found).cast("long").alias("n_items"), "similarity")
 
 
 def _pass(index, rest: list[str], similarity: float, radius: int, schema: T.StructType):

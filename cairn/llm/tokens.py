@@ -115,6 +115,17 @@ def shingled(h: np.ndarray, bounds: np.ndarray, words: int) -> tuple[np.ndarray,
     return mixed(out), out_bounds
 
 
+def runs(h: np.ndarray, bounds: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of ``words`` tokens within a text, and the token at which each begins. A text of just so many tokens
+    has the same hash here as in ``shingled``, where it is shorter than a shingle."""
+    value = np.full(max(0, len(h) - words + 1), np.uint64(words), np.uint64)
+    for k in range(words):
+        value = value * np.uint64(_BASE) + h[k : len(h) - words + 1 + k]
+    text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    place = np.flatnonzero(text[: len(value)] == text[words - 1 :]) if len(value) else np.zeros(0, np.int64)
+    return mixed(value[place]), place
+
+
 _ONES = np.uint64(0x0101010101010101)
 _TOPS = np.uint64(0x8080808080808080)
 

@@ -216,6 +216,10 @@ def brute_items(text, items):
     found, own = {}, grams(text or "")
     for i, t in items:
         want = grams(t or "")
+        if want and len(want[0]) < 5:  # a short item: its words in a row
+            if want[0] in grams(text or "", len(want[0])):
+                found[i] = 1.0
+            continue
         n = min(len(want), len(own))
         for a in range(len(own) - n + 1) if n else ():
             x, y = {}, {}
@@ -232,7 +236,7 @@ def brute_items(text, items):
 
 def test_decontamination(spark):
     rng = random.Random(6)
-    items = [(i, " ".join(words(rng, rng.randint(20, 60)))) for i in range(30)] + [(90, None), (91, ""), (92, "one two"), (93, " ".join(words(rng, 400)))]
+    items = [(i, " ".join(words(rng, rng.randint(20, 60)))) for i in range(30)] + [(90, None), (91, ""), (92, "one two"), (93, " ".join(words(rng, 400))), (94, "Alone"), (95, "alone"), (96, "five is not short now")]
     docs = []
     for d in range(60):
         w = words(rng, rng.randint(5, 300))
@@ -247,6 +251,7 @@ def test_decontamination(spark):
             w[at:at] = [passage[0].upper() + ",", *passage[1:]]
         docs.append((d, " ".join(w)))
     docs += [(100, items[33][1]), (101, "one two"), (102, items[3][1] + "."), (103, None), (104, "")]
+    docs += [(105, "here One, two and three"), (106, "one"), (107, "two one"), (108, "all alone"), (109, "five is not short"), (110, "so five is not short now it")]
     df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     got = {r.doc_id: (r["items"], round(r.similarity, 6)) for r in decontaminate.contaminated(df, bench).collect()}
     short = [x for x in items if x[0] != 93]
@@ -264,13 +269,18 @@ def test_decontamination_cases(spark, odd, none):
     assert got[1] == [1] and all(v == [] for k, v in got.items() if k != 1)
     assert decontaminate.contaminated(odd, bench.where("item_id > 5")).where("n_items > 0").count() == 0
     assert decontaminate.contaminated(none, bench).count() == 0
+    kept = decontaminate.contaminated(odd, bench, keep=("root", "__text", "id")).collect()
+    assert len(kept) == len(ODD) and {r["root"] for r in kept} == {"clash"} and sum(r.n_items for r in kept) == 2
+    with pytest.raises(ValueError):
+        decontaminate.contaminated(odd, bench, keep=("similarity",))
 
 
-def test_multi_index_misses_nothing():
+@pytest.mark.parametrize("blocks", [4, 5])
+def test_multi_index_misses_nothing(blocks):
     rng = np.random.default_rng(2)
     prints = rng.integers(0, 2**64, 70, dtype=np.uint64)
     windows = np.array([int(p) ^ sum(1 << int(b) for b in rng.choice(64, k, replace=False)) for p in prints for k in (0, 5, 12, 19, 20)], np.uint64)
-    w, i = decontaminate.candidates(windows, prints, decontaminate.multi_index(prints, 19, 4), 19)
+    w, i = decontaminate.candidates(windows, prints, decontaminate.multi_index(prints, 19, blocks), 19)
     a, b = np.nonzero(np.bitwise_count(windows[:, None] ^ prints[None, :]) <= 19)
     assert sorted(zip(w, i, strict=True)) == sorted(zip(a, b, strict=True))
 
