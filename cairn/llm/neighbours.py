@@ -25,7 +25,9 @@ from cairn.llm.shared import blocked, saved
 FEW_TABLES, FEW_PROBES = 8, 80
 TABLES, PROBES = 40, 2000
 #: Axes of a hash that probes are made of, and how many prefixes of a bucket are carried on.
-NEAREST_AXES, BEAM = 24, 2048
+NEAREST_AXES, BEAM = 24, 320
+#: Vectors and queries that are coded at once.
+CODED, PROBING = 1024, 64
 #: Candidates that are reranked, times k, and what two sketched cosines may be off together.
 RERANKED, SKETCH_ERROR = 4, 0.01
 #: Index rows that share a task of the comparison, and candidates and queries of a task at most.
@@ -136,8 +138,9 @@ def _coded(rows: DataFrame, sizes: dict[int, int], querying: bool) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for start in range(0, batch.num_rows, 1024):
-                part = batch.slice(start, 1024)
+            step = PROBING if querying else CODED
+            for start in range(0, batch.num_rows, step):
+                part = batch.slice(start, step)
                 dims, vectors = part.column("dim").to_numpy(), part.column("v").to_pylist()
                 buckets: list = [None] * len(vectors)
                 held: list = [None] * len(vectors)
