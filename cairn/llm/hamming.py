@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from cairn.llm.shared import blocked, saved
 
 #: Fingerprints that a tree is built on at most, those that a leaf should hold, and the deepest tree.
-SAMPLE, LEAF, DEEPEST = 1 << 15, 4096, 12
+SAMPLE, LEAF, DEEPEST = 1 << 16, 4096, 16
 #: Rows of a task at most, at home and as guests.
 HOME_ROWS, GUEST_ROWS = 1 << 15, 1 << 18
 #: Rows that first join what is close to them, and guests of one group in one cell that are compared with other groups only.
@@ -45,6 +45,8 @@ def build(sample: np.ndarray, depth: int) -> Tree:
     parts = {0: np.sort(sample)}
     for k in range(n):
         part = parts.pop(k, np.zeros(0, np.uint64))
+        if not len(part) and len(sample):
+            vantage[k] = sample[k % len(sample)]
         if len(part):
             tried = part[:: max(1, len(part) // 8)][:8]
             found = [distance(part, v).astype(np.int64) for v in tried]
@@ -163,13 +165,15 @@ def linked(home: np.ndarray, guest: np.ndarray, radius: int, cells: int = 1 << 2
 def close_links(prints: DataFrame, radius: int, sample: int = SAMPLE, leaf: int = LEAF) -> DataFrame:
     """prints: distinct fp (long), a written table. Links a, b (fp, long) that make the same groups as all pairs within radius.
 
-    The driver holds up to ``sample`` fingerprints, from which the tree is made. Leaves and their guests are dealt in blocks
+    The driver holds about ``sample`` fingerprints at most, drawn by a hash where they are read, from which the tree is made;
+    nodes that the sample doesn't reach get vantage points all the same, as any cut is right. Leaves and their guests are dealt in blocks
     of bounded size, so a crowded leaf isn't one task. What a task gives out is at most one link for each of its rows.
     """
     spark = prints.sparkSession
     total = prints.count()
     depth = min(DEEPEST, max(0, int(np.ceil(np.log2(max(1, total) / leaf)))))
-    drawn = [r[0] for r in prints.orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()] if depth else []
+    uniform = F.xxhash64(F.lit("sample"), "fp") / F.lit(float(1 << 64)) + 0.5
+    drawn = [r[0] for r in prints.select("fp").where(uniform < min(1.0, sample / max(1, total))).collect()] if depth else []
     tree = spark.sparkContext.broadcast(build(np.array(drawn, np.int64).view(np.uint64), depth))
 
     def routes(batches):
@@ -184,12 +188,12 @@ def close_links(prints: DataFrame, radius: int, sample: int = SAMPLE, leaf: int
     return dealt_links(routed.where("home").select("leaf", "fp"), routed.select("leaf", "fp"), ["leaf"], ["fp"], radius)
 
 
-def dealt_links(home: DataFrame, guest: DataFrame, keys: list[str], words: list[str], radius: int) -> DataFrame:
+def dealt_links(home: DataFrame, guest: DataFrame, keys: list[str], words: list[str], radius: int, home_rows: int | None = None, guest_rows: int | None = None) -> DataFrame:
     """Links among the rows of the same keys, with the words of a fingerprint in columns ``words`` (long); see ``linked``.
 
     For one word the links' ends a and b are the fingerprints; for more, hashes of their words by ``node``.
     """
-    home, guest = blocked(home, guest, keys, words[0], HOME_ROWS, GUEST_ROWS)
+    home, guest = blocked(home, guest, keys, words[0], home_rows or HOME_ROWS, guest_rows or GUEST_ROWS)
     both = home.withColumn("at_home", F.lit(True)).unionByName(guest.withColumn("at_home", F.lit(False)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -22,21 +22,39 @@ def packed(shingles: np.ndarray) -> bytes:
     return np.unique(shingles.astype(np.uint32)).tobytes()
 
 
-def united(fp: np.ndarray, sets: list[np.ndarray], parent: np.ndarray, first: int, similarity: float, radius: int) -> np.ndarray:
+#: With more rows of other groups than this, those that can be like a row are looked up by the beginnings of their sets.
+LOOKED_UP = 64
+
+
+def united(sets: list[np.ndarray], parent: np.ndarray, first: int, similarity: float) -> np.ndarray:
     """parent after joining all pairs (i < first, j > i) whose sets have the similarity (shared over all members).
 
-    Only pairs of different groups are looked at, and of these only those whose sizes and fingerprints allow it.
+    Only pairs of different groups are looked at, and of these only those whose sizes allow it. Two sets (in order) of the
+    similarity share at least that part of either, so their beginnings, as long as what may be missing and one more, share a
+    member: where many rows are left, only rows found so are compared. Nothing is lost by either test.
     """
     sizes = np.array([len(s) for s in sets])
+    begin = sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1
+    begin[sizes == 0] = 0
+    table: tuple[np.ndarray, np.ndarray] | None = None
     parent = roots(parent)
     for i in range(first):
         some = i + 1 + np.flatnonzero(parent[i + 1 :] != parent[i])
         some = some[(np.minimum(sizes[some], sizes[i]) >= similarity * np.maximum(sizes[some], sizes[i])) & (sizes[some] > 0)]
-        some = some[np.bitwise_count(fp[some] ^ fp[i]).sum(axis=1, dtype=np.int64) <= radius]
+        own = sets[i]
+        if len(some) > LOOKED_UP:
+            if table is None:
+                values, owner = np.concatenate([s[:n] for s, n in zip(sets, begin, strict=True)]), np.repeat(np.arange(len(sets)), begin)
+                order = np.argsort(values, kind="stable")
+                table = values[order], owner[order]
+            lo, hi = (np.searchsorted(table[0], own[: begin[i]], side) for side in ("left", "right"))
+            met = np.zeros(len(sets), bool)
+            for x, y in zip(lo.tolist(), hi.tolist(), strict=True):
+                met[table[1][x:y]] = True
+            some = some[met[some]]
         if not len(some):
             continue
         members = np.concatenate([sets[j] for j in some])
-        own = sets[i]
         hit = own[np.minimum(np.searchsorted(own, members), len(own) - 1)] == members
         common = np.add.reduceat(hit.astype(np.int64), np.cumsum(sizes[some]) - sizes[some])
         close = some[common >= similarity * (sizes[i] + sizes[some] - common) - 1e-9]
@@ -44,14 +62,13 @@ def united(fp: np.ndarray, sets: list[np.ndarray], parent: np.ndarray, first: in
     return parent
 
 
-def _arrays(pdf: pd.DataFrame) -> tuple[np.ndarray, list[np.ndarray]]:
-    return np.ascontiguousarray(pdf[["fp0", "fp1"]].to_numpy(np.int64)).view(np.uint64), [np.frombuffer(g, np.uint32) for g in pdf["grams"]]
+def _sets(pdf: pd.DataFrame) -> list[np.ndarray]:
+    return [np.frombuffer(g, np.uint32) for g in pdf["grams"]]
 
 
-def verified_links(members: DataFrame, similarity: float, radius: int) -> DataFrame:
-    """members, a written table: root (a group of candidates), key (long, its own for each row), fp0, fp1 and grams (see
-    ``packed``). Links a, b between keys that make the same groups as all pairs of a root with the similarity and fingerprints
-    within the radius.
+def verified_links(members: DataFrame, similarity: float) -> DataFrame:
+    """members, a written table: root (a group of candidates), key (long, its own for each row) and grams (see ``packed``).
+    Links a, b between keys that make the same groups as all pairs of a root with the similarity.
 
     Small groups share tasks. A group of several blocks is compared block by block, each with the same few pivots, so a crowd
     of near copies is one group by then; what isn't in the largest such group is then compared with all rows, in blocks.
@@ -70,11 +87,11 @@ def verified_links(members: DataFrame, similarity: float, radius: int) -> DataFr
     def within(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["root", "pivot", "key"], ascending=[True, False, True], ignore_index=True)
         key, root = pdf["key"].to_numpy(), pdf["root"].to_numpy()
-        fp, sets = _arrays(pdf)
+        sets = _sets(pdf)
         cuts = np.concatenate(([0], np.flatnonzero(np.diff(root)) + 1, [len(root)]))
         a, b = [], []
         for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-            parent = united(fp[s:e], sets[s:e], np.arange(e - s), e - s, similarity, radius)
+            parent = united(sets[s:e], np.arange(e - s), e - s, similarity)
             moved = np.flatnonzero(parent != np.arange(e - s))
             a.append(key[s + moved])
             b.append(key[s + parent[moved]])
@@ -87,7 +104,7 @@ def verified_links(members: DataFrame, similarity: float, radius: int) -> DataFr
     links = saved(links, "links")
     label = connected(links).withColumnRenamed("root", "label")
     big = saved(
-        members.join(large.select("root"), "root").join(label, F.col("key") == F.col("node"), "left").select("root", "key", "fp0", "fp1", "grams", F.coalesce("label", "key").alias("label")), "big"
+        members.join(large.select("root"), "root").join(label, F.col("key") == F.col("node"), "left").select("root", "key", "grams", F.coalesce("label", "key").alias("label")), "big"
     )
     main = big.groupBy("root", "label").agg(F.count("*").alias("n")).groupBy("root").agg(F.max(F.struct("n", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1").select("root", F.col("main.label").alias("main"))
     guest = saved(big.join(main, "root"), "open")
@@ -96,10 +113,10 @@ def verified_links(members: DataFrame, similarity: float, radius: int) -> DataFr
 
     def across(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["at_home", "key"], ascending=[False, True], ignore_index=True)
-        fp, sets = _arrays(pdf)
+        sets = _sets(pdf)
         labels, first, own = np.unique(pdf["label"].to_numpy(), return_index=True, return_inverse=True)
         before = first[own]
-        after = united(fp, sets, before, int(pdf["at_home"].sum()), similarity, radius)
+        after = united(sets, before, int(pdf["at_home"].sum()), similarity)
         moved = first[after[first] != first]
         return pd.DataFrame({"a": pdf["label"].to_numpy()[moved], "b": pdf["label"].to_numpy()[after[moved]]})
 

@@ -103,7 +103,20 @@ def sketched(docs: DataFrame, words: int, shards: int, text_col: str = "text") -
 
 
 #: Rows of a shard that are compared in bulk with those of many other shards, and rows of such a bulk.
-FEW, BULK = 64, 1 << 13
+FEW, BULK = 64, 1 << 11
+#: A shard with more rows than this, and than one row in CROWDED_SHARDS, is known from a broadcast table (of as many rows at most).
+CROWDED_ROWS, CROWDED_SHARDS = 1024, 8192
+#: Rows of a task at home and as guests, in shards of more than FEW rows.
+HOME_ROWS, GUEST_ROWS = 1 << 13, 1 << 16
+#: Sets of up to so many shingles differ in more bits at the same similarity, as few shingles decide on each bit. Of the cases
+#: that the similarity allows, 4 shingles against 5 (0.8) differ most: in each bit with a chance of 3/16.
+SMALL, SMALL_SHARE = 50, 3 / 16
+
+
+def radii(bits: int, similarity: float) -> tuple[int, int]:
+    """Radius for all sets, and for small ones: 4.3 standard deviations over the mean at the similarity."""
+    share = SMALL_SHARE
+    return bits_apart(similarity, bits, 4.3), int(bits * share + 4.3 * (bits * share * (1 - share)) ** 0.5)
 
 
 def shard_links(dealt: DataFrame, radius: int) -> DataFrame:
@@ -113,8 +126,12 @@ def shard_links(dealt: DataFrame, radius: int) -> DataFrame:
     given out is a spanning forest, not all pairs.
     """
     dealt = saved(dealt, "dealt")
-    counts = dealt.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1")
-    shared = saved(dealt.join(counts, "shard"), "shards")
+    counts = saved(dealt.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1"), "counts")
+    limit = max(CROWDED_ROWS, dealt.count() // CROWDED_SHARDS)
+    crowded = F.broadcast(counts.where(F.col("n") > limit).select("shard", F.lit(True).alias("crowded")))
+    marked = dealt.join(crowded, "shard", "left")
+    rest = marked.where("crowded is null").drop("crowded").join(counts.where(F.col("n") <= limit), "shard")
+    shared = saved(rest.unionByName(marked.where("crowded").drop("crowded").withColumn("n", F.lit(FEW + 1).cast("long"))), "shards")
     few, many = shared.where(F.col("n") <= FEW), shared.where(F.col("n") > FEW).drop("n")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -140,7 +157,7 @@ def shard_links(dealt: DataFrame, radius: int) -> DataFrame:
 
     bulks = few.agg(F.ceil(F.count("*") / BULK)).first()[0] or 1
     bulk = few.groupBy(F.pmod(F.xxhash64("shard"), F.lit(int(bulks))).alias("bulk")).applyInPandas(run, "a0 long, a1 long, b0 long, b1 long")
-    return bulk.select(node(["a0", "a1"]).alias("a"), node(["b0", "b1"]).alias("b")).union(dealt_links(many, many, ["shard"], ["fp0", "fp1"], radius))
+    return bulk.select(node(["a0", "a1"]).alias("a"), node(["b0", "b1"]).alias("b")).union(dealt_links(many, many, ["shard"], ["fp0", "fp1"], radius, HOME_ROWS, GUEST_ROWS))
 
 
 def shingle_sets(rows: DataFrame, words: int, text_col: str) -> DataFrame:
@@ -163,28 +180,31 @@ def deduplicated(docs: DataFrame, similarity: float = 0.8, words: int = 5, shard
     """The rows of docs, one of each group of near duplicates: that with the smallest id (then the smallest hash of its text).
 
     Texts link if their sets of shingles have the similarity (shared over all). Candidates come from 128-bit fingerprints over
-    distinct shingles, at a radius three standard deviations beyond what the similarity makes on average. At so wide a radius
-    no triangle bound prunes, so fingerprints are first dealt to shards by minima of hashed shingles (a pair of similarity s
-    shares one of k shards with chance 1 - (1 - s)**k), and vantage points work within shards. The groups that candidates
-    make are then verified on whole sets. Texts without words are one group. Of repeated rows, and of rows with null ids in
-    a group, one stays.
+    distinct shingles, at a radius 4.3 standard deviations beyond what the similarity makes on average (a wider one among texts
+    of up to SMALL shingles). At so wide a radius no triangle bound prunes, so fingerprints are first dealt to shards by minima
+    of hashed shingles (a pair of similarity s shares one of k shards with chance 1 - (1 - s)**k), and vantage points work
+    within shards. The groups that candidates make are then verified on whole sets; fingerprints have no say in that.
+
+    Texts without words (null and empty ones too) are one group. Of repeated rows, and of rows with null ids in a group, one
+    stays. An empty table gives an empty one; columns of any name are carried along.
     """
     # names of our own for all columns, so that none can clash
     names = [f"__c{i}" for i in range(len(docs.columns))]
     own_id, own_text = (names[docs.columns.index(c)] for c in (id_col, text_col))
     key = F.xxhash64(F.coalesce(F.col(own_id).cast("string"), F.lit("\0")), F.coalesce(F.md5(own_text), F.lit("\0")))
     keyed = docs.toDF(*names).withColumn("key", key)
-    radius = bits_apart(similarity, slack=3.0)
+    radius, wider = radii(128, similarity)
     sketch = saved(sketched(keyed.select(F.col(own_id).alias("id"), F.col("key").alias("row_key"), F.col(own_text).alias("text")), words, shards), "sketch")
-    nodes = saved(sketch.groupBy("fp0", "fp1").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row_key")).alias("least"), F.max("keys").alias("keys")), "nodes")
-    found = connected(shard_links(nodes.select(F.explode("keys").alias("shard"), "fp0", "fp1"), radius))
+    nodes = saved(sketch.groupBy("fp0", "fp1").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row_key")).alias("least"), F.max("keys").alias("keys"), F.min("n").alias("n")), "nodes")
+    shards_of = lambda some: some.select(F.explode("keys").alias("shard"), "fp0", "fp1")
+    found = connected(shard_links(shards_of(nodes), radius).union(shard_links(shards_of(nodes.where(F.col("n") <= SMALL)), wider)))
     ends = found.select("node", "root").union(found.select(F.col("root").alias("node"), "root")).distinct()
-    grouped_nodes = nodes.withColumn("node", node(["fp0", "fp1"])).join(ends, "node", "left").select(F.col("least.row_key").alias("key"), "least", "fp0", "fp1", "root")
+    grouped_nodes = nodes.withColumn("node", node(["fp0", "fp1"])).join(ends, "node", "left").select(F.col("least.row_key").alias("key"), "least", "root")
     # one row of each fingerprint, with its group of candidates; null where it is alone
     distinct = saved(keyed.join(grouped_nodes, "key").dropDuplicates(["key"]), "distinct")
     several = distinct.where("root is not null")
-    members = saved(shingle_sets(several.select("root", "key", "least", "fp0", "fp1", own_text), words, own_text), "members")
-    labels = connected(verified_links(members.drop("least"), similarity, radius)).withColumnRenamed("root", "label")
+    members = saved(shingle_sets(several.select("root", "key", "least", own_text), words, own_text), "members")
+    labels = connected(verified_links(members.drop("least"), similarity)).withColumnRenamed("root", "label")
     labelled = members.select("key", "least").join(labels, F.col("key") == F.col("node"), "left").select(F.coalesce("label", "key").alias("label"), "least")
     stays = labelled.groupBy("label").agg(F.min("least").alias("least")).select(F.col("least.row_key").alias("key"))
     out = distinct.where("root is null").select(*names).union(several.join(stays, "key", "left_semi").select(*names))

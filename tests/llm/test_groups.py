@@ -114,6 +114,27 @@ def test_grouped(spark, odd, none):
     assert simhash.grouped(none).count() == 0
 
 
+def test_grouped_by_brute_force(spark):
+    """Component ids of a whole table: texts whose fingerprints are chained, copies, repeated rows, a hub."""
+    rng = random.Random(31)
+    rows = []
+    for _ in range(25):
+        w = words(rng, 300)
+        for _ in range(rng.randint(1, 5)):
+            rows.append((rng.randint(0, 10_000), " ".join(w)))
+            w[rng.randrange(300)] = "other"
+    rows += [(7, None), (3, ""), (20_000, rows[0][1]), rows[1], rows[1]]
+    rows += [(30_000 + i, rows[2][1]) for i in range(400)]
+    prints = [brute_fingerprint(t) for _, t in rows]
+    groups = close_groups(prints, 3)
+    least = {}
+    for (i, _), g in zip(rows, groups, strict=True):
+        least[g] = min(i, least.get(g, i))
+    got = simhash.grouped(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert sorted((r.doc_id, r.fingerprint, r.component_id) for r in got) == sorted((i, f"{p:016x}", least[g]) for (i, _), p, g in zip(rows, prints, groups, strict=True))
+    assert len(set(least.values())) < len(set(prints))
+
+
 def words(rng, n):
     return [f"w{rng.randint(0, 5000)}" for _ in range(n)]
 
@@ -181,14 +202,41 @@ def test_deduplicated_at_the_similarity(spark):
     assert sorted(r.doc_id for r in simhash.deduplicated(df).collect()) == want
 
 
+def test_deduplicated_short_texts(spark):
+    """Texts of few shingles: one word more (4 against 5 shingles, 0.8), and 12 shared of 15."""
+    rng = random.Random(21)
+    docs = []
+    for _ in range(120):
+        w = words(rng, 8)
+        docs += [" ".join(w), " ".join([*w, f"more{rng.randint(0, 10**6)}"])]
+    for _ in range(60):
+        w = words(rng, 17)
+        docs += [" ".join([*w[:16], "x1"]), " ".join([*w[:16], f"y{rng.randint(0, 10**6)}", "z"])]
+    docs = list(enumerate(docs))
+    want = sorted(set(brute_groups(docs).tolist()))
+    assert len(want) <= len(docs) - 120
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in docs], SCHEMA).repartition(3)
+    assert sorted(r.doc_id for r in simhash.deduplicated(df).collect()) == want
+
+
+@pytest.mark.parametrize("looked_up", [0, 64, 10**9])
+def test_united_by_brute_force(monkeypatch, looked_up):
+    monkeypatch.setattr(jaccard, "LOOKED_UP", looked_up)
+    docs = varied(14, 30)
+    sets = [np.frombuffer(jaccard.packed(np.array([xxhash.xxh64_intdigest(" ".join(s)) for s in own], np.uint64)), np.uint32) for own in sets_of(docs)]
+    sets += [np.zeros(0, np.uint32)] * 2
+    got = jaccard.united(sets, np.arange(len(sets)), len(sets), 0.8)
+    assert hamming.roots(got).tolist() == [*brute_groups(docs).tolist(), len(docs), len(docs) + 1]
+
+
 @pytest.mark.parametrize("block", [1 << 20, 9000])
 def test_verified_links(spark, tmp_path, monkeypatch, block):
     monkeypatch.setattr(jaccard, "BLOCK", block)
     monkeypatch.setattr(jaccard, "ACROSS", 16)
     docs = varied(9)
-    rows = [(i % 2, i, 0, 0, jaccard.packed(np.array([xxhash.xxh64_intdigest(" ".join(s)) for s in own], np.uint64))) for (i, _), own in zip(docs, sets_of(docs), strict=True)]
-    spark.createDataFrame(rows, "root long, key long, fp0 long, fp1 long, grams binary").write.parquet(str(tmp_path / "m"))
-    links = jaccard.verified_links(spark.read.parquet(str(tmp_path / "m")), 0.8, 31).collect()
+    rows = [(i % 2, i, jaccard.packed(np.array([xxhash.xxh64_intdigest(" ".join(s)) for s in own], np.uint64))) for (i, _), own in zip(docs, sets_of(docs), strict=True)]
+    spark.createDataFrame(rows, "root long, key long, grams binary").write.parquet(str(tmp_path / "m"))
+    links = jaccard.verified_links(spark.read.parquet(str(tmp_path / "m")), 0.8).collect()
     for half in (0, 1):
         own = [d for d in docs if d[0] % 2 == half]
         place = {d[0]: k for k, d in enumerate(own)}
