@@ -3,6 +3,9 @@
 A text is cut into chunks that overlap. Each chunk is pre-tokenised on its own. Two neighbours are stitched at the first
 pre-token boundary that both have inside their overlap, at which what follows no longer depends on where a chunk began;
 where there is none, the overlap is widened. Each piece is then encoded by the ranks; decoding joins the pieces' bytes.
+
+The chunks of long texts are rows of their own: tasks pre-tokenise them in parallel, neighbours meet in a join of their
+boundaries, and tasks encode what lies between two seams. Short texts are encoded where they are read.
 """
 
 from __future__ import annotations
@@ -19,12 +22,15 @@ import pyarrow as pa
 import regex
 import tiktoken
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairn.llm.shared import slices
+from cairn.llm.shared import saved, slices
 
 #: Characters of a chunk, and of what two neighbours share.
 CHUNK, OVERLAP = 1 << 16, 1 << 10
+#: Texts of more characters than this are cut into chunks that are dealt to tasks.
+LONG = 1 << 20
 #: Characters behind a boundary that the pattern's look-ahead may read; boundaries nearer to a chunk's end aren't trusted.
 LOOKAHEAD = 2
 #: A worker remembers the ids of so many pieces of up to so many bytes.
@@ -102,20 +108,26 @@ class Codec:
             self.bytes_of[rank] = raw
         self.pattern, self.chunk, self.overlap = regex.compile(pattern), chunk, overlap
         self.narrow, self.wide = narrowed(pattern), re.compile(f"[^\\x00-\\u{NARROW - 1:04x}]")
-        self.core = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        # one piece at a time: the pattern of the library's encoding takes whatever it is given as one pre-token
+        self.core = tiktoken.Encoding("ranks", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
         self.known: dict[str, bytes] = {}
 
     def piece(self, piece: str) -> bytes:
-        raw = piece.encode("utf-8", "replace")
-        ids = array("I", self.core._encode_single_piece(raw)).tobytes()
-        if len(raw) <= SHORT and len(self.known) < REMEMBERED:
+        ids = array("I", self.core.encode_ordinary(piece)).tobytes()
+        if len(piece) <= SHORT and len(self.known) < REMEMBERED:
             self.known[piece] = ids
         return ids
 
+    def pattern_for(self, text: str):
+        return self.narrow if self.narrow and not self.wide.search(text) else self.pattern
+
     def encode(self, text: str | None) -> bytes:
-        known, piece, text = self.known, self.piece, text or ""
-        pattern = self.narrow if self.narrow and not self.wide.search(text) else self.pattern
-        return b"".join([known.get(p) or piece(p) for p in pretokenised(pattern, text, self.chunk, self.overlap)])
+        text = text or ""
+        return self.pieces(pretokenised(self.pattern_for(text), text, self.chunk, self.overlap))
+
+    def pieces(self, parts) -> bytes:
+        known, piece = self.known, self.piece
+        return b"".join([known.get(p) or piece(p) for p in parts])
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, array("I", ids)))
@@ -126,30 +138,96 @@ def codec(ranks_path: str, pattern: str, chunk: int, overlap: int) -> Codec:
     return Codec(ranks_path, pattern, chunk, overlap)
 
 
-def encoded(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+def encoded(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, chunk: int = CHUNK, overlap: int = OVERLAP, long: int = LONG) -> DataFrame:
     """One row per row of docs: the id, ``n_tokens``, ``ids`` (array<int>) and ``decoded`` (binary, from the ids).
 
     digest: ``ids_sha256`` and ``decoded_sha256`` in place of the last two. A null text encodes as an empty one, an empty
-    one as no ids; repeated rows are each encoded; other columns are not read. A text of any length is read whole, a chunk
-    at a time. There is no shuffle: rows are encoded where they are read.
+    one as no ids; repeated rows are each encoded; an empty table gives an empty one; other columns are not read. A text of
+    any length is read whole, a chunk at a time. Texts of up to ``long`` characters are encoded where they are read; only the
+    chunks of longer ones are shuffled, and only one text's ids are put together in a task, as they make one row.
     """
     id_type = docs.schema[id_col].dataType
     kinds = [("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())] if digest else [("ids", T.ArrayType(T.IntegerType())), ("decoded", T.BinaryType())]
     schema = T.StructType([T.StructField(id_col, id_type), T.StructField("n_tokens", T.LongType()), *(T.StructField(*k) for k in kinds)])
     arrow = [pa.int64(), pa.string(), pa.string()] if digest else [pa.int64(), pa.list_(pa.int32()), pa.binary()]
+    chunk, overlap = max(2, chunk), max(1, min(overlap, chunk - 1))
+
+    def told(c: Codec, ids: bytes) -> tuple:
+        raw = c.decode(ids)
+        return (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(raw).hexdigest()) if digest else (len(ids) // 4, np.frombuffer(ids, "<i4"), raw)
 
     def run(batches):
         c = codec(ranks_path, pattern, chunk, overlap)
         for batch in batches:
             texts = batch.column("text")
             for part in slices((len(x.as_buffer()) if x.is_valid else 0 for x in texts), 4 << 20):
-                n, first, second = [], [], []
-                for text in texts[part.start : part.stop].to_pylist():
-                    ids = c.encode(text)
-                    raw = c.decode(ids)
-                    n.append(len(ids) // 4)
-                    first.append(hashlib.sha256(ids).hexdigest() if digest else np.frombuffer(ids, "<i4"))
-                    second.append(hashlib.sha256(raw).hexdigest() if digest else raw)
-                yield pa.RecordBatch.from_arrays([batch.column("id")[part.start : part.stop], *(pa.array(v, t) for v, t in zip((n, first, second), arrow, strict=True))], names=schema.names)
-
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, schema)
+                columns = zip(*(told(c, c.encode(text)) for text in texts[part.start : part.stop].to_pylist()), strict=True)
+                yield pa.RecordBatch.from_arrays([batch.column("id")[part.start : part.stop], *(pa.array(v, t) for v, t in zip(columns, arrow, strict=True))], names=schema.names)
+
+    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    short = rows.where(F.col("text").isNull() | (F.length("text") <= long)).mapInArrow(run, schema)
+    rest = saved(rows.where(F.length("text") > long).select(F.monotonically_increasing_id().alias("row"), "id", "text"), "long")
+    if not rest.take(1):
+        return short
+    cut = saved(_cut(rest, ranks_path, pattern, chunk, overlap), "cut")
+    # a seam is the first boundary that the end of one chunk and the beginning of the next have in common
+    before = cut.where("tail is not null").select("row", (F.col("k") + 1).alias("k"), "tail")
+    seams = before.join(cut.select("row", "k", "head"), ["row", "k"]).select("row", "k", F.array_min(F.array_intersect("tail", "head")).alias("seam"))
+    seams = saved(seams, "seams")
+    open_ = seams.where("seam is null").select("row").distinct()
+    whole = rest.join(open_, "row", "left_semi").select("id", "text").mapInArrow(run, schema)
+    begins, ends = seams.select("row", "k", F.col("seam").alias("begin")), seams.select("row", (F.col("k") - 1).alias("k"), F.col("seam").alias("end"))
+    parts = cut.join(open_, "row", "left_anti").join(begins, ["row", "k"], "left").join(ends, ["row", "k"], "left").select("row", "id", "k", "start", "text", "cuts", "begin", "end")
+
+    def encode(batches):
+        c = codec(ranks_path, pattern, chunk, overlap)
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                cuts, start = np.frombuffer(r["cuts"], np.int64), r["start"]
+                kept = cuts[(cuts > (-1 if r["begin"] is None else r["begin"])) & (cuts <= (cuts[-1] if r["end"] is None else r["end"]))].tolist()
+                at = [start if r["begin"] is None else r["begin"], *kept]
+                out.append(c.pieces(r["text"][a - start : b - start] for a, b in zip(at, at[1:], strict=False)))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), batch.column("k"), pa.array(out, pa.binary())], names=["row", "id", "k", "ids"])
+
+    coded = parts.mapInArrow(encode, T.StructType([T.StructField("row", T.LongType()), T.StructField("id", id_type), T.StructField("k", T.LongType()), T.StructField("ids", T.BinaryType())]))
+
+    def together(table: pa.Table) -> pa.Table:
+        c, table = codec(ranks_path, pattern, chunk, overlap), table.sort_by("k")
+        row = told(c, b"".join(table.column("ids").to_pylist()))
+        return pa.Table.from_arrays([table.column("id").slice(0, 1), *(pa.array([v], t) for v, t in zip(row, arrow, strict=True))], names=schema.names)
+
+    return short.unionByName(whole).unionByName(coded.groupBy("row").applyInArrow(together, schema))
+
+
+def _cut(rows: DataFrame, ranks_path: str, pattern: str, chunk: int, overlap: int) -> DataFrame:
+    """row, id, k, start, text, cuts: the chunks of texts, dealt evenly and pre-tokenised each on its own; cuts are the ends of
+    the pre-tokens (int64, places in the whole text). head and tail: the cuts that lie in the overlap with the chunk before
+    (null for the first) and, as far as they are final, with the chunk behind (null for the last)."""
+    id_field = rows.schema["id"]
+    pieces = T.StructType([T.StructField("row", T.LongType()), id_field, T.StructField("k", T.LongType()), T.StructField("start", T.LongType()), T.StructField("last", T.BooleanType()), T.StructField("text", T.StringType())])
+
+    def split(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                text, one = batch.column("text")[i].as_py(), batch.slice(i, 1)
+                for k, start in enumerate(range(0, len(text), chunk)):
+                    part = [pa.array([v], t) for v, t in ((k, pa.int64()), (start, pa.int64()), (start + chunk >= len(text), pa.bool_()), (text[start : start + chunk + overlap], pa.string()))]
+                    yield pa.RecordBatch.from_arrays([one.column("row"), one.column("id"), *part], names=pieces.names)
+
+    ends = T.ArrayType(T.LongType())
+    schema = T.StructType([T.StructField("row", T.LongType()), id_field, T.StructField("k", T.LongType()), T.StructField("start", T.LongType()), T.StructField("text", T.StringType()), T.StructField("cuts", T.BinaryType()), T.StructField("head", ends), T.StructField("tail", ends)])
+
+    def pretokenise(batches):
+        c = codec(ranks_path, pattern, chunk, overlap)
+        for batch in batches:
+            cuts, heads, tails = [], [], []
+            for r in batch.select(["k", "start", "last", "text"]).to_pylist():
+                own = r["start"] + np.array([m.end() for m in c.pattern_for(r["text"]).finditer(r["text"])], np.int64)
+                end = r["start"] + len(r["text"])
+                cuts.append(own.tobytes())
+                heads.append(own[own <= r["start"] + overlap].tolist() if r["k"] else None)
+                tails.append(None if r["last"] else own[(own > r["start"] + chunk) & (own <= end - LOOKAHEAD)].tolist())
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("row", "id", "k", "start", "text")), pa.array(cuts, pa.binary()), pa.array(heads, pa.list_(pa.int64())), pa.array(tails, pa.list_(pa.int64()))], names=schema.names)
+
+    return rows.mapInArrow(split, pieces).repartition("row", "k").mapInArrow(pretokenise, schema)

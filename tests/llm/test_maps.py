@@ -50,6 +50,20 @@ def test_bpe_table(spark, odd, none, plain):
     assert bpe.encoded(none, RANKS, P.PATTERN, digest=True).count() == 0
 
 
+@pytest.mark.parametrize("chunk,overlap", [(64, 12), (16, 2), (7, 3), (2, 1)])
+def test_bpe_of_long_texts_in_parallel_chunks(spark, plain, chunk, overlap):
+    rng = random.Random(chunk)
+    texts = ["".join(rng.choice(PIECES) for _ in range(rng.randint(0, 400))) for _ in range(60)]
+    texts += ["a" * 1000, " " * 1000, "\n" * 999 + "x", "é" * 500 + " " + "b" * 500, "ab " * 700, None, "", "x"]
+    rows = [(i % 50 if i % 7 else None, t) for i, t in enumerate(texts)] + [(1, texts[1])] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = bpe.encoded(df, RANKS, P.PATTERN, chunk=chunk, overlap=overlap, long=20).collect()
+    key = lambda i, ids, raw: (i is None, i or 0, len(ids), ids, raw)
+    assert sorted(key(r.doc_id, list(r.ids), bytes(r.decoded)) for r in got) == sorted(key(i, plain.encode_ordinary(t or ""), (t or "").encode()) for i, t in rows)
+    digest = bpe.encoded(df, RANKS, P.PATTERN, digest=True, chunk=chunk, overlap=overlap, long=20).collect()
+    assert sorted(r.ids_sha256 for r in digest) == sorted(hashlib.sha256(np.array(plain.encode_ordinary(t or ""), "<u4").tobytes()).hexdigest() for _, t in rows)
+
+
 def brute_secrets(text):
     assign = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
     out = [(m.start(), m.end(), 0) for m in assign.finditer(text) if len(m[2]) >= 8]
