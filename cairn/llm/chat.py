@@ -26,12 +26,13 @@ def rotated(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", speaker
     are the text's places: the mask covers them if loss is true.
 
     Order: by turn (nulls first), then speaker, then text; repeated rows stay, numbered by ``copy``. A null speaker is
-    ``unknown``, a null text is empty, a null conversation is one of its own. A dialogue of narrators alone has no rows, as
+    ``unknown``, a null text is empty, a null conversation is one of its own. ``<|`` in a speaker's name or text becomes ``< |``,
+    so that no marker can be forged. A dialogue of narrators alone has no rows, as
     nobody's perspective can be taken; so has an empty table. Other columns are not read.
     """
-    rows = turns.select(
-        turns[conv].alias("conv_id"), turns[turn].cast("long").alias("turn"), F.coalesce(turns[speaker].cast("string"), F.lit("unknown")).alias("speaker"), F.coalesce(turns[text].cast("string"), F.lit("")).alias("body")
-    )
+    # what a speaker writes can't open or close a turn
+    safe = lambda c, default: F.replace(F.coalesce(turns[c].cast("string"), F.lit(default)), F.lit("<|"), F.lit("< |"))
+    rows = turns.select(turns[conv].alias("conv_id"), turns[turn].cast("long").alias("turn"), safe(speaker, "unknown").alias("speaker"), safe(text, "").alias("body"))
     # repeated rows are counted, not ordered
     rows = rows.groupBy("conv_id", "turn", "speaker", "body").agg(F.count("*").alias("copies"))
     roles = rows.select("conv_id", "speaker").where(~F.col("speaker").isin(*NARRATORS)).distinct().select(F.col("conv_id").alias("c"), F.col("speaker").alias("perspective"))
@@ -59,7 +60,7 @@ def rotated(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", speaker
 
 
 ROTATED_SQL = """
-WITH t AS (SELECT conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS body FROM conversations),
+WITH t AS (SELECT conv_id, CAST(turn AS BIGINT) AS turn, replace(coalesce(role, 'unknown'), '<|', '< |') AS speaker, replace(coalesce(text, ''), '<|', '< |') AS body FROM conversations),
 n AS (SELECT *, CAST(row_number() OVER (PARTITION BY conv_id, turn, speaker, body ORDER BY conv_id) - 1 AS BIGINT) AS copy FROM t),
 r AS (SELECT DISTINCT conv_id AS c, speaker AS perspective FROM t WHERE speaker <> 'system'),
 s AS (

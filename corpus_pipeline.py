@@ -1,6 +1,6 @@
 """The corpus pipeline: five stages over ``documents``, each written as Parquet and read again by the next.
 
-quality: documents whose importance weight is low go. near_duplicates: one document of each group stays. decontamination:
+quality: documents that resampling by importance leaves out go. near_duplicates: one document of each group stays. decontamination:
 documents that hold a passage of the benchmark go. secrets: spans are replaced by a mark. tokens: each document's byte-level
 BPE ids and what they decode to.
 """
@@ -19,27 +19,34 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 ORACLE_SQL = None
 
 
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that resampling by importance keeps. Null, empty and token-free texts go; repeated rows go or stay together; an empty
+    table gives an empty one; columns beyond those of documents are dropped."""
     return quality.filtered(docs, table(spark, sf_dir, "labels")).select(*COLUMNS)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near duplicates, that with the smallest id. Null, empty and word-free texts are one group; of
+    repeated rows one stays; an empty table gives an empty one."""
     return simhash.deduplicated(docs).select(*COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows without a passage of the benchmark. Null and empty texts hold none and stay; an empty benchmark drops nothing; repeated
+    rows are each judged alike."""
     found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"), keep=tuple(COLUMNS[1:]))
     return found.where("n_items = 0").select(*COLUMNS)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, with secrets replaced by a mark and n_chars counted anew where there was one. Null and empty texts stay as they are."""
     found = secrets.scanned(docs, keep=("lang", "source", "n_chars"))
     chars = F.when(F.col("spans") == "", F.col("n_chars")).otherwise(F.length("redacted").cast("long"))
     return found.select("doc_id", F.col("redacted").alias("text"), "lang", "source", chars.alias("n_chars"))
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids and digests of all rows; null and empty texts have no ids and the digests of nothing."""
     return bpe.encoded(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, digest=True)
 
 

@@ -259,3 +259,56 @@ def test_language_cases(spark, odd, none):
     assert nothing is None and {r.lang_pred for r in language.identified(odd, nothing).collect()} == {"und"}
     one = language.fitted(odd.where("lang = 'de'"))
     assert {r.lang_pred for r in language.identified(odd.where("doc_id = 5"), one).collect()} == {"de"}
+
+
+def test_languages_by_brute_force(spark):
+    """Predictions from the fitted weights by plain loops: features of single characters, margins, votes."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(WORDS[lang].split()) for _ in range(rng.randint(1, 25))) + rng.choice(["", " 12", "!", " É"]), lang) for i in range(240) for lang in [list(WORDS)[i % 4]]]
+    df = spark.createDataFrame([*rows, (900, "123 !", "de"), (901, None, "de")], "doc_id long, text string, lang string")
+    model = language.fitted(df, sample=50)
+
+    def counted(text):
+        chars = [32]
+        for c in text.lower():
+            if c.isalpha():
+                chars.append(ord(c))
+            elif chars[-1] != 32 or len(chars) == 1:
+                chars.append(32)
+        chars.append(32)
+        row, m = [0] * language.DIMENSIONS, 0xFFFFFFFF
+        for i in range(len(chars)):
+            one = chars[i] * 0x9E3779B1 & m
+            grams = [one]
+            if i + 1 < len(chars):
+                two = (one ^ (chars[i + 1] * 0x85EBCA77 & m)) * 0xC2B2AE3D & m
+                grams.append(two)
+                if i + 2 < len(chars):
+                    grams.append((two ^ (chars[i + 2] * 0x27D4EB2F & m)) * 0x165667B1 & m)
+            for g in grams:
+                row[((g ^ (g >> 15)) * 0x2C1B3C6D & m) >> (32 - 12)] += 1
+        root = [math.sqrt(v) for v in row]
+        norm = math.sqrt(sum(v * v for v in root))
+        return [v / norm for v in root]
+
+    def margin(x, w, b):
+        return sum(p * q for p, q in zip(x, w, strict=True) if p) + b
+
+    def predicted(text):
+        if not text or not any(c.isalpha() for c in text):
+            return "und"
+        x = counted(text)
+        family = max(range(len(model.families)), key=lambda k: margin(x, model.family_w[k], model.family_b[k]))
+        members = model.members[model.families[family]]
+        wins, sums = dict.fromkeys(members, 0), dict.fromkeys(members, 0.0)
+        for a, b, w, bias in model.pairs[model.families[family]]:
+            m = margin(x, w, bias)
+            wins[a if m > 0 else b] += 1
+            sums[a] += m
+            sums[b] -= m
+        return max(members, key=lambda v: (wins[v], sums[v]))
+
+    got = {r.doc_id: r.lang_pred for r in language.identified(df, model).collect()}
+    texts = {r.doc_id: r.text for r in df.collect()}
+    wrong = [i for i, t in texts.items() if predicted(t) != got[i]]
+    assert len(got) == len(texts) and wrong == []
