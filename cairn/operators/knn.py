@@ -7,63 +7,89 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
-#: Query rows that are sent to the other side at once.
-QUERY_ROWS = 4096
+from cairn.functions.storage import saved
+
+#: Query rows that are sent to the other side at once, blocks of them in one plan, and base rows that are scored at once.
+QUERY_ROWS, BLOCKS, BASE_ROWS = 4096, 4, 512
 
 
 def top_k(queries: DataFrame, base: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", extra: tuple[str, ...] = (), block: int = QUERY_ROWS) -> DataFrame:
     """query_id, rank, neighbour, score (inner product, rounded to 9 digits), and extra columns of the neighbour.
 
     Queries go out in blocks of a bounded number of rows; each partition of the base gives its own k best for each query, so
-    what is shuffled is k rows for each query and partition, never the base or the pairs. Rows with a null vector take no part.
+    what is shuffled is k rows for each query and partition, never the base or the pairs. The finds of BLOCKS blocks are written
+    before the next ones, so the plan doesn't grow with the queries. Rows with a null vector take no part. The search is exact,
+    so its work is that of all pairs of a query and a base row.
     """
     spark = base.sparkSession
     rows = queries.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("q"), F.col(vector).alias("v"))
     blocks = max(1, -(-rows.count() // block))
-    known = base.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("c"), F.col(vector).alias("v"), *extra)
-    kinds = [to_arrow_type(base.schema[e].dataType) for e in extra]
-    schema = ", ".join(["q long", "c long", "score double", *(f"{e} {base.schema[e].dataType.simpleString()}" for e in extra)])
+    known = base.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("c"), F.col(vector).alias("v"))
+    schema = "q long, c long, score double"
 
     def scan(shared):
         def run(batches):
             ids, q = shared.value
-            best_s, best_c, best_e = np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo(np.int64).max), np.full((len(ids), k), -1)
-            held: list = []
+            least = np.full(len(ids), -np.inf)  # what a row must reach to be among a query's k best so far
+            held, n = [], 0
+
+            def reduced():
+                i, c, s = (np.concatenate(x) for x in zip(*held, strict=True))
+                order = np.lexsort((c, -s, i))
+                i, c, s = i[order], c[order], s[order]
+                place = np.arange(len(i)) - np.searchsorted(i, i)
+                last = place == k - 1
+                least[i[last]] = s[last]
+                return [(i[place < k], c[place < k], s[place < k])]
+
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                c = batch.column("c").to_numpy()
-                s = np.round(q @ np.array(batch.column("v").to_pylist(), np.float64).T, 9)
-                s[ids[:, None] == c[None, :]] = -np.inf
-                at = np.arange(len(held), len(held) + len(c))
-                if extra:
-                    held += list(zip(*(batch.column(e).to_pylist() for e in extra), strict=True))
-                alls, allc, alle = np.concatenate((best_s, s), 1), np.concatenate((best_c, np.broadcast_to(c, s.shape)), 1), np.concatenate((best_e, np.broadcast_to(at, s.shape)), 1)
-                order = np.lexsort((allc, -alls), axis=1)[:, :k]
-                best_s, best_c, best_e = (np.take_along_axis(x, order, 1) for x in (alls, allc, alle))
-            i, j = np.nonzero(best_s > -np.inf)
-            columns = [pa.array(ids[i]), pa.array(best_c[i, j]), pa.array(best_s[i, j])]
-            columns += [pa.array([held[e][n] for e in best_e[i, j]], kinds[n]) for n in range(len(extra))]
-            if len(i):
-                yield pa.RecordBatch.from_arrays(columns, names=["q", "c", "score", *extra])
+                ids_of = batch.column("c").to_numpy()
+                for start in range(0, batch.num_rows, BASE_ROWS):
+                    c = ids_of[start : start + BASE_ROWS]
+                    s = np.round(q @ np.array(batch.column("v").slice(start, BASE_ROWS).to_pylist(), np.float64).T, 9)
+                    s[ids[:, None] == c[None, :]] = -np.inf
+                    floor = least
+                    if n == 0 and s.shape[1] > k:
+                        floor = np.partition(s, -k, axis=1)[:, -k]
+                    i, j = np.nonzero((s >= floor[:, None]) & (s > -np.inf))
+                    held.append((i, c[j], s[i, j]))
+                    n += len(i)
+                    if n > 4 * k * len(ids):
+                        held = reduced()
+                        n = len(held[0][0])
+            if n:
+                i, c, s = reduced()[0]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(c), pa.array(s)], names=["q", "c", "score"])
 
         return run
 
-    parts = []
+    found, written = None, None
     for b in range(blocks):
         some = rows.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b).orderBy("q").toPandas()
         if len(some):
             shared = spark.sparkContext.broadcast((some["q"].to_numpy(np.int64), np.array(some["v"].tolist(), np.float64)))
-            parts.append(known.mapInArrow(scan(shared), schema))
-    if not parts:
-        return spark.createDataFrame([], f"query_id long, rank int, neighbour long, score double{''.join(', ' + x for x in schema.split(', ')[3:])}")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+            part = known.mapInArrow(scan(shared), schema)
+            found = part if found is None else found.unionByName(part)
+        if found is not None and b % BLOCKS == BLOCKS - 1 and b + 1 < blocks:
+            found = saved(_best(found, k), "nearest")
+            written = found if written is None else written.unionByName(found)
+            found = None
+    done = [x for x in (written, None if found is None else _best(found, k)) if x is not None]
+    if not done:
+        found = spark.createDataFrame([], f"{schema}, rank int")
+    else:
+        found = done[0] if len(done) == 1 else done[0].unionByName(done[1])
+    out = found.select(F.col("q").alias("query_id"), "rank", F.col("c").alias("neighbour"), "score")
+    if not extra:
+        return out
+    more = base.select(F.col(key).cast("long").alias("neighbour"), *extra).dropDuplicates(["neighbour"])
+    return out.join(more, "neighbour", "left").select("query_id", "rank", "neighbour", "score", *extra)
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
     order = W.partitionBy("q").orderBy(F.col("score").desc(), "c")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(F.col("q").alias("query_id"), "rank", F.col("c").alias("neighbour"), "score", *extra)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def vote(neighbours: DataFrame, ks: tuple[int, ...], temperature: float = 0.07, label: str = "label") -> DataFrame:

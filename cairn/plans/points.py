@@ -145,16 +145,10 @@ def _box_join(p, centres):
 
 
 @query(
-    ctes(p=POINT, b="SELECT pid AS box_id, x - 0.4 AS x0, x + 0.4 AS x1, y - 0.4 AS y0, y + 0.4 AS y1, z - 1.0 AS z0, z + 1.0 AS z1 FROM p WHERE pid % 10 = 0")
+    ctes(p=POINT, b="SELECT pid AS box_id, x - 0.4 AS x0, x + 0.4 AS x1, y - 0.4 AS y0, y + 0.4 AS y1, z - 1.0 AS z0, z + 1.0 AS z1 FROM p")
     + " SELECT pid, box_id FROM p, b WHERE x > x0 - 0.1 AND x < x1 + 0.1 AND y > y0 - 0.1 AND y < y1 + 0.1 AND z > z0 - 0.1 AND z < z1 + 0.1"
 )
 def j09_box_join(spark, d):
-    p = view(spark, d, POINT)
-    return _box_join(p, p.where("pid % 10 = 0"))
-
-
-@query()
-def j09_box_join_whole(spark, d):
     p = view(spark, d, POINT)
     return _box_join(p, p)
 

@@ -47,6 +47,7 @@ def w10_instances(spark, d):
     return scene.numbered(view(spark, d, BOX), most=10).select("node_id", "label", "n", "instance")
 
 
+_SHOWN = "floor_like_support, " + ", ".join(f"round({c}, 6) AS {c}" for c in scene.EVIDENCE if c != "floor_like_support")
 _EDGES = ctes(
     b=BOX,
     k="SELECT * FROM b WHERE n >= 15",
@@ -60,13 +61,13 @@ _EDGES = ctes(
       a.x0-c.x0 >= -0.05 AND a.y0-c.y0 >= -0.05 AND a.z0-c.z0 >= -0.05 AND c.x1-a.x1 >= -0.05 AND c.y1-a.y1 >= -0.05 AND c.z1-a.z1 >= -0.05 AS within,
       (a.x0+a.x1 <> c.x0+c.x1 OR a.y0+a.y1 <> c.y0+c.y1 OR a.z0+a.z1 <> c.z0+c.z1) AS apart
       FROM k a, k c, t WHERE a.node_id <> c.node_id""",
-    r=f"""SELECT source, target, i, j, 0 AS rank, 'near' AS relation, (1 - gap / near) * 0.45 + 0.55 AS c FROM m WHERE i < j AND gap <= near
-      UNION ALL SELECT source, target, i, j, 1, 'adjacent_to', least(1, 0.55 + 0.35*zz + 0.10*(1 - gap/near)) FROM m WHERE i < j AND gap <= near*0.6 AND zz >= 0.25 AND ak <> 'region' AND bk <> 'region'
-      UNION ALL SELECT source, target, i, j, 2, 'on', least(1, 0.55 + 0.30*xy + 0.15*CASE WHEN abs(up) <= 0.25 THEN 1 - abs(up)/0.25 ELSE 0.75 END) FROM m WHERE bl IN {_SUPPORTS} AND xy >= 0.08 AND (abs(up) <= 0.25 OR (bl IN {_FLOORS} AND az > bz AND az0 <= bz1 + 0.25))
-      UNION ALL SELECT source, target, i, j, 3, 'above', least(1, 0.55 + 0.35*xy) FROM m WHERE up > 0.25 AND xy >= 0.08
-      UNION ALL SELECT source, target, i, j, 4, 'below', least(1, 0.55 + 0.35*xy) FROM m WHERE down > 0.25 AND xy >= 0.08
-      UNION ALL SELECT source, target, i, j, 5, 'inside', least(1, 0.65 + 0.25*(1-ratio)) FROM m WHERE bl NOT IN {_STRUCTURAL} AND within AND apart AND ratio < 0.75""",
-    e="SELECT source, target, relation, round(c, 4) AS confidence, 'edge_' || lpad(CAST(row_number() OVER (ORDER BY i, j, rank) - 1 AS VARCHAR), 5, '0') AS edge_id FROM r WHERE c >= 0.65",
+    r=f"""SELECT source, target, i, j, 0 AS rank, 'near' AS relation, (1 - gap / near) * 0.45 + 0.55 AS c, gap AS bbox_distance, near AS near_threshold, NULL::DOUBLE AS vertical_overlap, NULL::DOUBLE AS support_z_gap, NULL::DOUBLE AS xy_overlap, NULL::BOOLEAN AS floor_like_support, NULL::DOUBLE AS z_gap, NULL::DOUBLE AS size_ratio FROM m WHERE i < j AND gap <= near
+      UNION ALL SELECT source, target, i, j, 1, 'adjacent_to', least(1, 0.55 + 0.35*zz + 0.10*(1 - gap/near)), gap, NULL, zz, NULL, NULL, NULL, NULL, NULL FROM m WHERE i < j AND gap <= near*0.6 AND zz >= 0.25 AND ak <> 'region' AND bk <> 'region'
+      UNION ALL SELECT source, target, i, j, 2, 'on', least(1, 0.55 + 0.30*xy + 0.15*CASE WHEN abs(up) <= 0.25 THEN 1 - abs(up)/0.25 ELSE 0.75 END), NULL, NULL, NULL, up, xy, bl IN {_FLOORS} AND az > bz AND az0 <= bz1 + 0.25, NULL, NULL FROM m WHERE bl IN {_SUPPORTS} AND xy >= 0.08 AND (abs(up) <= 0.25 OR (bl IN {_FLOORS} AND az > bz AND az0 <= bz1 + 0.25))
+      UNION ALL SELECT source, target, i, j, 3, 'above', least(1, 0.55 + 0.35*xy), NULL, NULL, NULL, NULL, xy, NULL, up, NULL FROM m WHERE up > 0.25 AND xy >= 0.08
+      UNION ALL SELECT source, target, i, j, 4, 'below', least(1, 0.55 + 0.35*xy), NULL, NULL, NULL, NULL, xy, NULL, down, NULL FROM m WHERE down > 0.25 AND xy >= 0.08
+      UNION ALL SELECT source, target, i, j, 5, 'inside', least(1, 0.65 + 0.25*(1-ratio)), NULL, NULL, NULL, NULL, NULL, NULL, NULL, ratio FROM m WHERE bl NOT IN {_STRUCTURAL} AND within AND apart AND ratio < 0.75""",
+    e="SELECT source, target, relation, round(c, 4) AS confidence, 'edge_' || lpad(CAST(row_number() OVER (ORDER BY i, j, rank) - 1 AS VARCHAR), 5, '0') AS edge_id, " + _SHOWN + " FROM r WHERE c >= 0.65",
 )
 
 
@@ -74,9 +75,17 @@ def _edges(spark, d):
     return scene.edge_ids(scene.relations(view(spark, d, BOX), _SUPPORTS, _FLOORS, _STRUCTURAL))
 
 
-@query(_EDGES + " SELECT source, target, relation, round(confidence, 3) AS confidence, edge_id FROM e")
+@query(_EDGES + " SELECT source, target, relation, round(confidence, 3) AS confidence, edge_id, " + ", ".join(scene.EVIDENCE) + " FROM e")
 def j11_edges(spark, d):
-    return _edges(spark, d).select("source", "target", "relation", F.round("confidence", 3).alias("confidence"), "edge_id")
+    shown = [F.col(f"evidence.{c}") if c == "floor_like_support" else F.round(f"evidence.{c}", 6).alias(c) for c in scene.EVIDENCE]
+    return _edges(spark, d).select("source", "target", "relation", F.round("confidence", 3).alias("confidence"), "edge_id", *shown)
+
+
+@query(_EDGES + " SELECT source, target, relation, round(confidence, 3) AS confidence FROM e WHERE relation IN ('on', 'inside')")
+def e10_wanted_relations(spark, d):
+    """Two of the six relations only."""
+    found = scene.relations(view(spark, d, BOX), _SUPPORTS, _FLOORS, _STRUCTURAL, wanted=("on", "inside"))
+    return found.select("source", "target", "relation", F.round("confidence", 3).alias("confidence"))
 
 
 @query(_EDGES + ", n AS (SELECT e.edge_id, s.label AS source_label, e.relation, t.label AS target_label FROM e JOIN b s ON e.source = s.node_id JOIN b t ON e.target = t.node_id) SELECT source_label, relation, target_label, min(edge_id) AS edge_id FROM n GROUP BY ALL")
@@ -93,10 +102,10 @@ def m13_coverage(spark, d):
     return scene.coverage(b.where("n < 20"), b.where("n >= 39"))
 
 
-_REVIEW = "SELECT CASE WHEN p_partkey % 50 = 0 THEN ' ' WHEN p_partkey % 50 = 1 THEN '示例 1' ELSE concat('n', p_partkey) END AS item, CASE p_size % 6 WHEN 0 THEN 'Yes' WHEN 1 THEN ' true ' WHEN 2 THEN '错' WHEN 3 THEN 'no' WHEN 4 THEN 'maybe' ELSE '对' END AS correct FROM part"
+_REVIEW = "SELECT CASE WHEN p_partkey % 50 = 0 THEN ' ' WHEN p_partkey % 50 = 1 THEN '示例 1' ELSE concat('n', p_partkey) END AS item, CASE p_size % 12 WHEN 0 THEN 'Yes' WHEN 1 THEN ' true ' WHEN 2 THEN '错' WHEN 3 THEN 'no' WHEN 4 THEN 'maybe' WHEN 5 THEN '对' WHEN 6 THEN '匹配' WHEN 7 THEN concat('Y', chr(10)) WHEN 8 THEN '不匹配' WHEN 9 THEN 'ok' WHEN 10 THEN concat(chr(9), '错误') ELSE '正确' END AS correct FROM part"
 
 
-@query(ctes(r=_REVIEW) + " SELECT count(*) FILTER (WHERE correct IN ('Yes', ' true ', '对')) AS \"right\", count(*) FILTER (WHERE correct IN ('错', 'no')) AS wrong, count(*) FILTER (WHERE correct = 'maybe') AS unresolved FROM r WHERE trim(item) <> '' AND NOT starts_with(item, '示例')")
+@query(ctes(r=_REVIEW) + " SELECT count(*) FILTER (WHERE correct IN ('Yes', ' true ', '对', '匹配', concat('Y', chr(10)), '正确')) AS \"right\", count(*) FILTER (WHERE correct IN ('错', 'no', '不匹配', concat(chr(9), '错误'))) AS wrong, count(*) FILTER (WHERE correct IN ('maybe', 'ok')) AS unresolved FROM r WHERE trim(item) <> '' AND NOT starts_with(item, '示例')")
 def m12_review(spark, d):
     return scene.review_counts(view(spark, d, _REVIEW), "item", "correct")
 
@@ -123,16 +132,10 @@ def _components(lineitem):
 
 
 @query(
-    ctes(g="SELECT DISTINCT l_suppkey AS gid, l_partkey AS pid FROM lineitem WHERE l_quantity >= 49", e="SELECT DISTINCT x.gid AS a, y.gid AS b FROM g x JOIN g y ON x.pid = y.pid AND x.gid <> y.gid WHERE abs(x.gid - y.gid) < 40").replace("WITH ", "WITH RECURSIVE ", 1)
+    ctes(g="SELECT DISTINCT l_suppkey AS gid, l_partkey AS pid FROM lineitem", e="SELECT DISTINCT x.gid AS a, y.gid AS b FROM g x JOIN g y ON x.pid = y.pid AND x.gid <> y.gid WHERE abs(x.gid - y.gid) < 40").replace("WITH ", "WITH RECURSIVE ", 1)
     + ", r AS (SELECT DISTINCT gid AS node, gid AS root FROM g UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node) SELECT node AS gid, min(root) AS component FROM r GROUP BY 1"
 )
 def c03_components(spark, d):
-    """Over the rows of its SQL; ``c03_components_whole`` is over all."""
-    return _components(table(spark, d, "lineitem").where("l_quantity >= 49"))
-
-
-@query()
-def c03_components_whole(spark, d):
     return _components(table(spark, d, "lineitem"))
 
 
@@ -171,9 +174,7 @@ def a12_label_counts(spark, d):
     return spatial.planarity(view(spark, d, POINT)).select("label", (F.col("n") >= 4).alias("enough"), "n")
 
 
-_GOBS = "SELECT l_suppkey AS gid, l_partkey AS pid, CAST(l_partkey % 13 AS DOUBLE) AS x, CAST(l_suppkey % 11 AS DOUBLE) AS y, CAST(l_suppkey % 7 AS DOUBLE) AS z FROM lineitem WHERE l_quantity >= 48"
-#: All observations; the SQL is given for those of _GOBS.
-_GOBS_WHOLE = _GOBS.replace(" WHERE l_quantity >= 48", "")
+_GOBS = "SELECT l_suppkey AS gid, l_partkey AS pid, CAST(l_partkey % 13 AS DOUBLE) AS x, CAST(l_suppkey % 11 AS DOUBLE) AS y, CAST(l_suppkey % 7 AS DOUBLE) AS z FROM lineitem"
 _GCTE = ctes(o=_GOBS, c="SELECT gid, count(*) AS points, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz FROM (SELECT DISTINCT gid, pid, x, y, z FROM o) GROUP BY 1", e="SELECT DISTINCT p.gid AS a, q.gid AS b FROM o p JOIN o q ON p.pid = q.pid AND p.gid <> q.gid JOIN c s ON s.gid = p.gid JOIN c t ON t.gid = q.gid WHERE (s.cx-t.cx)**2 + (s.cy-t.cy)**2 + (s.cz-t.cz)**2 < 9").replace("WITH ", "WITH RECURSIVE ", 1) + ", r AS (SELECT DISTINCT gid AS node, gid AS root FROM o UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node), g AS (SELECT node AS gid, min(root) AS object FROM r GROUP BY 1)"
 
 
@@ -182,21 +183,11 @@ def a14_centroids(spark, d):
     return fusion.centroids(view(spark, d, _GOBS)).select("gid", "points", *(F.round(f"c{a}", 8).alias(f"c{a}") for a in "xyz"))
 
 
-@query()
-def a14_centroids_whole(spark, d):
-    return fusion.centroids(view(spark, d, _GOBS_WHOLE)).select("gid", "points", *(F.round(f"c{a}", 8).alias(f"c{a}") for a in "xyz"))
-
-
 @query(_GCTE + " SELECT gid, object FROM g")
 def j12_association(spark, d):
     return fusion.associated(view(spark, d, _GOBS))
 
 
-@query()
-def j12_association_whole(spark, d):
-    return fusion.associated(view(spark, d, _GOBS_WHOLE))
-
-
 @query(_GCTE + ", n AS (SELECT pid, object, count(*) AS n FROM o JOIN g ON o.gid = g.gid GROUP BY 1, 2) SELECT pid, object FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY n DESC, object) AS k FROM n) WHERE k = 1")
 def entry_b_fusion(spark, d):
     """Entry B: observations of instances, their components, and the object of each point."""
@@ -204,12 +195,6 @@ def entry_b_fusion(spark, d):
     return fusion.point_owner(obs, fusion.associated(obs))
 
 
-@query()
-def entry_b_fusion_whole(spark, d):
-    obs = view(spark, d, _GOBS_WHOLE)
-    return fusion.point_owner(obs, fusion.associated(obs))
-
-
 @query(ctes(c=RGB, p=PALETTE) + ", m AS (SELECT pid % 20 AS g, p.class_id, p.name, count(*) AS n FROM c JOIN p ON greatest(abs(c.r - p.r), abs(c.g - p.g), abs(c.b - p.b)) <= 40 WHERE p.name <> p.name || '' OR p.class_id <> 3 GROUP BY 1, 2, 3) SELECT g, name, n FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY n DESC, class_id) AS k FROM m) WHERE k = 1")
 def a05_majority_category(spark, d):
     palette = view(spark, d, PALETTE)

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from cairn.functions.labels import stripped
+
 POINTS = "scene string, pid long, x double, y double, z double, r int, g int, b int"
 FACES = "scene string, fid long, a long, b long, c long"
 BATCH = 65_536
@@ -194,7 +196,7 @@ def pcd_bytes(x, y, z, r, g, b) -> bytes:
 
 def poses(spark: SparkSession, path: str) -> DataFrame:
     """ts, px, py, pz, qx, qy, qz, qw of text files of one pose a line (eight numbers or more); other lines are passed over."""
-    word = F.split(F.trim("value"), r"\s+")
+    word = F.split(stripped(F.col("value")), r"\s+")
     names = ("px", "py", "pz", "qx", "qy", "qz", "qw")
     rows = spark.read.text(path).select(word.alias("w")).where(F.size("w") >= 8)
     out = rows.select(F.get("w", F.lit(0)).try_cast("double").try_cast("bigint").alias("ts"), *(F.get("w", F.lit(i + 1)).try_cast("double").alias(n) for i, n in enumerate(names)))
@@ -204,7 +206,7 @@ def poses(spark: SparkSession, path: str) -> DataFrame:
 def matrices(spark: SparkSession, path: str, rows: int = 4) -> DataFrame:
     """file, m (array of numbers, row by row) of text files of one matrix each; those with other than finite numbers, or of
     another size, go."""
-    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split(F.trim("value"), r"\s+").alias("w"))
+    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split(stripped(F.col("value")), r"\s+").alias("w"))
     number = F.transform("w", lambda v: F.when(F.lower(v).rlike("^[+-]?[0-9.]+(e[+-]?[0-9]+)?$"), v.try_cast("double")))
     good = (F.size("w") == rows * rows) & F.forall("m", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     return text.withColumn("m", number).where(good).select("file", "m")

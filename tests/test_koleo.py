@@ -16,4 +16,4 @@ def test_koleo_is_over_all_rows(spark, tmp_path):
     s = np.round(u @ u.T, 9)
     np.fill_diagonal(s, -np.inf)
     want = -np.log(np.sqrt(np.maximum(2 - 2 * s.max(axis=1), 0)) + 1e-8).mean()
-    assert catalog.queries()["m15_koleo_whole"](spark, str(tmp_path)).first().koleo == pytest.approx(want, abs=2e-6)
+    assert catalog.queries()["m15_koleo"](spark, str(tmp_path)).first().koleo == pytest.approx(want, abs=2e-6)

@@ -43,7 +43,7 @@ def run(spark, name, path):
 def test_components(spark, lines):
     path, rows = lines
     want = grouped({r[3] for r in rows}, [(a, b) for g in points_of(rows).values() for a in g for b in g if abs(a - b) < 40])
-    assert {r.gid: r.component for r in run(spark, "c03_components_whole", path)} == want
+    assert {r.gid: r.component for r in run(spark, "c03_components", path)} == want
     assert len(set(want.values())) < len(want)
 
 
@@ -53,13 +53,13 @@ def test_fusion(spark, lines):
     for r in rows:
         seen.setdefault(r[3], set()).add(r[2])
     centre = {g: np.array([np.mean([p % 13 for p in ps]), g % 11, g % 7]) for g, ps in seen.items()}
-    assert {r.gid: (r.points, round(r.cx, 6)) for r in run(spark, "a14_centroids_whole", path)} == {g: (len(ps), round(float(centre[g][0]), 6)) for g, ps in seen.items()}
+    assert {r.gid: (r.points, round(r.cx, 6)) for r in run(spark, "a14_centroids", path)} == {g: (len(ps), round(float(centre[g][0]), 6)) for g, ps in seen.items()}
     want = grouped(seen, [(a, b) for g in points_of(rows).values() for a in g for b in g if a < b and ((centre[a] - centre[b]) ** 2).sum() < 9])
-    assert {r.gid: r.object for r in run(spark, "j12_association_whole", path)} == want
+    assert {r.gid: r.object for r in run(spark, "j12_association", path)} == want
     votes = {}
     for r in rows:
         votes.setdefault(r[2], []).append(want[r[3]])
-    assert {r.pid: r.object for r in run(spark, "entry_b_fusion_whole", path)} == {p: min(set(v), key=lambda o: (-v.count(o), o)) for p, v in votes.items()}
+    assert {r.pid: r.object for r in run(spark, "entry_b_fusion", path)} == {p: min(set(v), key=lambda o: (-v.count(o), o)) for p, v in votes.items()}
 
 
 def test_mesh_components(spark, lines):
@@ -79,4 +79,4 @@ def test_vectors(spark, tmp_path):
     p = v[:, :3] * 10
     inside = (np.abs(p[:, None] - p[None]) < np.array([0.5, 0.5, 1.1])).all(-1)
     p_of_box = {(int(i), int(j)) for i, j in zip(*np.nonzero(inside), strict=True)}
-    assert {(r.pid, r.box_id) for r in run(spark, "j09_box_join_whole", str(tmp_path))} == p_of_box
+    assert {(r.pid, r.box_id) for r in run(spark, "j09_box_join", str(tmp_path))} == p_of_box
