@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from cairn.plans import forms, measures, points, records, scenes
+from cairn.plans import colouring, forms, measures, points, records, scenes
 from cairn.plans.registry import QUERIES, SQL
 
-__all__ = ["flagship", "forms", "measures", "oracle_sql", "points", "queries", "records", "scenes"]
+__all__ = ["colouring", "flagship", "forms", "measures", "oracle_sql", "points", "queries", "records", "scenes"]
 
 flagship = scenes.flagship
 

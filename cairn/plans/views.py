@@ -29,7 +29,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def view(spark: SparkSession, sf_dir: str, sql: str | dict[str, str]) -> DataFrame:
     """A view's Spark SQL over the tables that it names; the tables are bound as arguments, nothing is registered."""
     text = sql if isinstance(sql, str) else sql["spark"]
-    names = [n for n in ("lineitem", "orders", "part", "nation", "embeddings", "events") if f"FROM {n}" in text]
+    names = [n for n in ("lineitem", "orders", "part", "nation", "embeddings", "events", "supplier", "customer") if f"FROM {n}" in text]
     for n in names:
         text = text.replace(f"FROM {n}", f"FROM {{{n}}}")
     return spark.sql(text, **{n: table(spark, sf_dir, n) for n in names})
