@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cairn.operators.matching import detections_matched
+from cairn.operators.running import largest_ahead, running
+
 
 def confusion(pairs: DataFrame, truth: str = "gt", predicted: str = "pred", ignore: int | None = None) -> DataFrame:
     """Counts of (gt, pred); rows with a null or ignored truth or a null prediction don't count."""
@@ -97,13 +102,11 @@ def any_match(rows: DataFrame, by: str, predicted: str = "pred", targets: str =
 
 def precision_recall(detections: DataFrame, by: str, positives: DataFrame, score: str = "score", hit: str = "tp", tie: str = "id") -> DataFrame:
     """Detections in order of falling score with cumulated precision, recall and the envelope (the largest precision at the same
-    or a larger recall). positives: by, n. One group is one category's detections."""
-    falling = W.partitionBy(by).orderBy(F.col(score).desc(), tie)
-    run = falling.rowsBetween(W.unboundedPreceding, 0)
-    rest = falling.rowsBetween(0, W.unboundedFollowing)
-    out = detections.join(positives, by).withColumn("tps", F.sum(F.col(hit).cast("long")).over(run)).withColumn("all", F.count("*").over(run))
+    or a larger recall). positives: by, n. A category's detections are spread over tasks; see ``running``."""
+    order = [-F.col(score), F.col(tie)]
+    out = running(detections.join(positives, by), [by], order, {"tps": F.col(hit).cast("long"), "all": F.lit(1).cast("long")})
     out = out.withColumn("precision", F.col("tps") / F.col("all")).withColumn("recall", F.try_divide(F.col("tps"), F.col("n")))
-    return out.withColumn("envelope", F.max("precision").over(rest))
+    return largest_ahead(out, [by], order, "precision", "envelope")
 
 
 def average_precision(curve: DataFrame, by: str, points: int = 101) -> DataFrame:
@@ -165,3 +168,87 @@ def macro_recall(counts: DataFrame) -> DataFrame:
     """One row from a confusion table: micro and macro accuracy."""
     per = counts.groupBy("gt").agg((F.sum(F.when(F.col("gt") == F.col("pred"), F.col("n")).otherwise(0)) / F.sum("n")).alias("r"), F.sum("n").alias("n"))
     return per.agg((F.sum(F.col("r") * F.col("n")) / F.sum("n")).alias("micro"), F.avg("r").alias("macro"))
+
+
+def f1_scores(counts: DataFrame) -> DataFrame:
+    """One row from a confusion table: micro and macro F1; a class that is neither true nor predicted isn't counted."""
+    areas = class_areas(counts)
+    f = F.try_divide(2 * F.col("both"), F.col("label") + F.col("predicted"))
+    return areas.agg((2 * F.sum("both") / (F.sum("label") + F.sum("predicted"))).alias("micro_f1"), F.avg(f).alias("macro_f1"))
+
+
+def auroc(rows: DataFrame, by: str, score: str = "score", positive: str = "positive") -> DataFrame:
+    """Area under the curve of true against false positives of each group: the chance that a positive scores over a negative, ties
+    counting half; null without both kinds. Equal scores are one row before they are put in order."""
+    n = rows.groupBy(by, score).agg(F.count_if(positive).alias("p"), F.count_if(~F.col(positive)).alias("q"))
+    placed = running(n, [by], [F.col(score)], {"until": F.col("q")})
+    won = F.sum(F.col("p") * (F.col("until") - F.col("q") / 2))
+    return placed.groupBy(by).agg(F.try_divide(won, F.sum("p") * F.sum("q").cast("double")).alias("auroc"))
+
+
+def label_average_precision(rows: DataFrame, by: str, score: str = "score", positive: str = "positive") -> DataFrame:
+    """Average precision of each label: the sum over distinct scores of the gain in recall times the precision there. The mean over
+    labels is the multi-label measure; null for a label without positives."""
+    n = rows.groupBy(by, score).agg(F.count_if(positive).alias("p"), F.count("*").alias("k"))
+    placed = running(n, [by], [-F.col(score)], {"tps": F.col("p"), "all": F.col("k")})
+    return placed.groupBy(by).agg(F.try_divide(F.sum(F.col("p") * F.col("tps") / F.col("all")), F.sum("p")).alias("ap"))
+
+
+def gram_error(tokens: DataFrame, by: str, out: str = "output", target: str = "target", clip: bool = True) -> DataFrame:
+    """Mean squared difference of the Gram matrices of unit vectors of each group (an image's tokens: a group that fits a task by
+    its nature), negative products as 0 if clipped. tokens: by, and two arrays of numbers."""
+    kind = tokens.schema[by].dataType.simpleString()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        grams = []
+        for name in (out, target):
+            x = np.array(pdf[name].tolist(), np.float64)
+            x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+            g = x @ x.T
+            grams.append(np.maximum(g, 0) if clip else g)
+        return pd.DataFrame({by: [pdf[by].iloc[0]], "error": [float(((grams[0] - grams[1]) ** 2).mean())]})
+
+    return tokens.select(by, out, target).groupBy(by).applyInPandas(run, f"{by} {kind}, error double")
+
+
+# Thresholds of overlap, areas and numbers of detections that the averages are taken over.
+OVERLAPS = tuple(round(0.5 + 0.05 * i, 2) for i in range(10))
+AREAS = {"all": (0.0, 1e10), "small": (0.0, 128.0**2), "medium": (128.0**2, 256.0**2), "large": (256.0**2, 1e10)}
+MOST = (1, 10, 100)
+
+
+def detection_grid(pairs: DataFrame, detections: DataFrame, truths: DataFrame, thresholds: tuple[float, ...] = OVERLAPS, areas: dict[str, tuple[float, float]] | None = None, most: tuple[int, ...] = MOST, points: int = 101) -> DataFrame:
+    """category, area, threshold, most, ap, ar: average precision and recall for every range of areas, overlap threshold and number
+    of detections of an image or video; -1 where no truth counts.
+
+    pairs: video, category, id, truth, iou. detections: video, category, id, score, size. truths: video, category, truth, crowd,
+    size. A crowd, and what lies outside the area's range, is ignored; so is a detection outside it that takes no truth.
+    """
+    ranges = F.explode(F.array(*(F.struct(F.lit(n).alias("area"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for n, (lo, hi) in (areas or AREAS).items())))
+    spread = lambda rows: rows.select("*", ranges.alias("__r")).select(*rows.columns, "__r.area", ((F.col("size") < F.col("__r.lo")) | (F.col("size") > F.col("__r.hi"))).alias("outside"))
+    known, found = spread(truths), spread(detections)
+    known = known.withColumn("ignore", F.when(F.col("outside") | (F.coalesce(F.col("crowd"), F.lit(0)) == 1), 1).otherwise(0))
+    by = ("area", "video", "category")
+    every = pairs.join(F.broadcast(pairs.sparkSession.createDataFrame([(n,) for n in (areas or AREAS)], "area string")))
+    matched = detections_matched(every.select(*by, "id", "truth", "iou"), found.select(*by, "id", "score"), known.select(*by, "truth", "ignore"), by, thresholds, max(most))
+    order = W.partitionBy(*by).orderBy(F.col("score").desc(), "id")
+    place = found.select(*by, "id", "outside", F.row_number().over(order).alias("place"))
+    judged = matched.join(place, [*by, "id"]).where(~(F.col("ignored") | (F.col("outside") & F.col("truth").isNull())))
+    wide = judged.select("*", F.explode(F.array(*map(F.lit, most))).alias("most")).where(F.col("place") <= F.col("most"))
+    key = F.struct("category", "area", "threshold", "most")
+    positives = known.groupBy("category", "area").agg(F.count_if(F.col("ignore") == 0).alias("n"))
+    one = wide.join(positives.where("n > 0"), ["category", "area"]).select(key.alias("k"), "n", "score", F.struct("video", "place").alias("tie"), F.col("truth").isNotNull().alias("tp"))
+    # the struct is a key like any other; positives come along
+    curve = precision_recall(one.drop("n"), "k", one.groupBy("k").agg(F.max("n").alias("n")), tie="tie")
+    precision, recall = average_precision(curve, "k", points), curve.groupBy("k").agg(F.max("recall").alias("ar"))
+    cells = positives.select("*", F.explode(F.array(*map(F.lit, thresholds))).alias("threshold")).select("*", F.explode(F.array(*map(F.lit, most))).alias("most"))
+    told = precision.join(recall, "k").select("k.*", "ap", "ar")
+    rest = F.when(F.col("n") > 0, F.lit(0.0)).otherwise(F.lit(-1.0))
+    return cells.join(told, ["category", "area", "threshold", "most"], "left").select("category", "area", "threshold", "most", F.coalesce("ap", rest).alias("ap"), F.coalesce("ar", rest).alias("ar"))
+
+
+def summarised(grid: DataFrame) -> DataFrame:
+    """One row a (area, most): means of ap and ar over the categories and thresholds that count, and of ap at 0.5 and 0.75; -1 if none do."""
+    mean = lambda c, cond=F.lit(True): F.coalesce(F.avg(F.when((F.col(c) > -1) & cond, F.col(c))), F.lit(-1.0))
+    at = lambda t: F.abs(F.col("threshold") - t) < 1e-9
+    return grid.groupBy("area", "most").agg(mean("ap").alias("ap"), mean("ap", at(0.5)).alias("ap50"), mean("ap", at(0.75)).alias("ap75"), mean("ar").alias("ar"))

@@ -39,11 +39,3 @@ def plausible(points: DataFrame, profiles: DataFrame, by: tuple[str, ...] = ("pr
     too_flat = (F.col("planarity_threshold") > 0) & (F.col("volume") > F.col("planarity_min_volume")) & (F.col("planarity") > F.col("planarity_threshold"))
     good = (F.col("volume") <= F.col("max_volume")) & (F.col("extent") <= F.col("max_extent")) & (F.col("density") >= F.col("min_density")) & ~too_flat
     return both.select(*by, "n", "volume", "extent", "density", "planarity", good.alias("plausible"))
-
-
-def chosen(names: Column, known: dict[str, str], default: str) -> Column:
-    """The value for a name among a few known ones, or the default."""
-    out = F.lit(default)
-    for name, value in known.items():
-        out = F.when(names == name, F.lit(value)).otherwise(out)
-    return out

@@ -30,7 +30,7 @@ def write_clouds(points: DataFrame, path: str, by: tuple[str, ...] = ("scene",))
         with fs.open_output_stream(hidden) as f:
             f.write(pcd_bytes(*(columns[c] for c in "xyzrgb")))
         fs.move(hidden, final)
-        return pa.table({**{c: [k.as_py()] for c, k in zip(by, key, strict=True)}, "file": [final], "points": [table.num_rows]})
+        return pa.table({**{c: pa.array([k.as_py()], k.type) for c, k in zip(by, key, strict=True)}, "file": [final], "points": [table.num_rows]})
 
     return points.select(*by, *"xyzrgb").groupBy(*by).applyInArrow(run, schema)
 
