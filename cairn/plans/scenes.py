@@ -149,18 +149,47 @@ def j04_nearest_pose(spark, d):
     return matching.nearest_in_time(e.where("event_type = 'view'").drop("event_type"), e.where("event_type = 'purchase'").drop("event_type"), 36_000_000_000, "user_id")
 
 
+_CANDIDATES = {
+    "spark": "SELECT o_custkey % 25 AS grp, CAST(substring(o_orderpriority, 1, 1) AS INT) AS row, year(o_orderdate) AS col, round(sum(o_totalprice) / 4e6, 6) AS score FROM orders GROUP BY 1, 2, 3",
+    "sql": "SELECT o_custkey % 25 AS grp, CAST(substring(o_orderpriority, 1, 1) AS INT) AS row, CAST(year(o_orderdate) AS INT) AS col, round(sum(o_totalprice) / 4e6, 6) AS score FROM orders GROUP BY 1, 2, 3",
+}
+
+
 def _overlap_pairs(spark, d):
     """Candidates of each customer nation: order priorities against order years, scored by money shares."""
-    return view(spark, d, "SELECT o_custkey % 25 AS grp, CAST(substring(o_orderpriority, 1, 1) AS INT) AS row, year(o_orderdate) AS col, round(sum(o_totalprice) / 4e6, 6) AS score FROM orders GROUP BY 1, 2, 3")
+    return view(spark, d, _CANDIDATES)
 
 
-@query()
+@query(
+    ctes(
+        p=_CANDIDATES,
+        s="SELECT *, row_number() OVER (PARTITION BY grp ORDER BY score DESC, row, col) AS k FROM p WHERE score >= 0.3",
+        r="""SELECT DISTINCT grp, CAST(0 AS BIGINT) AS k, CAST([] AS INT[]) AS rs, CAST([] AS INT[]) AS cs, CAST(NULL AS INT) AS row, CAST(NULL AS INT) AS col, CAST(NULL AS DOUBLE) AS score FROM p
+        UNION ALL SELECT r.grp, s.k, CASE WHEN list_contains(rs, s.row) OR list_contains(cs, s.col) THEN rs ELSE list_append(rs, s.row) END, CASE WHEN list_contains(rs, s.row) OR list_contains(cs, s.col) THEN cs ELSE list_append(cs, s.col) END,
+        CASE WHEN list_contains(rs, s.row) OR list_contains(cs, s.col) THEN NULL ELSE s.row END, CASE WHEN list_contains(rs, s.row) OR list_contains(cs, s.col) THEN NULL ELSE s.col END, s.score FROM r JOIN s ON s.grp = r.grp AND s.k = r.k + 1""",
+        o="SELECT grp, row, col, score FROM r WHERE row IS NOT NULL",
+        m="SELECT grp, row, min(col) AS col, arg_min(score, col) AS score FROM p WHERE score >= 0.15 AND (grp, row) NOT IN (SELECT (grp, row) FROM o) AND (grp, col) NOT IN (SELECT (grp, col) FROM o) GROUP BY 1, 2",
+    ).replace("WITH ", "WITH RECURSIVE ", 1)
+    + " SELECT grp, row, col, score, 'one' AS part FROM o UNION ALL SELECT grp, row, col, score, 'many' FROM m"
+)
 def j20_greedy_fuse(spark, d):
     return matching.fused(_overlap_pairs(spark, d), "grp", row="row", column="col")
 
 
-@query()
+@query(
+    ctes(
+        p=_CANDIDATES,
+        n="SELECT grp, sum(score) + 1 AS big, count(DISTINCT row) AS rows FROM p GROUP BY 1",
+        f="SELECT a.grp, a.row, b.col, p.score, coalesce(-p.score, n.big) AS cost FROM (SELECT DISTINCT grp, row FROM p) a JOIN (SELECT DISTINCT grp, col FROM p) b ON a.grp = b.grp JOIN n ON n.grp = a.grp LEFT JOIN p ON p.grp = a.grp AND p.row = a.row AND p.col = b.col",
+        g="SELECT *, dense_rank() OVER (PARTITION BY grp ORDER BY row) AS k FROM f",
+        r="""SELECT DISTINCT grp, CAST(0 AS BIGINT) AS k, CAST([] AS INT[]) AS cs, CAST(0 AS DOUBLE) AS total FROM g
+        UNION ALL SELECT r.grp, g.k, list_append(cs, g.col), total + cost FROM r JOIN g ON g.grp = r.grp AND g.k = r.k + 1 WHERE NOT list_contains(cs, g.col)""",
+        t="SELECT r.grp, arg_min(cs, total) AS cs FROM r JOIN n ON r.grp = n.grp AND r.k = n.rows GROUP BY 1",
+    ).replace("WITH ", "WITH RECURSIVE ", 1)
+    + " SELECT g.grp, g.row, g.col, -g.score AS cost FROM t JOIN g ON t.grp = g.grp AND g.col = t.cs[g.k] WHERE g.score IS NOT NULL"
+)
 def j21_optimal_match(spark, d):
+    """Five rows and seven columns a group, so SQL can try all assignments."""
     return matching.optimal(_overlap_pairs(spark, d).withColumn("cost", -F.col("score")), "grp", column="col")
 
 
