@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cairn.functions import geometry as G
-from cairn.operators import catalogs, metrics, profiles, sampling
+from cairn.operators import catalogs, evaluators, metrics, profiles, sampling
 from cairn.plans.registry import query
-from cairn.plans.views import EVENT, PAIR, PALETTE, POINT, ctes, table, view
+from cairn.plans.views import EVENT, PAIR, PALETTE, POINT, RGB, ctes, table, view
 
 
 @query("SELECT DISTINCT c_custkey AS o_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
@@ -181,3 +181,42 @@ def t04_endless(spark, d):
 @query("SELECT n_nationkey, row_number() OVER (ORDER BY n_nationkey) - 1 AS index FROM nation UNION ALL SELECT NULL, -1 FROM range(3)")
 def t08_enumerated(spark, d):
     return sampling.enumerated(table(spark, d, "nation").select("n_nationkey"), "n_nationkey", 7)
+
+
+@query("SELECT user_id, arg_max(event_id, event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY 1")
+def t14_last_written(spark, d):
+    return evaluators.last_written(table(spark, d, "events").select("user_id", "event_id", "value"), "user_id", "event_id").select("user_id", "event_id", "value")
+
+
+@query("SELECT p_partkey AS id, coalesce(CASE WHEN p_partkey % 2 = 0 THEN 'a' || p_partkey END, CASE WHEN p_partkey % 3 = 0 THEN 'b' || p_partkey END) AS image FROM part")
+def j24_first_found(spark, d):
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"))
+    made = [p.where(F.col("id") % k == 0).withColumn("image", F.concat(F.lit(n), F.col("id").cast("string"))) for k, n in ((2, "a"), (3, "b"))]
+    return evaluators.first_found(p, made, "id", "image").select("id", "image")
+
+
+@query("SELECT coalesce(c.k, s.k) AS nation, customers, suppliers FROM (SELECT c_nationkey AS k, count(*) AS customers FROM customer GROUP BY 1) c FULL JOIN (SELECT s_nationkey AS k, count(*) AS suppliers FROM supplier GROUP BY 1) s ON c.k = s.k")
+def k08_merged_reports(spark, d):
+    left = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count("*").alias("customers"))
+    right = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("nation")).agg(F.count("*").alias("suppliers"))
+    return evaluators.merged_reports(left, right, "nation").select("nation", "customers", "suppliers")
+
+
+@query(ctes(c=RGB, q=PALETTE, o="SELECT r, g, b, count(*) AS n FROM c WHERE NOT EXISTS (SELECT 1 FROM q WHERE greatest(abs(c.r - q.r), abs(c.g - q.g), abs(c.b - q.b)) <= 40) GROUP BY 1, 2, 3") + " SELECT r, g, b, n, round(n / (SELECT sum(n) FROM o), 8) AS share FROM o ORDER BY n DESC, r, g, b LIMIT 20")
+def o02_other_colours(spark, d):
+    """The twenty most frequent: a report."""
+    return evaluators.other_colours(view(spark, d, RGB), view(spark, d, PALETTE), 40).withColumn("share", F.round("share", 8))
+
+
+@query(ctes(p=PAIR, c="SELECT gt, pred, count(*) AS n FROM p GROUP BY 1, 2") + " SELECT gt, pred, n FROM c")
+def f03_merged_states(spark, d):
+    """Confusion tables of three parts of the rows, merged."""
+    p = view(spark, d, PAIR)
+    return evaluators.merged_counts(*(metrics.confusion(p.where(F.pmod("id", F.lit(3)) == k)) for k in range(3)))
+
+
+@query("WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT q.vec_id AS q, q.label AS truth, b.label, b.vec_id, round(list_dot_product(q.v, b.v), 9) AS score FROM e q JOIN e b ON q.vec_id <> b.vec_id WHERE q.vec_id % 20 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id) AS r FROM s), t AS (SELECT *, exp((score - max(score) OVER (PARTITION BY q)) / 0.07) AS x FROM k WHERE r <= 20), w AS (SELECT *, x / sum(x) OVER (PARTITION BY q) AS w FROM t), g AS (SELECT q, truth, c.k, label, round(sum(w), 9) AS w FROM w, (VALUES (10), (20)) c(k) WHERE r <= c.k GROUP BY 1, 2, 3, 4), o AS (SELECT *, row_number() OVER (PARTITION BY q, k ORDER BY w DESC, label) AS p FROM g) SELECT CAST(k AS INT) AS k, round(avg(CAST(label = truth AS DOUBLE)), 8) AS accuracy FROM o WHERE p = 1 GROUP BY 1")
+def f06_neighbour_accuracy(spark, d):
+    """A stated set of queries, every 20th vector, against all others."""
+    e = table(spark, d, "embeddings")
+    return evaluators.evaluated("neighbours", e.where("vec_id % 20 = 0"), e).withColumn("accuracy", F.round("accuracy", 8))

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cairn.operators import catalogs, metrics, running, sampling
+from cairn.operators import catalogs, evaluators, metrics, running, sampling
 
 
 def brute_grid(pairs, dets, truths, thresholds, areas, most):
@@ -92,3 +92,23 @@ def test_endless_covers_every_pass(spark):
     for p in range(3):
         assert sorted(r.id for part in parts for r in part if r["pass"] == p) == list(range(10))
     assert all(sorted(r.at for r in part) == list(range(len(part))) for part in parts)
+
+
+def test_video_evaluation(spark):
+    """Two masks over two frames of four by four pixels: one found exactly, one found in half of its frames."""
+    run = lambda *r: [{"start": a, "len": n} for a, n in r]
+    schema = "video int, category int, id int, frame int, runs array<struct<start: long, len: long>>"
+    truths = spark.createDataFrame([(1, 1, 1, 0, run((0, 4))), (1, 1, 1, 1, run((4, 4))), (1, 1, 2, 0, run((8, 4))), (1, 1, 2, 1, run((8, 4)))], schema)
+    dets = spark.createDataFrame([(1, 1, 7, 0, run((0, 2), (2, 2))), (1, 1, 7, 1, run((4, 4))), (1, 1, 8, 0, run((8, 4)))], schema)
+    scores = spark.createDataFrame([(1, 1, 7, 0.9), (1, 1, 8, 0.8)], "video int, category int, id int, score double")
+    got = {(r.area, r.most): r for r in evaluators.evaluated("video", dets, truths, scores, pixels=16, frames=2, most=(1, 100)).collect()}
+    # the second has an overlap of exactly a half: found at the first threshold only
+    assert got["all", 100].ap50 == pytest.approx(1.0) and got["all", 100].ap75 == pytest.approx(51 / 101)
+    assert got["all", 1].ar == pytest.approx(0.5) and got["all", 100].ar == pytest.approx((1.0 + 9 * 0.5) / 10) and got["large", 100].ap == -1
+    with pytest.raises(ValueError):
+        evaluators.evaluated("none")
+
+
+def test_order_of_files(spark):
+    df = spark.createDataFrame([("/a/10.pcd",), ("/a/9.pcd",), ("/b/x.pcd",), ("/a/b.pcd",)], "path string")
+    assert [r.path for r in df.orderBy(*evaluators.by_stem("path")).collect()] == ["/a/9.pcd", "/a/10.pcd", "/a/b.pcd", "/b/x.pcd"]
