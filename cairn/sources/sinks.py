@@ -8,9 +8,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cairn.operators.running import running
 from cairn.sources.formats import opened, pcd_bytes
 
 
@@ -61,7 +61,7 @@ def ply_text(vertices: DataFrame, faces: DataFrame) -> Iterator[str]:
     yield f"element face {m}\nproperty list uchar int vertex_indices\nend_header\n"
     for r in placed.toLocalIterator():
         yield f"{np.float32(r.x)} {np.float32(r.y)} {np.float32(r.z)} {r.r} {r.g} {r.b}\n"
-    number = vertices.select("vid", (F.row_number().over(W.orderBy("vid")) - 1).alias("i"))
+    number = running(vertices.select("vid", F.lit(0).alias("all")), ["all"], [F.col("vid")], {"i": F.lit(1).cast("long")}).select("vid", (F.col("i") - 1).alias("i"))
     out = faces
     for c in "abc":
         out = out.join(number.select(F.col("vid").alias(c), F.col("i").alias(f"{c}i")), c)
