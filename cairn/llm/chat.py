@@ -3,22 +3,22 @@
 For every participant the whole dialogue is rendered with that speaker as the assistant and all others as named users.
 The rendering is a table of segments, one for each turn and perspective: concatenated by position they are the dialogue,
 and ``start``, ``end`` are their places in it. ``loss`` is true on the assistant's own turns. So no dialogue, however long,
-has to fit one row or one task: places are sums over blocks of turns and then over the blocks before.
+has to fit one row or one task, and neither do turns that share a number: rows are dealt by ranges of dialogue, perspective,
+turn, speaker and text, and places are sums over a range and over the ranges before.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-#: Turn numbers of a block.
-BLOCK = 64
+from cairn.operators.running import running
+
 #: Roles that take no perspective and keep their own header.
 NARRATORS = ("system",)
 
 
-def rotated(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", speaker: str = "role", text: str = "text", block: int = BLOCK) -> DataFrame:
+def rotated(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", speaker: str = "role", text: str = "text") -> DataFrame:
     """conv_id, perspective, turn, speaker, copy, position, header, body, loss, start, end (long, in code points).
 
     A turn is rendered as ``<|im_start|>`` header, newline, text, ``<|im_end|>``, newline; header is ``assistant`` for the
@@ -41,20 +41,14 @@ def rotated(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", speaker
     header = F.when(own, F.lit("assistant")).when(F.col("speaker").isin(*NARRATORS), F.col("speaker")).otherwise(F.concat(F.lit("user name="), "speaker"))
     seen = seen.withColumn("header", header).withColumn("loss", own)
     before, behind = F.length(F.concat(F.lit("<|im_start|>"), "header", F.lit("\n"))), F.length(F.lit("<|im_end|>\n"))
-    seen = seen.withColumn("lead", before.cast("long")).withColumn("size", (before + F.length("body") + behind).cast("long")).withColumn("block", F.floor(F.col("turn") / block))
-    # blocks of turns: their sizes are few rows, so the places of the blocks are cheap for any dialogue
-    blocks = seen.groupBy("conv_id", "perspective", "block").agg(F.sum(F.col("size") * F.col("copies")).alias("chars"), F.sum("copies").alias("messages"))
-    over = W.partitionBy("conv_id", "perspective").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    blocks = blocks.select(
-        F.col("conv_id").alias("c"), F.col("perspective").alias("p"), F.col("block").alias("b"), F.coalesce(F.sum("chars").over(over), F.lit(0)).alias("chars_before"), F.coalesce(F.sum("messages").over(over), F.lit(0)).alias("messages_before")
-    )
-    inside = W.partitionBy("conv_id", "perspective", "block").orderBy("turn", "speaker", "body").rowsBetween(W.unboundedPreceding, -1)
-    placed = seen.withColumn("chars_in", F.coalesce(F.sum(F.col("size") * F.col("copies")).over(inside), F.lit(0))).withColumn("messages_in", F.coalesce(F.sum("copies").over(inside), F.lit(0)))
-    joined = placed.join(blocks, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("perspective") == F.col("p")) & F.col("block").eqNullSafe(F.col("b")))
+    seen = seen.withColumn("lead", before.cast("long")).withColumn("size", (before + F.length("body") + behind).cast("long"))
+    # places are sums up to a turn, over ranges of turns and then over the ranges before
+    placed = running(seen, ["conv_id", "perspective"], [F.col("turn"), F.col("speaker"), F.col("body")], {"chars": F.col("size") * F.col("copies"), "messages": F.col("copies")})
+    joined = placed.withColumn("chars_before", F.col("chars") - F.col("size") * F.col("copies")).withColumn("messages_before", F.col("messages") - F.col("copies"))
     one = joined.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
-    start = F.col("chars_before") + F.col("chars_in") + F.col("size") * F.col("copy")
+    start = F.col("chars_before") + F.col("size") * F.col("copy")
     return one.select(
-        "conv_id", "perspective", "turn", "speaker", "copy", (F.col("messages_before") + F.col("messages_in") + F.col("copy")).alias("position"), "header", "body", "loss",
+        "conv_id", "perspective", "turn", "speaker", "copy", (F.col("messages_before") + F.col("copy")).alias("position"), "header", "body", "loss",
         start.alias("start"), (start + F.col("size")).alias("end"), (start + F.col("lead")).alias("body_start"), (start + F.col("lead") + F.length("body")).alias("body_end"),
     )
 
