@@ -118,9 +118,8 @@ def stable_clusters(p: np.ndarray, least: int, samples: int) -> np.ndarray:
     greatest excess of mass; numbered by their smallest member. Distances are made anew where they are needed, never kept as a
     matrix: memory grows with the points, time with their square."""
     n = len(p)
-    out = np.full(n, -1)
     if n < max(2, least):
-        return out
+        return np.full(n, -1)
     k, step = min(samples, n) - 1, max(1, _HELD // n)
     core = np.concatenate([np.partition(_distances(p[i : i + step], p), k, axis=1)[:, k] for i in range(0, n, step)])
 
@@ -137,6 +136,15 @@ def stable_clusters(p: np.ndarray, least: int, samples: int) -> np.ndarray:
         row = reach(at)
         closer = row < best
         best[closer], source[closer] = row[closer], at
+    return condensed(n, edges, least)
+
+
+def condensed(n: int, edges: list[tuple[float, int, int]], least: int) -> np.ndarray:
+    """The clusters of greatest excess of mass from the edges (distance, row, row) of a minimum spanning tree of n rows. A forest will
+    do: its trees are joined at an infinite distance."""
+    out = np.full(n, -1)
+    if n < max(2, least):
+        return out
     # merge tree: node n + i joins two nodes at a distance
     parent, size, low, children, height = list(range(n)), [1] * n, list(range(n)), {}, {}
 
@@ -146,7 +154,24 @@ def stable_clusters(p: np.ndarray, least: int, samples: int) -> np.ndarray:
             x = parent[x]
         return x
 
-    for i, (d, a, b) in enumerate(sorted(edges)):
+    edges = sorted(edges)
+    if len(edges) < n - 1:
+        joined = list(range(n))
+
+        def top(x: int) -> int:
+            while joined[x] != x:
+                joined[x] = joined[joined[x]]
+                x = joined[x]
+            return x
+
+        for _, a, b in edges:
+            joined[top(a)] = top(b)
+        first = top(0)
+        for x in range(1, n):
+            if top(x) != first:
+                edges.append((np.inf, 0, x))
+                joined[top(x)] = first
+    for i, (d, a, b) in enumerate(edges):
         a, b, new = find(a), find(b), n + i
         parent.append(new)
         parent[a] = parent[b] = new
@@ -194,10 +219,17 @@ def stable_clusters(p: np.ndarray, least: int, samples: int) -> np.ndarray:
     return out
 
 
-def density_clusters(points: DataFrame, by: str, least: int, samples: int | None = None, key: str = "pid", most: int | None = None) -> DataFrame:
-    """by, key and cluster (null: noise) from the density hierarchy of each group. A group is one task, whose memory grows with
-    the group's points and whose time with their square; with ``most``, a larger group raises an error instead."""
+def density_clusters(points: DataFrame, by: str, least: int, samples: int | None = None, key: str = "pid", most: int | None = None, radius: float | None = None) -> DataFrame:
+    """by, key and cluster (null: noise) from the density hierarchy of each group.
+
+    Without a radius a group is one task, whose memory grows with the group's points and whose time with their square; with
+    ``most``, a larger group raises an error instead. With a radius, core distances and the minimum spanning forest are made by
+    Spark, from pairs within the radius only (see ``spanning_forest``), and a task sees no more than a group's edges of the
+    forest, one for each point; what lies further apart is joined at an infinite distance. Where no core distance and no edge
+    of the tree is longer than the radius, both give the same clusters, but for ties of distances.
+    """
     kind = points.schema
+    schema = f"{by} {kind[by].dataType.simpleString()}, {key} {kind[key].dataType.simpleString()}, cluster int"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         if most is not None and len(pdf) > most:
@@ -205,10 +237,56 @@ def density_clusters(points: DataFrame, by: str, least: int, samples: int | None
         pdf = pdf.sort_values(key, ignore_index=True)
         return pd.DataFrame({by: pdf[by], key: pdf[key], "cluster": stable_clusters(pdf[list(AXES)].to_numpy(float), least, samples or least)})
 
-    out = points.select(by, key, *AXES).groupBy(by).applyInPandas(run, f"{by} {kind[by].dataType.simpleString()}, {key} {kind[key].dataType.simpleString()}, cluster int")
+    def from_edges(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        ids = np.sort(left[key].to_numpy())
+        a, b = (np.searchsorted(ids, right[c].to_numpy()) for c in "ab")
+        edges = list(zip(right["w"].tolist(), a.tolist(), b.tolist(), strict=True))
+        group = left[by].iloc[0] if len(left) else None
+        return pd.DataFrame({by: [group] * len(ids), key: ids, "cluster": condensed(len(ids), edges, least)})
+
+    if radius is None:
+        out = points.select(by, key, *AXES).groupBy(by).applyInPandas(run, schema)
+    else:
+        forest = spanning_forest(points, by, samples or least, radius, key)
+        out = points.select(by, key).groupBy(by).cogroup(forest.groupBy(by)).applyInPandas(from_edges, schema)
     return out.withColumn("cluster", F.when(F.col("cluster") >= 0, F.col("cluster")))
 
 
+def spanning_forest(points: DataFrame, by: str, samples: int, radius: float, key: str = "pid") -> DataFrame:
+    """by, a, b, w: a minimum spanning forest of each group under mutual reachability (the largest of the distance and both ends' core
+    distances, that to the samples-th nearest point, the point itself included), from pairs within the radius.
+
+    Rounds: every tree takes its shortest edge to another one (ties by the edge's ends), trees that such edges join become one, and
+    edges within a tree are left out of the next round's table. Rounds grow with the logarithm of the points.
+    """
+    from pyspark.sql import Window as W
+
+    from cairn.functions.storage import saved
+    from cairn.operators.components import connected
+
+    own = points.select(by, key, *AXES)
+    pairs = saved(within(own, own, radius).where((F.col(by) == F.col(f"r_{by}")) & (F.col(key) != F.col(f"r_{key}"))).select(by, F.col(key).alias("a"), F.col(f"r_{key}").alias("b"), "distance"), "pairs")
+    # row_number up to a bound is limited before the shuffle
+    place = F.row_number().over(W.partitionBy("a").orderBy("distance", "b"))
+    core = own.select(F.col(key).alias("a"), F.lit(0.0).alias("core")) if samples < 2 else pairs.withColumn("k", place).where(F.col("k") == samples - 1).select("a", F.col("distance").alias("core"))
+    core = saved(core, "core")
+    edges = pairs.where("a < b").join(core, "a").join(core.select(F.col("a").alias("b"), F.col("core").alias("other")), "b")
+    edges = saved(edges.select(by, "a", "b", F.greatest("distance", "core", "other").alias("w"), F.col("a").alias("ta"), F.col("b").alias("tb")), "edges")
+    forest = None
+    while edges.take(1):
+        sides = edges.select("ta", by, "a", "b", "w", "tb").union(edges.select("tb", by, "a", "b", "w", "ta"))
+        best = saved(sides.groupBy("ta").agg(F.min(F.struct("w", "a", "b", by)).alias("e")).select("e.*").distinct(), "chosen")
+        forest = best if forest is None else forest.unionByName(best)
+        trees = edges.join(best.select("a", "b"), ["a", "b"], "left_semi").select(F.col("ta").alias("a"), F.col("tb").alias("b"))
+        root = saved(connected(trees), "trees")
+        for side in ("ta", "tb"):
+            edges = edges.join(root.select(F.col("node").alias("__n"), F.col("root").alias("__r")), F.col(side) == F.col("__n"), "left").withColumn(side, F.coalesce("__r", side)).drop("__n", "__r")
+        edges = saved(edges.where("ta <> tb"), "edges")
+    if forest is None:
+        return edges.select(by, "a", "b", "w")
+    return forest.select(by, "a", "b", "w").distinct()
+
+
 def fragments_dropped(points: DataFrame, by: str, cluster: str = "cluster", share: float = 0.05, least: int = 50) -> DataFrame:
     """Clusters of at least max(share of the group's largest, least) points; points of others lose their cluster."""
     sizes = points.where(F.col(cluster).isNotNull()).groupBy(by, cluster).agg(F.count("*").alias("__n"))

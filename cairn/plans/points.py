@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import geometry as G
 from cairn.operators import colour, spatial, votes
+from cairn.operators.colouring import bound
 from cairn.plans.registry import query
 from cairn.plans.views import EVENT, OBS, PALETTE, POINT, RGB, ctes, view
 
@@ -51,7 +52,7 @@ _POSE = (0.1, -0.2, 0.3, 0.9)
 def p02_project(spark, d):
     q = [F.lit(v) for v in _POSE]
     x, y, z = G.rotate(G.quaternion_matrix(*q), G.triple("x", "y", "z"))
-    seen = view(spark, d, POINT).select("pid", (x + 0.5).alias("cx"), (y - 0.25).alias("cy"), (z + 4).alias("cz")).where("cz > 0")
+    seen = bound(view(spark, d, POINT), {"cx": x + 0.5, "cy": y - 0.25, "cz": z + 4}).where("cz > 0")
     u, v = G.pinhole(G.triple("cx", "cy", "cz"), 500, 500, 320, 240, (0.01, 0.0, 0.0, 0.0, 0.0))
     return seen.select("pid", u.alias("u"), v.alias("v"), "cz").where("u >= 0 and u < 640 and v >= 0 and v < 480").select("pid", F.round("u", 4).alias("u"), F.round("v", 4).alias("v"), F.round("cz", 6).alias("depth"))
 

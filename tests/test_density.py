@@ -17,3 +17,20 @@ def test_deep_hierarchies():
     x = np.repeat(np.cumsum(np.arange(1.0, 1501.0)), 2) + np.tile([0, 0.01], 1500)
     got = shapes.stable_clusters(np.c_[x, np.zeros((3000, 2))], 2, 2)
     assert len(got) == 3000 and got.max() >= 1
+
+
+def test_clusters_by_spark_are_those_of_one_task(spark):
+    rng = np.random.default_rng(7)
+    rows = []
+    for g in (0, 1):
+        p = np.r_[rng.normal(0, 0.4, (60, 3)), rng.normal(4, 0.4, (50, 3)), rng.uniform(-3, 7, (15, 3))]
+        rows += [(1000 * g + i, *map(float, r), g) for i, r in enumerate(p)]
+    rows.append((5000, 0.0, 0.0, 0.0, 2))
+    df = spark.createDataFrame(rows, "pid long, x double, y double, z double, label int").repartition(3)
+    one = {r.pid: r.cluster for r in shapes.density_clusters(df, "label", 8, 5).collect()}
+    two = {r.pid: r.cluster for r in shapes.density_clusters(df, "label", 8, 5, radius=40.0).collect()}
+    assert one == two and len(set(one.values())) > 2
+    # pairs beyond the radius are never looked at: the two crowds are still told apart
+    near = {r.pid: r.cluster for r in shapes.density_clusters(df.where("label = 0"), "label", 8, 5, radius=1.5).collect()}
+    assert len(near) == 125 and len({near[i] for i in range(60)} & {near[i] for i in range(60, 110)} - {None}) == 0
+    assert sum(near[i] is not None for i in range(110)) > 80
