@@ -70,13 +70,25 @@ def in_boxes(points: DataFrame, boxes: DataFrame, margin: float = 0.0, cell: flo
     return own.join(dealt, ["__i", "__j"]).where(hit).select("pid", "box_id")
 
 
-def overlaps(left: DataFrame, right: DataFrame, tolerance: float, group: str = "label", key: str = "pid", axes: tuple[str, ...] = AXES) -> DataFrame:
-    """For every pair of a left and a right group: left points with a right point closer than the tolerance, over the smaller
-    group's size; zeros are listed too (groups are few: their pairs are a product of two small tables)."""
+#: Pairs of groups that ``overlaps`` lists at most with their zeros.
+GROUP_PAIRS = 1_000_000
+
+
+def overlaps(left: DataFrame, right: DataFrame, tolerance: float, group: str = "label", key: str = "pid", axes: tuple[str, ...] = AXES, zeros: bool = True) -> DataFrame:
+    """For pairs of a left and a right group: left points with a right point closer than the tolerance, over the smaller group's size.
+    Pairs without any are listed too unless ``zeros`` is false; then there may be at most GROUP_PAIRS pairs of groups, which is seen
+    from the counts of both, before their sizes are put together."""
     near = within(left.select(key, group, *axes), right.select(key, group, *axes), tolerance, axes).where(F.col("distance") < tolerance)
     hits = near.groupBy(F.col(group).alias("a"), F.col(f"r_{group}").alias("b")).agg(F.countDistinct(key).alias("near"))
     sizes = [side.groupBy(F.col(group).alias(name)).agg(F.count("*").alias(f"n_{name}")) for side, name in ((left, "a"), (right, "b"))]
-    return sizes[0].crossJoin(sizes[1]).join(hits, ["a", "b"], "left").select("a", "b", F.coalesce("near", F.lit(0)).cast("long").alias("near"), (F.coalesce("near", F.lit(0)) / F.least("n_a", "n_b")).alias("overlap"))
+    if zeros:
+        pairs = left.agg(F.count_distinct(group)).first()[0] * right.agg(F.count_distinct(group)).first()[0]
+        if pairs > GROUP_PAIRS:
+            raise ValueError(f"{pairs} pairs of groups are over the bound of {GROUP_PAIRS}: take zeros=False")
+        both = sizes[0].join(F.broadcast(sizes[1])).join(hits, ["a", "b"], "left")
+    else:
+        both = hits.join(sizes[0], "a").join(sizes[1], "b")
+    return both.select("a", "b", F.coalesce("near", F.lit(0)).cast("long").alias("near"), (F.coalesce("near", F.lit(0)) / F.least("n_a", "n_b")).alias("overlap"))
 
 
 def dbscan(points: DataFrame, eps: float, least: int, key: str = "pid", axes: tuple[str, ...] = AXES) -> DataFrame:

@@ -237,3 +237,47 @@ def a27_presence(spark, d):
     known = table(spark, d, "nation").select("n_nationkey")
     rows = table(spark, d, "supplier").where("s_acctbal > 9000").select(F.col("s_nationkey").alias("n_nationkey"))
     return fusion.presence(rows, "n_nationkey", known)
+
+
+_CONTENTS = "SELECT CASE p_size % 7 WHEN 0 THEN ' ' WHEN 1 THEN '示例 x' WHEN 2 THEN concat('No ', p_brand) ELSE upper(p_brand) END AS expected_label, CASE p_size % 5 WHEN 0 THEN 'no' WHEN 1 THEN '' ELSE 'yes' END AS required, CASE WHEN p_partkey % 4 = 0 THEN 'n1' ELSE ' ' END AS matched_node_id, CASE p_partkey % 3 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' ELSE '' END AS matched FROM part"
+_RELATIONS = "SELECT CASE WHEN o_orderkey % 9 = 0 THEN '示例' ELSE concat('r', o_orderkey) END AS relation_id, concat('Brand#', o_custkey % 5 + 1, o_orderkey % 5 + 1) AS source_label, CASE o_orderkey % 4 WHEN 0 THEN 'on' WHEN 1 THEN '' ELSE 'Near' END AS relation, concat('Brand#', o_orderkey % 3 + 1, o_custkey % 4 + 1) AS target_label, CASE o_orderkey % 6 WHEN 0 THEN '0' ELSE '1' END AS required, CASE WHEN o_orderkey % 11 = 0 THEN 'edge_1' ELSE '' END AS matched_edge_id, CASE o_orderkey % 7 WHEN 0 THEN 'no' WHEN 1 THEN 'yes' ELSE 'later' END AS matched FROM orders"
+_FOUND_EDGES = "SELECT concat('n', s_suppkey) AS source, CASE WHEN s_suppkey % 2 = 0 THEN 'near' ELSE 'on' END AS relation, concat('n', s_suppkey + 7) AS target FROM supplier"
+_EDGE_REVIEW = "SELECT concat('e', c_custkey) AS edge_id, CASE c_custkey % 4 WHEN 0 THEN '对' WHEN 1 THEN 'N' WHEN 2 THEN '?' ELSE '1' END AS correct FROM customer"
+_SAID = "CASE WHEN lower(trim({0})) IN ('1', 'true', 'yes', 'y', '对', '正确', '匹配') THEN 1 WHEN lower(trim({0})) IN ('0', 'false', 'no', 'n', '错', '错误', '不匹配') THEN 0 END"
+_SAME = "trim(regexp_replace(lower(trim({0})), '[_ ]+', ' ', 'g'))"
+
+
+@query(
+    ctes(
+        b=BOX, c=_CONTENTS, l=_RELATIONS, g=_FOUND_EDGES, nr=_REVIEW, er=_EDGE_REVIEW,
+        cv=f"SELECT CASE WHEN trim(matched_node_id) <> '' OR {_SAME.format('expected_label')} IN (SELECT {_SAME.format('label')} FROM b) THEN 1 ELSE {_SAID.format('matched')} END AS v FROM c WHERE trim(expected_label) <> '' AND NOT starts_with(expected_label, '示例') AND coalesce({_SAID.format('required')}, 1) = 1",
+        ge=f"SELECT DISTINCT {_SAME.format('s.label')} AS s, relation AS r, {_SAME.format('t.label')} AS t FROM g JOIN b s ON g.source = s.node_id JOIN b t ON g.target = t.node_id",
+        lv=f"SELECT CASE WHEN trim(matched_edge_id) <> '' OR ({_SAME.format('source_label')}, {_SAME.format('relation')}, {_SAME.format('target_label')}) IN (SELECT (s, r, t) FROM ge) THEN 1 ELSE {_SAID.format('matched')} END AS v FROM l WHERE trim(relation) <> '' AND NOT starts_with(relation_id, '示例') AND coalesce({_SAID.format('required')}, 1) = 1",
+        w="SELECT (SELECT count(*) FROM cv) AS ct, (SELECT count(*) FROM cv WHERE v = 1) AS cm, (SELECT count(*) FROM cv WHERE v IS NULL) AS cu, (SELECT count(*) FROM lv) AS lt, (SELECT count(*) FROM lv WHERE v = 1) AS lm, (SELECT count(*) FROM lv WHERE v IS NULL) AS lu, "
+        f"(SELECT count(*) FROM nr WHERE trim(item) <> '' AND NOT starts_with(item, '示例') AND {_SAID.format('replace(replace(correct, chr(10), chr(32)), chr(9), chr(32))')} = 1) + (SELECT count(*) FROM er WHERE {_SAID.format('correct')} = 1) AS tp, (SELECT count(*) FROM nr WHERE trim(item) <> '' AND NOT starts_with(item, '示例') AND {_SAID.format('replace(replace(correct, chr(10), chr(32)), chr(9), chr(32))')} = 0) + (SELECT count(*) FROM er WHERE {_SAID.format('correct')} = 0) AS fp",
+    )
+    + " SELECT ct AS content_total, cm AS content_met, cu AS content_unresolved, lt AS relation_total, lm AS relation_met, lu AS relation_unresolved, tp, fp, ct - cm + lt - lm AS fn, round(cm / ct, 8) AS completeness, round(tp / (tp + fp + ct - cm + lt - lm), 8) AS structured_accuracy FROM w"
+)
+def m12_graph_score(spark, d):
+    """Completeness and structured accuracy from expectations, reviews and a graph, labels matched where nobody named a match."""
+    review = view(spark, d, _REVIEW).withColumnRenamed("item", "node_id")
+    out = scene.graph_score(view(spark, d, _CONTENTS), view(spark, d, _RELATIONS), review, view(spark, d, _EDGE_REVIEW), view(spark, d, BOX), view(spark, d, _FOUND_EDGES), auto=True)
+    return out.withColumns({c: F.round(c, 8) for c in ("completeness", "structured_accuracy")})
+
+
+_COVARIANCE = {f"c{a}{b}": f"covar_samp({a}, {b})" for a, b in (("x", "x"), ("x", "y"), ("x", "z"), ("y", "y"), ("y", "z"), ("z", "z"))}
+
+
+@query(
+    ctes(
+        p=POINT,
+        c="SELECT label, count(*) AS n, " + ", ".join(f"{e} AS {k}" for k, e in _COVARIANCE.items()) + " FROM p GROUP BY 1",
+        q="SELECT *, (cxx + cyy + czz) / 3 AS q FROM c",
+        s="SELECT *, sqrt(((cxx-q)**2 + (cyy-q)**2 + (czz-q)**2 + 2*(cxy**2 + cxz**2 + cyz**2)) / 6) AS p FROM q",
+        t="SELECT *, acos(least(greatest(((cxx-q)*((cyy-q)*(czz-q) - cyz**2) - cxy*(cxy*(czz-q) - cyz*cxz) + cxz*(cxy*cyz - (cyy-q)*cxz)) / (2*p**3), -1), 1)) / 3 AS phi FROM s",
+        e="SELECT *, q + 2*p*cos(phi) AS first, q + 2*p*cos(phi + 2.0943951023931953) AS third FROM t",
+    )
+    + " SELECT label, n, CASE WHEN n < 4 THEN 0 ELSE round((3*q - first - third - third) / first, 8) END AS planarity FROM e"
+)
+def a23_planarity(spark, d):
+    return spatial.planarity(view(spark, d, POINT)).withColumn("planarity", F.round("planarity", 8))

@@ -154,3 +154,32 @@ def test_features(spark, tmp_path):
     df = spark.createDataFrame([(1, [0.5, 1.0])], "id int, f array<double>")
     named.write_features(df, str(tmp_path / "f"))
     assert named.read_features(spark, str(tmp_path / "f")).dtypes == [("id", "int"), ("f", "array<float>")]
+
+
+def test_graph_score_without_reviews(spark):
+    from cairn.operators import scene
+
+    contents = spark.createDataFrame([("Chair", "", "", ""), ("lamp", "1", "n9", ""), ("sofa", None, "", "maybe"), ("rug", "0", "n1", ""), ("", "1", "n1", ""), ("示例", "1", "n1", "")], "expected_label string, required string, matched_node_id string, matched string")
+    relations = spark.createDataFrame([("r1", "chair", "near", "lamp", "1", "", ""), ("r2", "chair", "on", "lamp", "1", "", "no")], "relation_id string, source_label string, relation string, target_label string, required string, matched_edge_id string, matched string")
+    empty = lambda k: spark.createDataFrame([], f"{k} string, correct string")
+    found = spark.createDataFrame([("n1", "chair"), ("n2", "lamp")], "node_id string, label string")
+    edges = spark.createDataFrame([("n1", "near", "n2")], "source string, relation string, target string")
+    one = scene.graph_score(contents, relations, empty("node_id"), empty("edge_id"), found, edges, auto=True).first()
+    assert (one.content_total, one.content_met, one.content_unresolved, one.relation_total, one.relation_met) == (3, 2, 1, 2, 1)
+    assert (one.tp, one.fp, one.fn) == (3, 0, 2) and one.structured_accuracy == 0.6
+    strict = scene.graph_score(contents, relations, empty("node_id"), empty("edge_id"), found, edges).first()
+    assert (strict.content_met, strict.relation_met, strict.tp) == (1, 0, 1)
+    none = scene.graph_score(contents.where("1 = 0"), relations.where("1 = 0"), empty("node_id"), empty("edge_id"), found, edges).first()
+    assert none.completeness is None and none.structured_accuracy is None and none.tp == 0
+
+
+def test_overlaps_without_zeros(spark, monkeypatch):
+    from cairn.operators import spatial
+
+    left = spark.createDataFrame([(1, "a", 0.0, 0.0, 0.0), (2, "b", 9.0, 9.0, 9.0)], "pid int, label string, x double, y double, z double")
+    right = spark.createDataFrame([(3, "c", 0.1, 0.0, 0.0)], "pid int, label string, x double, y double, z double")
+    assert sorted(tuple(r) for r in spatial.overlaps(left, right, 0.5).collect()) == [("a", "c", 1, 1.0), ("b", "c", 0, 0.0)]
+    assert [tuple(r) for r in spatial.overlaps(left, right, 0.5, zeros=False).collect()] == [("a", "c", 1, 1.0)]
+    monkeypatch.setattr(spatial, "GROUP_PAIRS", 1)
+    with pytest.raises(ValueError):
+        spatial.overlaps(left, right, 0.5)
