@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions.labels import stripped
-from cairn.operators.spatial import AXES, planarity
+from cairn.operators.spatial import AXES, dbscan, planarity
 
 
 def cleaned_category(name: Column) -> Column:
@@ -39,3 +39,16 @@ def plausible(points: DataFrame, profiles: DataFrame, by: tuple[str, ...] = ("pr
     too_flat = (F.col("planarity_threshold") > 0) & (F.col("volume") > F.col("planarity_min_volume")) & (F.col("planarity") > F.col("planarity_threshold"))
     good = (F.col("volume") <= F.col("max_volume")) & (F.col("extent") <= F.col("max_extent")) & (F.col("density") >= F.col("min_density")) & ~too_flat
     return both.select(*by, "n", "volume", "extent", "density", "planarity", good.alias("plausible"))
+
+
+def scene_instances(points: DataFrame, eps: float, least: int, profiles: DataFrame | None = None, scene: str = "scene", key: str = "pid") -> DataFrame:
+    """scene, cluster, n and box of the instances of many scenes at once: clusters of each scene's points, those of at least ``least``
+    points. With profiles (points then have ``profile``) only plausible ones stay; see ``plausible``."""
+    found = dbscan(points, eps, least, key, by=(scene,)).where("cluster is not null").select(key, "cluster")
+    own = points.join(found, key)
+    low, high = ([f(a).alias(f"{a}{k}") for a in AXES] for f, k in ((F.min, 0), (F.max, 1)))
+    boxes = own.groupBy(scene, "cluster").agg(F.count("*").alias("n"), *low, *high).where(F.col("n") >= least)
+    if profiles is None:
+        return boxes
+    kept = plausible(own, profiles).where("plausible").select("cluster").distinct()
+    return boxes.join(kept, "cluster", "left_semi")

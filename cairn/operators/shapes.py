@@ -265,7 +265,7 @@ def spanning_forest(points: DataFrame, by: str, samples: int, radius: float, key
     from cairn.operators.components import connected
 
     own = points.select(by, key, *AXES)
-    pairs = saved(within(own, own, radius).where((F.col(by) == F.col(f"r_{by}")) & (F.col(key) != F.col(f"r_{key}"))).select(by, F.col(key).alias("a"), F.col(f"r_{key}").alias("b"), "distance"), "pairs")
+    pairs = saved(within(own, own, radius, by=(by,)).where(F.col(key) != F.col(f"r_{key}")).select(by, F.col(key).alias("a"), F.col(f"r_{key}").alias("b"), "distance"), "pairs")
     # row_number up to a bound is limited before the shuffle
     place = F.row_number().over(W.partitionBy("a").orderBy("distance", "b"))
     core = own.select(F.col(key).alias("a"), F.lit(0.0).alias("core")) if samples < 2 else pairs.withColumn("k", place).where(F.col("k") == samples - 1).select("a", F.col("distance").alias("core"))

@@ -15,16 +15,19 @@ from cairn.operators.components import connected
 AXES = ("x", "y", "z")
 
 
-def within(left: DataFrame, right: DataFrame, radius: float, axes: tuple[str, ...] = AXES) -> DataFrame:
-    """All pairs of a left and a right row at most ``radius`` apart, with ``distance``. Columns of the right side get the
-    prefix ``r_``."""
-    other = right.select(*(F.col(c).alias(f"r_{c}") for c in right.columns))
+def within(left: DataFrame, right: DataFrame, radius: float, axes: tuple[str, ...] = AXES, by: tuple[str, ...] = ()) -> DataFrame:
+    """All pairs of a left and a right row at most ``radius`` apart (of the same ``by``), with ``distance``. Columns of the right
+    side get the prefix ``r_``."""
+    other = right.select(*(F.col(c).alias(f"r_{c}") for c in right.columns), *(F.col(c).alias(f"__by_{c}") for c in by))
+    for c in by:
+        left = left.withColumn(f"__by_{c}", F.col(c))
     for a in axes:
         left = left.withColumn(f"__{a}", F.floor(F.col(a) / radius))
         cell = F.floor(F.col(f"r_{a}") / radius)
         other = other.withColumn(f"__{a}", F.explode(F.array(cell - 1, cell, cell + 1)))
+    keys = [*(f"__by_{c}" for c in by), *(f"__{a}" for a in axes)]
     squared = sum(((F.col(a) - F.col(f"r_{a}")) * (F.col(a) - F.col(f"r_{a}")) for a in axes), F.lit(0.0))
-    return left.join(other, [f"__{a}" for a in axes]).withColumn("distance", F.sqrt(squared)).where(F.col("distance") <= radius).drop(*(f"__{a}" for a in axes))
+    return left.join(other, keys).withColumn("distance", F.sqrt(squared)).where(F.col("distance") <= radius).drop(*keys)
 
 
 def nearest_within(left: DataFrame, right: DataFrame, radius: float, key: str = "pid", axes: tuple[str, ...] = AXES) -> DataFrame:
@@ -91,10 +94,12 @@ def overlaps(left: DataFrame, right: DataFrame, tolerance: float, group: str = "
     return both.select("a", "b", F.coalesce("near", F.lit(0)).cast("long").alias("near"), (F.coalesce("near", F.lit(0)) / F.least("n_a", "n_b")).alias("overlap"))
 
 
-def dbscan(points: DataFrame, eps: float, least: int, key: str = "pid", axes: tuple[str, ...] = AXES) -> DataFrame:
+def dbscan(points: DataFrame, eps: float, least: int, key: str = "pid", axes: tuple[str, ...] = AXES, by: tuple[str, ...] = ()) -> DataFrame:
     """pid, core and cluster. A core point has ``least`` points within eps, itself included; a cluster is named by its smallest
-    core id; a border point takes the smallest cluster within eps, others have none."""
-    pairs = within(points.select(key, *axes), points.select(key, *axes), eps, axes)
+    core id; a border point takes the smallest cluster within eps, others have none. With ``by`` (say, the scene) only points
+    of the same are neighbours; keys are unique over all."""
+    own = points.select(key, *by, *axes)
+    pairs = within(own, own, eps, axes, by).select(key, f"r_{key}")
     core = pairs.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") >= least).select(key)
     links = pairs.join(core, key).join(core.select(F.col(key).alias(f"r_{key}")), f"r_{key}")
     roots = connected(links.select(F.col(key).alias("a"), F.col(f"r_{key}").alias("b")))

@@ -220,3 +220,19 @@ def f06_neighbour_accuracy(spark, d):
     """A stated set of queries, every 20th vector, against all others."""
     e = table(spark, d, "embeddings")
     return evaluators.evaluated("neighbours", e.where("vec_id % 20 = 0"), e).withColumn("accuracy", F.round("accuracy", 8))
+
+
+@query(
+    ctes(
+        p=POINT,
+        e="SELECT a.pid AS a, b.pid AS b FROM p a, p b WHERE a.label % 3 = b.label % 3 AND sqrt((a.x-b.x)**2 + (a.y-b.y)**2 + (a.z-b.z)**2) <= 1.0",
+        c="SELECT a AS pid FROM e GROUP BY 1 HAVING count(*) >= 4",
+        l="SELECT e.a, e.b FROM e JOIN c x ON e.a = x.pid JOIN c y ON e.b = y.pid",
+    ).replace("WITH ", "WITH RECURSIVE ", 1)
+    + """, r AS (SELECT pid AS node, pid AS root FROM c UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.node), k AS (SELECT node, min(root) AS cluster FROM r GROUP BY 1),
+    n AS (SELECT e.a AS pid, min(k.cluster) AS near FROM e JOIN k ON e.b = k.node GROUP BY 1), o AS (SELECT p.*, coalesce(k.cluster, n.near) AS cluster FROM p LEFT JOIN k ON p.pid = k.node LEFT JOIN n ON p.pid = n.pid)
+    SELECT label % 3 AS scene, cluster, count(*) AS n, min(x) AS x0, min(y) AS y0, min(z) AS z0, max(x) AS x1, max(y) AS y1, max(z) AS z1 FROM o WHERE cluster IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 4"""
+)
+def f09_scene_instances(spark, d):
+    """Instances of three scenes at once."""
+    return profiles.scene_instances(view(spark, d, POINT).withColumn("scene", F.col("label") % 3), 1.0, 4)
