@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def nearest_in_time(left: DataFrame, right: DataFrame, tolerance: int, by: str, time: str = "ts", key: str = "id") -> DataFrame:
@@ -110,23 +111,33 @@ def detections_matched(pairs: DataFrame, detections: DataFrame, truths: DataFram
     order = W.partitionBy(*by).orderBy(F.col("score").desc(), "id")
     some = detections.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
     known = pairs.join(truths.select(*by, "truth", "ignore"), [*by, "truth"])
-    rows = some.select(*by, "id", "score", "place").join(known, [*by, "id"], "left")
+    truth_kind = truths.schema["truth"].dataType
+    held = F.col("truth").isNotNull().alias("held")
+    # a detection without pairs has one row that holds no truth; what stands in its place is never read
+    blank = F.coalesce(F.col("truth"), F.lit("0").cast(truth_kind)).alias("truth")
+    rows = some.select(*by, "id", "score", "place").join(known, [*by, "id"], "left").select(*by, "id", "score", "place", held, blank, F.coalesce("iou", F.lit(0.0)).cast("double").alias("iou"), F.coalesce("ignore", F.lit(0)).cast("int").alias("ignore"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, out = pdf.sort_values(["place", "truth"]), []
+        # of the truths that a detection may take, those that count come first, then by overlap, then by id
+        pdf = pdf.sort_values(["place", "ignore", "iou", "truth"], ascending=[True, True, False, True])
         group = [pdf[c].iloc[0] for c in by]
+        places, ids, scores, holds, names, overlaps, ignored = (pdf[c].tolist() for c in ("place", "id", "score", "held", "truth", "iou", "ignore"))
+        starts = [k for k in range(len(places)) if not k or places[k] != places[k - 1]]
+        out = []
         for t in thresholds:
             taken: set = set()
-            for (_, i, score), own in pdf.groupby(["place", "id", "score"], sort=True):
-                free = own[own["truth"].notna() & (own["iou"] >= t) & ((own["ignore"] == 1) | ~own["truth"].isin(taken))]
-                free = free.sort_values(["ignore", "iou", "truth"], ascending=[True, False, True])
-                hit = free.iloc[0] if len(free) else None
+            for s, e in zip(starts, [*starts[1:], len(places)], strict=True):
+                hit = next((k for k in range(s, e) if holds[k] and overlaps[k] >= t and (ignored[k] == 1 or names[k] not in taken)), None)
                 if hit is not None:
-                    taken.add(hit["truth"])
-                out.append([*group, t, i, score, None if hit is None else hit["truth"], hit is not None and hit["ignore"] == 1])
-        return pd.DataFrame(out, columns=[*by, "threshold", "id", "score", "truth", "ignored"])
-
-    return rows.groupBy(*by).applyInPandas(run, schema)
+                    taken.add(names[hit])
+                out.append((*group, t, ids[s], scores[s], None if hit is None else names[hit], hit is not None and ignored[hit] == 1))
+        found = pd.DataFrame(out, columns=[*by, "threshold", "id", "score", "truth", "ignored"])
+        found["truth"] = pd.array([r[-2] for r in out], dtype="Int64" if isinstance(truth_kind, T.IntegralType) else object)
+        return found
+
+    # few bytes but much work: a number of its own keeps small partitions from being put together into one task
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, *by).groupBy(*by).applyInPandas(run, schema)
 
 
 def paired_by_name(left: DataFrame, right: DataFrame, suffix_left: str = "", suffix_right: str = "", path: str = "path") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cairn.functions.storage import saved
 from cairn.operators.matching import detections_matched
 from cairn.operators.running import largest_ahead, running
 
@@ -238,8 +239,10 @@ def detection_grid(pairs: DataFrame, detections: DataFrame, truths: DataFrame, t
     key = F.struct("category", "area", "threshold", "most")
     positives = known.groupBy("category", "area").agg(F.count_if(F.col("ignore") == 0).alias("n"))
     one = wide.join(positives.where("n > 0"), ["category", "area"]).select(key.alias("k"), "n", "score", F.struct("video", "place").alias("tie"), F.col("truth").isNotNull().alias("tp"))
+    one = saved(one, "judged")  # it is read several times, and matching isn't cheap
     # the struct is a key like any other; positives come along
     curve = precision_recall(one.drop("n"), "k", one.groupBy("k").agg(F.max("n").alias("n")), tie="tie")
+    curve = saved(curve.select("k", "recall", "envelope"), "curve")
     precision, recall = average_precision(curve, "k", points), curve.groupBy("k").agg(F.max("recall").alias("ar"))
     cells = positives.select("*", F.explode(F.array(*map(F.lit, thresholds))).alias("threshold")).select("*", F.explode(F.array(*map(F.lit, most))).alias("most"))
     told = precision.join(recall, "k").select("k.*", "ap", "ar")

@@ -236,3 +236,37 @@ def f06_neighbour_accuracy(spark, d):
 def f09_scene_instances(spark, d):
     """Instances of three scenes at once."""
     return profiles.scene_instances(view(spark, d, POINT).withColumn("scene", F.col("label") % 3), 1.0, 4)
+
+
+@query(
+    ctes(p=POINT, e="SELECT a.label, a.pid, a.x, a.y FROM p a JOIN p b ON a.label = b.label AND a.pid <> b.pid JOIN p c ON a.label = c.label GROUP BY a.label, a.pid, a.x, a.y, b.pid HAVING max((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x)) <= 1e-12")
+    + " SELECT DISTINCT label, round(x, 8) AS x, round(y, 8) AS y FROM e"
+)
+def c08_hulls(spark, d):
+    """Corners of each label's hull in the plane."""
+    return catalogs.hull(view(spark, d, POINT), "label").select("label", F.round("x", 8).alias("x"), F.round("y", 8).alias("y"))
+
+
+@query()
+def t13_block_masks(spark, d):
+    """Masked cells of a grid for every image of the nations' table."""
+    return sampling.block_masks(table(spark, d, "nation").select(F.col("n_nationkey").alias("id")), 14, 14, 0.4, 1)
+
+
+@query()
+def a25_oriented_boxes(spark, d):
+    out = catalogs.oriented_boxes(view(spark, d, POINT), "label")
+    return out.select("label", *(F.round(c, 6).alias(c) for c in ("cx", "cy", "cz", "d0", "d1", "d2")))
+
+
+@query()
+def m19_detection_grid(spark, d):
+    """Events as detections (even ids) and truths (odd ones) of a user and a kind; overlap falls with the distance of their ids."""
+    e = view(spark, d, EVENT).select(F.col("user_id").alias("video"), F.col("event_type").alias("category"), "id", "value")
+    size = (F.col("value") * 300).alias("size")
+    dets = e.where("id % 2 = 0").select("video", "category", "id", (F.col("value") / 1000).alias("score"), size)
+    truths = e.where("id % 2 = 1").select("video", "category", F.col("id").alias("truth"), F.when(F.col("id") % 11 == 1, 1).otherwise(0).alias("crowd"), size)
+    near = F.floor(F.col("id") / 400)
+    left, right = dets.select("video", "category", "id", near.alias("b")), truths.select("video", "category", "truth", F.floor(F.col("truth") / 400).alias("b"))
+    pairs = left.join(right, ["video", "category", "b"]).select("video", "category", "id", "truth", (1 - F.abs(F.col("id") - F.col("truth")) / 400).alias("iou"))
+    return metrics.detection_grid(pairs, dets, truths, thresholds=(0.5, 0.75), most=(1, 10))

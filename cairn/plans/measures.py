@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cairn.functions.storage import saved
 from cairn.operators import knn, metrics
+from cairn.operators.colouring import bound
 from cairn.plans.registry import query
 from cairn.plans.views import EVENT, PAIR, ctes, table, view
 
@@ -165,8 +167,10 @@ def m11_knn(spark, d):
 
 
 def _koleo(e):
+    # the norm is bound to a column, else each element's division would make it anew; the unit vectors are read once a block
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    unit = e.withColumn("embedding", F.transform("embedding", lambda x: x.cast("double") / norm))
+    unit = bound(e.select("vec_id", "embedding"), {"__norm": norm})
+    unit = saved(unit.select("vec_id", F.transform("embedding", lambda x: x.cast("double") / F.col("__norm")).alias("embedding")), "unit")
     return _rounded(knn.nearest_entropy(knn.top_k(unit, unit, 1)), 6, "koleo")
 
 
