@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import bpe, chat, decontaminate, language, licenses, neighbours, quality, secrets, simhash, warc
+from cairn.llm import bpe, chat, decontaminate, language, licenses, neighbours, packing, quality, resampling, secrets, simhash, trie, warc
 from cairn.llm.shared import table
 
 
@@ -62,10 +62,25 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scanned(table(spark, sf_dir, "documents")).drop("redacted")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct prefix of the rebuilt conversations; see ``trie.rebuilt`` and ``trie.prefix_trie``."""
+    return trie.prefix_trie(trie.rebuilt(trie.numbered(table(spark, sf_dir, "conversations"))))
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces and their places in sequences of 1,024 tokens; see ``packing.packed``."""
+    return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, digest=True)
+
+
+def op13_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight and score towards the benchmark's words, and the ranks of those drawn; see ``resampling.resampled``."""
+    return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries():
-    found = (op1_quality_resampling, op2_language_id, op3_chat_perspectives, op4_license_scan, op5_decontamination, op6_simhash_groups, op7_cross_polytope, op8_byte_bpe, op9_warc_archives, op10_secret_scan)
+    found = (op1_quality_resampling, op2_language_id, op3_chat_perspectives, op4_license_scan, op5_decontamination, op6_simhash_groups, op7_cross_polytope, op8_byte_bpe, op9_warc_archives, op10_secret_scan, op11_prefix_trie, op12_best_fit_packing, op13_target_resampling)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql():
-    return {"op3_chat_perspectives": chat.ROTATED_SQL, "op9_warc_archives": warc.ROUND_TRIP_SQL}
+    return {"op3_chat_perspectives": chat.ROTATED_SQL, "op9_warc_archives": warc.ROUND_TRIP_SQL, "op11_prefix_trie": trie.TRIE_SQL, "op13_target_resampling": resampling.RESAMPLED_SQL}
