@@ -119,6 +119,17 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def _outside(found: list[tuple[int, int, int]], fixed: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Spans, in order of place, that lie within none of the fixed ones: those that begin before or with a span are known by the farthest end."""
+    ends, at, farthest, out = sorted(fixed), 0, -1, []
+    for x in sorted(found):
+        while at < len(ends) and ends[at][0] <= x[0]:
+            farthest, at = max(farthest, ends[at][1]), at + 1
+        if x[1] > farthest:
+            out.append(x)
+    return out
+
+
 def spans(text: str | None) -> list[tuple[int, int, int]]:
     """All (start, end, kind), by start, then kind as listed. An entropy span that lies within a span of a fixed kind is left out;
     one that reaches beyond it stays, and the two overlap."""
@@ -136,8 +147,7 @@ def spans(text: str | None) -> list[tuple[int, int, int]]:
             at = start + m.start() + m[0].find(core) if core else start
             if len(core) >= WINDOW and suspicious(core):
                 found.append((at, at + len(core), 3))
-    out += [x for x in found if not any(a <= x[0] and x[1] <= b for a, b, _ in out)]
-    return sorted(out, key=lambda x: (x[0], x[2], x[1]))
+    return sorted([*out, *_outside(found, out)], key=lambda x: (x[0], x[2], x[1]))
 
 
 def joined(found: list[tuple[int, int, int]]) -> str:
