@@ -139,7 +139,7 @@ HAND = (
     ("odc-by-1.0", "open data commons attribution licen[cs]e", "open commons attribution", VERSIONED),
     ("ogl-uk", "open government licen[cs]e(?: v ?[123](?: 0)?)?", "open government", VERSIONED),
     ("oldap", "openldap public licen[cs]e(?: version)?(?: [12](?: [0-9])?)?", "openldap public", VERSIONED),
-    ("open-rail", "(?:creativeml )?open ?rail(?: ?[msd])?(?: licen[cs]e)?", "openrail|rail", NAMED),
+    ("open-rail", "(?:creativeml )?open ?rail(?: ?[msd])?(?: licen[cs]e)?", "openrail|openrailm|openrails|openraild|rail|railm|rails|raild", NAMED),
     ("openssl", "this product includes software developed by the openssl project", "openssl project", STATEMENT),
     ("oracle-bcl", "oracle binary code licen[cs]e agreement", "oracle binary code", NAMED),
     ("otn", "oracle technology network licen[cs]e", "oracle technology network", NAMED),
@@ -242,7 +242,7 @@ def rules() -> tuple[Rule, ...]:
         out.append(_rule(short, f"{name} {LICENSE}", f"{keys} {either}", NAMED))
     out.append(_rule("apache-2.0", "apache org licenses license 2 0", "apache licenses", STATEMENT))
     # licences by name and by a sentence of their text
-    for label, name, keys in (("mit", "(?:the )?mit", "mit"), ("isc", "isc", "isc"), ("zlib", "zlib", "zlib"), ("x11", "x11", "x11"), ("beerware", "beer ?ware", "beer|beerware"), ("wtfpl", "do what the fuck you want to public", "public"), ("unlicense", "the", "unlicense"), ("openssl", "openssl", "openssl"), ("python", "python software foundation", "python"), ("ncsa", "university of illinois ncsa open source", "ncsa")):
+    for label, name, keys in (("mit", "(?:the )?mit", "mit"), ("isc", "isc", "isc"), ("zlib", "zlib", "zlib"), ("x11", "x11", "x11"), ("beerware", "beer ?ware", "beer|beerware"), ("wtfpl", "do what the fuck you want to public", "public"), ("unlicense", "the", "unlicense|unlicence"), ("openssl", "openssl", "openssl"), ("python", "python software foundation", "python"), ("ncsa", "university of illinois ncsa open source", "ncsa")):
         body = "(?:the )?unlicen[cs]e" if label == "unlicense" else f"{name} {LICENSE}"
         out += [_rule(label, body, keys if label == "unlicense" else f"{keys} {either}", NAMED), _rule(label, f"licensed under (?:the )?{body}", f"licensed {keys}", STATEMENT)]
     for n, word in (("0", "zero"), ("1", "one"), ("2", "two"), ("3", "three"), ("4", "four")):

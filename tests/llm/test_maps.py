@@ -141,6 +141,23 @@ def test_all_spans_by_brute_force():
         assert secrets.spans(text) == brute_entropy(text), text
 
 
+def test_entropy_spans_outside_others_by_brute_force():
+    rng = random.Random(16)
+    for _ in range(500):
+        made = [[(a, a + rng.randint(1, 9), k) for a in (rng.randint(0, 40) for _ in range(rng.randint(0, 12)))] for k in (3, 0)]
+        assert secrets._outside(*made) == sorted(x for x in made[0] if not any(a <= x[0] and x[1] <= b for a, b, _ in made[1]))
+
+
+def test_secret_scan_of_many_finds_is_linear():
+    import time
+
+    rng = random.Random(17)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    text = " ".join("".join(rng.choices(letters, k=40)) + " " + "".join(rng.choices("0123456789abcdef", k=40)) for _ in range(25_000))
+    began = time.time()
+    assert len(secrets.spans(text)) > 45_000 and time.time() - began < 60
+
+
 def test_secrets_table(spark, odd, none):
     got = secrets.scanned(odd).collect()
     assert [r.doc_id for r in got] == [x[0] for x in ODD]
@@ -214,6 +231,46 @@ def test_licence_detections_by_brute_force():
         assert licenses.detections(joined, set(joined.split())) == brute_kept(every)
 
 
+def generated(tree, rng):
+    """A text that the parsed pattern matches."""
+    out = []
+    for op, arg in tree:
+        op = str(op)
+        if op == "LITERAL":
+            out.append(chr(arg))
+        elif op == "ANY":
+            out.append(rng.choice("ab "))
+        elif op == "IN":
+            kind, value = rng.choice(arg)
+            out.append(chr(value) if str(kind) == "LITERAL" else chr(rng.randint(*value)))
+        elif op == "MAX_REPEAT":
+            least, most, part = arg
+            out += [generated(part, rng) for _ in range(rng.randint(least, min(most, least + 3)))]
+        elif op == "BRANCH":
+            out.append(generated(rng.choice(arg[1]), rng))
+        elif op == "SUBPATTERN":
+            out.append(generated(arg[3], rng))
+        else:
+            assert op == "ASSERT", op
+    return "".join(out)
+
+
+def test_licence_gates_lose_no_match_of_any_rule():
+    """Texts made from each pattern hold the keywords that its rule waits for."""
+    import re._parser as parser
+
+    rng = random.Random(14)
+    for i, r in enumerate(licenses.rules()):
+        tree = parser.parse(r.pattern.pattern)
+        for _ in range(60):
+            joined = f" {generated(tree, rng)} "
+            assert r.pattern.search(joined), (r.pattern.pattern, joined)
+            vocabulary = set(joined.split())
+            assert all(not k.isdisjoint(vocabulary) for k in r.keywords), (i, r.label, joined)
+    for text, label in (("creativeml openrailm license", "open-rail"), ("open rails licence", "open-rail"), ("the unlicence", "unlicense"), ("licensed under the unlicence", "unlicense")):
+        assert label in licenses.scan(text)[5].split(",")
+
+
 def test_licence_rules_are_distinct():
     rules = licenses.rules()
     assert len({r.pattern.pattern for r in rules}) == len(rules)
