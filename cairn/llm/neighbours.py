@@ -1,8 +1,10 @@
 """Approximate nearest neighbours by cross-polytope hashing (operator 7).
 
 A hash turns a unit vector by a fast pseudo-rotation (random signs and a Hadamard transform, three times) and takes the nearest
-signed axis. A table's bucket is several such hashes in a row, more of them the more vectors there are, so that a bucket's size
-doesn't grow with the table. A query probes the buckets, of all tables together, whose axes lie nearest to it.
+signed axis. A table's bucket is several such hashes in a row, more of them the more vectors there are (the last may take a part of the
+axes), so that a bucket's size doesn't grow with the table. A query probes the buckets, of all tables together, whose axes lie
+nearest to it. How many, a bounded sample of queries says, whose exact neighbours are found by a scan: so many that 95 % of these
+neighbours are in a probed bucket. If the most that are allowed aren't enough, all queries take the exact way.
 
 Buckets hold ids and sketches (a byte for each component), never whole vectors. The best few of what a query collides with,
 by sketches, are reranked by the exact cosine on the original vectors. Where sketches can't tell the last of these few from the
@@ -11,6 +13,8 @@ k-th, or where there are fewer than k, the query meets all vectors, in blocks.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -21,11 +25,13 @@ from pyspark.sql import types as T
 
 from cairn.llm.shared import blocked, saved
 
-#: Tables, and buckets that a query probes in all of them: with one hash to a bucket, and with several.
-FEW_TABLES, FEW_PROBES = 8, 80
-TABLES, PROBES = 40, 2000
-#: Axes of a hash that probes are made of, and how many prefixes of a bucket are carried on.
-NEAREST_AXES, BEAM = 24, 320
+#: Tables with one hash to a bucket, and with several; rows of a bucket on average before another hash, or a part of one, is added.
+FEW_TABLES, TABLES, FILL = 8, 40, 16
+#: Buckets that a query may probe in all tables; the number is set by so many queries of a dimension, so that this share of their true
+#: neighbours is in a probed bucket.
+MOST_PROBES, SAMPLE, REACHED = 20_000, 128, 0.95
+#: Axes of a hash that probes are made of.
+NEAREST_AXES = 64
 #: Vectors and queries that are coded at once.
 CODED, PROBING = 1024, 64
 #: Candidates that are reranked, times k, and what two sketched cosines may be off together.
@@ -55,9 +61,9 @@ def rotated(x: np.ndarray, number: int) -> np.ndarray:
     return x
 
 
-def signed_axes(x: np.ndarray, number: int) -> np.ndarray:
-    """How near each row is to each of the 2d signed axes: axis j as j, its opposite as d + j."""
-    turned = rotated(x, number)
+def signed_axes(x: np.ndarray, number: int, axes: int | None = None) -> np.ndarray:
+    """How near each row is to each of the signed axes (of the first ``axes`` ones): axis j as j, its opposite as axes + j."""
+    turned = rotated(x, number)[:, :axes]
     return np.concatenate((turned, -turned), axis=1)
 
 
@@ -69,48 +75,79 @@ def unit(vectors: list) -> np.ndarray:
     return np.pad(x, ((0, 0), (0, d - x.shape[1])))
 
 
-def plan(rows: int, dim: int) -> tuple[int, int, int]:
-    """Hashes to a bucket, tables and probes for so many vectors of a dimension: about as many buckets as vectors."""
-    axes = 2 << max(0, dim - 1).bit_length()
-    hashes = max(1, round(np.log(max(1, rows)) / np.log(axes)))
-    return (1, FEW_TABLES, FEW_PROBES) if hashes == 1 else (hashes, TABLES, PROBES)
+class Shape(NamedTuple):
+    """The axes of each hash of a bucket, the number of tables, and the buckets that a query probes (0: none are enough)."""
+
+    axes: tuple[int, ...]
+    tables: int
+    probes: int = MOST_PROBES
+
+
+def plan(rows: int, dim: int) -> Shape:
+    """Hashes for so many vectors of a dimension. Beyond the second, the last hash takes 1, 2, 4 .. axes, so that the number of buckets
+    doubles with the rows and no step is larger."""
+    d = 1 << max(0, dim - 1).bit_length()
+    if rows < (2 * d) ** 1.5:
+        return Shape((d,), FEW_TABLES)
+    axes, buckets, part = [d, d], (2 * d) ** 2, 0
+    while rows > FILL * buckets * max(1, 2 * part):
+        if part == d:
+            axes, buckets, part = [*axes, d], buckets * 2 * d, 0
+        part = max(1, 2 * part)
+    return Shape((*axes, part) if part else tuple(axes), TABLES)
 
 
-def codes(x: np.ndarray, hashes: int, tables: int) -> np.ndarray:
+def codes(x: np.ndarray, shape: Shape) -> np.ndarray:
     """The bucket of each row in each table."""
     x = x.astype(np.float32)
-    axes = 2 * x.shape[1]
-    out = np.zeros((len(x), tables), np.int64)
-    for t in range(tables):
-        for h in range(hashes):
-            out[:, t] = out[:, t] * axes + signed_axes(x, t * hashes + h).argmax(axis=1)
-        out[:, t] = out[:, t] * tables + t
+    out = np.zeros((len(x), shape.tables), np.int64)
+    for t in range(shape.tables):
+        for h, axes in enumerate(shape.axes):
+            out[:, t] = out[:, t] * (2 * axes) + signed_axes(x, t * len(shape.axes) + h, axes).argmax(axis=1)
+        out[:, t] = out[:, t] * shape.tables + t
     return out
 
 
-def probed(x: np.ndarray, hashes: int, tables: int, probes: int) -> np.ndarray:
-    """For each row the ``probes`` buckets of all tables (fewer if there are fewer) whose axes have the largest sum of nearness."""
+def probed(x: np.ndarray, shape: Shape) -> np.ndarray:
+    """For each row the buckets of all tables (fewer than ``probes`` if there are fewer) whose axes have the largest sum of nearness, largest first."""
     x = x.astype(np.float32)
-    axes = 2 * x.shape[1]
-    take = min(NEAREST_AXES, axes) if hashes > 1 else axes
     every_s, every_b = [], []
-    for t in range(tables):
+    beam = max(64, 4 * shape.probes // shape.tables)
+    for t in range(shape.tables):
         score, bucket = np.zeros((len(x), 1), np.float32), np.zeros((len(x), 1), np.int64)
-        for h in range(hashes):
-            near = signed_axes(x, t * hashes + h)
+        for h, axes in enumerate(shape.axes):
+            near = signed_axes(x, t * len(shape.axes) + h, axes)
+            near = near - near.max(axis=1, keepdims=True)  # what is lost against the bucket that the row itself is in
+            take = min(NEAREST_AXES, 2 * axes) if len(shape.axes) > 1 else 2 * axes
             top = np.argpartition(-near, take - 1, axis=1)[:, :take]
             score = (score[:, :, None] + np.take_along_axis(near, top, 1)[:, None, :]).reshape(len(x), -1)
-            bucket = (bucket[:, :, None] * axes + top[:, None, :]).reshape(len(x), -1)
-            if score.shape[1] > BEAM:
-                best = np.argpartition(-score, BEAM - 1, axis=1)[:, :BEAM]
+            bucket = (bucket[:, :, None] * (2 * axes) + top[:, None, :]).reshape(len(x), -1)
+            if score.shape[1] > beam:
+                best = np.argpartition(-score, beam - 1, axis=1)[:, :beam]
                 score, bucket = np.take_along_axis(score, best, 1), np.take_along_axis(bucket, best, 1)
         every_s.append(score)
-        every_b.append(bucket * tables + t)
+        every_b.append(bucket * shape.tables + t)
     score, bucket = np.concatenate(every_s, axis=1), np.concatenate(every_b, axis=1)
-    if score.shape[1] > probes:
-        best = np.argpartition(-score, probes - 1, axis=1)[:, :probes]
-        bucket = np.take_along_axis(bucket, best, 1)
-    return bucket
+    if score.shape[1] > shape.probes:
+        best = np.argpartition(-score, shape.probes - 1, axis=1)[:, : shape.probes]
+        score, bucket = np.take_along_axis(score, best, 1), np.take_along_axis(bucket, best, 1)
+    return np.take_along_axis(bucket, np.argsort(-score, axis=1, kind="stable"), 1)
+
+
+def needed(q: np.ndarray, c: np.ndarray, shape: Shape) -> np.ndarray:
+    """How many probes of each row of q reach the row of c beside it; one more than all if none do."""
+    out = np.zeros(len(q), np.int64)
+    for a in range(0, len(q), 16):
+        for i, (buckets, own) in enumerate(zip(probed(q[a : a + 16], shape), codes(c[a : a + 16], shape), strict=True)):
+            at = np.flatnonzero(np.isin(buckets, own))
+            out[a + i] = at[0] + 1 if len(at) else shape.probes + 1
+    return out
+
+
+def enough(need: np.ndarray, shape: Shape, reached: float = REACHED) -> Shape:
+    """The shape with as many probes as reach that share of neighbours; with none if the most don't."""
+    least = int(np.sort(need)[max(0, int(np.ceil(reached * len(need))) - 1)])
+    return shape._replace(probes=least if least <= shape.probes else 0)
 
 
 def sketches(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,7 +167,7 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", a, b) / np.sqrt(np.einsum("ij,ij->i", a, a) * np.einsum("ij,ij->i", b, b))
 
 
-def _coded(rows: DataFrame, sizes: dict[int, int], querying: bool) -> DataFrame:
+def _coded(rows: DataFrame, shapes: dict[int, Shape], querying: bool) -> DataFrame:
     """dim, bucket, rid, id, sketch, scale: a row for each bucket that a vector is in, or that a query probes."""
     schema = T.StructType(
         [T.StructField("rid", T.LongType()), T.StructField("id", T.LongType()), T.StructField("dim", T.IntegerType()), T.StructField("sketch", T.BinaryType()), T.StructField("scale", T.FloatType()), T.StructField("buckets", T.ArrayType(T.LongType()))]
@@ -148,8 +185,7 @@ def _coded(rows: DataFrame, sizes: dict[int, int], querying: bool) -> DataFrame:
                 for dim in np.unique(dims):
                     where = np.flatnonzero(dims == dim)
                     x = unit([vectors[i] for i in where])
-                    hashes, tables, probes = plan(sizes[int(dim)], int(dim))
-                    found = probed(x, hashes, tables, probes) if querying else codes(x, hashes, tables)
+                    found = (probed if querying else codes)(x, shapes[int(dim)])
                     sketch, scales[where] = sketches(x)
                     for i, b, s in zip(where, found, sketch, strict=True):
                         buckets[i], held[i] = b, s.tobytes()
@@ -158,6 +194,27 @@ def _coded(rows: DataFrame, sizes: dict[int, int], querying: bool) -> DataFrame:
     return rows.select("rid", "id", "dim", "v").mapInArrow(run, schema).select("dim", "rid", "id", "sketch", "scale", F.explode("buckets").alias("bucket"))
 
 
+def fitted(index: DataFrame, queries: DataFrame, k: int) -> dict[int, Shape]:
+    """The shape for each dimension, with probes by the exact neighbours of up to SAMPLE queries of it: their cost is that of so many scans."""
+    shapes = {r["dim"]: plan(r["n"], r["dim"]) for r in index.groupBy("dim").agg(F.count("*").alias("n")).collect()}
+    first = F.row_number().over(W.partitionBy("dim").orderBy(F.xxhash64("rid"), "rid"))
+    sample = saved(queries.withColumn("n", first).where(F.col("n") <= SAMPLE).drop("n"), "sample")
+    best = W.partitionBy("q").orderBy(F.col("score").desc(), "id", "c")
+    pairs = _exact(index, sample, k).withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).select("q", "c")
+    pairs = pairs.join(sample.select(F.col("rid").alias("q"), F.col("v").alias("qv"), "dim"), "q").join(index.select(F.col("rid").alias("c"), F.col("v").alias("cv")), "c")
+
+    def run(frames):
+        for pdf in frames:
+            for dim, own in pdf.groupby("dim"):
+                need = needed(unit(own["qv"].tolist()), unit(own["cv"].tolist()), shapes[int(dim)])
+                yield pd.DataFrame({"dim": np.full(len(own), dim, np.int32), "need": need})
+
+    need: dict[int, list[int]] = {}
+    for r in pairs.select("dim", "qv", "cv").mapInPandas(run, "dim int, need long").collect():  # SAMPLE * k a dimension at most
+        need.setdefault(r["dim"], []).append(r["need"])
+    return {dim: enough(np.array(need[dim]), shape) if dim in need else shape for dim, shape in shapes.items()}
+
+
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """rid (its own for each row), id, v (array<float> as it is, others as array<double>), dim of the rows that can be compared."""
     kind = vectors.schema[vector_col].dataType
@@ -181,10 +238,11 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", ve
     copies = W.partitionBy("v").orderBy("id", "rid")
     index = saved(rows.withColumn("n", F.row_number().over(copies)).where(F.col("n") <= k + 1).drop("n"), "index")
     queries = rows.where(is_query)
-    sizes = {r["dim"]: r["n"] for r in index.groupBy("dim").agg(F.count("*").alias("n")).collect()}
-    total = sum(n * plan(n, d)[1] for d, n in sizes.items())
+    shapes = fitted(index, queries, k)
+    total = index.count() * max((s.tables for s in shapes.values()), default=1)
+    hopeless = [d for d, s in shapes.items() if not s.probes]
     bulk = F.pmod(F.xxhash64("dim", "bucket"), F.lit(max(BULKS, -(-total // BULK)))).cast("int")
-    home, guest = saved(_coded(index, sizes, False).withColumn("bulk", bulk), "buckets"), saved(_coded(queries, sizes, True).withColumn("bulk", bulk), "probes")
+    home, guest = saved(_coded(index.where(~F.col("dim").isin(hopeless)), shapes, False).withColumn("bulk", bulk), "buckets"), saved(_coded(queries.where(~F.col("dim").isin(hopeless)), shapes, True).withColumn("bulk", bulk), "probes")
     some = saved(_sketched(home, guest, k), "candidates")
     wide = F.row_number().over(W.partitionBy("q").orderBy(F.col("near").desc(), "id", "c"))
     ranked = saved(some.groupBy("q", "c", "id").agg(F.max("near").alias("near")).withColumn("place", wide).where(F.col("place") <= k * RERANKED), "ranked")

@@ -1,6 +1,7 @@
 """Operators over many rows: quality (1), chat (3), decontamination (5), SimHash (6), neighbours (7), WARC (9), pipeline."""
 
 import collections
+import itertools
 import gzip
 import math
 import random
@@ -534,18 +535,56 @@ def test_neighbours_of_extreme_and_close_vectors(spark):
 
 def test_buckets_are_concatenated_hashes():
     x = neighbours.unit(np.random.default_rng(2).normal(size=(50, 16)).tolist())
-    assert neighbours.plan(100, 16)[0] == 1 and neighbours.plan(1000, 16)[0] == 2 and neighbours.plan(30_000, 16)[0] == 3
-    for hashes in (1, 2, 3):
-        own, tried = neighbours.codes(x, hashes, 4), neighbours.probed(x, hashes, 4, 40)
+    assert neighbours.plan(100, 16).axes == (16,) and neighbours.plan(1000, 16).axes == (16, 16) and neighbours.plan(30_000, 16).axes == (16, 16, 1)
+    for axes in ((16,), (16, 16), (16, 16, 2), (16, 16, 16)):
+        shape = neighbours.Shape(axes, 4, 40)
+        own, tried = neighbours.codes(x, shape), neighbours.probed(x, shape)
         assert tried.shape == (50, 40) and all(len(set(t)) == 40 for t in tried.tolist())
         # what a vector is in, it probes first
-        assert np.mean([len(set(o) & set(t)) for o, t in zip(own.tolist(), tried.tolist(), strict=True)]) > 3.5
+        assert all(set(t[:4]) == set(o) for o, t in zip(own.tolist(), tried.tolist(), strict=True))
+        assert (neighbours.needed(x, x, shape) == 1).all()
+
+
+def test_buckets_double_with_the_rows():
+    steps = [int(np.prod([2.0 * a for a in neighbours.plan(n, 64).axes])) for n in np.geomspace(2000, 10**12, 400).astype(np.int64)]
+    assert all(b in (a, 2 * a) for a, b in itertools.pairwise(steps))
+    assert steps[-1] * neighbours.FILL >= 10**12
+
+
+@pytest.mark.parametrize("rows", [1000, 20_000, 200_000, 600_000])
+def test_recall_at_every_step_of_the_plan(rows):
+    """Probes are set by some queries; others find 0.9 of their five nearest among a part of the rows."""
+    rng = np.random.default_rng(rows)
+    v = rng.normal(size=(rows, 64)).astype(np.float32)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    shape = neighbours.plan(rows, 64)
+    near = v[:160] @ v.T
+    near[np.arange(160), np.arange(160)] = -9
+    best = np.argpartition(-near, 5, axis=1)[:, :5]
+    need = neighbours.needed(np.repeat(v[:160], 5, 0), v[best.ravel()], shape)
+    shape = neighbours.enough(need[: 5 * neighbours.SAMPLE], shape)
+    assert 0 < shape.probes <= neighbours.MOST_PROBES
+    assert np.mean(need[5 * neighbours.SAMPLE :] <= shape.probes) >= 0.9
+    if rows > 1448:
+        some = neighbours.codes(v[160:2160], shape)
+        assert np.mean([np.isin(some, own).any(axis=1).mean() for own in neighbours.probed(v[128:160], shape)]) < 0.15
+
+
+def test_probes_that_are_never_enough_send_queries_the_exact_way(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(300, 8))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(neighbours, "enough", lambda need, shape: shape._replace(probes=0))
+    got = {}
+    for r in neighbours.nearest(df, F.col("id") % 50 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == {q: exact(v, np.arange(300), q) for q in range(0, 300, 50)}
 
 
 def test_hadamard_keeps_lengths():
     x = np.random.default_rng(1).normal(size=(5, 64))
     assert np.allclose(np.linalg.norm(neighbours.rotated(x, 3), axis=1), np.linalg.norm(x, axis=1))
-    assert np.array_equal(neighbours.codes(x, 1, 3)[:, 2] // 3, neighbours.signed_axes(x.astype(np.float32), 2).argmax(axis=1))
+    assert np.array_equal(neighbours.codes(x, neighbours.Shape((64,), 3))[:, 2] // 3, neighbours.signed_axes(x.astype(np.float32), 2).argmax(axis=1))
 
 
 PAGES = [(1, "http://a/\r\nx", "big " * 400), (2, None, "big " * 400), (9, "http://b/", "big " * 400), (3, "u", "small"), (4, "u", "small"), (5, "u", None), (6, "u", ""), (7, "é", "<p>ü\r\n\r\nWARC/1.1\r\n" * 90), (8, "u", "x" * 700_000)]
