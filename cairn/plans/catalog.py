@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from cairn.plans import catalogs, colouring, forms, measures, points, records, scenes
+from cairn.plans import catalogs, colouring, forms, masks, measures, points, records, scenes
 from cairn.plans.registry import QUERIES, SQL
 
-__all__ = ["catalogs", "colouring", "flagship", "forms", "measures", "oracle_sql", "points", "queries", "records", "scenes"]
+__all__ = ["catalogs", "colouring", "flagship", "forms", "masks", "measures", "oracle_sql", "points", "queries", "records", "scenes"]
 
 flagship = scenes.flagship
 
