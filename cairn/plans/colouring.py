@@ -24,7 +24,7 @@ def _matrix(q: str) -> dict[str, str]:
     return {"00": f"1-2*({y}*{y}+{z}*{z})", "01": f"2*({x}*{y}-{z}*{w})", "02": f"2*({x}*{z}+{y}*{w})", "10": f"2*({x}*{y}+{z}*{w})", "11": f"1-2*({x}*{x}+{z}*{z})", "12": f"2*({y}*{z}-{x}*{w})", "20": f"2*({x}*{z}-{y}*{w})", "21": f"2*({y}*{z}+{x}*{w})", "22": f"1-2*({x}*{x}+{y}*{y})"}
 
 
-def _seen_sql(camera: colouring.Camera) -> dict:
+def _seen_sql(camera: colouring.Camera, meets: str = "true") -> dict:
     k1, k2, p1, p2, k3 = camera.distortion
     body, own, at = _matrix("n"), _matrix("m"), MOUNT.position
     product = ", ".join(f"({body[f'{i}0']})*({own[f'0{j}']}) + ({body[f'{i}1']})*({own[f'1{j}']}) + ({body[f'{i}2']})*({own[f'2{j}']}) AS r{i}{j}" for i in range(3) for j in range(3))
@@ -34,7 +34,7 @@ def _seen_sql(camera: colouring.Camera) -> dict:
         p=POINT, o=POSE, g=PIXEL,
         n=f"SELECT *, qx/l AS nx, qy/l AS ny, qz/l AS nz, qw/l AS nw, {MOUNT.rotation[0]}/k AS mx, {MOUNT.rotation[1]}/k AS my, {MOUNT.rotation[2]}/k AS mz, {MOUNT.rotation[3]}/k AS mw FROM (SELECT *, sqrt(qx*qx+qy*qy+qz*qz+qw*qw) AS l, sqrt({'+'.join(f'{v}*{v}' for v in MOUNT.rotation)}) AS k FROM o)",
         m=f"SELECT ts AS frame, {product}, {moved} FROM n",
-        c=f"SELECT pid, frame, {turned} FROM p, m",
+        c=f"SELECT pid, frame, {turned} FROM p JOIN m ON {meets}",
         d="SELECT *, cx/cz AS a, cy/cz AS b, (cx/cz)*(cx/cz) + (cy/cz)*(cy/cz) AS r2 FROM c WHERE cz > 0",
         e=f"SELECT pid, frame, cz AS depth, {camera.fx}*(a*(1+{k1}*r2+{k2}*r2*r2+{k3}*r2*r2*r2) + 2*{p1}*a*b + ({p2})*(r2+2*a*a)) + {camera.cx} AS u, {camera.fy}*(b*(1+{k1}*r2+{k2}*r2*r2+{k3}*r2*r2*r2) + {p1}*(r2+2*b*b) + 2*({p2})*a*b) + {camera.cy} AS v FROM d",
         s=f"SELECT * FROM e WHERE u >= 0 AND u < {camera.width} AND v >= 0 AND v < {camera.height}",
@@ -52,13 +52,16 @@ def j01_points_by_poses(spark, d):
     return seen.select("pid", "frame", F.round("u", 4).alias("u"), F.round("v", 4).alias("v"), F.round("depth", 6).alias("depth"))
 
 
-@query(ctes(**_seen_sql(CAMERA), b=_BUFFER, near=_NEAR, l=_LOOKED) + " SELECT pid, frame, label FROM l")
+_HELD = ("p", "g", "m", "s", "near")
+
+
+@query(ctes(_HELD, **_seen_sql(CAMERA), b=_BUFFER, near=_NEAR, l=_LOOKED) + " SELECT pid, frame, label FROM l")
 def j03_frame_labels(spark, d):
     return colouring.voted(view(spark, d, POINT), view(spark, d, POSE), view(spark, d, PIXEL), CAMERA, MOUNT)
 
 
 @query(
-    ctes(**_seen_sql(CAMERA), b=_BUFFER, near=_NEAR, l=_LOOKED, k="SELECT pid, label, count(*) AS votes FROM l GROUP BY 1, 2", w="SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY votes DESC, label) AS place, sum(votes) OVER (PARTITION BY pid) AS total FROM k) WHERE place = 1 AND total >= 3", q=PALETTE)
+    ctes(_HELD, **_seen_sql(CAMERA), b=_BUFFER, near=_NEAR, l=_LOOKED, k="SELECT pid, label, count(*) AS votes FROM l GROUP BY 1, 2", w="SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY votes DESC, label) AS place, sum(votes) OVER (PARTITION BY pid) AS total FROM k) WHERE place = 1 AND total >= 3", q=PALETTE)
     + " SELECT p.pid, w.label, coalesce(w.votes, 0) AS votes, CAST(coalesce(w.total, 0) AS BIGINT) AS total, coalesce(q.r, 0) AS r, coalesce(q.g, 0) AS g, coalesce(q.b, 0) AS b FROM p LEFT JOIN w ON p.pid = w.pid LEFT JOIN q ON q.class_id = w.label"
 )
 def j25_coloured_cloud(spark, d):
@@ -67,7 +70,7 @@ def j25_coloured_cloud(spark, d):
 
 
 @query(
-    ctes(**_seen_sql(CAMERA), own="SELECT e.pid, e.frame, e.u, e.v FROM e WHERE e.frame = 1 + e.pid % 50 AND e.frame IN (SELECT frame FROM g)", every="SELECT p.pid, 1 + p.pid % 50 AS frame FROM p WHERE 1 + p.pid % 50 IN (SELECT ts FROM o) AND 1 + p.pid % 50 IN (SELECT frame FROM g)", q=PALETTE)
+    ctes(("p", "g", "m", "own"), **_seen_sql(CAMERA, "m.frame = 1 + p.pid % 50"), own="SELECT e.pid, e.frame, e.u, e.v FROM e WHERE e.frame IN (SELECT frame FROM g)", every="SELECT p.pid, 1 + p.pid % 50 AS frame FROM p WHERE 1 + p.pid % 50 IN (SELECT ts FROM o) AND 1 + p.pid % 50 IN (SELECT frame FROM g)", q=PALETTE)
     + " SELECT v.pid, v.frame, g.label, coalesce(q.r, 0) AS r, coalesce(q.g, 0) AS g, coalesce(q.b, 0) AS b FROM every v LEFT JOIN own ON own.pid = v.pid LEFT JOIN g ON g.frame = v.frame AND round_even(u, 0) = g.x AND round_even(own.v, 0) = g.y LEFT JOIN q ON q.class_id = g.label"
 )
 def t02_frame_colours(spark, d):

@@ -35,5 +35,6 @@ def view(spark: SparkSession, sf_dir: str, sql: str | dict[str, str]) -> DataFra
     return spark.sql(text, **{n: table(spark, sf_dir, n) for n in names})
 
 
-def ctes(**named: str | dict[str, str]) -> str:
-    return "WITH " + ", ".join(f"{k} AS ({v if isinstance(v, str) else v['sql']})" for k, v in named.items())
+def ctes(held: tuple[str, ...] = (), **named: str | dict[str, str]) -> str:
+    """A WITH clause; those in ``held`` are made once, whatever refers to them."""
+    return "WITH " + ", ".join(f"{k} AS {'MATERIALIZED ' if k in held else ''}({v if isinstance(v, str) else v['sql']})" for k, v in named.items())
