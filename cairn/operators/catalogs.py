@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cairn.operators import regressions
+
 
 def unknown_ids(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
     """Distinct keys of rows that aren't known: empty if rows are about known things only."""
@@ -186,19 +188,8 @@ def oriented_boxes(points: DataFrame, by: str) -> DataFrame:
 
 
 def swept(train: DataFrame, test: DataFrame, strengths: tuple[float, ...], features: str = "embedding", label: str = "label", rounds: int = 100) -> DataFrame:
-    """strength, accuracy: logistic regression (Spark's own) fitted for each inverse strength of regularisation and judged on the test
-    rows; the first of the best is ``metrics.best_of``'s."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector
-
-    n = train.count()
-    own, other = (side.select(array_to_vector(F.transform(features, lambda v: v.cast("double"))).alias("features"), F.col(label).cast("double").alias("label")) for side in (train, test))
-    own, other = own.persist(), other.persist()
-    out = []
-    for c in strengths:
-        model = LogisticRegression(maxIter=rounds, regParam=1.0 / (c * n), elasticNetParam=0.0).fit(own)
-        right = model.transform(other).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
-        out.append((float(c), right))
-    own.unpersist()
-    other.unpersist()
-    return train.sparkSession.createDataFrame(out, "strength double, accuracy double")
+    """strength, accuracy: logistic regressions fitted at once for all inverse strengths of regularisation and judged on the test
+    rows in one pass; the first of the best is ``metrics.best_of``'s."""
+    models = regressions.fitted(train, strengths, features, label, rounds)
+    told = regressions.predicted(models, test.select(F.col(label).alias("truth"), features), features, ("truth",))
+    return told.groupBy("strength").agg(F.avg((F.col("prediction") == F.col("truth")).cast("double")).alias("accuracy"))

@@ -46,14 +46,14 @@ def bound(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return rows.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
 
 
-def camera_poses(poses: DataFrame, mount: Mount, frame: str = "ts") -> DataFrame:
-    """frame, r00 ... r22 (camera to world) and t0, t1, t2 of each pose (px, py, pz, qx, qy, qz, qw); null rotations go."""
+def camera_poses(poses: DataFrame, mount: Mount, frame: str = "ts", keep: tuple[str, ...] = ()) -> DataFrame:
+    """kept columns, frame, r00 ... r22 (camera to world) and t0, t1, t2 of each pose (px, py, pz, qx, qy, qz, qw); null rotations go."""
     cell = lambda m, name: {f"{name}{i}{j}": m[i][j] for i in range(3) for j in range(3)}
     poses = bound(poses, cell(G.quaternion_matrix(*(F.col(c) for c in ("qx", "qy", "qz", "qw"))), "b") | cell(G.quaternion_matrix(*map(F.lit, mount.rotation)), "m"))
     body, own = ([[F.col(f"{name}{i}{j}") for j in range(3)] for i in range(3)] for name in "bm")
     at = G.rotate(body, tuple(map(F.lit, mount.position)))
     cells = [sum((body[i][k] * own[k][j] for k in range(1, 3)), body[i][0] * own[0][j]).alias(f"r{i}{j}") for i in range(3) for j in range(3)]
-    return poses.select(F.col(frame).alias("frame"), *cells, *((F.col(p) + a).alias(f"t{i}") for i, (p, a) in enumerate(zip(("px", "py", "pz"), at, strict=True)))).dropna()
+    return poses.select(*keep, F.col(frame).alias("frame"), *cells, *((F.col(p) + a).alias(f"t{i}") for i, (p, a) in enumerate(zip(("px", "py", "pz"), at, strict=True)))).dropna()
 
 
 def _in_camera(x: Column, y: Column, z: Column) -> tuple[Column, Column, Column]:
@@ -61,19 +61,9 @@ def _in_camera(x: Column, y: Column, z: Column) -> tuple[Column, Column, Column]
     return tuple(sum((F.col(f"r{i}{j}") * away[i] for i in range(1, 3)), F.col(f"r0{j}") * away[0]) for j in range(3))
 
 
-def observed(points: DataFrame, poses: DataFrame, camera: Camera, mount: Mount = Mount(), reach: float | None = None, cell: float = 4.0, key: str = "pid") -> DataFrame:
-    """key, frame, u, v, depth of every point in front of the camera and inside the image of a pose.
-
-    A cell of points is passed over for a frame if it lies behind the camera as a whole, beyond ``reach`` (if given), or, without
-    distortion, outside the cone of the image: each test allows for the cell's size, so no visible point is lost. Points without
-    coordinates see nothing.
-    """
-    own = points.select(F.col(key), *(F.col(a).cast("double").alias(a) for a in "xyz")).dropna()
-    own = own.select("*", *(F.floor(F.col(a) / cell).alias(f"c{a}") for a in "xyz"))
-    cells = saved(own.select("cx", "cy", "cz").distinct(), "cells")
-    turned = saved(camera_poses(poses, mount), "poses")
-    n = turned.count()
-    blocks = max(1, -(-n // POSES))
+def _meets(camera: Camera, reach: float | None, cell: float) -> Column:
+    """Whether a cell (cx, cy, cz) may hold a point that a pose sees: not if it lies behind the camera as a whole, beyond ``reach`` (if given),
+    or, without distortion, outside the cone of the image. Each test allows for the cell's size, so no visible point is lost."""
     round_cell = cell * 3**0.5 / 2
     x, y, z = _in_camera(*((F.col(f"c{a}") + 0.5) * cell for a in "xyz"))
     meets = z > -round_cell
@@ -82,16 +72,56 @@ def observed(points: DataFrame, poses: DataFrame, camera: Camera, mount: Mount =
     if not any(camera.distortion):
         for v, low, high in ((x, -camera.cx / camera.fx, (camera.width - camera.cx) / camera.fx), (y, -camera.cy / camera.fy, (camera.height - camera.cy) / camera.fy)):
             meets = meets & (v - high * z <= round_cell * (1 + high * high) ** 0.5) & (low * z - v <= round_cell * (1 + low * low) ** 0.5)
+    return meets
+
+
+def _projected(placed: DataFrame, camera: Camera, reach: float | None, key: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """key, frame, u, v, depth of points beside the poses that may see them: those in front of the camera, in reach and inside the image."""
+    in_camera = _in_camera(F.col("x"), F.col("y"), F.col("z"))
+    front = bound(placed, {f"p{a}": c for a, c in zip("xyz", in_camera, strict=True)}).select(*keep, key, "frame", "px", "py", "pz").where("pz > 0")
+    if reach is not None:
+        front = front.where(F.sqrt(F.col("px") * F.col("px") + F.col("py") * F.col("py") + F.col("pz") * F.col("pz")) <= reach)
+    u, v = G.pinhole(G.triple("px", "py", "pz"), camera.fx, camera.fy, camera.cx, camera.cy, camera.distortion)
+    return front.select(*keep, key, "frame", u.alias("u"), v.alias("v"), F.col("pz").alias("depth")).where((F.col("u") >= 0) & (F.col("u") < camera.width) & (F.col("v") >= 0) & (F.col("v") < camera.height))
+
+
+def _in_cells(points: DataFrame, cell: float, key: str) -> DataFrame:
+    own = points.select(F.col(key), *(F.col(a).cast("double").alias(a) for a in "xyz")).dropna()
+    return own.select("*", *(F.floor(F.col(a) / cell).alias(f"c{a}") for a in "xyz"))
+
+
+#: Side of the blocks that poses of a bounded reach are dealt to, as a share of the reach.
+SHARE_OF_REACH = 0.5
+
+
+def _near_cells(cells: DataFrame, turned: DataFrame, camera: Camera, reach: float, cell: float) -> DataFrame:
+    """Cells beside the poses that may see them: poses are dealt to the blocks of space in their reach and meet cells by the block."""
+    side = max(cell, reach * SHARE_OF_REACH)
+    grown = reach + cell * 3**0.5
+    spans = [F.sequence(F.floor((F.col(f"t{i}") - grown) / side), F.floor((F.col(f"t{i}") + grown) / side)) for i in range(3)]
+    dealt = turned.withColumn("bx", F.explode(spans[0])).withColumn("by", F.explode(spans[1])).withColumn("bz", F.explode(spans[2]))
+    blocks = [F.floor((F.col(f"c{a}") + 0.5) * cell / side).alias(f"b{a}") for a in "xyz"]
+    return cells.select("*", *blocks).join(dealt, ["bx", "by", "bz"]).where(_meets(camera, reach, cell)).drop("bx", "by", "bz")
+
+
+def observed(points: DataFrame, poses: DataFrame, camera: Camera, mount: Mount = Mount(), reach: float | None = None, cell: float = 4.0, key: str = "pid") -> DataFrame:
+    """key, frame, u, v, depth of every point in front of the camera and inside the image of a pose.
+
+    Cells of points are tested before points are; see ``_meets``. With a ``reach`` cells meet only the poses near them, in an equi-join; without one any
+    pose may see any cell, and poses are broadcast in blocks. Points without coordinates see nothing.
+    """
+    own = _in_cells(points, cell, key)
+    cells = saved(own.select("cx", "cy", "cz").distinct(), "cells")
+    turned = saved(camera_poses(poses, mount), "poses")
+    if reach is not None:
+        seen_by = saved(_near_cells(cells, turned, camera, reach, cell), "seen_by")
+        return _projected(own.join(seen_by, ["cx", "cy", "cz"]), camera, reach, key)
+    n = turned.count()
+    blocks = max(1, -(-n // POSES))
     out, written = None, None
     for b in range(blocks):
         some = F.broadcast(turned.where(F.pmod(F.xxhash64("frame"), F.lit(blocks)) == b))
-        seen_by = cells.join(some, meets)
-        depth_of = _in_camera(F.col("x"), F.col("y"), F.col("z"))
-        placed = bound(own.join(seen_by, ["cx", "cy", "cz"]), {f"p{a}": c for a, c in zip("xyz", depth_of, strict=True)}).select(key, "frame", "px", "py", "pz").where("pz > 0")
-        if reach is not None:
-            placed = placed.where(F.sqrt(F.col("px") * F.col("px") + F.col("py") * F.col("py") + F.col("pz") * F.col("pz")) <= reach)
-        u, v = G.pinhole(G.triple("px", "py", "pz"), camera.fx, camera.fy, camera.cx, camera.cy, camera.distortion)
-        part = placed.select(key, "frame", u.alias("u"), v.alias("v"), F.col("pz").alias("depth")).where((F.col("u") >= 0) & (F.col("u") < camera.width) & (F.col("v") >= 0) & (F.col("v") < camera.height))
+        part = _projected(own.join(cells.join(some, _meets(camera, None, cell)), ["cx", "cy", "cz"]), camera, None, key)
         out = part if out is None else out.unionByName(part)
         if b % BLOCKS == BLOCKS - 1 and b + 1 < blocks:
             written = saved(out, "seen") if written is None else written.unionByName(saved(out, "seen"))
@@ -99,6 +129,14 @@ def observed(points: DataFrame, poses: DataFrame, camera: Camera, mount: Mount =
     return out if written is None else written if out is None else written.unionByName(out)
 
 
+def seen_from(points: DataFrame, poses: DataFrame, camera: Camera, mount: Mount = Mount(), reach: float | None = None, cell: float = 4.0, key: str = "pid", keep: tuple[str, ...] = ()) -> DataFrame:
+    """The same rows with further columns of the poses, in one plan without written tables: poses may be a stream."""
+    own = _in_cells(points, cell, key)
+    cells, turned = own.select("cx", "cy", "cz").distinct(), camera_poses(poses, mount, keep=keep)
+    seen_by = turned.join(cells, _meets(camera, None, cell)) if reach is None else _near_cells(cells, turned, camera, reach, cell)
+    return _projected(seen_by.join(own, ["cx", "cy", "cz"]), camera, reach, key, keep)
+
+
 def voted(points: DataFrame, poses: DataFrame, pixels: DataFrame, camera: Camera, mount: Mount = Mount(), tolerance: float = TOLERANCE, reach: float | None = None, key: str = "pid") -> DataFrame:
     """key, frame, label: what each frame says about each of its visible points. pixels: frame, x, y, label; frames without
     pixels, and pixels without a label, say nothing."""

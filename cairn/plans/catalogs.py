@@ -270,3 +270,10 @@ def m19_detection_grid(spark, d):
     left, right = dets.select("video", "category", "id", near.alias("b")), truths.select("video", "category", "truth", F.floor(F.col("truth") / 400).alias("b"))
     pairs = left.join(right, ["video", "category", "b"]).select("video", "category", "id", "truth", (1 - F.abs(F.col("id") - F.col("truth")) / 400).alias("iou"))
     return metrics.detection_grid(pairs, dets, truths, thresholds=(0.5, 0.75), most=(1, 10))
+
+
+@query()
+def c14_sweep(spark, d):
+    """Regressions of labels on vectors for seven strengths, fitted at once on four rows in five and judged on the fifth."""
+    e = table(spark, d, "embeddings")
+    return catalogs.swept(e.where("vec_id % 5 > 0"), e.where("vec_id % 5 = 0"), tuple(10.0**i for i in range(-4, 3)), rounds=40).withColumn("accuracy", F.round("accuracy", 6))

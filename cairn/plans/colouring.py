@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cairn.functions.storage import new_path
 from cairn.operators import colouring
 from cairn.plans.registry import query
 from cairn.plans.views import PALETTE, POINT, ctes, view
+from cairn.streaming import colouring as streams
 
 POSE = "SELECT s_suppkey AS ts, CAST(s_suppkey % 7 AS DOUBLE) - 3.0 AS px, CAST(s_suppkey % 5 AS DOUBLE) - 2.0 AS py, CAST(s_suppkey % 3 AS DOUBLE) - 6.0 AS pz, CAST(s_suppkey % 4 AS DOUBLE) / 10 AS qx, CAST(s_suppkey % 3 AS DOUBLE) / 10 AS qy, CAST(0.05 AS DOUBLE) AS qz, CAST(1 AS DOUBLE) AS qw FROM supplier"
 #: A label for some pixels of the frames of two suppliers in three.
@@ -77,3 +80,22 @@ def t02_frame_colours(spark, d):
     """Clouds of one frame each, without votes."""
     p = view(spark, d, POINT).withColumn("frame", 1 + F.col("pid") % 50)
     return colouring.frame_colours(p, view(spark, d, POSE), view(spark, d, PIXEL), view(spark, d, PALETTE), CAMERA, MOUNT)
+
+
+@query(
+    ctes(_HELD, **_seen_sql(CAMERA), b=_BUFFER, near=_NEAR, l=_LOOKED, k="SELECT pid, label, count(*) AS votes FROM l GROUP BY 1, 2", w="SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY votes DESC, label) AS place, sum(votes) OVER (PARTITION BY pid) AS total FROM k) WHERE place = 1")
+    + " SELECT pid, CASE WHEN total >= 3 THEN label END AS label, CASE WHEN total >= 3 THEN votes ELSE 0 END AS votes, CAST(CASE WHEN total >= 3 THEN total ELSE 0 END AS BIGINT) AS total FROM w"
+)
+def t01_stream_votes(spark, d):
+    """The labels of points as a stream of poses leaves them: what the table of poses says of the points that have a vote."""
+    poses = view(spark, d, POSE).withColumn("at", F.timestamp_seconds("ts"))
+    arrived = new_path(spark, "poses")
+    poses.write.parquet(arrived)
+    posed = spark.readStream.schema(poses.schema).parquet(arrived)
+    found = streams.coloured(view(spark, d, POINT), posed, view(spark, d, PIXEL), CAMERA, MOUNT, least=3)
+    out = new_path(spark, "stream")
+    done = found.writeStream.format("parquet").option("path", out).option("checkpointLocation", new_path(spark, "state")).trigger(availableNow=True).start()
+    done.awaitTermination()
+    last = W.partitionBy("pid").orderBy(F.col("version").desc())
+    rows = spark.read.schema(found.schema).parquet(out).withColumn("n", F.row_number().over(last)).where("n = 1")
+    return rows.select("pid", "label", "votes", "total")
