@@ -6,10 +6,14 @@ no pair is lost, and cells make an equi-join, which Spark shuffles and splits li
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+from itertools import product
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cairn.functions.storage import saved
 from cairn.operators.components import connected
 
 AXES = ("x", "y", "z")
@@ -94,18 +98,75 @@ def overlaps(left: DataFrame, right: DataFrame, tolerance: float, group: str = "
     return both.select("a", "b", F.coalesce("near", F.lit(0)).cast("long").alias("near"), (F.coalesce("near", F.lit(0)) / F.least("n_a", "n_b")).alias("overlap"))
 
 
+#: Core points of a cell that are compared with those of another cell first.
+FIRST = 8
+
+
 def dbscan(points: DataFrame, eps: float, least: int, key: str = "pid", axes: tuple[str, ...] = AXES, by: tuple[str, ...] = ()) -> DataFrame:
     """pid, core and cluster. A core point has ``least`` points within eps, itself included; a cluster is named by its smallest
     core id; a border point takes the smallest cluster within eps, others have none. With ``by`` (say, the scene) only points
-    of the same are neighbours; keys are unique over all."""
-    own = points.select(key, *by, *axes)
-    pairs = within(own, own, eps, axes, by).select(key, f"r_{key}")
-    core = pairs.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") >= least).select(key)
-    links = pairs.join(core, key).join(core.select(F.col(key).alias(f"r_{key}")), f"r_{key}")
-    roots = connected(links.select(F.col(key).alias("a"), F.col(f"r_{key}").alias("b")))
-    labelled = core.join(roots, F.col(key) == F.col("node"), "left").select(key, F.coalesce("root", key).alias("cluster"))
-    reach = pairs.join(labelled.select(F.col(key).alias(f"r_{key}"), "cluster"), f"r_{key}").groupBy(key).agg(F.min("cluster").alias("near"))
-    return points.select(key).join(labelled, key, "left").join(reach, key, "left").select(key, F.col("cluster").isNotNull().alias("core"), F.coalesce("cluster", "near").alias("cluster"))
+    of the same are neighbours; keys are unique over all.
+
+    Cells are so small that all points of one are neighbours: where a cell holds ``least`` of them, all are core, and no pairs are made within it.
+    Only points of emptier cells are compared with those around them. Cells with core points are linked by the first few of their points;
+    pairs of cells that are not in one component yet are then compared by all points that lie within eps of the other cell's box.
+    """
+    n_axes = len(axes)
+    side = eps / n_axes**0.5 * (1 - 1e-9)
+    reach = range(-int(eps / side) - 1, int(eps / side) + 2)
+    cells = [f"__{a}" for a in axes]
+    keys = [*by, *cells]
+    offsets = [o for o in product(reach, repeat=n_axes) if sum(max(0, abs(i) - 1) ** 2 for i in o) * side * side <= eps * eps]
+    around = lambda some: F.explode(F.array(*(F.struct(*((F.col(c) + o).alias(c) for c, o in zip(cells, offset, strict=True))) for offset in some)))
+    squared = lambda left, right: sum(((F.col(f"{left}{a}") - F.col(f"{right}{a}")) * (F.col(f"{left}{a}") - F.col(f"{right}{a}")) for a in axes), F.lit(0.0))
+    near = lambda left, right: F.sqrt(squared(left, right)) <= eps
+
+    own = points.select(key, *by, *axes, *(F.floor(F.col(a) / side).alias(c) for a, c in zip(axes, cells, strict=True))).dropna(subset=[key, *axes])
+    counts = own.groupBy(*keys).agg(F.count("*").alias("__n"))
+    named = counts.select(*(F.col(c).alias(f"__k{i}") for i, c in enumerate(keys)), "__n")
+    same_cell = lambda: _all(F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(keys))
+    placed = saved(own.join(named, same_cell()).drop(*(f"__k{i}" for i in range(len(keys)))), "placed")
+    sparse = placed.where(F.col("__n") < least)
+
+    # of points in emptier cells: who is within eps
+    asked = sparse.select(F.col(key).alias("p"), *(F.col(a).alias(f"p_{a}") for a in axes), *by, around(offsets).alias("__at")).select("p", *(f"p_{a}" for a in axes), *(F.col(c).alias(f"__k{i}") for i, c in enumerate(by)), *(F.col(f"__at.{c}").alias(f"__k{len(by) + i}") for i, c in enumerate(cells)))
+    pairs = saved(asked.join(placed, same_cell()).where(near("p_", "")).select("p", F.col(key).alias("q")), "pairs")
+    few = pairs.groupBy(F.col("p").alias(key)).agg(F.count("*").alias("n")).where(F.col("n") >= least).select(key)
+    cores = placed.where(F.col("__n") >= least).unionByName(sparse.join(few, key)).drop("__n")
+
+    # cells with core points, each known by its smallest core id
+    boxes = cores.groupBy(*keys).agg(F.min(key).alias("cell"), *(f(a).alias(f"{n}_{a}") for a in axes for f, n in ((F.min, "lo"), (F.max, "hi"))))
+    boxes = saved(boxes, "boxes")
+    of_box = boxes.select(F.col("cell"), *(F.col(c).alias(f"__k{i}") for i, c in enumerate(keys)))
+    cores = saved(cores.join(of_box, same_cell()).select(key, "cell", *axes), "cores")
+    forward = [o for o in offsets if o > (0,) * n_axes]
+    side_of = lambda n: [F.col("cell").alias(n), *(F.col(f"{e}_{a}").alias(f"{n}_{e}_{a}") for a in axes for e in ("lo", "hi"))]
+    left = boxes.select(*side_of("a"), *(F.col(c).alias(f"__b{i}") for i, c in enumerate(by)), around(forward).alias("__at")).select("*", *(F.col(f"__at.{c}").alias(f"__b{len(by) + i}") for i, c in enumerate(cells))).drop("__at")
+    right = boxes.select(*side_of("b"), *(F.col(c).alias(f"__k{i}") for i, c in enumerate(keys)))
+    gap = sum((F.greatest(F.col(f"a_lo_{a}") - F.col(f"b_hi_{a}"), F.col(f"b_lo_{a}") - F.col(f"a_hi_{a}"), F.lit(0.0)) ** 2 for a in axes), F.lit(0.0))
+    meets = left.join(right, _all(F.col(f"__b{i}").eqNullSafe(F.col(f"__k{i}")) for i in range(len(keys)))).where(gap <= eps * eps * (1 + 1e-9))
+    meets = saved(meets.drop(*(f"__b{i}" for i in range(len(keys))), *(f"__k{i}" for i in range(len(keys)))), "meets")
+
+    some = cores.withColumn("__r", F.row_number().over(W.partitionBy("cell").orderBy(F.xxhash64(key), key))).where(F.col("__r") <= FIRST)
+    at = lambda rows, n: rows.select(F.col("cell").alias(n), *(F.col(a).alias(f"{n}_{a}") for a in axes))
+    linked = meets.select("a", "b").join(at(some, "a"), "a").join(at(some, "b"), "b").where(near("a_", "b_")).select("a", "b").distinct()
+    roots = connected(linked)
+    root = lambda n: roots.select(F.col("node").alias(n), F.col("root").alias(f"{n}_root"))
+    open_ = meets.join(root("a"), "a", "left").join(root("b"), "b", "left").where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).drop("a_root", "b_root")
+    open_ = saved(open_, "open")
+    if open_.take(1):
+        beside = lambda n, other: sum((F.greatest(F.col(f"{other}_lo_{a}") - F.col(f"{n}_{a}"), F.col(f"{n}_{a}") - F.col(f"{other}_hi_{a}"), F.lit(0.0)) ** 2 for a in axes), F.lit(0.0)) <= eps * eps * (1 + 1e-9)
+        first = open_.join(at(cores, "a"), "a").where(beside("a", "b")).select("a", "b", *(f"a_{a}" for a in axes))
+        second = open_.join(at(cores, "b"), "b").where(beside("b", "a")).select("a", "b", *(f"b_{a}" for a in axes))
+        more = first.join(second, ["a", "b"]).where(near("a_", "b_")).select("a", "b").distinct()
+        roots = connected(linked.unionByName(more))
+    labelled = cores.join(roots, F.col("cell") == F.col("node"), "left").select(key, F.coalesce("root", "cell").alias("cluster"))
+    border = pairs.join(labelled.select(F.col(key).alias("q"), "cluster"), "q").groupBy(F.col("p").alias(key)).agg(F.min("cluster").alias("near"))
+    return points.select(key).join(labelled, key, "left").join(border, key, "left").select(key, F.col("cluster").isNotNull().alias("core"), F.coalesce("cluster", "near").alias("cluster"))
+
+
+def _all(conditions) -> Column:
+    return reduce(Column.__and__, conditions, F.lit(True))
 
 
 def log_gap(sizes: DataFrame, least: int = 10, most: int = 50, gap: float = 1.0, n: str = "n") -> DataFrame:
