@@ -148,3 +148,30 @@ def pixels(masks: DataFrame, by: Sequence[str], height: str = "height", runs: st
     """by, y, x of every pixel of masks whose runs count down columns."""
     each = masks.select(*by, F.col(height).alias("__h"), F.inline(runs)).where("len > 0")
     return each.withColumn("__p", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("len") - 1))).select(*by, (F.col("__p") % F.col("__h")).alias("y"), F.floor(F.col("__p") / F.col("__h")).alias("x"))
+
+
+def eroded(masks: DataFrame, by: Sequence[str], share: float = 0.05, least_area: int = 20) -> DataFrame:
+    """by, height, width, runs: each mask without the pixels around which an ellipse isn't all mask. Runs go along rows.
+
+    The ellipse's radius is ``share`` of the root of the mask's area, in whole pixels, 1 at least; what would lie outside the image counts as mask.
+    Masks of fewer than ``least_area`` pixels, and those of which nothing would be left, stay as they are. A row of the ellipse is as wide as the
+    circle there, rounded half to even; runs are shortened by that on both sides, and a pixel stays if such a run covers it from every row
+    around it, which a sweep over the ends of runs finds.
+    """
+    own = masks.select(*by, "height", "width", "runs", run_area(F.col("runs")).alias("__area"))
+    large = own.where(F.col("__area") >= least_area).withColumn("__r", F.greatest(F.floor(F.sqrt("__area") * share), F.lit(1)))
+    each = large.select(*by, "height", "width", "__r", F.inline("runs")).where("len > 0")
+    rows = each.withColumn("__row", F.explode(F.sequence(F.floor(F.col("start") / F.col("width")), F.floor((F.col("start") + F.col("len") - 1) / F.col("width")))))
+    begin = F.greatest(F.col("start") - F.col("__row") * F.col("width"), F.lit(0).cast("long"))
+    end = F.least(F.col("start") + F.col("len") - F.col("__row") * F.col("width"), F.col("width"))
+    rows = rows.select(*by, "height", "width", "__r", "__row", begin.alias("s"), end.alias("e")).withColumn("__dy", F.explode(F.sequence(-F.col("__r"), F.col("__r"))))
+    half = F.rint(F.sqrt(F.col("__r") * F.col("__r") - F.col("__dy") * F.col("__dy"))).cast("long")
+    short = rows.select(*by, "height", "width", "__r", (F.col("__row") - F.col("__dy")).alias("__y"), F.when(F.col("s") == 0, F.col("s")).otherwise(F.col("s") + half).alias("s"), F.when(F.col("e") == F.col("width"), F.col("e")).otherwise(F.col("e") - half).alias("e"))
+    short = short.where("s < e and __y >= 0 and __y < height")
+    needed = F.least(F.col("__y") + F.col("__r"), F.col("height") - 1) - F.greatest(F.col("__y") - F.col("__r"), F.lit(0)) + 1
+    ends = short.select(*by, "width", "__y", needed.alias("__needed"), F.explode(F.array(F.struct(F.col("s").alias("at"), F.lit(1).alias("d")), F.struct(F.col("e").alias("at"), F.lit(-1).alias("d")))).alias("x"))
+    ends = ends.groupBy(*by, "width", "__y", "__needed", F.col("x.at").alias("at")).agg(F.sum("x.d").alias("d"))
+    line = W.partitionBy(*by, "__y").orderBy("at")
+    swept = ends.withColumn("__n", F.sum("d").over(line.rowsBetween(W.unboundedPreceding, 0))).withColumn("__next", F.lead("at").over(line)).where(F.col("__n") == F.col("__needed"))
+    left = _swept(swept.select(*by, (F.col("__y") * F.col("width") + F.col("at")).alias("s"), (F.col("__y") * F.col("width") + F.col("__next")).alias("e")), by).withColumnRenamed("runs", "__left")
+    return _beside(own, left, by).select(*by, "height", "width", F.coalesce("__left", "runs").alias("runs"))

@@ -131,16 +131,17 @@ def batch_plan(total: int, workers: int, rows: int | None = None) -> dict[str, i
     return {"per_worker": total // workers, "batches": 0 if rows is None else rows // total}
 
 
-def block_masks(images: DataFrame, height: int, width: int, share: float, seed: int, key: str = "id", aspect: tuple[float, float] = (0.3, 1 / 0.3), least: int = 4) -> DataFrame:
+def block_masks(images: DataFrame, height: int, width: int, share: float, seed: int, key: str = "id", aspect: tuple[float, float] = (0.3, 1 / 0.3), least: int = 4, count: str | None = None) -> DataFrame:
     """key, y, x of the masked cells of a grid: rectangles of random places, sizes and shapes (fixed by the seed and the image's
-    key) until exactly round(share * height * width) cells are masked; the last rectangle's surplus is left out."""
-    wanted = round(share * height * width)
+    key) until exactly round(share * height * width) cells are masked, or as many as the column ``count`` says (all at most); the last
+    rectangle's surplus is left out."""
+    same = round(share * height * width)
     kind = images.schema[key].dataType.simpleString()
 
     def run(frames):
         for pdf in frames:
             ids, ys, xs = [], [], []
-            for k in pdf[key]:
+            for k, wanted in zip(pdf[key], pdf["__wanted"], strict=True):
                 draw = np.random.default_rng([seed, *str(k).encode()])
                 mask = np.zeros((height, width), bool)
                 tries = 0
@@ -161,4 +162,5 @@ def block_masks(images: DataFrame, height: int, width: int, share: float, seed:
                 xs += at[:, 1].tolist()
             yield pd.DataFrame({key: ids, "y": ys, "x": xs}).astype({"y": "int32", "x": "int32"})
 
-    return images.select(key).mapInPandas(run, f"{key} {kind}, y int, x int")
+    number = F.lit(same) if count is None else F.least(F.coalesce(F.col(count).cast("int"), F.lit(0)), F.lit(height * width))
+    return images.select(key, number.alias("__wanted")).mapInPandas(run, f"{key} {kind}, y int, x int")

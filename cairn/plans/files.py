@@ -10,7 +10,7 @@ from cairn.operators import colouring
 from cairn.plans.colouring import _BUFFER, _HELD, _LOOKED, _NEAR, CAMERA, MOUNT, PIXEL, POSE, _seen_sql
 from cairn.plans.registry import query
 from cairn.plans.views import PALETTE, POINT, ctes, table, view
-from cairn.sources import archives, images
+from cairn.sources import archives, formats, images, sinks
 
 #: Depth in millimetres for every pixel of an image for each supplier.
 DEPTH = {
@@ -68,3 +68,16 @@ def s18_tar_members(spark, d):
     rows = table(spark, d, "part").select(F.col("p_brand").alias("class"), F.concat(F.col("p_partkey").cast("string"), F.lit("_"), "p_name").alias("name"), F.encode(F.concat("p_name", F.repeat(F.lit("x"), (F.col("p_partkey") % 1500).cast("int"))), "utf-8").alias("content"))
     archives.write_archives(rows, path).agg(F.sum("members")).first()
     return archives.members(archives.index(spark, path), path).select("archive", "class", "number", "name", "size", F.md5("content").alias("digest"))
+
+
+@query("WITH v AS (SELECT p_partkey * 3 AS vid, row_number() OVER (ORDER BY p_partkey) - 1 AS i, CAST(p_retailprice AS FLOAT) AS x FROM part), f AS (SELECT p_partkey AS fid, p_partkey * 3 + CASE WHEN p_partkey % 11 = 0 THEN 1 ELSE 0 END AS a, (p_partkey % 50 + 1) * 3 AS b, (p_partkey % 31 + 1) * 3 AS c FROM part) SELECT row_number() OVER (ORDER BY fid) - 1 AS fid, a.i AS a, b.i AS b, c.i AS c FROM f JOIN v a ON f.a = a.vid JOIN v b ON f.b = b.vid JOIN v c ON f.c = c.vid")
+def k02_mesh(spark, d):
+    """A mesh written as one file by tasks, and its faces as they come back."""
+    p = table(spark, d, "part")
+    vertices = p.select((F.col("p_partkey") * 3).alias("vid"), F.col("p_retailprice").cast("double").alias("x"), F.col("p_size").cast("double").alias("y"), F.lit(0.5).alias("z"), (F.col("p_size") % 256).alias("r"), F.lit(1).alias("g"), F.lit(2).alias("b"))
+    key = F.col("p_partkey")
+    faces = p.select(key.alias("fid"), (key * 3 + F.when(key % 11 == 0, 1).otherwise(0)).alias("a"), ((key % 50 + 1) * 3).alias("b"), ((key % 31 + 1) * 3).alias("c"))
+    path = new_path(spark, "mesh") + ".ply"
+    sinks.write_mesh(vertices, faces, path)
+    formats.register(spark)
+    return spark.read.format("ply").option("part", "faces").load(path).select("fid", "a", "b", "c")

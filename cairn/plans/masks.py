@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cairn.operators import annotations, masks, panoptic
+from cairn.operators import annotations, batches, losses, masks, panoptic
 from cairn.plans.registry import query
 from cairn.plans.views import ctes, view
 
@@ -113,3 +113,62 @@ def f05_instances(spark, d):
     """The best (query, class) of each image with the mean value within their masks."""
     found = panoptic.instances(view(spark, d, CLASSES), view(spark, d, MASKS), 4, 5, _THINGS)
     return found.select("image", "query", "category", F.round("score", 9).alias("score"), "area", F.round("mask_score", 9).alias("mask_score"), F.round("final", 9).alias("final"))
+
+
+# masks along rows, and for each the radius of its ellipse and the offsets within
+_SHRUNK = dict(
+    g=POLYGON,
+    e=_IN_POLYGON["e"],
+    x=f"SELECT id, k, c.i AS x, r.i AS y, count(*) AS n FROM e, range({WIDTH}) c(i), range({HEIGHT}) r(i) WHERE (a0 > r.i + 0.5) <> (a1 > r.i + 0.5) AND c.i + 0.5 < l0 + (r.i + 0.5 - a0) * (l1 - l0) / (a1 - a0) GROUP BY 1, 2, 3, 4",
+    px=_IN_POLYGON["px"],
+    ar="SELECT id, count(*) AS area, greatest(1, CAST(floor(sqrt(count(*)) * 0.2) AS BIGINT)) AS r FROM px GROUP BY 1",
+    o="SELECT r.i AS r, y.i - 8 AS dy, x.i - 8 AS dx FROM range(1, 8) r(i), range(17) y(i), range(17) x(i) WHERE abs(y.i - 8) <= r.i AND abs(x.i - 8) <= round_even(sqrt(r.i * r.i - (y.i - 8) * (y.i - 8)), 0)",
+    t=f"SELECT p.id, p.x, p.y, count(*) AS asked, count(q.id) AS met FROM px p JOIN ar ON ar.id = p.id AND area >= 20 JOIN o ON o.r = ar.r AND p.x + dx >= 0 AND p.x + dx < {WIDTH} AND p.y + dy >= 0 AND p.y + dy < {HEIGHT} LEFT JOIN px q ON q.id = p.id AND q.x = p.x + dx AND q.y = p.y + dy GROUP BY 1, 2, 3",
+    k="SELECT id, x, y FROM t WHERE asked = met",
+    f="SELECT id, x, y FROM k UNION ALL SELECT id, x, y FROM px WHERE id NOT IN (SELECT id FROM k)",
+)
+
+
+@query(ctes(("px", "t", "k"), **_SHRUNK) + f" SELECT id, count(*) AS area, md5(string_agg(CAST(y * {WIDTH} + x AS VARCHAR), ',' ORDER BY y, x)) AS places FROM f GROUP BY id")
+def p13_ellipse(spark, d):
+    """Masks shrunk by an ellipse that grows with them."""
+    runs = masks.polygon_runs(view(spark, d, POLYGON), ["id"], by_columns=False)
+    out = masks.eroded(runs, ["id"], 0.2)
+    places = F.flatten(F.transform("runs", lambda r: F.sequence(r["start"], r["start"] + r["len"] - 1)))
+    return out.where(F.size("runs") > 0).select("id", masks.run_area(F.col("runs")).alias("area"), F.md5(F.array_join(places.cast("array<string>"), ",")).alias("places"))
+
+
+# depths of a small image for each supplier, some of them not valid
+_DEPTHS = {
+    "spark": "SELECT s_suppkey AS image, y, x, 1 + CAST((x * 7 + y * 11 + s_suppkey) % 17 AS DOUBLE) / 4 AS gt, 1 + CAST((x * 5 + y * 13 + s_suppkey * 3) % 19 AS DOUBLE) / 4 AS pred, (x + y + s_suppkey) % 7 > 0 AS valid, CAST((x * 3 + y * 5 + s_suppkey) % 23 - 11 AS DOUBLE) / 4 AS logit FROM supplier LATERAL VIEW explode(sequence(0, 15)) a AS x LATERAL VIEW explode(sequence(0, 12)) b AS y",
+    "sql": "SELECT s_suppkey AS image, y, x, 1 + CAST((x * 7 + y * 11 + s_suppkey) % 17 AS DOUBLE) / 4 AS gt, 1 + CAST((x * 5 + y * 13 + s_suppkey * 3) % 19 AS DOUBLE) / 4 AS pred, (x + y + s_suppkey) % 7 > 0 AS valid, CAST((x * 3 + y * 5 + s_suppkey) % 23 - 11 AS DOUBLE) / 4 AS logit FROM supplier, range(16) a(x), range(13) b(y)",
+}
+
+
+@query(ctes(d=_DEPTHS) + " SELECT image, round(sqrt(0.15 * avg(ln(pred + 0.001) - ln(gt + 0.001)) * avg(ln(pred + 0.001) - ln(gt + 0.001)) + var_samp(ln(pred + 0.001) - ln(gt + 0.001))), 8) AS loss FROM d WHERE valid GROUP BY 1")
+def x29_scale_invariant(spark, d):
+    return losses.scale_invariant(view(spark, d, _DEPTHS), ["image"], valid="valid").withColumn("loss", F.round("loss", 8))
+
+
+@query(ctes(d=_DEPTHS, k="SELECT unnest([1, 2, 4, 6]) AS k", g="SELECT image, k, y // k AS y, x // k AS x, pred - gt AS d FROM d, k WHERE valid AND y % k = 0 AND x % k = 0", c="SELECT a.image, a.k, sum(abs(a.d - b.d)) AS s FROM g a JOIN g b ON a.image = b.image AND a.k = b.k AND ((a.x = b.x AND a.y + 2 = b.y) OR (a.y = b.y AND a.x + 2 = b.x)) GROUP BY 1, 2", n="SELECT image, k, count(*) AS n FROM g GROUP BY 1, 2") + " SELECT image, round(sum(coalesce(s, 0) / n), 8) AS loss FROM n LEFT JOIN c USING (image, k) GROUP BY 1")
+def x29_gradient(spark, d):
+    return losses.gradient(view(spark, d, _DEPTHS), ["image"], valid="valid").withColumn("loss", F.round("loss", 8))
+
+
+@query(ctes(d=_DEPTHS, h="SELECT image, y, x, logit, md5('5:' || image || ':' || y || ':' || x) AS h FROM d", r="SELECT *, row_number() OVER (PARTITION BY image ORDER BY h, y, x) AS n FROM h", c="SELECT *, row_number() OVER (PARTITION BY image, n <= 60 ORDER BY abs(logit), h, y, x) AS c FROM r WHERE n <= 65") + " SELECT image, CAST(y AS INT) AS y, CAST(x AS INT) AS x, CASE WHEN n > 60 THEN 'random' ELSE 'uncertain' END AS kind FROM c WHERE n > 60 OR c <= 15")
+def x29_uncertain_points(spark, d):
+    return losses.uncertain_points(view(spark, d, _DEPTHS).select("image", "y", "x", "logit"), ["image"], 20, seed=5).select("image", "y", "x", "kind")
+
+
+@query("WITH i AS (SELECT o_orderkey AS id, CASE WHEN o_custkey % 7 > o_orderkey % 5 THEN 0 ELSE 1 END AS bucket FROM orders), n AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY md5('3:' || id), id) - 1 AS i FROM i), b AS (SELECT id, bucket, i // 16 AS batch, i % 16 AS slot FROM n), f AS (SELECT bucket, batch FROM b GROUP BY 1, 2 HAVING count(*) = 16) SELECT b.id, b.bucket, b.batch, CAST(slot AS INT) AS slot FROM b JOIN f USING (bucket, batch)")
+def t16_aspect_batches(spark, d):
+    """Batches of upright and of wide images."""
+    images = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 7).alias("width"), (F.col("o_orderkey") % 5).alias("height"))
+    return batches.by_aspect(images, 16, 3).select("id", "bucket", "batch", "slot")
+
+
+@query("WITH n AS (SELECT o_orderkey AS id, row_number() OVER (ORDER BY md5('3:' || o_orderkey), o_orderkey) - 1 AS i FROM orders), b AS (SELECT id, i // 32 AS batch, i % 32 AS slot FROM n), p AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY md5('4:' || batch || ':' || id), id, slot) AS p, floor(count(*) OVER (PARTITION BY batch) * 0.5) AS k FROM b) SELECT id, batch, CAST(slot AS INT) AS slot, CAST(CASE WHEN p <= k THEN floor(196 * (0.1::DOUBLE + (0.5::DOUBLE - 0.1::DOUBLE) * p / k)) ELSE 0 END AS INT) AS masked FROM p")
+def t13_mask_sizes(spark, d):
+    """How many tokens of each sample of a batch are masked."""
+    rows = batches.shuffled(spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("id")), 32, 3)
+    return batches.mask_sizes(rows, 196, (0.1, 0.5), 0.5, 4).select("id", "batch", "slot", "masked")

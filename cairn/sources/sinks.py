@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairn.functions.storage import saved
 from cairn.operators.running import running
 from cairn.sources.formats import opened, pcd_bytes
 
@@ -51,22 +51,99 @@ def box_wires(boxes: DataFrame, thickness: float, keep: tuple[str, ...] = ("box_
     return boxes.select(*keep, F.explode(F.array(*rows)).alias("w")).select(*keep, "w.*")
 
 
-def ply_text(vertices: DataFrame, faces: DataFrame) -> Iterator[str]:
-    """Lines of an ASCII PLY file (vertices: vid, x, y, z, r, g, b; faces: fid, a, b, c with vids), streamed to the driver a
-    partition at a time: a file is one sequence. Vertices are numbered in the order of vid."""
-    placed = vertices.select(F.col("vid"), "x", "y", "z", "r", "g", "b").sort("vid")
-    n, m = vertices.count(), faces.count()
-    yield "ply\nformat ascii 1.0\n"
-    yield f"element vertex {n}\n" + "".join(f"property float {c}\n" for c in "xyz") + "".join(f"property uchar {c}\n" for c in ("red", "green", "blue"))
-    yield f"element face {m}\nproperty list uchar int vertex_indices\nend_header\n"
-    for r in placed.toLocalIterator():
-        yield f"{np.float32(r.x)} {np.float32(r.y)} {np.float32(r.z)} {r.r} {r.g} {r.b}\n"
-    number = running(vertices.select("vid", F.lit(0).alias("all")), ["all"], [F.col("vid")], {"i": F.lit(1).cast("long")}).select("vid", (F.col("i") - 1).alias("i"))
-    out = faces
+def edge_quads(vertices: DataFrame, edges: DataFrame, width: float) -> tuple[DataFrame, DataFrame]:
+    """Edges as thin rectangles: (vertices: vid, x, y, z, r, g, b; faces: fid, a, b, c, r, g, blue) to be put behind other ones.
+
+    vertices: vid, x, y, z. edges: eid, a, b (vids), r, g, blue. A rectangle lies across the vertical, or across the second axis where the edge is nearly
+    vertical. Edges of no length, or with an unknown end, are left out. New ids are four for each edge, from its own: put them behind by adding
+    to them."""
+    ends = edges
+    for n in "ab":
+        ends = ends.join(vertices.select(F.col("vid").alias(n), *(F.col(c).alias(f"{n}{c}") for c in "xyz")), n)
+    d = [F.col(f"b{c}") - F.col(f"a{c}") for c in "xyz"]
+    length = F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
+    upright = F.abs(d[2] / F.col("__l")) > 0.9
+    # the direction times the axis that it isn't close to
+    side = [F.when(upright, -d[2]).otherwise(d[1]), F.when(upright, F.lit(0.0)).otherwise(-d[0]), F.when(upright, d[0]).otherwise(F.lit(0.0))]
+    sized = ends.withColumn("__l", length).where(F.col("__l") >= 1e-12).select("eid", "r", "g", "blue", *(f"{n}{c}" for n in "ab" for c in "xyz"), *(v.alias(f"__s{i}") for i, v in enumerate(side)))
+    norm = F.sqrt(F.col("__s0") * F.col("__s0") + F.col("__s1") * F.col("__s1") + F.col("__s2") * F.col("__s2")) + 1e-12
+    half = [F.col(f"__s{i}") / norm * (width / 2) for i in range(3)]
+    corner = lambda k, n, sign: F.struct((F.col("eid") * 4 + k).alias("vid"), *((F.col(f"{n}{c}") + sign * half[i]).alias(c) for i, c in enumerate("xyz")))
+    corners = F.array(*(corner(k, n, sign) for k, (n, sign) in enumerate((("a", -1), ("a", 1), ("b", 1), ("b", -1)))))
+    points = sized.select("r", "g", "blue", F.explode(corners).alias("v")).select("v.vid", "v.x", "v.y", "v.z", "r", "g", F.col("blue").alias("b"))
+    first = F.col("eid") * 4
+    faces = sized.select("eid", "r", "g", "blue", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), (first + p).alias("a"), (first + q).alias("c")) for i, (p, q) in enumerate(((1, 2), (2, 3)))))).alias("f"))
+    return points, faces.select((F.col("eid") * 2 + F.col("f.i")).alias("fid"), first.alias("a"), F.col("f.a").alias("b"), F.col("f.c").alias("c"), "r", "g", "blue")
+
+
+def write_mesh(vertices: DataFrame, faces: DataFrame, path: str) -> DataFrame:
+    """An ASCII PLY file of vertices (vid, x, y, z, r, g, b) and faces (fid, a, b, c: vids; r, g and blue are written if they are there). Faces with an
+    unknown corner are left out; vertices and faces stand in the order of their ids.
+
+    Tasks write the lines of their range of ids as parts beside the file, with places in the file instead of ids; only the parts' names and counts
+    reach the driver. One task then puts header and parts behind one another, a block at a time, under a hidden name that is changed
+    at the end, and removes the parts. Returns one row: file, vertices, faces, bytes; the file is written when this is called."""
+    spark = vertices.sparkSession
+    folder = f"{path.rstrip('/')}.parts-{uuid.uuid4().hex}"
+    coloured = "blue" in faces.columns
+    place = lambda rows, key: running(rows, [], [F.col(key)], {"i": F.lit(1).cast("long")}).withColumn("i", F.col("i") - 1)
+    numbered = saved(place(vertices.select("vid", "x", "y", "z", "r", "g", "b"), "vid"), "vertices")
+    at = numbered.select("vid", "i")
+    out = faces.select("fid", "a", "b", "c", *(["r", "g", "blue"] if coloured else []))
     for c in "abc":
-        out = out.join(number.select(F.col("vid").alias(c), F.col("i").alias(f"{c}i")), c)
-    for r in out.sort("fid").toLocalIterator():
-        yield f"3 {r.ai} {r.bi} {r.ci}\n"
+        out = out.join(at.select(F.col("vid").alias(c), F.col("i").alias(f"{c}i")), c)
+    out = place(out.drop("a", "b", "c"), "fid")
+    number = lambda c: F.col(c).cast("float").cast("string")
+    texts = {
+        "v": numbered.select("i", F.concat_ws(" ", number("x"), number("y"), number("z"), "r", "g", "b").alias("line")),
+        "w": out.select("i", F.concat_ws(" ", F.lit("3"), "ai", "bi", "ci", *(["r", "g", "blue"] if coloured else [])).alias("line")),
+    }
+
+    def part(kind):
+        def run(batches):
+            fs, root = opened(folder)
+            fs.create_dir(root, recursive=True)
+            number, name, n, f = TaskContext.get().partitionId(), None, 0, None
+            for batch in batches:
+                if batch.num_rows and f is None:
+                    name = f"{root}/{kind}-{number:06d}-{uuid.uuid4().hex}"
+                    f = fs.open_output_stream(name)
+                if batch.num_rows:
+                    f.write("".join(f"{x}\n" for x in batch.column("line").to_pylist()).encode())
+                    n += batch.num_rows
+            if f is not None:
+                f.close()
+                yield pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([number], pa.int32()), pa.array([name]), pa.array([n], pa.int64())], names=["kind", "number", "name", "n"])
+
+        return run
+
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    written = [saved(df.repartitionByRange(parts, "i").sortWithinPartitions("i").mapInArrow(part(kind), "kind string, number int, name string, n long"), "parts") for kind, df in texts.items()]
+    names = written[0].unionByName(written[1]).orderBy("kind", "number").collect()  # a row for each task
+    n, m = (sum(r["n"] for r in names if r["kind"] == k) for k in "vw")
+    colour = "".join(f"property uchar {c}\n" for c in ("red", "green", "blue"))
+    head = f"ply\nformat ascii 1.0\nelement vertex {n}\n" + "".join(f"property float {c}\n" for c in "xyz") + colour + f"element face {m}\nproperty list uchar int vertex_indices\n" + (colour if coloured else "") + "end_header\n"
+    order = [r["name"] for r in names]
+
+    def together(batches):
+        for _ in batches:
+            fs, final = opened(path)
+            hidden, size = f"{final.rpartition('/')[0]}/.{final.rpartition('/')[2]}-{uuid.uuid4().hex}", len(head)
+            with fs.open_output_stream(hidden) as f:
+                f.write(head.encode())
+                for name in order:
+                    with fs.open_input_stream(name) as g:
+                        while some := g.read(1 << 20):
+                            f.write(some)
+                            size += len(some)
+            fs.move(hidden, final)
+            yield pa.RecordBatch.from_arrays([pa.array([final]), pa.array([n], pa.int64()), pa.array([m], pa.int64()), pa.array([size], pa.int64())], names=["file", "vertices", "faces", "bytes"])
+
+    done = saved(spark.range(0, 1, 1, 1).mapInArrow(together, "file string, vertices long, faces long, bytes long"), "mesh")
+    fs, root = opened(folder)
+    if names:
+        fs.delete_dir(root)
+    return done
 
 
 def graph_documents(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -67,11 +67,49 @@ def test_sinks(spark, tmp_path):
     assert sorted((r.scene, r.x, r.b) for r in back.collect()) == [("a_door", 1.5, 6), ("a_wall", 0.5, 3), ("a_wall", 2.5, 9)]
     v = spark.createDataFrame([(10, 0.0, 0.0, 0.0, 1, 1, 1), (20, 1.0, 0.0, 0.0, 1, 1, 1), (30, 0.0, 1.0, 0.0, 1, 1, 1)], "vid long, x double, y double, z double, r int, g int, b int")
     f = spark.createDataFrame([(0, 30, 10, 20)], "fid long, a long, b long, c long")
-    vertices, faces = formats.parse_ply("".join(sinks.ply_text(v, f)).encode())
-    assert vertices["x"].tolist() == [0, 1, 0] and faces.tolist() == [[2, 0, 1]]
+    told = sinks.write_mesh(v, f, f"file://{tmp_path}/mesh.ply").first()
+    text = (tmp_path / "mesh.ply").read_bytes()
+    vertices, faces = formats.parse_ply(text)
+    assert vertices["x"].tolist() == [0, 1, 0] and faces.tolist() == [[2, 0, 1]] and (told.vertices, told.faces, told.bytes) == (3, 1, len(text))
+    assert sorted(x.name for x in tmp_path.iterdir()) == ["clouds", "mesh.ply"]
     box = spark.createDataFrame([(1, 0.0, 0.0, 0.0, 1.0, 1.0, 1.0)], "box_id int, x0 double, y0 double, z0 double, x1 double, y1 double, z1 double")
     assert sinks.box_wires(box, 0.01).count() == 24
     e = spark.createDataFrame([("e0", None)], "edge_id string, gap double")
     assert json.loads(sinks.graph_documents(e, e)[1].first().value) == {"edge_id": "e0"}
     h = spark.createDataFrame([("wall", 3, 0.75), ("door", 1, 0.25), ("none", 0, 0.0)], "category string, n long, share double")
     assert [r.value.split()[0] for r in sinks.category_report(h).collect()] == ["wall", "door"]
+
+
+def test_meshes_are_written_by_tasks(spark, tmp_path):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    n = 3000
+    v = spark.createDataFrame([(int(i * 5 % 30_011), *map(float, rng.normal(size=3)), i % 256, 1, 2) for i in range(n)], "vid long, x double, y double, z double, r int, g int, b int").repartition(5)
+    ids = sorted(r.vid for r in v.select("vid").collect())
+    corners = rng.choice(ids, (5000, 3))
+    f = spark.createDataFrame([(i, *map(int, c), 9, 8, 7) for i, c in enumerate(corners)] + [(9999, ids[0], ids[1], -1, 0, 0, 0)], "fid long, a long, b long, c long, r int, g int, blue int").repartition(4)
+    told = sinks.write_mesh(v, f, f"file://{tmp_path}/m.ply").first()
+    text = (tmp_path / "m.ply").read_bytes()
+    vertices, faces = formats.parse_ply(text)
+    place = {x: i for i, x in enumerate(ids)}
+    assert (told.vertices, told.faces) == (n, 5000) and faces.tolist() == [[place[x] for x in c] for c in corners.tolist()]
+    want = {r.vid: r for r in v.collect()}
+    assert vertices["r"].tolist() == [want[i].r for i in ids] and np.allclose(vertices["z"], [want[i].z for i in ids], atol=1e-6)
+    assert text.rstrip().endswith(b"9 8 7") and not list(tmp_path.glob("*.parts*"))
+    empty = sinks.write_mesh(v.where("false"), f.where("false"), f"file://{tmp_path}/e.ply").first()
+    assert (empty.vertices, empty.faces) == (0, 0) and (tmp_path / "e.ply").read_bytes().endswith(b"end_header\n")
+
+
+def test_edges_become_thin_rectangles(spark):
+    import numpy as np
+
+    v = spark.createDataFrame([(0, 0.0, 0.0, 0.0), (1, 1.0, 0.0, 0.0), (2, 0.0, 0.0, 3.0)], "vid long, x double, y double, z double")
+    e = spark.createDataFrame([(0, 0, 1, 1, 2, 3), (1, 0, 2, 4, 5, 6), (2, 1, 1, 0, 0, 0), (3, 1, 9, 0, 0, 0)], "eid long, a long, b long, r int, g int, b_ int").withColumnRenamed("b_", "blue")
+    e = e.select("eid", "a", "b", "r", "g", "blue")
+    points, faces = sinks.edge_quads(v, e, 0.2)
+    got = {r.vid: (r.x, r.y, r.z) for r in points.collect()}
+    assert set(got) == set(range(8)) and faces.count() == 4
+    assert np.allclose([got[i] for i in range(4)], [(0, 0.1, 0), (0, -0.1, 0), (1, -0.1, 0), (1, 0.1, 0)])
+    assert np.allclose([got[i] for i in range(4, 8)], [(0.1, 0, 0), (-0.1, 0, 0), (-0.1, 0, 3), (0.1, 0, 3)])
+    assert {(r.fid, r.a, r.b, r.c, r.r, r.blue) for r in faces.collect()} == {(0, 0, 1, 2, 1, 3), (1, 0, 2, 3, 1, 3), (2, 4, 5, 6, 4, 6), (3, 4, 6, 7, 4, 6)}
