@@ -253,13 +253,57 @@ def t13_block_masks(spark, d):
     return sampling.block_masks(table(spark, d, "nation").select(F.col("n_nationkey").alias("id")), 14, 14, 0.4, 1)
 
 
-@query()
+# eigenvalues of a symmetric matrix in closed form, and each axis as the largest product of two rows of the matrix less its eigenvalue
+@query(
+    ctes(
+        p=POINT,
+        m="SELECT label, covar_pop(x, x) AS xx, covar_pop(x, y) AS xy, covar_pop(x, z) AS xz, covar_pop(y, y) AS yy, covar_pop(y, z) AS yz, covar_pop(z, z) AS zz FROM p GROUP BY 1",
+        q="SELECT *, (xx + yy + zz) / 3 AS t FROM m",
+        h="SELECT *, sqrt(((xx - t) * (xx - t) + (yy - t) * (yy - t) + (zz - t) * (zz - t) + 2 * (xy * xy + xz * xz + yz * yz)) / 6) AS s FROM q",
+        g="SELECT *, acos(least(greatest(((xx - t) * ((yy - t) * (zz - t) - yz * yz) - xy * (xy * (zz - t) - yz * xz) + xz * (xy * yz - (yy - t) * xz)) / (2 * s * s * s), -1), 1)) / 3 AS phi FROM h",
+        v="SELECT *, w, t + 2 * s * cos(phi + CASE w WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 1 END * 2.0943951023931953) AS ev FROM g, range(3) w(w)",
+        c1="SELECT *, xx - ev AS aa, yy - ev AS bb, zz - ev AS cc FROM v",
+        c2="SELECT label, w, xy * yz - xz * bb AS x0, xz * xy - aa * yz AS y0, aa * bb - xy * xy AS z0, xy * cc - xz * yz AS x1, xz * xz - aa * cc AS y1, aa * yz - xy * xz AS z1, bb * cc - yz * yz AS x2, yz * xz - xy * cc AS y2, xy * yz - bb * xz AS z2 FROM c1",
+        c3="SELECT *, x0 * x0 + y0 * y0 + z0 * z0 AS n0, x1 * x1 + y1 * y1 + z1 * z1 AS n1, x2 * x2 + y2 * y2 + z2 * z2 AS n2 FROM c2",
+        a="SELECT label, w, CASE WHEN n0 >= n1 AND n0 >= n2 THEN [x0, y0, z0] WHEN n1 >= n2 THEN [x1, y1, z1] ELSE [x2, y2, z2] END AS ax, sqrt(greatest(n0, n1, n2)) AS norm FROM c3",
+        o="SELECT p.label, w, ax[1] / norm AS a0, ax[2] / norm AS a1, ax[3] / norm AS a2, min((x * ax[1] + y * ax[2] + z * ax[3]) / norm) AS lo, max((x * ax[1] + y * ax[2] + z * ax[3]) / norm) AS hi FROM p JOIN a ON p.label = a.label GROUP BY 1, 2, 3, 4, 5",
+    )
+    + " SELECT label, round(sum((lo + hi) / 2 * a0), 6) AS cx, round(sum((lo + hi) / 2 * a1), 6) AS cy, round(sum((lo + hi) / 2 * a2), 6) AS cz, round(max(hi - lo) FILTER (w = 0), 6) AS d0, round(max(hi - lo) FILTER (w = 1), 6) AS d1, round(max(hi - lo) FILTER (w = 2), 6) AS d2 FROM o GROUP BY 1"
+)
 def a25_oriented_boxes(spark, d):
     out = catalogs.oriented_boxes(view(spark, d, POINT), "label")
     return out.select("label", *(F.round(c, 6).alias(c) for c in ("cx", "cy", "cz", "d0", "d1", "d2")))
 
 
-@query()
+# matching goes through a group's detections by their place, with the truths that are taken so far
+_GRID = ctes(
+    ("o", "r", "ga"),
+    e=EVENT,
+    d="SELECT user_id AS video, event_type AS category, id, value / 1000 AS score, value * 300 AS size FROM e WHERE id % 2 = 0",
+    g="SELECT user_id AS video, event_type AS category, id AS truth, id % 11 = 1 AS crowd, value * 300 AS size FROM e WHERE id % 2 = 1",
+    p="SELECT d.video, d.category, d.id, g.truth, 1 - abs(d.id - g.truth) / 400 AS iou FROM d JOIN g ON d.video = g.video AND d.category = g.category AND d.id // 400 = g.truth // 400",
+    b="SELECT * FROM (VALUES ('all', 0, 1e10), ('small', 0, 16384), ('medium', 16384, 65536), ('large', 65536, 1e10)) t(area, lo, hi)",
+    ga="SELECT g.*, area, crowd OR size < lo OR size > hi AS ignore FROM g, b",
+    o="SELECT d.*, area, size < lo OR size > hi AS outside, row_number() OVER (PARTITION BY area, video, category ORDER BY score DESC, id) AS place FROM d, b",
+    c="SELECT p.video, p.category, p.id, ga.area, list({'truth': p.truth, 'ignore': ignore, 'iou': iou} ORDER BY ignore, iou DESC, p.truth) AS found FROM p JOIN ga ON p.video = ga.video AND p.category = ga.category AND p.truth = ga.truth GROUP BY 1, 2, 3, 4",
+    k="SELECT o.*, found FROM o LEFT JOIN c ON o.video = c.video AND o.category = c.category AND o.id = c.id AND o.area = c.area WHERE place <= 10",
+    t="SELECT unnest([0.5::DOUBLE, 0.75::DOUBLE]) AS t",
+    r="""SELECT area, video, category, t, place, score, outside, list_filter(found, lambda f: f.iou >= t)[1] AS hit, CASE WHEN len(list_filter(found, lambda f: f.iou >= t)) > 0 THEN [list_filter(found, lambda f: f.iou >= t)[1].truth] ELSE []::BIGINT[] END AS taken FROM k, t WHERE place = 1
+    UNION ALL SELECT r.area, r.video, r.category, r.t, k.place, k.score, k.outside, list_filter(k.found, lambda f: f.iou >= r.t AND (f.ignore OR NOT list_contains(r.taken, f.truth)))[1],
+    CASE WHEN len(list_filter(k.found, lambda f: f.iou >= r.t AND (f.ignore OR NOT list_contains(r.taken, f.truth)))) > 0 THEN list_append(r.taken, list_filter(k.found, lambda f: f.iou >= r.t AND (f.ignore OR NOT list_contains(r.taken, f.truth)))[1].truth) ELSE r.taken END
+    FROM r JOIN k ON k.area = r.area AND k.video = r.video AND k.category = r.category AND k.place = r.place + 1""",
+    j="SELECT area, video, category, t, place, score, hit IS NOT NULL AS tp FROM r WHERE NOT (coalesce(hit.ignore, false) OR (outside AND hit IS NULL))",
+    n="SELECT category, area, count(*) FILTER (NOT ignore) AS n FROM ga GROUP BY 1, 2",
+    w="SELECT j.*, most, n FROM j JOIN (SELECT unnest([1, 10]) AS most) x ON place <= most JOIN n ON n.category = j.category AND n.area = j.area WHERE n > 0",
+    s="SELECT *, sum(CASE WHEN tp THEN 1 ELSE 0 END) OVER z AS tps, count(*) OVER z AS every FROM w WINDOW z AS (PARTITION BY category, area, t, most ORDER BY score DESC, video, place ROWS UNBOUNDED PRECEDING)",
+    u="SELECT category, area, t, most, CAST(tps AS DOUBLE) / n AS recall, max(CAST(tps AS DOUBLE) / every) OVER (PARTITION BY category, area, t, most ORDER BY score DESC, video, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS envelope FROM s",
+    y="SELECT category, area, t, most, i, max(envelope) AS p FROM u JOIN range(101) x(i) ON recall >= i / 100 GROUP BY 1, 2, 3, 4, 5",
+    ap="SELECT category, area, t, most, sum(p) / 101 AS ap FROM y GROUP BY 1, 2, 3, 4",
+    ar="SELECT category, area, t, most, max(recall) AS ar FROM u GROUP BY 1, 2, 3, 4",
+).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(_GRID + " SELECT n.category, n.area, t.t AS threshold, m.most, round(coalesce(ap, CASE WHEN n > 0 THEN 0 ELSE -1 END), 8) AS ap, round(coalesce(ar, CASE WHEN n > 0 THEN 0 ELSE -1 END), 8) AS ar FROM n CROSS JOIN t CROSS JOIN (SELECT unnest([1, 10]) AS most) m LEFT JOIN ap ON ap.category = n.category AND ap.area = n.area AND ap.t = t.t AND ap.most = m.most LEFT JOIN ar ON ar.category = n.category AND ar.area = n.area AND ar.t = t.t AND ar.most = m.most")
 def m19_detection_grid(spark, d):
     """Events as detections (even ids) and truths (odd ones) of a user and a kind; overlap falls with the distance of their ids."""
     e = view(spark, d, EVENT).select(F.col("user_id").alias("video"), F.col("event_type").alias("category"), "id", "value")
@@ -269,7 +313,8 @@ def m19_detection_grid(spark, d):
     near = F.floor(F.col("id") / 400)
     left, right = dets.select("video", "category", "id", near.alias("b")), truths.select("video", "category", "truth", F.floor(F.col("truth") / 400).alias("b"))
     pairs = left.join(right, ["video", "category", "b"]).select("video", "category", "id", "truth", (1 - F.abs(F.col("id") - F.col("truth")) / 400).alias("iou"))
-    return metrics.detection_grid(pairs, dets, truths, thresholds=(0.5, 0.75), most=(1, 10))
+    grid = metrics.detection_grid(pairs, dets, truths, thresholds=(0.5, 0.75), most=(1, 10))
+    return grid.withColumns({c: F.round(c, 8) for c in ("ap", "ar")})
 
 
 @query()

@@ -71,7 +71,15 @@ def c02_density_clusters(spark, d):
     return shapes.density_clusters(view(spark, d, POINT), "label", 5)
 
 
-@query()
+@query(
+    """WITH RECURSIVE f AS (SELECT l_orderkey * 10 + l_linenumber AS fid, l_partkey AS a, l_suppkey + 1000000000 AS b, l_orderkey AS c FROM lineitem),
+    e AS (SELECT fid, least(a, b) AS p, greatest(a, b) AS q FROM f UNION ALL SELECT fid, least(b, c), greatest(b, c) FROM f UNION ALL SELECT fid, least(a, c), greatest(a, c) FROM f),
+    m AS (SELECT p, q, min(fid) AS first FROM e GROUP BY 1, 2),
+    l AS (SELECT DISTINCT fid AS a, first AS b FROM e JOIN m USING (p, q) WHERE fid <> first),
+    s AS MATERIALIZED (SELECT a, b FROM l UNION SELECT b, a FROM l),
+    r AS (SELECT fid AS node, fid AS root FROM f UNION SELECT s.b, r.root FROM r JOIN s ON s.a = r.node WHERE r.root < s.b)
+    SELECT fid, component FROM f JOIN (SELECT node, min(root) AS component FROM r GROUP BY 1) n ON fid = node"""
+)
 def c09_mesh_components(spark, d):
     faces = table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("fid"), F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 1_000_000_000).alias("b"), F.col("l_orderkey").alias("c"))
     return shapes.mesh_components(faces)
