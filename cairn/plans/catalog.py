@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from cairn.plans import catalogs, colouring, files, forms, masks, measures, points, records, scenes
+from cairn.plans import catalogs, colouring, files, forms, masks, measures, points, records, scenes, steps
 from cairn.plans.registry import QUERIES, SQL
 
-__all__ = ["catalogs", "colouring", "files", "flagship", "forms", "masks", "measures", "oracle_sql", "points", "queries", "records", "scenes"]
+__all__ = ["catalogs", "colouring", "files", "flagship", "forms", "masks", "measures", "oracle_sql", "points", "queries", "records", "scenes", "steps"]
 
 flagship = scenes.flagship
 

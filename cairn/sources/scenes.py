@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cairn.operators import votes
 from cairn.operators.colouring import Camera, Mount
 from cairn.operators.spatial import in_boxes
+from cairn.sources import formats
 from cairn.sources.formats import opened
 
 
@@ -173,3 +175,29 @@ def write_fused(results: DataFrame, points: DataFrame, path: str) -> tuple[DataF
     report = fusion_report(results)
     report.write.mode("overwrite").json(f"{path.rstrip('/')}/report")
     return files, report
+
+
+def cloud(spark: SparkSession, path: str, voxel: float | None = None) -> DataFrame:
+    """scene, x, y, z and n of the clouds under a path: their points (n is 1), or the mean place of the points of each voxel of each scene."""
+    formats.register(spark)
+    points = spark.read.format("pcd").load(path)
+    if voxel is None:
+        return points.select("scene", "x", "y", "z", F.lit(1).cast("long").alias("n"))
+    means = votes.voxel_means(points, voxel, ("scene",))
+    return means.select("scene", *(F.col(f"m{a}").alias(a) for a in "xyz"), "n")
+
+
+def graph_documents(spark: SparkSession, path: str, nodes: str, edges: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of scene graphs that were written as documents, one to a line or one to a file: objects with a list ``nodes`` and a list
+    ``edges``, whose fields have the schemas given; what else they hold is passed over. ``scene`` is the document's field of that name, or the file's name
+    without its ending; ``place`` counts a document's entries from 0. A missing list is an empty one; a text that is no document raises an error."""
+    schema = f"scene string, nodes array<struct<{nodes}>>, edges array<struct<{edges}>>"
+    text = spark.read.text(path, wholetext=True).select("value", F.regexp_extract("_metadata.file_name", r"^(.*?)(\.[^.]*)?$", 1).alias("file"))
+    # a file is either lines of documents or one document that goes over lines
+    lines = F.filter(F.split("value", r"\r?\n"), lambda v: F.trim(v) != "")
+    by_line = F.forall("lines", lambda v: F.try_parse_json(v).isNotNull())
+    documents = text.withColumn("lines", lines).where(F.size("lines") > 0).select("file", F.explode(F.when(by_line, F.col("lines")).otherwise(F.array("value"))).alias("value"))
+    bad = F.try_parse_json(F.col("value")).isNull()
+    read = documents.select("file", F.when(bad, F.raise_error(F.concat(F.lit("no JSON document in "), "file"))).otherwise(F.from_json("value", schema)).alias("d"))
+    named = read.select(F.coalesce("d.scene", "file").alias("scene"), "d.nodes", "d.edges")
+    return tuple(named.select("scene", F.posexplode(c).alias("place", "e")).select("scene", "place", "e.*") for c in ("nodes", "edges"))

@@ -183,3 +183,26 @@ def test_overlaps_without_zeros(spark, monkeypatch):
     monkeypatch.setattr(spatial, "GROUP_PAIRS", 1)
     with pytest.raises(ValueError):
         spatial.overlaps(left, right, 0.5)
+
+
+def test_graph_documents(spark, tmp_path):
+    graph = {"scene": "s", "version": 3, "nodes": [{"node_id": "a", "label": "x"}, {"node_id": "b"}], "edges": [{"source": "a", "target": "b", "relation": "on"}]}
+    (tmp_path / "one.json").write_text(json.dumps(graph, indent=2))
+    (tmp_path / "named.json").write_text(json.dumps({"nodes": [{"node_id": "c", "label": "y"}]}))
+    (tmp_path / "lines.jsonl").write_text("".join(json.dumps(graph | {"scene": f"l{i}"}) + "\n" for i in range(3)) + "\n")
+    (tmp_path / "empty.json").write_text("\n")
+    nodes, edges = scenes.graph_documents(spark, f"file://{tmp_path}", "node_id string, label string", "source string, target string, relation string")
+    assert sorted((r.scene, r.place, r.node_id) for r in nodes.collect()) == sorted([("named", 0, "c"), *((s, i, n) for s in ("s", "l0", "l1", "l2") for i, n in enumerate("ab"))])
+    assert {tuple(r) for r in edges.collect()} == {(s, 0, "a", "b", "on") for s in ("s", "l0", "l1", "l2")}
+    (tmp_path / "bad.json").write_text('{"nodes": [')
+    with pytest.raises(Exception, match="no JSON document in bad"):
+        scenes.graph_documents(spark, f"file://{tmp_path}", "node_id string", "source string")[0].collect()
+
+
+def test_loaded_clouds(spark, tmp_path):
+    for name, x in (("a", [0.1, 0.3, 0.9]), ("b", [0.2, 0.2, 5.0])):
+        z = np.zeros(3)
+        (tmp_path / f"{name}.pcd").write_bytes(formats.pcd_bytes(np.array(x), z, z, z.astype(int), z.astype(int), z.astype(int)))
+    assert scenes.cloud(spark, f"file://{tmp_path}").count() == 6
+    got = {(r.scene, round(r.x, 5), r.n) for r in scenes.cloud(spark, f"file://{tmp_path}", 0.5).collect()}
+    assert got == {("a", 0.2, 2), ("a", 0.9, 1), ("b", 0.2, 2), ("b", 5.0, 1)}
