@@ -99,7 +99,7 @@ def overlaps(left: DataFrame, right: DataFrame, tolerance: float, group: str = "
 
 
 #: Core points of a cell that are compared with those of another cell first.
-FIRST = 8
+FIRST = 16
 
 
 def dbscan(points: DataFrame, eps: float, least: int, key: str = "pid", axes: tuple[str, ...] = AXES, by: tuple[str, ...] = ()) -> DataFrame:
@@ -135,12 +135,12 @@ def dbscan(points: DataFrame, eps: float, least: int, key: str = "pid", axes: tu
     cores = placed.where(F.col("__n") >= least).unionByName(sparse.join(few, key)).drop("__n")
 
     # cells with core points, each known by its smallest core id
-    boxes = cores.groupBy(*keys).agg(F.min(key).alias("cell"), *(f(a).alias(f"{n}_{a}") for a in axes for f, n in ((F.min, "lo"), (F.max, "hi"))))
+    boxes = cores.groupBy(*keys).agg(F.min(key).alias("cell"), F.count("*").alias("__size"), *(f(a).alias(f"{n}_{a}") for a in axes for f, n in ((F.min, "lo"), (F.max, "hi"))))
     boxes = saved(boxes, "boxes")
     of_box = boxes.select(F.col("cell"), *(F.col(c).alias(f"__k{i}") for i, c in enumerate(keys)))
     cores = saved(cores.join(of_box, same_cell()).select(key, "cell", *axes), "cores")
     forward = [o for o in offsets if o > (0,) * n_axes]
-    side_of = lambda n: [F.col("cell").alias(n), *(F.col(f"{e}_{a}").alias(f"{n}_{e}_{a}") for a in axes for e in ("lo", "hi"))]
+    side_of = lambda n: [F.col("cell").alias(n), F.col("__size").alias(f"{n}_n"), *(F.col(f"{e}_{a}").alias(f"{n}_{e}_{a}") for a in axes for e in ("lo", "hi"))]
     left = boxes.select(*side_of("a"), *(F.col(c).alias(f"__b{i}") for i, c in enumerate(by)), around(forward).alias("__at")).select("*", *(F.col(f"__at.{c}").alias(f"__b{len(by) + i}") for i, c in enumerate(cells))).drop("__at")
     right = boxes.select(*side_of("b"), *(F.col(c).alias(f"__k{i}") for i, c in enumerate(keys)))
     gap = sum((F.greatest(F.col(f"a_lo_{a}") - F.col(f"b_hi_{a}"), F.col(f"b_lo_{a}") - F.col(f"a_hi_{a}"), F.lit(0.0)) ** 2 for a in axes), F.lit(0.0))
@@ -152,7 +152,8 @@ def dbscan(points: DataFrame, eps: float, least: int, key: str = "pid", axes: tu
     linked = meets.select("a", "b").join(at(some, "a"), "a").join(at(some, "b"), "b").where(near("a_", "b_")).select("a", "b").distinct()
     roots = connected(linked)
     root = lambda n: roots.select(F.col("node").alias(n), F.col("root").alias(f"{n}_root"))
-    open_ = meets.join(root("a"), "a", "left").join(root("b"), "b", "left").where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).drop("a_root", "b_root")
+    # where both cells have no more points than were compared, there is nothing left to see
+    open_ = meets.where(F.greatest("a_n", "b_n") > FIRST).join(root("a"), "a", "left").join(root("b"), "b", "left").where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).drop("a_root", "b_root")
     open_ = saved(open_, "open")
     if open_.take(1):
         beside = lambda n, other: sum((F.greatest(F.col(f"{other}_lo_{a}") - F.col(f"{n}_{a}"), F.col(f"{n}_{a}") - F.col(f"{other}_hi_{a}"), F.lit(0.0)) ** 2 for a in axes), F.lit(0.0)) <= eps * eps * (1 + 1e-9)
