@@ -47,13 +47,20 @@ def top_k(queries: DataFrame, base: DataFrame, k: int, key: str = "vec_id", vect
                 ids_of = batch.column("c").to_numpy()
                 for start in range(0, batch.num_rows, BASE_ROWS):
                     c = ids_of[start : start + BASE_ROWS]
-                    s = np.round(q @ np.array(batch.column("v").slice(start, BASE_ROWS).to_pylist(), np.float64).T, 9)
-                    s[ids[:, None] == c[None, :]] = -np.inf
+                    s = q @ np.array(batch.column("v").slice(start, BASE_ROWS).to_pylist(), np.float64).T
+                    # a row is no neighbour of its own id
+                    low, high = np.searchsorted(ids, c), np.searchsorted(ids, c, "right")
+                    for j in np.flatnonzero(high > low):
+                        s[low[j] : high[j], j] = -np.inf
                     floor = least
                     if n == 0 and s.shape[1] > k:
-                        floor = np.partition(s, -k, axis=1)[:, -k]
-                    i, j = np.nonzero((s >= floor[:, None]) & (s > -np.inf))
-                    held.append((i, c[j], s[i, j]))
+                        floor = np.round(np.partition(s, -k, axis=1)[:, -k], 9)
+                    # only what may be among the best is rounded
+                    i, j = np.nonzero(s >= floor[:, None] - 1e-9)
+                    v = np.round(s[i, j], 9)
+                    kept = (v >= floor[i]) & (v > -np.inf)
+                    i, j, v = i[kept], j[kept], v[kept]
+                    held.append((i, c[j], v))
                     n += len(i)
                     if n > 4 * k * len(ids):
                         held = reduced()
