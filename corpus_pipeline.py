@@ -1,6 +1,7 @@
 """The corpus pipeline: five stages over ``documents``, each written as Parquet and read again by the next.
 
-quality: documents that resampling by importance leaves out go. near_duplicates: one document of each group stays. decontamination:
+quality: documents that resampling by importance leaves out go (by the labels of the test tables that is nearly all low-quality rows and 69 to 85 % of
+the toxic ones; a toxic word or two in a long clean text may stay). near_duplicates: one document of each group stays. decontamination:
 documents that hold a passage of the benchmark go. secrets: spans are replaced by a mark. tokens: each document's byte-level
 BPE ids and what they decode to.
 """
