@@ -33,7 +33,7 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items found in every document; see ``decontaminate.contaminated``."""
+    """Benchmark items found in every document (an item of over 250 shingles by any of its parts of that size); see ``decontaminate.contaminated``."""
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
