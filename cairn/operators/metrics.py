@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions.storage import saved
 from cairn.operators.matching import detections_matched
-from cairn.operators.running import largest_ahead, running
+from cairn.operators.running import running, running_ahead
 
 
 def confusion(pairs: DataFrame, truth: str = "gt", predicted: str = "pred", ignore: int | None = None) -> DataFrame:
@@ -105,9 +105,10 @@ def precision_recall(detections: DataFrame, by: str, positives: DataFrame, score
     """Detections in order of falling score with cumulated precision, recall and the envelope (the largest precision at the same
     or a larger recall). positives: by, n. A category's detections are spread over tasks; see ``running``."""
     order = [-F.col(score), F.col(tie)]
-    out = running(detections.join(positives, by), [by], order, {"tps": F.col(hit).cast("long"), "all": F.lit(1).cast("long")})
-    out = out.withColumn("precision", F.col("tps") / F.col("all")).withColumn("recall", F.try_divide(F.col("tps"), F.col("n")))
-    return largest_ahead(out, [by], order, "precision", "envelope")
+    precision = F.col("tps") / F.col("all")
+    totals = {"tps": F.col(hit).cast("long"), "all": F.lit(1).cast("long")}
+    out = running_ahead(detections.join(positives, by), [by], order, totals, precision, "envelope")
+    return out.withColumn("precision", precision).withColumn("recall", F.try_divide(F.col("tps"), F.col("n")))
 
 
 def average_precision(curve: DataFrame, by: str, points: int = 101) -> DataFrame:
