@@ -66,7 +66,7 @@ class Occlusion(StatefulProcessor):
         self.seen.put(sorted(now, key=str)) if now else self.seen.clear()
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        self.handle.registerTimer(int(at.timestamp() * 1000) + self.keep_ms)
+        self.handle.registerTimer(int(new["ms"].max()) + self.keep_ms)
         told = [(r[2], r[4], vote, at) for some, vote in ((before - now, -1), (now - before, 1)) for r in sorted(some, key=str) if r[4] is not None]
         if told:
             yield pd.DataFrame(told, columns=["pid", "label", "vote", "at"])
@@ -85,61 +85,88 @@ def visible_votes(observations: DataFrame, late: str = "1 minute", keep: int = 6
     observations: pid, frame, yi, xi, depth, label, at; rows of a frame that come again change nothing. Rows later than ``late`` are passed over; a
     tile's state goes when the watermark is ``keep`` seconds behind its last row. A null label hides others but has no vote."""
     tile = [F.floor(F.col(c) / TILE).cast("int").alias(f"t{c[0]}") for c in ("yi", "xi")]
-    rows = observations.withWatermark("at", late).where("at is not null").select("*", *tile)
+    rows = observations.withWatermark("at", late).where("at is not null").select("*", *tile, F.unix_millis("at").alias("ms"))
     return rows.groupBy("frame", "ty", "tx").transformWithStateInPandas(Occlusion(tolerance, keep * 1000), _VOTES, "Append", "EventTime", eventTimeColumnName="at")
 
 
 class Votes(StatefulProcessor):
-    """Votes of a point by label, and how often its row was given out."""
+    """Of the points of a block of ids, votes by label, how often a point's row was given out, and when it was last seen."""
 
     def __init__(self, least: int, idle_ms: int):
         self.least, self.idle_ms = least, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.votes = handle.getMapState("votes", "label int", "votes long")
-        self.last = handle.getValueState("last", "version long, at timestamp")
-
-    def _row(self, pid: int, version: int, closed: bool, at) -> pd.DataFrame:
-        known = {k[0]: v[0] for k, v in self.votes.iterator() if v[0]}
-        total = sum(known.values())
-        best = min(known, key=lambda label: (-known[label], label)) if known and total >= self.least else None
-        frame = pd.DataFrame({"pid": [pid], "label": pd.array([best], "Int32"), "votes": [known[best] if best is not None else 0], "total": [total if best is not None else 0], "version": [version], "closed": [closed], "at": [at]})
-        return frame
+        self.votes = handle.getListState("votes", "pid long, label int, votes long")
+        self.last = handle.getListState("last", "pid long, version long, ms long")
+
+    def _load(self) -> tuple[dict[int, dict[int, int]], dict[int, tuple[int, int]]]:
+        known: dict[int, dict[int, int]] = {}
+        for pid, label, n in self.votes.get() if self.votes.exists() else ():
+            known.setdefault(pid, {})[label] = n
+        return known, {pid: (version, ms) for pid, version, ms in (self.last.get() if self.last.exists() else ())}
+
+    def _keep(self, known: dict, last: dict) -> None:
+        """Writes the state, with one timer for the point that is idle first."""
+        rows = [(pid, label, n) for pid, of in known.items() for label, n in of.items() if n]
+        self.votes.put(rows) if rows else self.votes.clear()
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if last:
+            self.last.put([(pid, version, ms) for pid, (version, ms) in last.items()])
+            self.handle.registerTimer(min(ms for _, ms in last.values()) + self.idle_ms)
+        else:
+            self.last.clear()
+
+    def _told(self, pids: list[int], known: dict, last: dict, closed: bool) -> pd.DataFrame:
+        rows = []
+        for pid in pids:
+            of = {label: n for label, n in known.get(pid, {}).items() if n}
+            total = sum(of.values())
+            best = min(of, key=lambda label: (-of[label], label)) if of and total >= self.least else None
+            rows.append((pid, best, 0 if best is None else of[best], 0 if best is None else total, last[pid][0], closed, last[pid][1]))
+        out = pd.DataFrame(rows, columns=["pid", "label", "votes", "total", "version", "closed", "at"])
+        return out.assign(at=pd.to_datetime(out["at"], unit="ms", utc=True)).astype({"label": "Int32"})
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        known, last = self._load()
         new = pd.concat(list(rows), ignore_index=True)
-        for label, change in new.groupby("label")["vote"].sum().items():
-            k = (int(label),)
-            n = (self.votes.getValue(k)[0] if self.votes.containsKey(k) else 0) + int(change)
-            self.votes.updateValue(k, (n,))
-        version, at = 0, new["at"].max()
-        if self.last.exists():
-            version, before = self.last.get()
-            at = max(at, pd.Timestamp(before))
-        self.last.update((version + 1, at.to_pydatetime()))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(int(at.timestamp() * 1000) + self.idle_ms)
-        yield self._row(key[0], version + 1, False, at)
+        for (pid, label), change in new.groupby(["pid", "label"])["vote"].sum().items():
+            of = known.setdefault(int(pid), {})
+            of[int(label)] = of.get(int(label), 0) + int(change)
+        changed = new.groupby("pid")["ms"].max()
+        for pid, ms in changed.items():
+            version, before = last.get(int(pid), (0, 0))
+            last[int(pid)] = version + 1, max(int(ms), before)
+        yield self._told(sorted(map(int, changed.index)), known, last, False)
+        self._keep(known, last)
 
     def handleExpiredTimer(self, key: Any, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        version, at = self.last.get()
-        yield self._row(key[0], version + 1, True, pd.Timestamp(at))
-        self.votes.clear()
-        self.last.clear()
+        known, last = self._load()
+        now = timerValues.getCurrentWatermarkInMs()
+        done = sorted(pid for pid, (_, ms) in last.items() if ms + self.idle_ms <= now)
+        for pid in done:
+            last[pid] = last[pid][0] + 1, now
+        if done:
+            yield self._told(done, known, last, True)
+        self._keep({p: of for p, of in known.items() if p not in done}, {p: v for p, v in last.items() if p not in done})
 
     def close(self) -> None:
         pass
 
 
+#: Neighbouring ids that share a state, so that a call to the store serves many points.
+BLOCK = 64
+
+
 def winners(changes: DataFrame, least: int = 1, idle: int = 3600) -> DataFrame:
     """pid, label, votes, total, version, closed, at: a row for each point whose votes changed in a micro-batch; that with the largest version is its
     state of today. Of labels with equal votes the smallest wins; under ``least`` votes there is none (null, and zero votes).
 
-    A point without votes for ``idle`` seconds of event time gives a last row, ``closed``, and its state goes; if it is seen again after that, it
+    A point without votes for ``idle`` seconds of event time gives a last row, ``closed``, whose time is the watermark that closed it, and its state goes; if it is seen again after that, it
     begins anew."""
-    return changes.groupBy("pid").transformWithStateInPandas(Votes(least, idle * 1000), _WINNERS, "Append", "EventTime", eventTimeColumnName="at")
+    blocks = changes.withColumn("block", F.floor(F.col("pid") / BLOCK)).withColumn("ms", F.unix_millis("at"))
+    return blocks.groupBy("block").transformWithStateInPandas(Votes(least, idle * 1000), _WINNERS, "Append", "EventTime", eventTimeColumnName="at")
 
 
 def coloured(points: DataFrame, poses: DataFrame, pixels: DataFrame, camera: Camera, mount: Mount = Mount(), least: int = 1, late: str = "1 minute", keep: int = 60, idle: int = 3600, tolerance: float = TOLERANCE, reach: float | None = None) -> DataFrame:
