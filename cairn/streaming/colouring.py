@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,22 +55,28 @@ class Occlusion(StatefulProcessor):
         self.seen = handle.getListState("seen", _SEEN)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        old = list(self.seen.get()) if self.seen.exists() else []
+        columns = ["yi", "xi", "pid", "depth", "label"]
+        kinds = {"yi": "int64", "xi": "int64", "pid": "int64", "depth": "float64", "label": "Int64"}
+        old = pd.DataFrame(list(self.seen.get()) if self.seen.exists() else [], columns=columns).astype(kinds)
         new = pd.concat(list(rows), ignore_index=True)
-        at = new["at"].max()
-        before = {tuple(r) for r in old}
-        every = before | {(int(y), int(x), int(p), float(d), None if pd.isna(label) else int(label)) for y, x, p, d, label in new[["yi", "xi", "pid", "depth", "label"]].itertuples(index=False)}
-        nearest: dict[tuple[int, int], float] = {}
-        for y, x, _, depth, _ in every:
-            nearest[y, x] = min(depth, nearest.get((y, x), depth))
-        now = {r for r in every if r[3] <= nearest[r[0], r[1]] + self.tolerance}
-        self.seen.put(sorted(now, key=str)) if now else self.seen.clear()
+        # what is seen again is old, as it comes first
+        every = pd.concat([old, new[columns].astype(kinds)], ignore_index=True)
+        first = ~every.duplicated().to_numpy()
+        fresh = np.arange(len(every)) >= len(old)
+        stays = first & (every["depth"] <= every.groupby(["yi", "xi"])["depth"].transform("min") + self.tolerance).to_numpy()
+        now = every[stays]
+        if len(now):
+            label = [None if v is pd.NA else int(v) for v in now["label"]]
+            self.seen.put(list(zip(now["yi"].tolist(), now["xi"].tolist(), now["pid"].tolist(), now["depth"].tolist(), label, strict=True)))
+        else:
+            self.seen.clear()
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         self.handle.registerTimer(int(new["ms"].max()) + self.keep_ms)
-        told = [(r[2], r[4], vote, at) for some, vote in ((before - now, -1), (now - before, 1)) for r in sorted(some, key=str) if r[4] is not None]
-        if told:
-            yield pd.DataFrame(told, columns=["pid", "label", "vote", "at"])
+        change = np.where(fresh, stays, ~stays) & first & every["label"].notna().to_numpy()
+        if change.any():
+            told = every.loc[change, ["pid", "label"]].astype({"label": "int64"})
+            yield told.assign(vote=np.where(fresh[change], 1, -1), at=new["at"].max())
 
     def handleExpiredTimer(self, key: Any, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         self.seen.clear()
