@@ -12,6 +12,8 @@ from cairn.functions.storage import saved
 
 #: Query rows that are sent to the other side at once, blocks of them in one plan, and base rows that are scored at once.
 QUERY_ROWS, BLOCKS, BASE_ROWS = 4096, 4, 512
+#: What a product in single precision may be off, for each component and unit of length; pairs that are scored in double precision at once.
+ERROR, CHUNK = 1e-7, 1 << 16
 
 
 def top_k(queries: DataFrame, base: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", extra: tuple[str, ...] = (), block: int = QUERY_ROWS) -> DataFrame:
@@ -31,6 +33,9 @@ def top_k(queries: DataFrame, base: DataFrame, k: int, key: str = "vec_id", vect
     def scan(shared):
         def run(batches):
             ids, q = shared.value
+            with np.errstate(over="ignore"):
+                small, length = q.astype(np.float32), np.sqrt((q * q).sum(axis=1))
+            narrow = bool(np.isfinite(small).all())
             least = np.full(len(ids), -np.inf)  # what a row must reach to be among a query's k best so far
             held, n = [], 0
 
@@ -47,18 +52,23 @@ def top_k(queries: DataFrame, base: DataFrame, k: int, key: str = "vec_id", vect
                 ids_of = batch.column("c").to_numpy()
                 for start in range(0, batch.num_rows, BASE_ROWS):
                     c = ids_of[start : start + BASE_ROWS]
-                    s = q @ np.array(batch.column("v").slice(start, BASE_ROWS).to_pylist(), np.float64).T
+                    rows = batch.column("v").slice(start, BASE_ROWS)
+                    vectors = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), -1)
+                    # in single precision first, with what that may be off; what may be among the best is scored in double precision
+                    half = vectors.astype(np.float32)
+                    if narrow and np.isfinite(half).all():
+                        s, off = small @ half.T, length * (np.sqrt((vectors * vectors).sum(axis=1)).max() * ERROR * q.shape[1]) + 1e-9
+                    else:
+                        s, off = q @ vectors.T, np.full(len(ids), 1e-9)
                     # a row is no neighbour of its own id
                     low, high = np.searchsorted(ids, c), np.searchsorted(ids, c, "right")
                     for j in np.flatnonzero(high > low):
                         s[low[j] : high[j], j] = -np.inf
-                    floor = least
-                    if n == 0 and s.shape[1] > k:
-                        floor = np.round(np.partition(s, -k, axis=1)[:, -k], 9)
-                    # only what may be among the best is rounded
-                    i, j = np.nonzero(s >= floor[:, None] - 1e-9)
-                    v = np.round(s[i, j], 9)
-                    kept = (v >= floor[i]) & (v > -np.inf)
+                    floor = np.partition(s, -k, axis=1)[:, -k] - off if n == 0 and s.shape[1] > k else least
+                    i, j = np.nonzero(s >= (floor - off)[:, None])
+                    i, j = (x[s[i, j] > -np.inf] for x in (i, j))
+                    v = np.concatenate([np.einsum("ij,ij->i", q[i[x : x + CHUNK]], vectors[j[x : x + CHUNK]]) for x in range(0, len(i), CHUNK)] or [np.zeros(0)]).round(9)
+                    kept = v >= least[i]
                     i, j, v = i[kept], j[kept], v[kept]
                     held.append((i, c[j], v))
                     n += len(i)
