@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cairn.operators import annotations, batches, losses, masks, panoptic
+from cairn.operators.colouring import bound
 from cairn.plans.registry import query
 from cairn.plans.views import ctes, view
 
@@ -41,8 +42,9 @@ def x13_polygons(spark, d):
     """Masks of polygons: pixels, runs and boxes, after a way through the compressed form."""
     runs = masks.polygon_runs(view(spark, d, POLYGON), ["id"])
     size = F.col("height") * F.col("width")
-    text = runs.withColumn("text", masks.compressed(masks.counts(F.col("runs"), size)))
-    back = text.withColumn("runs", masks.from_counts(masks.decompressed(F.col("text")))).withColumn("box", masks.run_box(F.col("runs"), F.col("height")))
+    # each is made once, however often it is referred to
+    text = bound(runs, {"text": masks.compressed(masks.counts(F.col("runs"), size))}).drop("runs")
+    back = bound(text, {"runs": masks.from_counts(masks.decompressed(F.col("text")))}).withColumn("box", masks.run_box(F.col("runs"), F.col("height")))
     places = F.flatten(F.transform("runs", lambda r: F.sequence(r["start"], r["start"] + r["len"] - 1)))
     return back.select("id", masks.run_area(F.col("runs")).alias("area"), F.size("runs").cast("long").alias("n_runs"), F.get("runs", F.lit(0))["start"].alias("first"), F.col("box.x").alias("box_x"), F.col("box.y").alias("box_y"), F.col("box.width").alias("box_w"), F.col("box.height").alias("box_h"), F.md5(F.array_join(places.cast("array<string>"), ",")).alias("places"))
 
