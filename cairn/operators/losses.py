@@ -27,16 +27,16 @@ def scale_invariant(pairs: DataFrame, by: Sequence[str], warm: bool = False, pre
 def gradient(pixels: DataFrame, by: Sequence[str], strides: Sequence[int] = STRIDES, predicted: str = "pred", truth: str = "gt", valid: str | None = None) -> DataFrame:
     """by, loss: over grids of every 1st, 2nd, 4th and 6th pixel, how much errors change from a pixel to the second next to the right and
     below, over the grid's valid pixels, summed. pixels: by, y, x, both depths. Grids without a valid pixel add nothing; a group without any has no
-    row. Pixels meet their partners in an equi-join."""
+    row. Pixels meet their partners in an equi-join that is sorted, never broadcast: how many pixels there are isn't seen from the tables they are made of."""
     some = pixels.where(_valid(pixels, valid)).select(*by, "y", "x", (F.col(predicted) - F.col(truth)).alias("d"))
     stride = F.explode(F.array(*map(F.lit, strides)))
     grid = some.withColumn("k", stride).where((F.col("y") % F.col("k") == 0) & (F.col("x") % F.col("k") == 0))
     grid = grid.select(*by, "k", F.floor(F.col("y") / F.col("k")).alias("y"), F.floor(F.col("x") / F.col("k")).alias("x"), "d")
     places = F.explode(F.array(F.struct((F.col("y") - 2).alias("y"), F.col("x").alias("x")), F.struct(F.col("y").alias("y"), (F.col("x") - 2).alias("x"))))
     ahead = grid.select(*by, "k", places.alias("p"), F.col("d").alias("e")).select(*by, "k", "p.y", "p.x", "e")
-    changes = grid.join(ahead, [*by, "k", "y", "x"]).groupBy(*by, "k").agg(F.sum(F.abs(F.col("d") - F.col("e"))).alias("s"))
+    changes = grid.join(ahead.hint("merge"), [*by, "k", "y", "x"]).groupBy(*by, "k").agg(F.sum(F.abs(F.col("d") - F.col("e"))).alias("s"))
     sizes = grid.groupBy(*by, "k").agg(F.count("*").alias("n"))
-    return sizes.join(changes, [*by, "k"], "left").groupBy(*by).agg(F.sum(F.coalesce("s", F.lit(0.0)) / F.col("n")).alias("loss"))
+    return sizes.join(changes.hint("merge"), [*by, "k"], "left").groupBy(*by).agg(F.sum(F.coalesce("s", F.lit(0.0)) / F.col("n")).alias("loss"))
 
 
 def uncertain_points(logits: DataFrame, by: Sequence[str], n: int, oversample: float = 3.0, share: float = 0.75, seed: int = 0) -> DataFrame:
