@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cairn.functions.storage import spread
 from cairn.operators.annotations import run_area
 
 __all__ = ["compressed", "counts", "decompressed", "from_counts", "pixels", "polygon_runs", "run_area", "run_box", "united"]
@@ -39,7 +40,8 @@ def polygon_runs(polygons: DataFrame, by: Sequence[str], by_columns: bool = True
     a run. Polygons of fewer than three corners, or with a coordinate that is null or not finite, have no pixels; a mask without pixels has
     no runs. Several rows of a mask must agree on its size; the largest counts. Null keys are a mask of their own.
     """
-    parts = polygons.select(*by, F.col("coords").cast("array<double>").alias("coords"), F.col("height").cast("long").alias("height"), F.col("width").cast("long").alias("width"))
+    # lines and crossings are many times as many as polygons: these are dealt over tasks first
+    parts = spread(polygons.select(*by, "coords", "height", "width"), *by).select(*by, F.col("coords").cast("array<double>").alias("coords"), F.col("height").cast("long").alias("height"), F.col("width").cast("long").alias("width"))
     masks = parts.groupBy(*by).agg(F.max("height").alias("height"), F.max("width").alias("width"))
     good = (F.size("coords") >= 6) & F.forall("coords", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     parts = parts.withColumn("__part", F.monotonically_increasing_id()).where(good)
@@ -68,7 +70,8 @@ def _beside(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
     same = F.lit(True)
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"__r_{c}"))
-    return left.join(named, same, "left")
+    # both have a row a mask, of which there may be many more than the tables they are made of let Spark expect
+    return left.join(named.hint("merge"), same, "left")
 
 
 def united(masks: DataFrame, by: Sequence[str], runs: str = "runs") -> DataFrame:

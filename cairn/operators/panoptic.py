@@ -1,7 +1,8 @@
 """From class scores and masks of queries to segments: masks of an image compete for its pixels.
 
 Tables: ``classes`` (image, query, class, logit: the last class means no object) and ``masks`` (image, query, y, x, logit). A pixel is
-contested by as many queries as an image has, and everything is a grouping or an equi-join, so images and pixels spread freely.
+contested by as many queries as an image has, and everything is a grouping or an equi-join, so images and pixels spread freely. What there
+is of each query is written before pixels meet it, so that Spark knows its size; tables of pixels are never broadcast.
 """
 
 from __future__ import annotations
@@ -12,6 +13,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cairn.functions.storage import saved
+
+
+#: Classes whose votes are summed side by side; more are rows of their own.
+WIDE = 64
+
 
 def _sigmoid(logit: Column) -> Column:
     return 1 / (1 + F.exp(-logit))
@@ -19,10 +26,9 @@ def _sigmoid(logit: Column) -> Column:
 
 def class_shares(classes: DataFrame) -> DataFrame:
     """classes with share, the softmax of a query's logits."""
-    most = classes.groupBy("image", "query").agg(F.max("logit").alias("__most"))
-    shifted = classes.join(most, ["image", "query"]).withColumn("__e", F.exp(F.col("logit") - F.col("__most")))
-    total = shifted.groupBy("image", "query").agg(F.sum("__e").alias("__total"))
-    return shifted.join(total, ["image", "query"]).withColumn("share", F.col("__e") / F.col("__total")).drop("__most", "__e", "__total")
+    query = W.partitionBy("image", "query")
+    shifted = classes.withColumn("__e", F.exp(F.col("logit") - F.max("logit").over(query)))
+    return shifted.withColumn("share", F.col("__e") / F.sum("__e").over(query)).drop("__e")
 
 
 def best_class(classes: DataFrame) -> DataFrame:
@@ -39,28 +45,40 @@ def panoptic(classes: DataFrame, masks: DataFrame, no_object: int, things: Seque
     more) and if what it wins is at least ``least_overlap`` of its mask; it keeps the won pixels that its mask holds. Queries of a
     class that is no thing share one segment. Segments are numbered from 1 by their first query; other pixels are 0.
     """
-    sure = best_class(classes).where((F.col("category") != no_object) & (F.col("score") > least_score))
-    part = masks.join(sure, ["image", "query"]).withColumn("value", _sigmoid(F.col("logit"))).withColumn("own", F.col("value") >= 0.5)
-    won = part.groupBy("image", "y", "x").agg(F.max_by(F.struct("query", "own"), F.struct((F.col("score") * F.col("value")).alias("p"), (-F.col("query")).alias("q"))).alias("w")).select("image", "y", "x", "w.query", "w.own")
-    whole = part.groupBy("image", "query").agg(F.count_if("own").alias("__whole"))
-    held = won.groupBy("image", "query").agg(F.count("*").alias("__won"), F.count_if("own").alias("__kept"))
-    kept = held.join(whole, ["image", "query"]).where((F.col("__kept") > 0) & (F.col("__won") / F.col("__whole") >= least_overlap)).join(sure, ["image", "query"])
+    sure = saved(best_class(classes).where((F.col("category") != no_object) & (F.col("score") > least_score)), "sure")
+    part = masks.join(sure, ["image", "query"], "left").withColumn("value", _sigmoid(F.col("logit"))).withColumn("own", F.col("value") >= 0.5)
+    # a pixel that no sure query has keeps its row, without a winner
+    rank = F.when(F.col("score").isNotNull(), F.struct((F.col("score") * F.col("value")).alias("p"), (-F.col("query")).alias("q")))
+    won = part.groupBy("image", "y", "x").agg(F.max_by(F.struct("query", "own"), rank).alias("w")).select("image", "y", "x", "w.query", "w.own")
+    won = saved(won, "won")
+    whole = part.where("score is not null").groupBy("image", "query").agg(F.count_if("own").alias("__whole"))
+    held = won.where("query is not null").groupBy("image", "query").agg(F.count("*").alias("__won"), F.count_if("own").alias("__kept"))
+    kept = held.join(whole.hint("merge"), ["image", "query"]).where((F.col("__kept") > 0) & (F.col("__won") / F.col("__whole") >= least_overlap)).join(sure, ["image", "query"])
     thing = F.col("category").isin(*things)
     # things are segments of their own, other classes one each
     grouped = kept.withColumn("thing", thing).withColumn("first", F.when(thing, F.col("query")).otherwise(F.min("query").over(W.partitionBy("image", "category", thing))))
-    numbered = grouped.withColumn("segment", F.dense_rank().over(W.partitionBy("image").orderBy("first")))
-    of_query = numbered.select("image", "query", "segment")
-    inside = won.where("own").join(of_query, ["image", "query"]).select("image", "y", "x", "segment")
-    out = masks.select("image", "y", "x").distinct().join(inside, ["image", "y", "x"], "left").select("image", "y", "x", F.coalesce("segment", F.lit(0)).alias("segment"))
+    numbered = saved(grouped.withColumn("segment", F.dense_rank().over(W.partitionBy("image").orderBy("first"))), "numbered")
+    of_query = numbered.select("image", "query", F.lit(True).alias("own"), "segment")
+    out = won.join(of_query, ["image", "query", "own"], "left").select("image", "y", "x", F.coalesce("segment", F.lit(0)).alias("segment"))
     segments = numbered.groupBy("image", "segment").agg(F.min("category").alias("category"), F.first("thing").alias("thing"), F.sum("__kept").alias("area"))
     return out, segments
 
 
 def semantic(classes: DataFrame, masks: DataFrame, no_object: int) -> DataFrame:
     """image, y, x, category: the class with the largest sum of class share times mask value over all queries, the smaller of equals."""
-    shares = class_shares(classes).where(F.col("class") != no_object).select("image", "query", "class", "share")
-    votes = masks.join(shares, ["image", "query"]).groupBy("image", "y", "x", "class").agg(F.sum(F.col("share") * _sigmoid(F.col("logit"))).alias("vote"))
-    return votes.groupBy("image", "y", "x").agg(F.max_by("class", F.struct("vote", (-F.col("class")).alias("c"))).alias("category"))
+    shares = saved(class_shares(classes).where(F.col("class") != no_object).select("image", "query", "class", "share"), "shares")
+    names = [r[0] for r in shares.select("class").distinct().limit(WIDE + 1).collect()]
+    if len(names) > WIDE:
+        votes = masks.join(shares, ["image", "query"]).groupBy("image", "y", "x", "class").agg(F.sum(F.col("share") * _sigmoid(F.col("logit"))).alias("vote"))
+        return votes.groupBy("image", "y", "x").agg(F.max_by("class", F.struct("vote", (-F.col("class")).alias("c"))).alias("category"))
+    # a column for each class: a pixel's rows are as many as its queries, whatever the number of classes
+    wide = saved(shares.groupBy("image", "query").agg(*(F.sum(F.when(F.col("class") == c, F.col("share"))).alias(f"__s{i}") for i, c in enumerate(names))), "wide")
+    part = masks.join(wide, ["image", "query"]).withColumn("__v", _sigmoid(F.col("logit")))
+    sums = part.groupBy("image", "y", "x").agg(*(f(c).alias(f"__{n}{i}") for i in range(len(names)) for n, f, c in (("t", F.sum, F.col(f"__s{i}") * F.col("__v")), ("k", F.max, F.col(f"__s{i}")))))
+    kind = classes.schema["class"].dataType
+    best = [F.when(F.col(f"__k{i}").isNotNull(), F.struct(F.col(f"__t{i}").alias("vote"), F.lit(-c).alias("c"))) for i, c in enumerate(names)]
+    won = F.greatest(*best) if len(best) > 1 else best[0] if best else F.lit(None).cast("struct<vote: double, c: int>")
+    return sums.select("image", "y", "x", (-won["c"]).cast(kind).alias("category")).where("category is not null")
 
 
 def instances(classes: DataFrame, masks: DataFrame, no_object: int, k: int = 100, things: Sequence[int] | None = None) -> DataFrame:
