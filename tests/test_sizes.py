@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from cairn.operators import losses
+from cairn.operators import colouring, losses, panoptic
 from cairn.plans import masks as plans
-from cairn.plans.views import view
+from cairn.plans.colouring import CAMERA, MOUNT, PIXEL, POSE
+from cairn.plans.views import PALETTE, POINT, view
 
 DATA = "/root/testdata/sf0.001"
 
@@ -21,3 +22,38 @@ def test_exploded_views_run_in_several_tasks(spark):
 def test_pixels_of_losses_are_not_broadcast(spark):
     found = losses.gradient(view(spark, DATA, plans._DEPTHS), ["image"], valid="valid")
     assert "Broadcast" not in plan(found)
+
+
+def test_pixels_of_contests_are_written_once_and_not_broadcast(spark):
+    classes, pixels = view(spark, DATA, plans.CLASSES), view(spark, DATA, plans.MASKS)
+    for out in panoptic.panoptic(classes, pixels, 4, (0, 2), 0.5, 0.3):
+        # the only table that may be broadcast is that of queries, as it was written
+        assert plan(out).count("BroadcastHashJoin") <= 1 and "Generate" not in plan(out)
+    # votes are summed by pixel alone, not by pixel and class
+    assert "class" not in plan(panoptic.semantic(classes, pixels, 4))
+
+
+def test_pixels_are_not_broadcast_to_points(spark):
+    p = view(spark, DATA, POINT).withColumn("frame", 1 + F.col("pid") % 50)
+    found = colouring.frame_colours(p, view(spark, DATA, POSE), view(spark, DATA, PIXEL), view(spark, DATA, PALETTE), CAMERA, MOUNT)
+    at = next(line for line in plan(found).splitlines() if "Join" in line and "__px" in line)
+    assert "SortMergeJoin" in at
+
+
+def test_frames_of_the_same_poses_are_one_view(spark):
+    pose = (0.0, 0.0, -6.0, 0.0, 0.0, 0.05, 1.0)
+    other = (1.0, *pose[1:])
+    # frame 4 has two poses, frame 5 one of them, frame 6 both again
+    rows = [(1, *pose), (2, *pose), (3, *other), (4, *pose), (4, *other), (5, *other), (6, *other), (6, *pose)]
+    members, own = colouring.shared_views(spark.createDataFrame(rows, "ts long, px double, py double, pz double, qx double, qy double, qz double, qw double"))
+    assert {r.frame: r.view for r in members.collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 3, 6: 4}
+    assert sorted(r.ts for r in own.collect()) == [1, 3, 4, 4]
+
+
+def test_a_crowded_cell_is_several(spark, monkeypatch):
+    p, poses, pixels = view(spark, DATA, POINT), view(spark, DATA, POSE), view(spark, DATA, PIXEL)
+    one = colouring.vote_counts(p, poses, pixels, CAMERA, MOUNT).collect()
+    monkeypatch.setattr(colouring, "SHARE", 50)
+    assert sorted(colouring.vote_counts(p, poses, pixels, CAMERA, MOUNT).collect()) == sorted(one) and one
+    each = colouring.voted(p, poses, pixels, CAMERA, MOUNT).groupBy("pid", "label").agg(F.count("*").alias("votes"))
+    assert sorted(each.collect()) == sorted(one)
