@@ -40,9 +40,48 @@ def nearest_within(left: DataFrame, right: DataFrame, radius: float, key: str =
     return left.join(best, key, "left").select(*left.columns, F.col(f"best.r_{key}").alias("nearest"), F.col("best.distance").alias("distance"))
 
 
+#: Sizes of cells that neighbours are looked for in, each half as wide as the one before.
+LEVELS = 12
+
+
 def knn_within(points: DataFrame, k: int, radius: float, key: str = "pid", axes: tuple[str, ...] = AXES) -> DataFrame:
-    """pid, place and distance of up to k nearest other points within the radius."""
-    pairs = within(points.select(key, *axes), points.select(key, *axes), radius, axes).where(F.col(key) != F.col(f"r_{key}"))
+    """pid, place and distance of up to k nearest other points within the radius (ties to the smaller id).
+
+    Pairs aren't made within the whole radius where points are dense. The smallest cell around a point that holds more than k bounds its
+    k-th distance, first by the cell's diagonal, then by what the cell holds; only cells as near as that are looked into. Points that even the
+    widest cell leaves alone meet all within the radius. Of points at the same place only the k + 1 smallest ids can be anyone's neighbours.
+    """
+    finite = reduce(Column.__and__, (F.abs(a) < float("inf") for a in axes))
+    own = saved(points.select(key, *(F.col(a).cast("double").alias(a) for a in axes)).where(finite), "points")
+    same_place = W.partitionBy(*axes).orderBy(key)
+    held = saved(own.withColumn("__n", F.row_number().over(same_place)).where(F.col("__n") <= k + 1).drop("__n"), "held")
+    # any two points of a cell of level j are at most radius / 2 ** j apart
+    side = F.lit(radius / len(axes) ** 0.5 * (1 - 1e-9)) / F.pow(F.lit(2.0), F.col("__level"))
+    cells = [f"__{a}" for a in axes]
+    def levelled(rows: DataFrame) -> DataFrame:
+        each = rows.withColumn("__level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))))
+        return each.select("*", *(F.floor(F.col(a) / side).alias(c) for a, c in zip(axes, cells, strict=True)))
+
+    at = ["__level", *cells]
+    full = levelled(held).groupBy(*at).agg(F.count("*").alias("__n")).where(F.col("__n") > k).drop("__n")
+    finest = levelled(own).join(full, at).groupBy(key).agg(F.max("__level").alias("__level"))
+    placed = saved(own.join(finest, key, "left"), "placed")
+    dense = placed.where("__level is not null").select("*", *(F.floor(F.col(a) / side).alias(c) for a, c in zip(axes, cells, strict=True)))
+    other = levelled(held).select(*at, F.col(key).alias(f"r_{key}"), *(F.col(a).alias(f"r_{a}") for a in axes))
+    squared = sum(((F.col(a) - F.col(f"r_{a}")) * (F.col(a) - F.col(f"r_{a}")) for a in axes), F.lit(0.0))
+    met = lambda rows: rows.join(other, at).where(F.col(key) != F.col(f"r_{key}")).withColumn("distance", F.sqrt(squared))
+    bounds = met(dense).groupBy(key).agg(F.get(F.sort_array(F.collect_list("distance")), F.lit(k - 1)).alias("__bound"))
+    reach = range(-int(len(axes) ** 0.5) - 1, int(len(axes) ** 0.5) + 2)
+    offsets = F.array(*(F.struct(*(F.lit(v).alias(c) for v, c in zip(o, cells, strict=True))) for o in product(reach, repeat=len(axes))))
+    def near(o: Column) -> Column:
+        low = {a: (F.col(c) + o[c]) * side for a, c in zip(axes, cells, strict=True)}
+        gaps = [F.greatest(low[a] - F.col(a), F.col(a) - low[a] - side, F.lit(0.0)) for a in axes]
+        return F.sqrt(sum((g * g for g in gaps), F.lit(0.0))) <= F.col("__bound") + side * 1e-6
+
+    asked = dense.join(bounds, key).withColumn("__o", F.explode(F.filter(offsets, near))).select(key, *axes, "__bound", "__level", *((F.col(c) + F.col(f"__o.{c}")).alias(c) for c in cells))
+    close = met(asked).where(F.col("distance") <= F.col("__bound")).select(key, f"r_{key}", "distance")
+    alone = within(placed.where("__level is null").select(key, *axes), held, radius, axes).where(F.col(key) != F.col(f"r_{key}"))
+    pairs = close.unionByName(alone.select(key, f"r_{key}", "distance"))
     order = W.partitionBy(key).orderBy("distance", f"r_{key}")
     return pairs.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select(key, "place", F.col(f"r_{key}").alias("neighbour"), "distance")
 

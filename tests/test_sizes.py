@@ -1,11 +1,12 @@
 """What keeps queries within memory and time on large tables: how rows are dealt and which joins Spark may take."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from cairn.operators import colouring, losses, panoptic
+from cairn.operators import colouring, losses, panoptic, scene, spatial
 from cairn.plans import masks as plans
 from cairn.plans.colouring import CAMERA, MOUNT, PIXEL, POSE
-from cairn.plans.views import PALETTE, POINT, view
+from cairn.plans.views import BOX, PALETTE, POINT, view
 
 DATA = "/root/testdata/sf0.001"
 
@@ -57,3 +58,31 @@ def test_a_crowded_cell_is_several(spark, monkeypatch):
     assert sorted(colouring.vote_counts(p, poses, pixels, CAMERA, MOUNT).collect()) == sorted(one) and one
     each = colouring.voted(p, poses, pixels, CAMERA, MOUNT).groupBy("pid", "label").agg(F.count("*").alias("votes"))
     assert sorted(each.collect()) == sorted(one)
+
+
+def test_neighbours_are_not_made_from_all_pairs_within_the_radius(spark):
+    """Dense and sparse places, copies and points that aren't finite: all as by brute force, from few pairs."""
+    rng = np.random.default_rng(5)
+    places = np.concatenate([rng.normal(0, 0.02, (150, 3)), rng.normal(1.5, 0.4, (100, 3)), rng.uniform(-6, 6, (40, 3)), np.tile([[0.5, 0.5, 0.5]], (60, 1))])
+    rows = [(i, *map(float, p)) for i, p in enumerate(places)] + [(900, float("nan"), 0.0, 0.0), (901, float("inf"), 0.0, 0.0), (902, None, 0.0, 0.0)]
+    want = {}
+    for i, p in enumerate(places):
+        d = np.sqrt(((places - p) * (places - p)) @ np.ones(3))
+        want[i] = [int(j) for j in sorted((j for j in range(len(places)) if j != i and d[j] <= 2.0), key=lambda j: (d[j], j))[:5]]
+    found = spatial.knn_within(spark.createDataFrame(rows, "pid long, x double, y double, z double"), 5, 2.0)
+    got = {}
+    for r in sorted(found.collect(), key=lambda r: (r.pid, r.place)):
+        got.setdefault(r.pid, []).append(r.neighbour)
+    assert got == {i: n for i, n in want.items() if n}
+    # cells are looked into as far as a point's bound only
+    assert "__bound" in plan(found)
+
+
+def test_pairs_of_relations_on_common_ground_only(spark):
+    boxes = view(spark, DATA, BOX)
+    few = scene.relations(boxes, ("Brand#11",), ("Brand#11",), (), wanted=("on", "inside"))
+    every = scene.relations(boxes, ("Brand#11",), ("Brand#11",), ()).where("relation in ('on', 'inside')")
+    shown = ["source", "target", "relation", "confidence"]
+    assert sorted(few.select(shown).collect()) == sorted(every.select(shown).collect())
+    # boxes are dealt to the cells within the margin, not to those within reach of nearness
+    assert f"- {scene.INSIDE_MARGIN}" in plan(few)
