@@ -6,9 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cairn.functions.storage import saved, spread
 from cairn.operators.colour import _pairs
 from cairn.operators.components import connected
 
+#: Instances of a point whose pairs are made without cells.
+PAIRED = 256
+
 
 def labelled_instances(pixels: DataFrame, instances: DataFrame, allowed: DataFrame) -> DataFrame:
     """Pixels (frame, y, x, label, instance) with the label that counts: the instance's category where its metadata (frame,
@@ -36,16 +40,24 @@ def neighbouring(groups: DataFrame, width: int, group: str = "gid", key: str = "
 def co_observed(obs: DataFrame, reach: float, group: str = "gid", key: str = "pid") -> DataFrame:
     """Links (a, b) of instances that share a point and whose centroids are closer than ``reach``; each pair once.
 
-    Of a point's instances only those in the same or touching cells of centroids, as wide as the reach, are put together."""
+    Instances of a point with up to PAIRED of them meet by the point alone. Of a point with more only those in the same or touching
+    cells of centroids, as wide as the reach, are put together; only there are rows dealt to 27 cells."""
     c = centroids(obs, group, key)
-    own = obs.select(group, key).distinct().join(c, group)
-    left = own.select(F.col(group).alias("a"), key, *(F.col(f"c{v}").alias(f"a{v}") for v in "xyz"), *(F.floor(F.col(f"c{v}") / reach).alias(f"__{v}") for v in "xyz"))
-    right = own.select(F.col(group).alias("b"), key, *(F.col(f"c{v}").alias(f"b{v}") for v in "xyz"))
+    own = saved(obs.select(group, key).distinct().join(c, group).select(group, key, "cx", "cy", "cz"), "observed")
+    crowded = own.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > PAIRED).select(key)
+    few, many = own.join(crowded, key, "left_anti"), own.join(crowded, key, "left_semi")
+
+    def near(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+        squared = sum(((F.col(f"a{v}") - F.col(f"b{v}")) * (F.col(f"a{v}") - F.col(f"b{v}")) for v in "xyz"), F.lit(0.0))
+        return left.join(right, on).where("a < b").where(squared < reach * reach).select("a", "b")
+
+    side = lambda rows, s: rows.select(F.col(group).alias(s), key, *(F.col(f"c{v}").alias(f"{s}{v}") for v in "xyz"))
+    left, right = side(many, "a"), spread(side(many, "b"), key, "b")
     for v in "xyz":
+        left = left.withColumn(f"__{v}", F.floor(F.col(f"a{v}") / reach))
         cell = F.floor(F.col(f"b{v}") / reach)
         right = right.withColumn(f"__{v}", F.explode(F.array(cell - 1, cell, cell + 1)))
-    squared = sum(((F.col(f"a{v}") - F.col(f"b{v}")) * (F.col(f"a{v}") - F.col(f"b{v}")) for v in "xyz"), F.lit(0.0))
-    return left.join(right, [key, "__x", "__y", "__z"]).where("a < b").where(squared < reach * reach).select("a", "b").distinct()
+    return near(side(few, "a"), side(few, "b"), [key]).union(near(left, right, [key, "__x", "__y", "__z"])).distinct()
 
 
 def associated(obs: DataFrame, reach: float = 3.0, group: str = "gid", key: str = "pid") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from cairn.operators import matching, metrics, running
+from cairn.operators import fusion, matching, metrics, running
 
 
 def plan(df):
@@ -40,3 +40,15 @@ def test_curves_meet_no_row_twice(spark):
     for r in metrics.average_precision(curve, "k", 11).collect():
         own = [c for c in curve.collect() if c.k == r.k]
         assert abs(r.ap - sum(max((c.envelope for c in own if c.recall >= i / 10), default=0.0) for i in range(11)) / 11) < 1e-12
+
+
+def test_few_instances_of_a_point_meet_without_cells(spark):
+    rows = [(g, p, float(g % 13), float(g % 5), float(g % 3)) for p in range(60) for g in range(p % 7, 90, 7 + p % 3)] + [(g, 1000, float(g % 13), float(g % 5), float(g % 3)) for g in range(fusion.PAIRED + 40)]
+    obs = spark.createDataFrame(rows, "gid long, pid long, x double, y double, z double")
+    got = fusion.co_observed(obs, 2.5)
+    assert "LeftAnti" in plan(got)
+    at, seen = {g: r for g, _, *r in rows}, {}
+    for g, p, *_ in rows:
+        seen.setdefault(p, []).append(g)
+    want = {(a, b) for own in seen.values() for a in own for b in own if a < b and sum((u - v) ** 2 for u, v in zip(at[a], at[b], strict=True)) < 6.25}
+    assert {(r.a, r.b) for r in got.collect()} == want and got.count() == len(want)
