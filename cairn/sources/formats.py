@@ -6,7 +6,9 @@ pyarrow's file systems. The same records are faster from Parquet; these are the
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -56,11 +58,11 @@ class _FileReader(DataSourceReader):
         raise NotImplementedError
 
 
-def _batches(scene: str, columns: dict[str, np.ndarray], kinds: dict[str, pa.DataType], number: str) -> Iterator[pa.RecordBatch]:
+def _batches(scene: str, columns: dict[str, np.ndarray], kinds: dict[str, pa.DataType], number: str, start: int = 0) -> Iterator[pa.RecordBatch]:
     n = len(next(iter(columns.values())))
     for a in range(0, n, BATCH):
         b = min(a + BATCH, n)
-        arrays = [pa.array([scene] * (b - a)), pa.array(np.arange(a, b, dtype=np.int64)), *(pa.array(v[a:b]).cast(kinds[k]) for k, v in columns.items())]
+        arrays = [pa.array([scene] * (b - a)), pa.array(np.arange(start + a, start + b, dtype=np.int64)), *(pa.array(v[a:b]).cast(kinds[k]) for k, v in columns.items())]
         yield pa.RecordBatch.from_arrays(arrays, names=["scene", number, *columns])
 
 
@@ -106,31 +108,51 @@ def parse_pcd(data: bytes) -> dict[str, np.ndarray]:
     return {k: v[finite] for k, v in out.items()}
 
 
-def parse_ply(data: bytes) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """Vertices (x, y, z, r, g, b) and triangles of an ASCII PLY file; a face of more corners becomes a fan of triangles."""
-    head, _, body = data.partition(b"end_header")
+def _lines(f) -> Iterator[bytes]:
+    rest = b""
+    while some := f.read(1 << 20):
+        *whole, rest = (rest + some).split(b"\n")
+        yield from whole
+    if rest:
+        yield rest
+
+
+def ply_blocks(f, part: str) -> Iterator[dict[str, np.ndarray] | np.ndarray]:
+    """The vertices (x, y, z, r, g, b) or the faces of an open ASCII PLY file, from blocks of BATCH lines; a face of more corners becomes a fan
+    of triangles."""
     elements: list[tuple[str, int, list[str]]] = []
-    for line in head.decode("ascii", "replace").splitlines():
-        word = line.split()
+    lines = _lines(f)
+    for line in lines:
+        if b"end_header" in line:
+            break
+        word = line.decode("ascii", "replace").split()
         if word[:1] == ["format"] and word[1] != "ascii":
             raise ValueError("only ASCII PLY is read")
         if word[:1] == ["element"]:
             elements.append((word[1], int(word[2]), []))
         elif word[:1] == ["property"]:
             elements[-1][2].append(word[-1])
-    lines = iter(body.decode("ascii").split("\n")[1:])
-    vertices, faces = {}, []
     for name, n, properties in elements:
-        rows = [next(lines).split() for _ in range(n)]
-        if name == "vertex":
-            table = np.array(rows, np.float64).reshape(n, len(properties))
-            at = {p: i for i, p in enumerate(properties)}
-            vertices = {a: table[:, at[a]] for a in "xyz"} | {c[0]: table[:, at[c]].astype(np.int32) if c in at else np.full(n, 255, np.int32) for c in ("red", "green", "blue")}
-        elif name == "face":
-            for row in rows:
-                corners = list(map(int, row[1 : 1 + int(row[0])]))
-                faces += [(corners[0], corners[k], corners[k + 1]) for k in range(1, len(corners) - 1)]
-    return vertices, np.array(faces, np.int64).reshape(-1, 3)
+        for start in range(0, max(n, 1), BATCH):
+            rows = list(islice(lines, min(BATCH, n - start)))
+            if len(rows) < min(BATCH, n - start):
+                raise ValueError(f"the file ends before its {n} lines of {name}")
+            if name == part == "vertex":
+                table = np.array([row.decode("ascii").split() for row in rows], np.float64).reshape(len(rows), len(properties))
+                at = {p: i for i, p in enumerate(properties)}
+                yield {a: table[:, at[a]] for a in "xyz"} | {c[0]: table[:, at[c]].astype(np.int32) if c in at else np.full(len(rows), 255, np.int32) for c in ("red", "green", "blue")}
+            elif name == part == "face":
+                faces = []
+                for row in rows:
+                    count, *rest = map(int, (words := row.split())[: 1 + int(words[0])])
+                    faces += [(rest[0], rest[k], rest[k + 1]) for k in range(1, count - 1)]
+                yield np.array(faces, np.int64).reshape(-1, 3)
+
+
+def parse_ply(data: bytes) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Vertices (x, y, z, r, g, b) and triangles of an ASCII PLY file."""
+    vertices, faces = list(ply_blocks(io.BytesIO(data), "vertex")), list(ply_blocks(io.BytesIO(data), "face"))
+    return {c: np.concatenate([v[c] for v in vertices]) for c in (vertices[0] if vertices else ())}, np.concatenate(faces or [np.zeros((0, 3), np.int64)])
 
 
 class PcdSource(DataSource):
@@ -171,12 +193,17 @@ class PlySource(DataSource):
 class _PlyReader(_FileReader):
     suffix = ".ply"
 
-    def rows(self, data, scene):
-        vertices, faces = parse_ply(data)
-        if self.options.get("part") == "faces":
-            yield from _batches(scene, {c: faces[:, i] for i, c in enumerate("abc")}, dict.fromkeys("abc", pa.int64()), "fid")
-        else:
-            yield from _batches(scene, vertices, _XYZ, "pid")
+    def read(self, partition):
+        """A block at a time: a large file is never held whole."""
+        if partition is None:
+            return
+        fs, _ = opened(self.root)
+        scene, start, faces = partition.path.rpartition("/")[2].rpartition(".")[0], 0, self.options.get("part") == "faces"
+        with fs.open_input_stream(partition.path) as f:
+            for block in ply_blocks(f, "face" if faces else "vertex"):
+                columns = {c: block[:, i] for i, c in enumerate("abc")} if faces else block
+                yield from _batches(scene, columns, dict.fromkeys("abc", pa.int64()) if faces else _XYZ, "fid" if faces else "pid", start)
+                start += len(next(iter(columns.values())))
 
 
 def register(spark: SparkSession) -> None:

@@ -1,8 +1,12 @@
 """Forms of plans whose work grows no faster than the rows."""
 
+import io
+
+import pytest
 from pyspark.sql import functions as F
 
 from cairn.operators import fusion, matching, metrics, running
+from cairn.sources import formats
 
 
 def plan(df):
@@ -52,3 +56,16 @@ def test_few_instances_of_a_point_meet_without_cells(spark):
         seen.setdefault(p, []).append(g)
     want = {(a, b) for own in seen.values() for a in own for b in own if a < b and sum((u - v) ** 2 for u, v in zip(at[a], at[b], strict=True)) < 6.25}
     assert {(r.a, r.b) for r in got.collect()} == want and got.count() == len(want)
+
+
+def test_ply_is_read_in_blocks(monkeypatch):
+    monkeypatch.setattr(formats, "BATCH", 10)
+    head = "ply\nformat ascii 1.0\nelement vertex 25\nproperty float x\nproperty float y\nproperty float z\nelement face 21\nproperty list uchar int vertex_indices\nend_header\n"
+    text = (head + "".join(f"{i} {i + 1} 0.5\n" for i in range(25)) + "".join(f"3 {i} {i + 1} {i + 2}\n" for i in range(20)) + "4 0 1 2 3").encode()
+    assert [len(b["x"]) for b in formats.ply_blocks(io.BytesIO(text), "vertex")] == [10, 10, 5]
+    assert [len(b) for b in formats.ply_blocks(io.BytesIO(text), "face")] == [10, 10, 2]
+    vertices, faces = formats.parse_ply(text)
+    assert vertices["y"].tolist() == [i + 1.0 for i in range(25)] and vertices["g"].tolist() == [255] * 25
+    assert faces.tolist() == [[i, i + 1, i + 2] for i in range(20)] + [[0, 1, 2], [0, 2, 3]]
+    with pytest.raises(ValueError, match="ends before"):
+        formats.parse_ply(text[: len(text) // 2])
