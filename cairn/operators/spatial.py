@@ -34,16 +34,62 @@ def within(left: DataFrame, right: DataFrame, radius: float, axes: tuple[str, ..
     return left.join(other, keys).withColumn("distance", F.sqrt(squared)).where(F.col("distance") <= radius).drop(*keys)
 
 
-def nearest_within(left: DataFrame, right: DataFrame, radius: float, key: str = "pid", axes: tuple[str, ...] = AXES) -> DataFrame:
-    """Left rows with the id and distance of the nearest right row within the radius (ties to the smaller id), or nulls."""
-    best = within(left.select(key, *axes), right.select(key, *axes), radius, axes).groupBy(key).agg(F.min(F.struct("distance", f"r_{key}")).alias("best"))
-    return left.join(best, key, "left").select(*left.columns, F.col(f"best.r_{key}").alias("nearest"), F.col("best.distance").alias("distance"))
-
-
 #: Sizes of cells that neighbours are looked for in, each half as wide as the one before.
 LEVELS = 12
 
 
+def _sides(radius: float, axes: tuple[str, ...]) -> Column:
+    """How wide a cell of ``__level`` is: any two points of a cell of level j are at most radius / 2 ** j apart."""
+    return F.lit(radius / len(axes) ** 0.5 * (1 - 1e-9)) / F.pow(F.lit(2.0), F.col("__level"))
+
+
+def _celled(rows: DataFrame, side: Column, axes: tuple[str, ...]) -> DataFrame:
+    return rows.select("*", *(F.floor(F.col(a) / side).alias(f"__{a}") for a in axes))
+
+
+def _levelled(rows: DataFrame, side: Column, axes: tuple[str, ...]) -> DataFrame:
+    return _celled(rows.withColumn("__level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1)))), side, axes)
+
+
+def _around(rows: DataFrame, side: Column, axes: tuple[str, ...], key: str) -> DataFrame:
+    """rows once for each cell of their level that is no further than ``__bound``, which is a cell's diagonal at most."""
+    cells = [f"__{a}" for a in axes]
+    reach = range(-int(len(axes) ** 0.5) - 1, int(len(axes) ** 0.5) + 2)
+    offsets = F.array(*(F.struct(*(F.lit(v).alias(c) for v, c in zip(o, cells, strict=True))) for o in product(reach, repeat=len(axes))))
+
+    def near(o: Column) -> Column:
+        low = {a: (F.col(c) + o[c]) * side for a, c in zip(axes, cells, strict=True)}
+        gaps = [F.greatest(low[a] - F.col(a), F.col(a) - low[a] - side, F.lit(0.0)) for a in axes]
+        return F.sqrt(sum((g * g for g in gaps), F.lit(0.0))) <= F.col("__bound") + side * 1e-6
+
+    return rows.withColumn("__o", F.explode(F.filter(offsets, near))).select(key, *axes, "__bound", "__level", *((F.col(c) + F.col(f"__o.{c}")).alias(c) for c in cells))
+
+
+def nearest_within(left: DataFrame, right: DataFrame, radius: float, key: str = "pid", axes: tuple[str, ...] = AXES) -> DataFrame:
+    """Left rows with the id and distance of the nearest right row within the radius (ties to the smaller id), or nulls.
+
+    Pairs aren't made within the whole radius where right rows are dense: one right row of each cell around a left row bounds its
+    distance, from the widest cell to the smallest, and only cells as near as that are looked into. Left rows whose widest cell holds
+    none meet all within the radius. Of right rows at the same place only that of the smallest id can be nearest.
+    """
+    finite = reduce(Column.__and__, (F.abs(a) < float("inf") for a in axes))
+    places = lambda rows: rows.select(key, *(F.col(a).cast("double").alias(a) for a in axes)).where(finite)
+    own, side = saved(places(left), "points"), _sides(radius, axes)
+    held = saved(places(right).groupBy(*axes).agg(F.min(key).alias(key)).select(key, *axes), "held")
+    at = ["__level", *(f"__{a}" for a in axes)]
+    squared = sum(((F.col(a) - F.col(f"r_{a}")) * (F.col(a) - F.col(f"r_{a}")) for a in axes), F.lit(0.0))
+    other = _levelled(held, side, axes).select(*at, F.col(key).alias(f"r_{key}"), *(F.col(a).alias(f"r_{a}") for a in axes))
+    one = other.groupBy(*at).agg(F.min(F.struct(f"r_{key}", *(f"r_{a}" for a in axes))).alias("__r")).select(*at, "__r.*")
+    bounds = _levelled(own, side, axes).join(one, at).groupBy(key).agg(F.max("__level").alias("__level"), F.min(F.sqrt(squared)).alias("__bound"))
+    placed = saved(own.join(bounds, key, "left"), "placed")
+    asked = _around(_celled(placed.where("__level is not null"), side, axes), side, axes, key)
+    close = asked.join(other, at).withColumn("distance", F.sqrt(squared)).where((F.col("distance") <= F.col("__bound")) & (F.col("distance") <= radius))
+    alone = within(placed.where("__level is null").select(key, *axes), held, radius, axes)
+    pairs = close.select(key, f"r_{key}", "distance").unionByName(alone.select(key, f"r_{key}", "distance"))
+    best = pairs.groupBy(key).agg(F.min(F.struct("distance", f"r_{key}")).alias("best"))
+    return left.join(best, key, "left").select(*left.columns, F.col(f"best.r_{key}").alias("nearest"), F.col("best.distance").alias("distance"))
+
+
 def knn_within(points: DataFrame, k: int, radius: float, key: str = "pid", axes: tuple[str, ...] = AXES) -> DataFrame:
     """pid, place and distance of up to k nearest other points within the radius (ties to the smaller id).
 
@@ -55,30 +101,18 @@ def knn_within(points: DataFrame, k: int, radius: float, key: str = "pid", axes:
     own = saved(points.select(key, *(F.col(a).cast("double").alias(a) for a in axes)).where(finite), "points")
     same_place = W.partitionBy(*axes).orderBy(key)
     held = saved(own.withColumn("__n", F.row_number().over(same_place)).where(F.col("__n") <= k + 1).drop("__n"), "held")
-    # any two points of a cell of level j are at most radius / 2 ** j apart
-    side = F.lit(radius / len(axes) ** 0.5 * (1 - 1e-9)) / F.pow(F.lit(2.0), F.col("__level"))
+    side = _sides(radius, axes)
     cells = [f"__{a}" for a in axes]
-    def levelled(rows: DataFrame) -> DataFrame:
-        each = rows.withColumn("__level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))))
-        return each.select("*", *(F.floor(F.col(a) / side).alias(c) for a, c in zip(axes, cells, strict=True)))
-
     at = ["__level", *cells]
-    full = levelled(held).groupBy(*at).agg(F.count("*").alias("__n")).where(F.col("__n") > k).drop("__n")
-    finest = levelled(own).join(full, at).groupBy(key).agg(F.max("__level").alias("__level"))
+    full = _levelled(held, side, axes).groupBy(*at).agg(F.count("*").alias("__n")).where(F.col("__n") > k).drop("__n")
+    finest = _levelled(own, side, axes).join(full, at).groupBy(key).agg(F.max("__level").alias("__level"))
     placed = saved(own.join(finest, key, "left"), "placed")
-    dense = placed.where("__level is not null").select("*", *(F.floor(F.col(a) / side).alias(c) for a, c in zip(axes, cells, strict=True)))
-    other = levelled(held).select(*at, F.col(key).alias(f"r_{key}"), *(F.col(a).alias(f"r_{a}") for a in axes))
+    dense = _celled(placed.where("__level is not null"), side, axes)
+    other = _levelled(held, side, axes).select(*at, F.col(key).alias(f"r_{key}"), *(F.col(a).alias(f"r_{a}") for a in axes))
     squared = sum(((F.col(a) - F.col(f"r_{a}")) * (F.col(a) - F.col(f"r_{a}")) for a in axes), F.lit(0.0))
     met = lambda rows: rows.join(other, at).where(F.col(key) != F.col(f"r_{key}")).withColumn("distance", F.sqrt(squared))
     bounds = met(dense).groupBy(key).agg(F.get(F.sort_array(F.collect_list("distance")), F.lit(k - 1)).alias("__bound"))
-    reach = range(-int(len(axes) ** 0.5) - 1, int(len(axes) ** 0.5) + 2)
-    offsets = F.array(*(F.struct(*(F.lit(v).alias(c) for v, c in zip(o, cells, strict=True))) for o in product(reach, repeat=len(axes))))
-    def near(o: Column) -> Column:
-        low = {a: (F.col(c) + o[c]) * side for a, c in zip(axes, cells, strict=True)}
-        gaps = [F.greatest(low[a] - F.col(a), F.col(a) - low[a] - side, F.lit(0.0)) for a in axes]
-        return F.sqrt(sum((g * g for g in gaps), F.lit(0.0))) <= F.col("__bound") + side * 1e-6
-
-    asked = dense.join(bounds, key).withColumn("__o", F.explode(F.filter(offsets, near))).select(key, *axes, "__bound", "__level", *((F.col(c) + F.col(f"__o.{c}")).alias(c) for c in cells))
+    asked = _around(dense.join(bounds, key), side, axes, key)
     close = met(asked).where(F.col("distance") <= F.col("__bound")).select(key, f"r_{key}", "distance")
     alone = within(placed.where("__level is null").select(key, *axes), held, radius, axes).where(F.col(key) != F.col(f"r_{key}"))
     pairs = close.unionByName(alone.select(key, f"r_{key}", "distance"))

@@ -1,11 +1,13 @@
 """Forms of plans whose work grows no faster than the rows."""
 
 import io
+import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cairn.operators import fusion, matching, metrics, running
+from cairn.operators import fusion, matching, metrics, running, spatial
 from cairn.sources import formats
 
 
@@ -69,3 +71,19 @@ def test_ply_is_read_in_blocks(monkeypatch):
     assert faces.tolist() == [[i, i + 1, i + 2] for i in range(20)] + [[0, 1, 2], [0, 2, 3]]
     with pytest.raises(ValueError, match="ends before"):
         formats.parse_ply(text[: len(text) // 2])
+
+
+def test_nearest_in_a_dense_cloud_meets_few(spark):
+    rng = np.random.default_rng(3)
+    spots = np.vstack([rng.normal(0, 0.2, (700, 3)), rng.uniform(-4, 4, (300, 3)), np.zeros((40, 3))]).round(2)
+    rows = [(i, *map(float, p)) for i, p in enumerate(spots)]
+    make = lambda some: spark.createDataFrame(some, "pid long, x double, y double, z double")
+    left, right = [r for r in rows if r[0] % 4 == 0] + [(5000, float("nan"), 0.0, 0.0)], [r for r in rows if r[0] % 4]
+    got = spatial.nearest_within(make(left), make(right), 1.5)
+    assert "__bound" in plan(got)
+    want = {}
+    for i, *p in left:
+        d = [(j, *(a - b for a, b in zip(p, q, strict=True))) for j, *q in right]
+        far = [(math.sqrt(u * u + v * v + w * w), j) for j, u, v, w in d]  # added up as Spark does
+        want[i] = min([f for f in far if f[0] <= 1.5], default=(None, None))
+    assert {r.pid: (r.distance, r.nearest) for r in got.collect()} == want
