@@ -7,7 +7,7 @@ lines and runs.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -95,13 +95,21 @@ def run_box(runs: Column, height: Column) -> Column:
     return F.struct(out(x0).alias("x"), out(y0).alias("y"), out(x1 - x0 + 1).alias("width"), out(y1 - y0 + 1).alias("height"))
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is made once a row. (An expression that a lambda refers to is made anew for each element.)"""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def counts(runs: Column, size: Column) -> Column:
     """How many pixels are out, in, out .. of a mask of ``size`` pixels, beginning with those out."""
     end = lambda r: r["start"] + r["len"]
-    before = F.concat(F.array(F.lit(0).cast("long")), F.transform(runs, end))
-    pairs = F.flatten(F.transform(runs, lambda r, i: F.array(r["start"] - F.get(before, i), r["len"])))
-    rest = size.cast("long") - F.element_at(before, -1)
-    return F.concat(pairs, F.when((rest > 0) | (F.size(runs) == 0), F.array(rest)).otherwise(F.array().cast("array<bigint>")))
+
+    def told(before: Column) -> Column:
+        pairs = F.flatten(F.transform(runs, lambda r, i: F.array(r["start"] - F.get(before, i), r["len"])))
+        rest = size.cast("long") - F.element_at(before, -1)
+        return F.concat(pairs, F.when((rest > 0) | (F.size(runs) == 0), F.array(rest)).otherwise(F.array().cast("array<bigint>")))
+
+    return _let(F.concat(F.array(F.lit(0).cast("long")), F.transform(runs, end)), told)
 
 
 def from_counts(values: Column) -> Column:
@@ -125,7 +133,7 @@ _BITS, _FIRST = 5, 48
 
 def compressed(values: Column) -> Column:
     """The compressed string of counts."""
-    told = F.transform(values, lambda v, i: F.when(i > 2, v - F.get(values, i - 2)).otherwise(v))
+    told = _let(values, lambda held: F.transform(held, lambda v, i: F.when(i > 2, v - F.get(held, i - 2)).otherwise(v)))
     most = 7
     # as few groups of bits as hold the number with its sign
     groups = lambda v: F.coalesce(*(F.when((v >= -(1 << (_BITS * n - 1))) & (v < 1 << (_BITS * n - 1)), F.lit(n)) for n in range(1, most)), F.lit(most))

@@ -1,6 +1,7 @@
 """Masks from polygons, their compressed form, and the panoptic contest, against brute force."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -177,3 +178,13 @@ def test_panoptic_contest(spark, least, overlap):
             assert r.area == own.sum() and abs(r.final - share[r.image, r.query, r.category] * mean) < 1e-9
         none = panoptic.panoptic(classes.where("false"), masks_, 3, (0, 2))
         assert none[0].where("segment <> 0").count() == 0 and none[0].count() == 180 and none[1].count() == 0
+
+
+def test_compressed_form_of_many_runs(spark):
+    """A mask of very many runs: what is before a run or a count isn't made anew for each of them."""
+    n = 1500
+    df = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct((i * 5 + 1).cast("long").alias("start"), (i % 3 + 1).cast("long").alias("len"))).alias("runs"))
+    begun = time.monotonic()
+    got = df.select("runs", masks.from_counts(masks.decompressed(masks.compressed(masks.counts(F.col("runs"), F.lit(5 * n))))).alias("back")).first()
+    assert got.back == got.runs and len(got.runs) == n
+    assert time.monotonic() - begun < 60
