@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cairn.functions.storage import saved
+from cairn.functions.storage import new_path, saved
 
-#: Query rows that are sent to the other side at once, blocks of them in one plan, and base rows that are scored at once.
-QUERY_ROWS, BLOCKS, BASE_ROWS = 4096, 4, 512
+#: Query rows that are sent to the other side at once, blocks of them in one plan, base rows that are scored at once, and base rows that are worth a task.
+QUERY_ROWS, BLOCKS, BASE_ROWS, TASK_ROWS = 4096, 8, 1024, 2048
 #: What a product in single precision may be off, for each component and unit of length; pairs that are scored in double precision at once.
 ERROR, CHUNK = 1e-7, 1 << 16
 
@@ -22,12 +22,21 @@ def top_k(queries: DataFrame, base: DataFrame, k: int, key: str = "vec_id", vect
     Queries go out in blocks of a bounded number of rows; each partition of the base gives its own k best for each query, so
     what is shuffled is k rows for each query and partition, never the base or the pairs. The finds of BLOCKS blocks are written
     before the next ones, so the plan doesn't grow with the queries. Rows with a null vector take no part. The search is exact,
-    so its work is that of all pairs of a query and a base row.
+    so its work is that of all pairs of a query and a base row. A base in a few files is dealt over tasks first, and many queries
+    are written by blocks, so that a block doesn't read all of them.
     """
     spark = base.sparkSession
     rows = queries.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("q"), F.col(vector).alias("v"))
     blocks = max(1, -(-rows.count() // block))
+    number = F.pmod(F.xxhash64("q"), F.lit(blocks))
+    if blocks > BLOCKS:
+        path = new_path(spark, "queries")
+        rows.withColumn("__block", number.cast("long")).repartition("__block").write.partitionBy("__block").parquet(path)
+        rows, number = spark.read.schema(f"q long, v {rows.schema['v'].dataType.simpleString()}, __block long").parquet(path), F.col("__block")
     known = base.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("c"), F.col(vector).alias("v"))
+    tasks = min(spark.sparkContext.defaultParallelism, known.count() // TASK_ROWS)
+    if tasks > known.rdd.getNumPartitions():
+        known = saved(known.repartition(tasks), "base")
     schema = "q long, c long, score double"
 
     def scan(shared):
@@ -56,23 +65,31 @@ def top_k(queries: DataFrame, base: DataFrame, k: int, key: str = "vec_id", vect
                     vectors = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), -1)
                     # in single precision first, with what that may be off; what may be among the best is scored in double precision
                     half = vectors.astype(np.float32)
-                    if narrow and np.isfinite(half).all():
-                        s, off = small @ half.T, length * (np.sqrt((vectors * vectors).sum(axis=1)).max() * ERROR * q.shape[1]) + 1e-9
+                    longest = np.sqrt((vectors * vectors).sum(axis=1)).max()
+                    # a product that single precision can't hold would be infinite there
+                    if narrow and np.isfinite(half).all() and length.max() * longest < 1e37:
+                        s, off = small @ half.T, length * (longest * ERROR * q.shape[1]) + 1e-9
                     else:
                         s, off = q @ vectors.T, np.full(len(ids), 1e-9)
+                        s[np.isnan(s)] = -np.inf  # no score: the pair takes no part
                     # a row is no neighbour of its own id
                     low, high = np.searchsorted(ids, c), np.searchsorted(ids, c, "right")
                     for j in np.flatnonzero(high > low):
                         s[low[j] : high[j], j] = -np.inf
                     floor = np.partition(s, -k, axis=1)[:, -k] - off if n == 0 and s.shape[1] > k else least
-                    i, j = np.nonzero(s >= (floor - off)[:, None])
+                    # no higher than in double precision, and of the products' own kind, else all of them would be converted
+                    floor = np.nextafter((floor - off).astype(s.dtype), s.dtype.type(-np.inf))
+                    met = np.flatnonzero(s.max(axis=1) >= floor)
+                    i, j = np.divmod(np.flatnonzero((s[met] >= floor[met, None]).ravel()), s.shape[1])
+                    i = met[i]
                     i, j = (x[s[i, j] > -np.inf] for x in (i, j))
                     v = np.concatenate([np.einsum("ij,ij->i", q[i[x : x + CHUNK]], vectors[j[x : x + CHUNK]]) for x in range(0, len(i), CHUNK)] or [np.zeros(0)]).round(9)
                     kept = v >= least[i]
                     i, j, v = i[kept], j[kept], v[kept]
                     held.append((i, c[j], v))
                     n += len(i)
-                    if n > 4 * k * len(ids):
+                    # after the first rows too: until then there is nothing to reach, and all of the next ones would count
+                    if n > 2 * k * len(ids) or len(held) == 1:
                         held = reduced()
                         n = len(held[0][0])
             if n:
@@ -83,9 +100,10 @@ def top_k(queries: DataFrame, base: DataFrame, k: int, key: str = "vec_id", vect
 
     found, written = None, None
     for b in range(blocks):
-        some = rows.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b).orderBy("q").toPandas()
+        some = rows.where(number == b).select("q", "v").orderBy("q").toArrow()
         if len(some):
-            shared = spark.sparkContext.broadcast((some["q"].to_numpy(np.int64), np.array(some["v"].tolist(), np.float64)))
+            vectors = some["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            shared = spark.sparkContext.broadcast((some["q"].to_numpy(), vectors.reshape(len(some), -1)))
             part = known.mapInArrow(scan(shared), schema)
             found = part if found is None else found.unionByName(part)
         if found is not None and b % BLOCKS == BLOCKS - 1 and b + 1 < blocks:
