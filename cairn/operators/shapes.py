@@ -121,7 +121,8 @@ def stable_clusters(p: np.ndarray, least: int, samples: int) -> np.ndarray:
     if n < max(2, least):
         return np.full(n, -1)
     k, step = min(samples, n) - 1, max(1, _HELD // n)
-    core = np.concatenate([np.partition(_distances(p[i : i + step], p), k, axis=1)[:, k] for i in range(0, n, step)])
+    # copies, as a column that is a view would keep all distances of its step
+    core = np.concatenate([np.partition(_distances(p[i : i + step], p), k, axis=1)[:, k].copy() for i in range(0, n, step)])
 
     def reach(i: int) -> np.ndarray:
         return np.maximum(_distances(p[i : i + 1], p)[0], np.maximum(core[i], core))

@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 
 from cairn.operators import shapes
@@ -34,3 +36,12 @@ def test_clusters_by_spark_are_those_of_one_task(spark):
     near = {r.pid: r.cluster for r in shapes.density_clusters(df.where("label = 0"), "label", 8, 5, radius=1.5).collect()}
     assert len(near) == 125 and len({near[i] for i in range(60)} & {near[i] for i in range(60, 110)} - {None}) == 0
     assert sum(near[i] is not None for i in range(110)) > 80
+
+
+def test_distances_are_not_kept():
+    p = np.random.default_rng(5).normal(size=(6000, 3))
+    tracemalloc.start()
+    shapes.stable_clusters(p, 5, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 160e6  # all distances would be 288 MB
