@@ -301,10 +301,13 @@ def mesh_components(faces: DataFrame, least: int = 1, key: str = "fid") -> DataF
     links its triangles to its smallest one, so a shared edge of any number of triangles gives no pairs."""
     from cairn.operators.components import connected
 
-    edges = faces.select(key, F.explode(F.array(*(F.struct(F.least(p, q).alias("p"), F.greatest(p, q).alias("q")) for p, q in (("a", "b"), ("b", "c"), ("a", "c"))))).alias("e"))
-    first = edges.groupBy("e").agg(F.min(key).alias("f"))
-    roots = connected(edges.join(first, "e").where(F.col(key) != F.col("f")).select(F.col(key).alias("a"), F.col("f").alias("b")))
+    edges = faces.select(key, F.inline(F.array(*(F.struct(F.least(p, q).alias("p"), F.greatest(p, q).alias("q")) for p, q in (("a", "b"), ("b", "c"), ("a", "c"))))))
+    # edges of one triangle link nothing
+    first = edges.groupBy("p", "q").agg(F.min(key).alias("f"), F.max(key).alias("__last")).where("f < __last").drop("__last")
+    roots = connected(edges.join(first, ["p", "q"]).where(F.col(key) != F.col("f")).select(F.col(key).alias("a"), F.col("f").alias("b")))
     out = faces.select(key).join(roots, F.col(key) == F.col("node"), "left").select(key, F.coalesce("root", key).alias("component"))
+    if least <= 1:
+        return out.where("component is not null")
     sizes = out.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("component")
     return out.join(sizes, "component").select(key, "component")
 

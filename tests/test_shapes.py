@@ -43,3 +43,11 @@ def test_mesh(spark):
     faces = spark.createDataFrame([(0, 1, 2, 3), (1, 2, 3, 4), (2, 3, 4, 5), (3, 7, 8, 9), (4, 4, 7, 1)], "fid long, a long, b long, c long")
     assert {r.fid: r.component for r in shapes.mesh_components(faces).collect()} == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4}
     assert {r.fid for r in shapes.mesh_components(faces, 2).collect()} == {0, 1, 2}
+
+
+def test_corners_that_are_null_link_nothing(spark):
+    """As in SQL, where null is not equal to null; and components of any size need no second pass over the triangles."""
+    faces = spark.createDataFrame([(0, 1, None, None), (1, 2, None, None), (2, 2, 3, 4)], "fid long, a long, b long, c long")
+    found = shapes.mesh_components(faces)
+    assert {r.fid: r.component for r in found.collect()} == {0: 0, 1: 1, 2: 2}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
