@@ -86,3 +86,64 @@ def test_pairs_of_relations_on_common_ground_only(spark):
     assert sorted(few.select(shown).collect()) == sorted(every.select(shown).collect())
     # boxes are dealt to the cells within the margin, not to those within reach of nearness
     assert f"- {scene.INSIDE_MARGIN}" in plan(few)
+
+
+def _crowded(spark):
+    """Boxes of many sizes, copies and flat ones among them, a few without a corner or a label."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(260):
+        low, size = rng.integers(-20, 20, 3) * 0.25, rng.choice([0.0, 0.25, 0.5, 1.0, 2.0, 9.0, 30.0], 3)
+        label, kind = str(rng.choice(["floor", "table", "wall", "cup"])), str(rng.choice(["region", "object"]))
+        rows.append((i * 3, f"n{i}", None if i == 7 else label, None if i == 9 else kind, int(rng.integers(10, 30)), *map(float, low), *map(float, low + size)))
+    rows += [(1000, "n1000", "cup", "object", 20, None, 0.0, 0.0, 1.0, 1.0, 1.0), (1001, "n1001", "cup", "object", 20, float("nan"), 0.0, 0.0, 1.0, 1.0, 1.0)]
+    return spark.createDataFrame(rows, "ord long, node_id string, label string, kind string, n long, x0 double, y0 double, z0 double, x1 double, y1 double, z1 double")
+
+
+_RULES = (("floor", "table"), ("floor",), ("wall",), (("cup", "floor"),))
+
+
+def test_relations_are_counted_as_they_are_made(spark):
+    boxes = _crowded(spark)
+    made = scene.relations(boxes, *_RULES, carried=("ord", "label"))
+    want = made.groupBy(F.col("source_ord").alias("ord"), "source_label", "relation", "target_label").agg(F.count("*").alias("n")).collect()
+    assert {r.relation for r in want} == set(scene.RELATIONS)
+    found = scene.relation_counts(boxes, *_RULES)
+    assert sorted(map(str, found.collect())) == sorted(map(str, want))
+    # pairs aren't rows: cells of boxes meet in bulk
+    assert "SortMergeJoin" not in plan(found)
+
+
+def test_code_of_pairs_is_compiled(spark, capsys):
+    """The JVM leaves methods of more than 8,000 bytes to its interpreter."""
+    found = scene.relations(view(spark, DATA, BOX), ("Brand#11",), ("Brand#11",), ("Brand#13",)).groupBy("source").count()
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found.explain("codegen")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [int(part.split(";")[0]) for part in capsys.readouterr().out.split("maxMethodCodeSize:")[1:] if "SortMergeJoin" in part.split("Generated code:")[0]]
+    assert sizes and max(sizes) < 8000
+
+
+def test_edges_are_numbered_without_being_written(spark, monkeypatch):
+    boxes, written = _crowded(spark), []
+    want = {(r.source, r.target, r.relation): r.edge_id for r in scene.edge_ids(scene.relations(boxes, *_RULES)).collect()}
+    keep = scene.saved
+    monkeypatch.setattr(scene, "saved", lambda df, what: written.append(what) or keep(df, what))
+    found = scene.numbered_relations(boxes, *_RULES)
+    assert {(r.source, r.target, r.relation): r.edge_id for r in found.collect()} == want and len(want) > 1000
+    assert written == ["starts"]
+
+
+def test_first_edges_by_id_as_text(spark, monkeypatch):
+    """Ids keep the first digits of a number only, so the smallest need not be that of the first edge."""
+    monkeypatch.setattr(scene, "DIGITS", 2)
+    boxes = _crowded(spark)
+    every = scene.numbered_relations(boxes, *_RULES)
+    label = lambda side: boxes.select(F.col("node_id").alias(side), F.col("label").alias(f"{side}_label"))
+    key = ["source_label", "relation", "target_label"]
+    smallest = lambda edges: {str(r[:3]): r.id for r in edges.join(label("source"), "source").join(label("target"), "target").groupBy(*key).agg(F.min("edge_id").alias("id")).collect()}
+    want = smallest(every)
+    assert smallest(scene.earliest_edges(boxes, *_RULES)) == want and len(want) > 40
+    assert len({i for i in want.values() if i >= "edge_10"}) > 1
