@@ -2,7 +2,8 @@
 
 Tables: ``classes`` (image, query, class, logit: the last class means no object) and ``masks`` (image, query, y, x, logit). A pixel is
 contested by as many queries as an image has, and everything is a grouping or an equi-join, so images and pixels spread freely. What there
-is of each query is written before pixels meet it, so that Spark knows its size; tables of pixels are never broadcast.
+is of each query is written before pixels meet it, one row an image, so that tables of pixels are never broadcast, and move between tasks once at
+most: by their image, and not at all where Spark knows that they are dealt by it already.
 """
 
 from __future__ import annotations
@@ -37,6 +38,14 @@ def best_class(classes: DataFrame) -> DataFrame:
     return class_shares(classes).groupBy("image", "query").agg(best).select("image", "query", F.col("b.class").alias("category"), F.col("b.share").alias("score"))
 
 
+def _of_images(queries: DataFrame, masks: DataFrame, columns: Sequence[str], what: str) -> DataFrame:
+    """image, of: a map from each query of an image to the columns, as a written table. It is the hashed side of joins, so that pixels aren't sorted."""
+    kind = masks.schema["query"].dataType
+    entry = F.struct(F.col("query").cast(kind).alias("query"), F.struct(*columns).alias("of"))
+    rows = queries.where("image is not null and query is not null").groupBy("image").agg(F.map_from_entries(F.collect_list(entry)).alias("of"))
+    return saved(rows, what).hint("shuffle_hash")
+
+
 def panoptic(classes: DataFrame, masks: DataFrame, no_object: int, things: Sequence[int], least_score: float = 0.8, least_overlap: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """(pixels: image, y, x, segment; segments: image, segment, category, thing, area).
 
@@ -72,8 +81,10 @@ def semantic(classes: DataFrame, masks: DataFrame, no_object: int) -> DataFrame:
         votes = masks.join(shares, ["image", "query"]).groupBy("image", "y", "x", "class").agg(F.sum(F.col("share") * _sigmoid(F.col("logit"))).alias("vote"))
         return votes.groupBy("image", "y", "x").agg(F.max_by("class", F.struct("vote", (-F.col("class")).alias("c"))).alias("category"))
     # a column for each class: a pixel's rows are as many as its queries, whatever the number of classes
-    wide = saved(shares.groupBy("image", "query").agg(*(F.sum(F.when(F.col("class") == c, F.col("share"))).alias(f"__s{i}") for i, c in enumerate(names))), "wide")
-    part = masks.join(wide, ["image", "query"]).withColumn("__v", _sigmoid(F.col("logit")))
+    wide = shares.groupBy("image", "query").agg(*(F.sum(F.when(F.col("class") == c, F.col("share"))).alias(f"__s{i}") for i, c in enumerate(names)))
+    columns = [f"__s{i}" for i in range(len(names))] or [F.lit(True).alias("__none")]
+    part = masks.join(_of_images(wide, masks, columns, "wide"), "image").withColumn("__of", F.col("of")[F.col("query")]).where("__of is not null")
+    part = part.select("image", "y", "x", _sigmoid(F.col("logit")).alias("__v"), "__of.*")
     sums = part.groupBy("image", "y", "x").agg(*(f(c).alias(f"__{n}{i}") for i in range(len(names)) for n, f, c in (("t", F.sum, F.col(f"__s{i}") * F.col("__v")), ("k", F.max, F.col(f"__s{i}")))))
     kind = classes.schema["class"].dataType
     best = [F.when(F.col(f"__k{i}").isNotNull(), F.struct(F.col(f"__t{i}").alias("vote"), F.lit(-c).alias("c"))) for i, c in enumerate(names)]

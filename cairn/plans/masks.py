@@ -72,6 +72,8 @@ MASKS = {
     "spark": f"SELECT CAST(floor(p_partkey / 8) AS BIGINT) AS image, p_partkey % 8 AS query, py AS y, px AS x, {_DISK.format(w=WIDTH, h=HEIGHT)} AS logit FROM part LATERAL VIEW explode(sequence(0, {WIDTH - 1})) a AS px LATERAL VIEW explode(sequence(0, {HEIGHT - 1})) b AS py",
     "sql": f"SELECT CAST(floor(p_partkey / 8) AS BIGINT) AS image, p_partkey % 8 AS query, py, px, py AS y, px AS x, {_DISK.format(w=WIDTH, h=HEIGHT)} AS logit FROM part, range({WIDTH}) a(px), range({HEIGHT}) b(py)",
 }
+#: What the masks are dealt over tasks by: all of an image are in one.
+BY_IMAGE = "CAST(floor(p_partkey / 8) AS BIGINT)"
 _THINGS = (0, 2)
 _SHARES = dict(
     c=CLASSES, m=MASKS,
@@ -95,25 +97,25 @@ _SURE = dict(
 @query(ctes(**_SURE) + " SELECT i.image, i.y, i.x, CAST(coalesce(s.segment, 0) AS INT) AS segment FROM (SELECT DISTINCT image, y, x FROM m) i LEFT JOIN w ON w.image = i.image AND w.y = i.y AND w.x = i.x AND w.value >= 0.5 LEFT JOIN s ON s.image = w.image AND s.query = w.query")
 def f05_panoptic(spark, d):
     """Pixels with the segment that won them."""
-    return panoptic.panoptic(view(spark, d, CLASSES), view(spark, d, MASKS), 4, _THINGS, 0.5, 0.3)[0]
+    return panoptic.panoptic(view(spark, d, CLASSES), view(spark, d, MASKS, BY_IMAGE), 4, _THINGS, 0.5, 0.3)[0]
 
 
 @query(ctes(**_SURE) + " SELECT image, CAST(segment AS INT) AS segment, CAST(min(category) AS INT) AS category, any_value(thing) AS thing, CAST(sum(kept) AS BIGINT) AS area FROM s GROUP BY 1, 2")
 def f05_segments(spark, d):
     """Segments of images: class, kind and pixels."""
-    return panoptic.panoptic(view(spark, d, CLASSES), view(spark, d, MASKS), 4, _THINGS, 0.5, 0.3)[1]
+    return panoptic.panoptic(view(spark, d, CLASSES), view(spark, d, MASKS, BY_IMAGE), 4, _THINGS, 0.5, 0.3)[1]
 
 
 @query(ctes(**_SHARES, u="SELECT m.image, y, x, class, round(sum(share / (1 + exp(-m.logit))), 9) AS vote FROM m JOIN f ON m.image = f.image AND m.query = f.query WHERE class <> 4 GROUP BY 1, 2, 3, 4") + " SELECT image, y, x, CAST(class AS INT) AS category FROM (SELECT *, row_number() OVER (PARTITION BY image, y, x ORDER BY vote DESC, class) AS n FROM u) z WHERE n = 1")
 def f05_semantic(spark, d):
     """The class of every pixel by all queries' shares."""
-    return panoptic.semantic(view(spark, d, CLASSES), view(spark, d, MASKS), 4)
+    return panoptic.semantic(view(spark, d, CLASSES), view(spark, d, MASKS, BY_IMAGE), 4)
 
 
 @query(ctes(**_SHARES, n="SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image ORDER BY share DESC, query, class) AS n FROM f WHERE class <> 4) z WHERE n <= 5", a="SELECT image, query, count(*) FILTER (logit > 0) AS area, coalesce(sum(CASE WHEN logit > 0 THEN 1 / (1 + exp(-logit)) END), 0) AS total FROM m GROUP BY 1, 2") + " SELECT n.image, n.query, CAST(class AS INT) AS category, round(share, 9) AS score, area, round(total / (area + 1e-6), 9) AS mask_score, round(share * (total / (area + 1e-6)), 9) AS final FROM n JOIN a ON n.image = a.image AND n.query = a.query WHERE class IN (0, 2)")
 def f05_instances(spark, d):
     """The best (query, class) of each image with the mean value within their masks."""
-    found = panoptic.instances(view(spark, d, CLASSES), view(spark, d, MASKS), 4, 5, _THINGS)
+    found = panoptic.instances(view(spark, d, CLASSES), view(spark, d, MASKS, BY_IMAGE), 4, 5, _THINGS)
     return found.select("image", "query", "category", F.round("score", 9).alias("score"), "area", F.round("mask_score", 9).alias("mask_score"), F.round("final", 9).alias("final"))
 
 

@@ -34,6 +34,15 @@ def test_pixels_of_contests_are_written_once_and_not_broadcast(spark):
     assert "class" not in plan(panoptic.semantic(classes, pixels, 4))
 
 
+def test_pixels_of_images_stay_where_they_are_made(spark):
+    classes, pixels = view(spark, DATA, plans.CLASSES), view(spark, DATA, plans.MASKS, plans.BY_IMAGE)
+    assert pixels.select("image", F.spark_partition_id()).distinct().groupBy("image").count().where("count > 1").count() == 0
+    found = plan(panoptic.semantic(classes, pixels, 4))
+    assert "BroadcastHashJoin" not in found and "SortMergeJoin" not in found
+    # of pixels only the parts that they are made of are moved, and what there is of each image
+    assert found.count("Exchange") == 2
+
+
 def test_pixels_are_not_broadcast_to_points(spark):
     p = view(spark, DATA, POINT).withColumn("frame", 1 + F.col("pid") % 50)
     found = colouring.frame_colours(p, view(spark, DATA, POSE), view(spark, DATA, PIXEL), view(spark, DATA, PALETTE), CAMERA, MOUNT)
