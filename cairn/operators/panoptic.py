@@ -46,6 +46,18 @@ def _of_images(queries: DataFrame, masks: DataFrame, columns: Sequence[str], wha
     return saved(rows, what).hint("shuffle_hash")
 
 
+def _contested(sure: DataFrame, masks: DataFrame) -> DataFrame:
+    """masks with the score of their query, if it is sure, and its value and whether its own mask holds the pixel."""
+    part = masks.join(sure, "image", "left").withColumn("score", F.col("of")[F.col("query")]["score"]).drop("of")
+    return part.withColumn("value", _sigmoid(F.col("logit"))).withColumn("own", F.col("value") >= 0.5)
+
+
+def _won(part: DataFrame) -> DataFrame:
+    """image, y, x, query, own: who wins a pixel. One that no sure query has keeps its row, without a winner."""
+    rank = F.when(F.col("score").isNotNull(), F.struct((F.col("score") * F.col("value")).alias("p"), (-F.col("query")).alias("q")))
+    return part.groupBy("image", "y", "x").agg(F.max_by(F.struct("query", "own"), rank).alias("w")).select("image", "y", "x", "w.query", "w.own")
+
+
 def panoptic(classes: DataFrame, masks: DataFrame, no_object: int, things: Sequence[int], least_score: float = 0.8, least_overlap: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """(pixels: image, y, x, segment; segments: image, segment, category, thing, area).
 
@@ -55,11 +67,8 @@ def panoptic(classes: DataFrame, masks: DataFrame, no_object: int, things: Seque
     class that is no thing share one segment. Segments are numbered from 1 by their first query; other pixels are 0.
     """
     sure = saved(best_class(classes).where((F.col("category") != no_object) & (F.col("score") > least_score)), "sure")
-    part = masks.join(sure, ["image", "query"], "left").withColumn("value", _sigmoid(F.col("logit"))).withColumn("own", F.col("value") >= 0.5)
-    # a pixel that no sure query has keeps its row, without a winner
-    rank = F.when(F.col("score").isNotNull(), F.struct((F.col("score") * F.col("value")).alias("p"), (-F.col("query")).alias("q")))
-    won = part.groupBy("image", "y", "x").agg(F.max_by(F.struct("query", "own"), rank).alias("w")).select("image", "y", "x", "w.query", "w.own")
-    won = saved(won, "won")
+    part = _contested(_of_images(sure, masks, ["score"], "sure_of"), masks)
+    won = saved(_won(part), "won")
     whole = part.where("score is not null").groupBy("image", "query").agg(F.count_if("own").alias("__whole"))
     held = won.where("query is not null").groupBy("image", "query").agg(F.count("*").alias("__won"), F.count_if("own").alias("__kept"))
     kept = held.join(whole.hint("merge"), ["image", "query"]).where((F.col("__kept") > 0) & (F.col("__won") / F.col("__whole") >= least_overlap)).join(sure, ["image", "query"])

@@ -43,6 +43,14 @@ def test_pixels_of_images_stay_where_they_are_made(spark):
     assert found.count("Exchange") == 2
 
 
+def test_contested_pixels_stay_where_they_are_made(spark):
+    classes, pixels = view(spark, DATA, plans.CLASSES), view(spark, DATA, plans.MASKS, plans.BY_IMAGE)
+    sure = panoptic._of_images(panoptic.best_class(classes), pixels, ["score"], "sure_of")
+    part = panoptic._contested(sure, pixels)
+    for found in (plan(panoptic._won(part)), plan(part.groupBy("image", "query").agg(F.count_if("own")))):
+        assert found.count("Exchange") == 2 and "BroadcastHashJoin" not in found and "SortMergeJoin" not in found
+
+
 def test_pixels_are_not_broadcast_to_points(spark):
     p = view(spark, DATA, POINT).withColumn("frame", 1 + F.col("pid") % 50)
     found = colouring.frame_colours(p, view(spark, DATA, POSE), view(spark, DATA, PIXEL), view(spark, DATA, PALETTE), CAMERA, MOUNT)
