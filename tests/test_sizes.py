@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from cairn.operators import colouring, losses, panoptic, scene, spatial
 from cairn.plans import masks as plans
 from cairn.plans.colouring import CAMERA, MOUNT, PIXEL, POSE
+from cairn.plans.registry import QUERIES
 from cairn.plans.views import BOX, PALETTE, POINT, view
 
 DATA = "/root/testdata/sf0.001"
@@ -68,6 +69,17 @@ def test_frames_of_the_same_poses_are_one_view(spark):
     assert sorted(r.ts for r in own.collect()) == [1, 3, 4, 4]
 
 
+def test_what_is_shown_is_made_once_a_view(spark, monkeypatch):
+    found = QUERIES["j01_points_by_poses"](spark, DATA)
+    joined, rounded = (plan(found).index(what) for what in ("Join [view#", "round("))
+    assert joined < rounded and "round(" not in plan(found)[:joined]
+    # frames come in as lists, behind the join
+    assert "explode(frames" in plan(found)[:joined]
+    monkeypatch.setattr(colouring, "MEMBERS", 0)
+    monkeypatch.setattr(colouring, "LISTED", 3)
+    assert sorted(QUERIES["j01_points_by_poses"](spark, DATA).collect()) == sorted(found.collect())
+
+
 def test_a_crowded_cell_is_several(spark, monkeypatch):
     p, poses, pixels = view(spark, DATA, POINT), view(spark, DATA, POSE), view(spark, DATA, PIXEL)
     one = colouring.vote_counts(p, poses, pixels, CAMERA, MOUNT).collect()
